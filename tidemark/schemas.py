@@ -22,19 +22,18 @@ TRADES = T.StructType([
     T.StructField("qty", QTY),
 ])
 
-DEPTH_MESSAGE = T.StructType([
-    T.StructField("U", T.LongType()),
+# ``first_id``, ``u`` and ``pu``: first, final and previous final update id of a message.
+DEPTH = T.StructType([
+    T.StructField("symbol", T.StringType()),
+    T.StructField("arrival", T.LongType()),
+    T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("first_id", T.LongType()),
     T.StructField("u", T.LongType()),
     T.StructField("pu", T.LongType()),
     T.StructField("b", T.ArrayType(T.ArrayType(T.StringType()))),
     T.StructField("a", T.ArrayType(T.ArrayType(T.StringType()))),
 ])
 
-TRADE_MESSAGE = T.StructType([
-    T.StructField("p", T.StringType()),
-    T.StructField("q", T.StringType()),
-])
-
 SENTIMENT = T.StructType([
     T.StructField("timestamp", T.TimestampNTZType()),
     T.StructField("FinBERT_Score", T.DoubleType()),

@@ -54,7 +54,7 @@ SELECT symbol, ts, sum(amount) / 1e6 AS reserve FROM orders_by_asset WHERE statu
 """)
 
 view("mcap_daily", """
-SELECT symbol, ts, 1e5 * sum(amount) AS total_mcap FROM orders_by_asset GROUP BY 1, 2
+SELECT symbol, ts, 123456.789 * sum(amount) AS total_mcap FROM orders_by_asset GROUP BY 1, 2
 """)
 
 view("oi_daily", """
@@ -136,7 +136,7 @@ FROM (SELECT *, [exp(logit_pos) / z, exp(logit_neg) / z, exp(logit_neu) / z] AS
 def rounded(keys: str, values: str, body: str, places: int = 6) -> str:
     """``body`` with its value columns rounded (adding 0 turns -0 into 0)."""
     cols = [k.strip() for k in keys.split(",") if k.strip()]
-    cols += [f'round("{v}", {places}) + 0.0 AS "{v}"' for v in values.split()]
+    cols += [f'round(CAST("{v}" AS DOUBLE), {places}) + 0.0 AS "{v}"' for v in values.split()]
     return with_views(f"SELECT {', '.join(cols)} FROM (\n{body.strip()}\n)")
 
 

@@ -92,7 +92,7 @@ class Views:
 
     @cached_property
     def mcap(self) -> DataFrame:
-        return self.orders.groupBy("symbol", "ts").agg((F.lit(1e5) * F.sum("amount")).alias("total_mcap"))
+        return self.orders.groupBy("symbol", "ts").agg((F.lit(123456.789) * F.sum("amount")).alias("total_mcap"))
 
     @cached_property
     def oi(self) -> DataFrame:
@@ -128,7 +128,7 @@ class Views:
         return self.events.select(
             F.col("event_type").alias("symbol"), F.col("event_id").alias("arrival"),
             tick_time(F.col("event_id")).alias("ts"),
-            u.alias("U"), u.alias("u"), (F.col("event_id") - 1).alias("pu"),
+            u.alias("first_id"), u.alias("u"), (F.col("event_id") - 1).alias("pu"),
             F.when(even, entries).otherwise(none).alias("b"), F.when(even, none).otherwise(entries).alias("a"))
 
     @cached_property
