@@ -12,7 +12,7 @@ from tidemark.operators import timegrid as G
 from tidemark.plans import features
 
 from .registry import query
-from .sqlviews import rounded as sql, view, with_views
+from .sqlviews import rounded as sql, view, exact
 from .views import rounded
 
 W = "WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
@@ -233,7 +233,7 @@ def integrate_ffill(v):
     return rounded(G.integrate_ffill(v.bars.select("symbol", "ts", "close"), v.flows))
 
 
-@query("max_ts", with_views("SELECT symbol, max(ts) AS max_ts FROM bars4h GROUP BY 1"))
+@query("max_ts", exact("SELECT symbol, max(ts) AS max_ts FROM bars4h GROUP BY 1"))
 def max_ts(v):
     return G.max_ts(v.bars)
 

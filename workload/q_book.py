@@ -8,7 +8,7 @@ from tidemark.operators import book as K
 from tidemark.operators import flow as T
 
 from .registry import query
-from .sqlviews import rounded as sql, view, with_views
+from .sqlviews import rounded as sql, view, exact
 from .views import ARRIVAL_CUT, rounded
 
 view("start_book", """
@@ -89,12 +89,12 @@ def explode_levels(v):
     return rounded(K.explode_levels(v.messages).select("symbol", "arrival", "side", "price", "qty"))
 
 
-@query("stale_update_filter", with_views("SELECT symbol, arrival, u FROM fresh_diffs"))
+@query("stale_update_filter", exact("SELECT symbol, arrival, u FROM fresh_diffs"))
 def stale_update_filter(v):
     return v.fresh.select("symbol", "arrival", "u")
 
 
-@query("sequence_gap_check", with_views("""
+@query("sequence_gap_check", exact("""
 SELECT symbol, arrival, coalesce(arrival - 1 <> lag(u) OVER (PARTITION BY symbol ORDER BY arrival), false) AS gap
 FROM book_diffs"""))
 def sequence_gap_check(v):
@@ -111,7 +111,7 @@ def book_replay(v):
     return rounded(K.book_replay(snapshot(v), v.messages, ARRIVAL_CUT))
 
 
-@query("l2_snapshot", with_views("""
+@query("l2_snapshot", exact("""
 SELECT symbol,
   array_to_string(list(CAST(price AS VARCHAR) || 'x' || CAST(qty AS VARCHAR) ORDER BY price DESC) FILTER (side = 'b'), ' ') AS bids,
   array_to_string(list(CAST(price AS VARCHAR) || 'x' || CAST(qty AS VARCHAR) ORDER BY price) FILTER (side = 'a'), ' ') AS asks
@@ -125,7 +125,7 @@ def l2_snapshot(v):
     return K.l2_snapshot(v.final_book, 10).select("symbol", shown("bids"), shown("asks"))
 
 
-@query("book_level_rank", with_views("""
+@query("book_level_rank", exact("""
 SELECT symbol, side, CAST(price AS BIGINT) AS price,
        CAST(row_number() OVER (PARTITION BY symbol, side ORDER BY CASE WHEN side = 'b' THEN -price ELSE price END) AS INT) AS level
 FROM final_book"""))

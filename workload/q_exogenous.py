@@ -10,7 +10,7 @@ from tidemark.plans.scoring import text_sentiment
 
 from .q_bars import FILL, rolled
 from .registry import query
-from .sqlviews import rounded as sql, view, with_views
+from .sqlviews import rounded as sql, view, exact
 from .views import rounded
 
 W = "WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
@@ -173,7 +173,7 @@ def union_news(v):
     return rounded(X.union_news(*feeds).select("doc_id", "source_rank", "ts", "sentiment_score"))
 
 
-@query("distinct_titles", with_views("""
+@query("distinct_titles", exact("""
 SELECT doc_id, source_rank, ts, title FROM first_headlines"""))
 def distinct_titles(v):
     return X.distinct_titles(v.scored).select("doc_id", "source_rank", "ts", "title")

@@ -9,7 +9,7 @@ from tidemark.operators import labels as L
 
 
 from .registry import query
-from .sqlviews import rounded as sql, view, with_views
+from .sqlviews import rounded as sql, view, exact
 from .views import rounded
 
 W = "WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
@@ -120,7 +120,7 @@ for _name in ("forward_return", "forward_volatility", "forward_hl_range"):
     _forward(_name)
 
 
-@query("regime_case", with_views(f"SELECT symbol, ts, CAST({CASE} AS INT) AS regime FROM forward_metrics"))
+@query("regime_case", exact(f"SELECT symbol, ts, CAST({CASE} AS INT) AS regime FROM forward_metrics"))
 def regime_case(v):
     """The rules on every bar, also the last ones that have no forward return."""
     metrics = L.with_forward(v.bars, L.Thresholds(), ("symbol",), "ts")
@@ -175,7 +175,7 @@ def regime_summary(v):
     return rounded(L.regime_summary(labelled(v)))
 
 
-@query("distinct_classes", with_views("SELECT DISTINCT regime FROM labelled ORDER BY 1"))
+@query("distinct_classes", exact("SELECT DISTINCT regime FROM labelled ORDER BY 1"))
 def distinct_classes(v):
     return L.distinct_classes(labelled(v))
 
@@ -226,21 +226,21 @@ def balanced_weight(v):
         "symbol", "ts", "regime", "weight", "class_weight", "final_weight"))
 
 
-@query("time_rank", with_views(f"""
+@query("time_rank", exact(f"""
 SELECT symbol, ts, row_number() OVER w AS rn, count(*) OVER (PARTITION BY symbol) AS n_rows FROM labelled {W}"""))
 def time_rank(v):
     ranked = L.time_rank(labelled(v))
     return ranked.select("symbol", "ts", F.col("rn").cast("long").alias("rn"), "n_rows")
 
 
-@query("split_80_20", with_views("""
+@query("split_80_20", exact("""
 SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts)
                    <= floor(0.8 * count(*) OVER (PARTITION BY symbol)) AS is_train FROM labelled"""))
 def split_80_20(v):
     return L.split_80_20(labelled(v)).select("symbol", "ts", "is_train")
 
 
-@query("ts_cv_folds", with_views("""
+@query("ts_cv_folds", exact("""
 SELECT symbol, ts, CAST(fold AS INT) AS fold, CASE WHEN place < start THEN 'train' ELSE 'test' END AS role
 FROM (SELECT *, n - (3 - fold) * (n // 4) AS start
       FROM (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS place,
@@ -250,7 +250,7 @@ def ts_cv_folds(v):
     return L.ts_cv_folds(labelled(v)).select("symbol", "ts", "fold", "role")
 
 
-@query("confusion_matrix", with_views("""
+@query("confusion_matrix", exact("""
 SELECT regime, count(*) FILTER (prediction = 0) AS predicted_0, count(*) FILTER (prediction = 1) AS predicted_1,
        count(*) FILTER (prediction = 2) AS predicted_2, count(*) FILTER (prediction = 3) AS predicted_3
 FROM guesses GROUP BY 1"""))
@@ -289,7 +289,7 @@ def grid_levels(v):
     return rounded(P.grid_levels(P.grid_parameters(signals(v))))
 
 
-@query("filter_min_order", with_views("""
+@query("filter_min_order", exact("""
 SELECT symbol, ts, count(*) AS levels FROM grid_orders WHERE value_usd >= 20 GROUP BY 1, 2"""))
 def filter_min_order(v):
     every = P.grid_levels(P.grid_parameters(signals(v)), keep_small=True)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sqlviews import with_views
 from .views import Views
 
 QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
@@ -21,5 +22,9 @@ def query(name: str, sql: str | None = None):
     return enter
 
 
+def oracles() -> dict[str, str]:
+    return {name: with_views(sql) for name, sql in ORACLES.items()}
+
+
 def bound(fn: Callable[[Views], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: fn(Views(spark, sf_dir))

@@ -1,4 +1,5 @@
-"""The derived inputs as SQL, one CTE each; ``with_views`` adds those a query needs."""
+"""The derived inputs as SQL, one CTE each; ``with_views`` adds those a query needs, once
+all query modules have entered theirs."""
 
 from __future__ import annotations
 
@@ -137,7 +138,12 @@ def rounded(keys: str, values: str, body: str, places: int = 6) -> str:
     """``body`` with its value columns rounded (adding 0 turns -0 into 0)."""
     cols = [k.strip() for k in keys.split(",") if k.strip()]
     cols += [f'round(CAST("{v}" AS DOUBLE), {places}) + 0.0 AS "{v}"' for v in values.split()]
-    return with_views(f"SELECT {', '.join(cols)} FROM (\n{body.strip()}\n)")
+    return f"SELECT {', '.join(cols)} FROM (\n{body.strip()}\n)"
+
+
+def exact(body: str) -> str:
+    """``body`` as it is, for results without computed doubles."""
+    return body.strip()
 
 
 def with_views(body: str) -> str:
