@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import earlier, ordered
 from ..functions.numeric import imbalance
-from ..functions.timing import from_micros, micros_of, slot
+from ..functions.timing import from_micros, micros_of, slot, step
 from .blocks import BLOCK, CARRIED, Cut, id_cut, opening, with_lookback
 
 BID, ASK = "b", "a"
@@ -110,12 +110,17 @@ def best_first(side: str = "side", price: str = "price") -> Column:
     return F.when(F.col(side) == BID, -F.col(price)).otherwise(F.col(price))
 
 
+def placed_keys(books: DataFrame, keys: Sequence[str]) -> list[str]:
+    """Keys of a book, with its block where known: rows are already placed by block."""
+    return [*keys, BLOCK] if BLOCK in books.columns else list(keys)
+
+
 def book_level_rank(levels: DataFrame, keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
     """Level number from 1: bids from the highest price down, asks from the lowest up.
 
     The window holds one side of one book, whose size is the number of live prices.
     """
-    w = ordered([*keys, "side"], best_first())
+    w = ordered([*placed_keys(levels, keys), "side"], best_first())
     return levels.withColumn("level", F.row_number().over(w))
 
 
@@ -135,7 +140,8 @@ def l2_snapshot(levels: DataFrame, n: int = 10, keys: Sequence[str] = ("symbol",
 
 
 def book_as_of(entries: DataFrame, period: timedelta = timedelta(seconds=1),
-               block: timedelta = timedelta(minutes=10), keys: Sequence[str] = ("symbol",)) -> DataFrame:
+               block: timedelta = timedelta(minutes=10), keys: Sequence[str] = ("symbol",),
+               keep_block: bool = False) -> DataFrame:
     """Live levels at every sample time: a level holds from its update to the next one.
 
     Sample k of a symbol is at k*period, from its first update to its last. Instead of a
@@ -149,39 +155,46 @@ def book_as_of(entries: DataFrame, period: timedelta = timedelta(seconds=1),
     level = [*keys, "side", "price"]
     per_block = int(block / period)
     newest = update_order(F.col("arrival"), F.col("pos"))
-    sample = (F.col("_slot") + 1).alias("_at")  # visible from the next sample on, unless exactly on it
-    timed = entries.withColumn("_slot", slot(F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(1e-6)), period))
+    # first sample at or after the update
+    visible = slot(F.col("ts") - step(timedelta(microseconds=1)), period) + 1
     states = (
-        timed.groupBy(*level, sample).agg(F.max_by("qty", newest).alias("qty"))
+        entries.groupBy(*level, visible.alias("_at")).agg(F.max_by("qty", newest).alias("qty"))
         .withColumn(BLOCK, F.floor(F.col("_at") / F.lit(per_block)))
     )
-    bounds = entries.groupBy(*keys).agg(
-        F.max(slot(F.col("ts"), period)).alias("_last"))
+    finals = (
+        entries.groupBy(*keys).agg(F.max(slot(F.col("ts"), period)).alias("_last"))
+        .withColumn("_final", F.floor(F.col("_last") / F.lit(per_block)))
+    )
     # state of each level at the end of each block it changed in
-    ends = states.groupBy(*level, BLOCK).agg(F.max_by("qty", "_at").alias("qty"))
-    until = F.lead(BLOCK).over(ordered(level, BLOCK))
-    final = F.floor(F.col("_last") / F.lit(per_block))
+    ends = (
+        states.groupBy(*level, BLOCK).agg(F.max_by("qty", "_at").alias("qty"))
+        .withColumn("_until", F.lead(BLOCK).over(ordered(level, BLOCK)))
+    )
+    # only the last state of a level, one row, has to ask when its symbol ends
+    lasting = ends.filter(F.col("_until").isNull()).drop("_until").join(
+        finals.select(*keys, F.col("_final").alias("_until")), list(keys))
     opened = (
-        ends.withColumn("_until", until).join(bounds, list(keys))
-        .withColumn("_until", F.coalesce(F.col("_until"), final))
+        ends.filter(F.col("_until").isNotNull()).unionByName(lasting)
         .filter((F.col("qty") > 0) & (F.col("_until") > F.col(BLOCK)))
         .withColumn(BLOCK, F.explode(F.sequence(F.col(BLOCK) + 1, F.col("_until"))))
         .select(*level, (F.col(BLOCK) * per_block).alias("_at"), "qty", BLOCK)
-        .withColumn("_order", F.lit(0))
     )
-    w = ordered([*level, BLOCK], "_at", "_order")
+    # One shuffle by (symbol, block), before states expand into samples: all windows and
+    # groupings that follow have the block among their keys and stay in place.
+    placed = (
+        states.withColumn("_order", F.lit(1)).unionByName(opened.withColumn("_order", F.lit(0)))
+        .repartition(*keys, BLOCK)
+    )
+    block_end = (F.col(BLOCK) + 1) * per_block
     held = (
-        states.withColumn("_order", F.lit(1)).unionByName(opened)
-        .withColumn("_next", F.lead("_at").over(w))
-        .join(bounds, list(keys))
-        .withColumn("_end", F.least(
-            F.coalesce(F.col("_next"), (F.col(BLOCK) + 1) * per_block), F.col("_last") + 1) - 1)
+        placed.withColumn("_next", F.lead("_at").over(ordered([*level, BLOCK], "_at", "_order")))
+        .join(finals.withColumnRenamed("_final", BLOCK), [*keys, BLOCK], "left")
+        .withColumn("_end", F.least(F.coalesce("_next", block_end), F.coalesce(F.col("_last") + 1, block_end)) - 1)
         .filter((F.col("qty") > 0) & (F.col("_end") >= F.col("_at")))
     )
-    return (
-        held.withColumn("_sample", F.explode(F.sequence("_at", "_end")))
-        .select(*keys, from_micros(F.col("_sample") * F.lit(micros_of(period))).alias("ts"), "side", "price", "qty")
-    )
+    out = held.withColumn("_sample", F.explode(F.sequence("_at", "_end"))).select(
+        *keys, BLOCK, from_micros(F.col("_sample") * F.lit(micros_of(period))).alias("ts"), "side", "price", "qty")
+    return out if keep_block else out.drop(BLOCK)
 
 
 # --- features -----------------------------------------------------------------
@@ -196,8 +209,7 @@ def side_volume(side: str, depth: int | None = None, decay: float = 0.0) -> Colu
 
 
 def book_side_volume(ranked: DataFrame, depth: int, keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
-    return ranked.groupBy(*keys).agg(
-        side_volume(BID, depth).alias("bid_volume"), side_volume(ASK, depth).alias("ask_volume"))
+    return _grouped(ranked, keys, {"bid_volume": side_volume(BID, depth), "ask_volume": side_volume(ASK, depth)})
 
 
 def obi_columns() -> dict[str, Column]:
@@ -222,7 +234,7 @@ def top_columns() -> dict[str, Column]:
 
 
 def _grouped(ranked: DataFrame, keys: Sequence[str], columns: dict[str, Column]) -> DataFrame:
-    return ranked.groupBy(*keys).agg(*[c.alias(n) for n, c in columns.items()])
+    return ranked.groupBy(*placed_keys(ranked, keys)).agg(*[c.alias(n) for n, c in columns.items()]).drop(BLOCK)
 
 
 def two_sided(books: DataFrame) -> DataFrame:
@@ -283,6 +295,6 @@ def book_features(ranked: DataFrame, keys: Sequence[str] = ("symbol", "ts")) ->
 def sample_books(entries: DataFrame, period: timedelta = timedelta(seconds=1),
                  block: timedelta = timedelta(minutes=10), depth: int = SAMPLE_DEPTH) -> DataFrame:
     """Ranked top levels of every symbol's book at every sample time."""
-    return top_n_levels(book_as_of(entries, period, block), depth)
+    return top_n_levels(book_as_of(entries, period, block, keep_block=True), depth)
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import ordered, so_far, trailing
 from ..functions.numeric import norm_cdf
-from ..schemas import QTY
 from .blocks import BLOCK, CARRIED, Cut, blockwise, time_cut, with_lookback
 from .timegrid import asof_join
 
@@ -27,21 +26,16 @@ VPIN_WINDOW = 50
 VPIN_NEUTRAL = 0.5
 VPIN_ALERT = 0.8
 BUCKETS_PER_BLOCK = 100_000
+LOTS = 100_000_000  # quantities have eight decimals
 
 
-def price_change(w: WindowSpec) -> Column:
-    return F.col("price") - F.lag("price").over(w)
+def lots(qty: str = "qty") -> Column:
+    """Exact quantity as a whole number of 1e-8 units; whole numbers stay in generated code."""
+    return (F.col(qty) * F.lit(LOTS)).cast("bigint")
 
 
-def sigma(w: WindowSpec, change: str = "price_change") -> Column:
-    """Population deviation of the last 100 changes, with stand-ins for too few and for flat."""
-    frame = trailing(w, SIGMA_WINDOW)
-    deviation = F.stddev_pop(change).over(frame)
-    return (
-        F.when(F.count(change).over(frame) <= SIGMA_LEAST, F.lit(SIGMA_UNKNOWN))
-        .when(deviation == 0, F.lit(SIGMA_FLAT))
-        .otherwise(deviation)
-    )
+def price_change(w: WindowSpec) -> Column:
+    return F.col("price") - F.lag("price").over(w)
 
 
 def trade_price_change(trades: DataFrame, cut: Cut = time_cut()) -> DataFrame:
@@ -50,12 +44,20 @@ def trade_price_change(trades: DataFrame, cut: Cut = time_cut()) -> DataFrame:
     return changed.filter(F.col("price_change").isNotNull())
 
 
-def _with_sigma(d: DataFrame, w: WindowSpec) -> DataFrame:
-    return d.withColumn("price_change", price_change(w)).withColumn("sigma", sigma(w))
+def with_sigma(d: DataFrame, w: WindowSpec) -> DataFrame:
+    """Add the price change and the population deviation of the last 100 changes, with
+    stand-ins for too few changes and for a flat price."""
+    frame = trailing(w, SIGMA_WINDOW)
+    deviation = F.stddev_pop("price_change").over(frame)
+    return d.withColumn("price_change", price_change(w)).withColumn(
+        "sigma",
+        F.when(F.count("price_change").over(frame) <= SIGMA_LEAST, F.lit(SIGMA_UNKNOWN))
+        .when(deviation == 0, F.lit(SIGMA_FLAT))
+        .otherwise(deviation))
 
 
 def trade_sigma(trades: DataFrame, cut: Cut = time_cut()) -> DataFrame:
-    changed = blockwise(trades, cut, SIGMA_WINDOW, _with_sigma)
+    changed = blockwise(trades, cut, SIGMA_WINDOW, with_sigma)
     return changed.filter(F.col("price_change").isNotNull())
 
 
@@ -71,77 +73,81 @@ def bvc_classify(flow: DataFrame) -> DataFrame:
     )
 
 
-def running_volume(trades: DataFrame, cut: Cut = time_cut()) -> DataFrame:
-    """Trades with change, sigma and ``cum_qty``: exact volume up to and including the
-    trade, not counting the symbol's discarded first trade.
+def running_volume(trades: DataFrame, volume: int = BUCKET_VOLUME, cut: Cut = time_cut()) -> DataFrame:
+    """Trades with change, sigma and their place in the running volume of the symbol:
+    ``filled`` lots after the trade, counted from the start of bucket ``open_bucket``.
 
-    One shuffle of the trades: look-back windows, the running sum and the join of the
-    opening totals all use the (symbol, block) partitioning.
+    The symbol's first trade is discarded and does not count. One shuffle of the trades:
+    look-back windows, the running sum and the join of the opening totals all use the
+    (symbol, block) partitioning. Only block totals, which may exceed a long, are decimals.
     """
-    w = cut.window()
-    first_of_block = F.min_by("qty", F.struct(*cut.order))
-    qty = F.col("qty").cast(QTY)
+    size = F.lit(volume * LOTS)
+    between = cut.between_blocks()
     per_block = (
         cut.apply(trades).groupBy(*cut.parts)
-        .agg(F.sum(qty).alias("_volume"), first_of_block.alias("_first"))
+        .agg(F.sum(lots().cast("decimal(28,0)")).alias("_lots"), F.min_by(lots(), F.struct(*cut.order)).alias("_first"))
     )
-    between = cut.between_blocks()
-    opened = per_block.select(
-        *cut.parts,
-        (F.coalesce(F.sum("_volume").over(so_far(between)) - F.col("_volume"), F.lit(0))
-         - F.first("_first").over(so_far(between))).alias("_before"))
+    before = F.sum("_lots").over(so_far(between)) - F.col("_lots") - F.first("_first").over(so_far(between))
+    opened = (
+        per_block.withColumn("_before", before)
+        .withColumn("_rest", F.pmod("_before", size))
+        .select(*cut.parts, F.col("_rest").cast("bigint").alias("_rest"),
+                ((F.col("_before") - F.col("_rest")) / size).cast("bigint").alias("open_bucket"))
+    )
+    w = cut.window()
     inside = (
-        _with_sigma(with_lookback(trades, cut, SIGMA_WINDOW), w)
+        with_sigma(with_lookback(trades, cut, SIGMA_WINDOW), w)
         .filter(~F.col(CARRIED))
-        .withColumn("_inside", F.sum(qty).over(so_far(w)))
+        .withColumn("lots", lots())
+        .withColumn("_inside", F.sum("lots").over(so_far(w)))
     )
     return (
         inside.join(opened, cut.parts)
-        .withColumn("cum_qty", (F.col("_before") + F.col("_inside")).cast(QTY))
+        .withColumn("filled", F.col("_rest") + F.col("_inside"))
         .filter(F.col("price_change").isNotNull())
-        .select(*trades.columns, "price_change", "sigma", "cum_qty")
+        .select(*trades.columns, "price_change", "sigma", "lots", "open_bucket", "filled")
     )
 
 
 def volume_buckets(flow: DataFrame, volume: int = BUCKET_VOLUME) -> DataFrame:
     """Split each trade over the fixed-volume buckets it reaches, pro rata.
 
-    ``flow`` carries ``cum_qty`` (see ``running_volume``); bucket k holds the volume from
-    k*V to (k+1)*V. Exact decimals keep trades on the right side of a boundary.
+    ``piece`` is the quantity that falls into ``bucket``. Whole lots keep every trade on
+    the right side of a boundary.
     """
-    size = F.lit(volume).cast("decimal(19,0)")
-    hi = F.col("cum_qty")
-    pieces = (
-        flow.filter(F.col("qty") > 0)
-        .withColumn("_lo", (hi - F.col("qty")).cast(QTY))
-        .withColumn("_from", _whole_buckets("_lo", volume))
-        .withColumn("_to", _whole_buckets("cum_qty", volume))
-        .withColumn("bucket", F.explode(F.sequence("_from", "_to")))
-        .withColumn("_floor", (F.col("bucket").cast("decimal(19,0)") * size).cast(QTY))
-        .withColumn("piece", (F.least(hi, (F.col("_floor") + size).cast(QTY))
-                              - F.greatest(F.col("_lo"), F.col("_floor"))).cast(QTY))
-    )
-    return pieces.filter(F.col("piece") > 0).drop("_lo", "_from", "_to", "_floor")
+    size = F.lit(volume * LOTS)
+    low = F.col("filled") - F.col("lots")
 
+    def whole(c: Column) -> Column:
+        return F.floor((c - F.pmod(c, size)) / size)
 
-def _whole_buckets(column: str, volume: int) -> Column:
-    return F.expr(f"{column} div CAST({int(volume)} AS DECIMAL(19,0))")
+    pieces = (
+        flow.filter(F.col("lots") > 0)
+        .withColumn("_bucket", F.explode(F.sequence(whole(low), whole(F.col("filled") - 1))))
+        .withColumn("piece_lots", F.least(F.col("filled"), (F.col("_bucket") + 1) * size)
+                    - F.greatest(low, F.col("_bucket") * size))
+    )
+    return (
+        pieces.withColumn("bucket", F.col("open_bucket") + F.col("_bucket"))
+        .withColumn("piece", F.col("piece_lots") / F.lit(float(LOTS)))
+        .drop("_bucket", "open_bucket", "filled")
+    )
 
 
 def vpin_bucket_agg(pieces: DataFrame, volume: int = BUCKET_VOLUME,
                     keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Closed buckets with their signed-volume imbalance and closing time."""
-    signed = F.col("piece").cast("double") * (2 * F.col("buy_prob") - 1)
+    signed = F.col("piece") * (2 * F.col("buy_prob") - 1)
     return (
         pieces.groupBy(*keys, "bucket")
         .agg(
-            F.sum("piece").alias("_volume"),
+            F.sum("piece_lots").alias("_lots"),
             F.abs(F.sum(signed)).alias("imbalance"),
             F.max("ts").alias("closed_at"),
             F.max("trade_id").alias("closing_trade"),
         )
-        .filter(F.col("_volume") == volume)
-        .drop("_volume")
+        .filter(F.col("_lots") == volume * LOTS)
+        .drop("_lots")
     )
 
 
@@ -152,9 +158,8 @@ def vpin(buckets: DataFrame, volume: int = BUCKET_VOLUME, window: int = VPIN_WIN
     Buckets are numbered without gaps, so the rows a block needs from the one before it
     are known from the number alone.
     """
-    back = window - 1
     home = F.floor(F.col("bucket") / F.lit(per_block))
-    reach = F.floor((F.col("bucket") + back) / F.lit(per_block))
+    reach = F.floor((F.col("bucket") + window - 1) / F.lit(per_block))
     spread = (
         buckets.withColumn(BLOCK, F.explode(F.sequence(home, reach)))
         .withColumn(CARRIED, F.col(BLOCK) != home)
@@ -176,13 +181,13 @@ def vpin_alert(toxicity: DataFrame, level: float = VPIN_ALERT) -> DataFrame:
 def trade_toxicity(trades: DataFrame, volume: int = BUCKET_VOLUME, window: int = VPIN_WINDOW,
                    cut: Cut = time_cut()) -> DataFrame:
     """Trades -> VPIN per closed bucket."""
-    pieces = volume_buckets(bvc_classify(running_volume(trades, cut)), volume)
+    pieces = volume_buckets(bvc_classify(running_volume(trades, volume, cut)), volume)
     return vpin(vpin_bucket_agg(pieces, volume), volume, window)
 
 
 def vpin_as_of(instants: DataFrame, toxicity: DataFrame, span: timedelta | None = timedelta(hours=1),
-               keys: Sequence[str] = ("symbol",)) -> DataFrame:
+               keys: Sequence[str] = ("symbol",), times: DataFrame | None = None) -> DataFrame:
     """Each instant with the value of the last bucket closed by then, neutral before that."""
     closes = toxicity.select(*keys, F.col("closed_at").alias("ts"), "bucket", "vpin")
-    found = asof_join(instants, closes, keys, "ts", span, tie=("bucket",))
+    found = asof_join(instants, closes, keys, "ts", span, tie=("bucket",), times=times)
     return found.drop("bucket").withColumn("vpin", F.coalesce("vpin", F.lit(VPIN_NEUTRAL)))

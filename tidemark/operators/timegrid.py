@@ -52,11 +52,15 @@ def grid_of(series: DataFrame, width: timedelta = FOUR_HOURS, keys: Sequence[str
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("symbol",), ts: str = "ts",
-              span: timedelta | None = ONE_DAY, tie: Sequence[str] = ()) -> DataFrame:
+              span: timedelta | None = ONE_DAY, tie: Sequence[str] = (),
+              times: DataFrame | None = None) -> DataFrame:
     """Each left row with the latest right row of its key at or before its time.
 
     The right row is taken whole, so its NULLs are kept. ``tie`` orders right rows of
-    equal time. Right columns that do not fit a left row are NULL; all left rows stay.
+    equal time. Left rows without a match stay, with NULLs.
+
+    The spans left rows fall in are read from ``times`` if given: any frame of (keys, time)
+    that covers them and is cheaper to compute than ``left`` itself.
     """
     payload = [c for c in right.columns if c not in (*keys, ts)]
     tie = list(tie)
@@ -76,7 +80,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("symbol"
         r, l = (d.withColumn("_span", slot(F.col(ts), span)) for d in (r, l))
         ends = r.groupBy(*parts).agg(
             F.max_by("_right", F.struct(ts, "_tie")).alias("_right")).withColumn("_side", F.lit(1))
-        starts = l.select(*parts).distinct().select(
+        spans = l if times is None else times.withColumn("_span", slot(F.col(ts), span))
+        starts = spans.select(*parts).distinct().select(
             *parts, F.lit(None).cast(r.schema["_right"].dataType).alias("_right"), F.lit(0).alias("_side"))
         # one row per span with left rows: the last right row of all earlier spans
         opens = (

@@ -8,10 +8,9 @@ import numpy as np
 
 from ..functions.numeric import NORM_DENOMINATOR, NORM_NUMERATOR, NORM_SPLIT, NORM_ZERO, SQRT_TWO_PI
 from ..operators.flow import (
-    BUCKET_VOLUME, SIGMA_FLAT, SIGMA_LEAST, SIGMA_UNKNOWN, SIGMA_WINDOW, VPIN_NEUTRAL, VPIN_WINDOW,
+    BUCKET_VOLUME, LOTS, SIGMA_FLAT, SIGMA_LEAST, SIGMA_UNKNOWN, SIGMA_WINDOW, VPIN_NEUTRAL, VPIN_WINDOW,
 )
 
-LOTS = 100_000_000  # lots per unit: quantities have eight decimals
 ROWS_AT_ONCE = 10_000
 
 

@@ -17,18 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.timing import arrival_key
-from ..operators.flow import BUCKET_VOLUME, VPIN_ALERT, VPIN_NEUTRAL, VPIN_WINDOW
+from ..operators.flow import BUCKET_VOLUME, VPIN_ALERT, VPIN_NEUTRAL, VPIN_WINDOW, lots
 from ..schemas import BOOK_FEATURES
-from .arrays import LOTS, Flow, features, newer
+from .arrays import Flow, features, newer
 
 SECOND = 1_000_000
 
 
-def lots():
-    """Exact quantity as a whole number of 1e-8 units."""
-    return (F.col("qty") * F.lit(LOTS)).cast("bigint")
-
-
 def stream_ohlc(trades: DataFrame, width: str = "4 hours", delay: str = "10 minutes") -> DataFrame:
     """Tumbling bars, emitted once the watermark has passed their end."""
     order = arrival_key(F.col("ts"), F.col("trade_id"))

@@ -5,11 +5,11 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from tidemark.operators import book as K
-from tidemark.operators import flow as T
+from tidemark.plans.sampling import sample_1s
 
 from .registry import query
 from .sqlviews import rounded as sql, view, exact
-from .views import ARRIVAL_CUT, rounded
+from .views import ARRIVAL_CUT, BUCKET, TICK_CUT, rounded
 
 view("start_book", """
 SELECT symbol, CAST(1000 AS BIGINT) AS last_update_id, side, price, qty FROM (
@@ -79,7 +79,7 @@ def snapshot(v):
 
 
 def sampled(v):
-    return T.vpin_as_of(K.book_features(v.ranked), v.toxicity, timedelta(minutes=5))
+    return sample_1s(v.entries, v.tape, block=timedelta(minutes=2), volume=BUCKET, cut=TICK_CUT)
 
 
 @query("explode_levels", sql("symbol, arrival, side", "price qty", """
@@ -180,6 +180,6 @@ def mid_micro_price(v):
 
 
 @query("sample_1s", sql("symbol, ts", FEATURES, "SELECT * FROM sampled_features"))
-def sample_1s(v):
+def sampled_features(v):
     """One row of book and flow features per symbol and second."""
     return rounded(sampled(v))

@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import softmax
+from tidemark.operators import bars as B
 from tidemark.operators import exogenous as X
 from tidemark.operators import timegrid as G
 from tidemark.plans.features import Dataset, build_full_features
 from tidemark.plans.scoring import text_sentiment
+from tidemark.session import materialise
 
 from .q_bars import FILL, rolled
 from .registry import query
@@ -110,8 +112,11 @@ WHERE {' AND '.join(f'"{c}" IS NOT NULL' for c in FULL)}
 
 
 def dataset(v) -> Dataset:
+    """All sources. Bars are written once: several features read them, and reading the
+    bars again is cheap next to reading the trades again."""
+    bars = materialise(v.bars, "bars")
     return Dataset(
-        bars=v.bars, macro=v.macro, onchain=v.onchain, sentiment=X.sentiment_features(v.scored),
+        bars=bars, macro=B.src_macro(bars, "view"), onchain=v.onchain, sentiment=X.sentiment_features(v.scored),
         stablecoins=X.stablecoin_features(v.mcap),
         derivatives=X.derivatives_features(v.oi, v.funding))
 

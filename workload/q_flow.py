@@ -103,14 +103,14 @@ def norm_cdf(v):
 @query("running_volume", sql("symbol, trade_id", "cum_qty", """
 SELECT symbol, trade_id, CAST(hi AS DOUBLE) AS cum_qty FROM filled_volume"""))
 def running_volume(v):
-    running = T.running_volume(v.tape, TICK_CUT)
-    return rounded(running.select("symbol", "trade_id", F.col("cum_qty").cast("double").alias("cum_qty")))
+    running = T.running_volume(v.tape, BUCKET, TICK_CUT)
+    total = F.col("open_bucket") * BUCKET + F.col("filled") / T.LOTS
+    return rounded(running.select("symbol", "trade_id", total.alias("cum_qty")))
 
 
 @query("volume_buckets", sql("symbol, trade_id, bucket", "piece buy_prob", "SELECT * FROM bucket_pieces"))
 def volume_buckets(v):
-    return rounded(v.pieces.select(
-        "symbol", "trade_id", "bucket", F.col("piece").cast("double").alias("piece"), "buy_prob"))
+    return rounded(v.pieces.select("symbol", "trade_id", "bucket", "piece", "buy_prob"))
 
 
 @query("vpin_bucket_agg", sql("symbol, bucket, closed_at, closing_trade", "imbalance", "SELECT * FROM closed_buckets"))

@@ -14,7 +14,7 @@ from .views import rounded
 
 
 @query("fn_math", sql("event_id, whole", "log decay magnitude widest floored clipped safe spaced top spread", """
-SELECT event_id, ln(value / 10) AS log, exp(-0.01 * value) AS decay, abs(value - 50) AS magnitude,
+SELECT event_id, ln(nullif(value, 0) / 10) AS log, exp(-0.01 * value) AS decay, abs(value - 50) AS magnitude,
        greatest(value, 2 * k, nullif(k, 5)) AS widest, greatest(value, 10) AS floored,
        least(greatest(value - 50, -5), 5) AS clipped, CAST(trunc(value) AS INT) AS whole,
        coalesce(value / nullif(k, 0), 0) AS safe, 100 + 3 * (value - 100) / 9 AS spaced,
@@ -25,7 +25,7 @@ def fn_math(v):
     value, k = F.col("value"), F.col("k").cast("double")
     p = N.softmax(F.array(k / 50, F.lit(1.0), F.lit(0.0)))
     return rounded(v.events.select(
-        "event_id", F.ln(value / 10).alias("log"), F.exp(F.lit(-0.01) * value).alias("decay"),
+        "event_id", F.ln(F.nullif(value, F.lit(0.0)) / 10).alias("log"), F.exp(F.lit(-0.01) * value).alias("decay"),
         F.abs(value - 50).alias("magnitude"), F.greatest(value, 2 * k, F.nullif(k, F.lit(5.0))).alias("widest"),
         F.greatest(value, F.lit(10.0)).alias("floored"), N.clip(value - 50, -5.0, 5.0).alias("clipped"),
         value.cast("int").alias("whole"), N.ratio_or(value, k).alias("safe"),

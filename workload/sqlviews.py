@@ -46,12 +46,12 @@ FROM orders
 
 view("flows_daily", """
 SELECT symbol, ts, (sum(CASE WHEN status = 'F' THEN amount ELSE 0 END)
-                  - sum(CASE WHEN status = 'O' THEN amount ELSE 0 END)) / 1e6 AS net_flow
+                  - sum(CASE WHEN status = 'O' THEN amount ELSE 0 END)) / 1234567.89 AS net_flow
 FROM orders_by_asset WHERE status IN ('F', 'O') GROUP BY 1, 2
 """)
 
 view("reserve_daily", """
-SELECT symbol, ts, sum(amount) / 1e6 AS reserve FROM orders_by_asset WHERE status = 'P' GROUP BY 1, 2
+SELECT symbol, ts, sum(amount) / 1234567.89 AS reserve FROM orders_by_asset WHERE status = 'P' GROUP BY 1, 2
 """)
 
 view("mcap_daily", """
@@ -65,7 +65,7 @@ FROM trades GROUP BY 1, 2
 
 view("funding_8h", """
 SELECT symbol, time_bucket(INTERVAL '8 hours', ts, TIMESTAMP '1970-01-01') AS ts,
-       avg(price) / 1e5 AS ex1, max(price) / 1e5 AS ex2
+       avg(price) / 98765.4321 AS ex1, max(price) / 98765.4321 AS ex2
 FROM trades GROUP BY 1, 2
 """)
 

@@ -83,12 +83,12 @@ class Views:
     def flows(self) -> DataFrame:
         signed = F.when(F.col("status") == "F", F.col("amount")).otherwise(-F.col("amount"))
         return self.orders.filter(F.col("status").isin("F", "O")).groupBy("symbol", "ts").agg(
-            (F.sum(signed) / 1e6).alias("net_flow"))
+            (F.sum(signed) / 1234567.89).alias("net_flow"))
 
     @cached_property
     def reserve(self) -> DataFrame:
         return self.orders.filter(F.col("status") == "P").groupBy("symbol", "ts").agg(
-            (F.sum("amount") / 1e6).alias("reserve"))
+            (F.sum("amount") / 1234567.89).alias("reserve"))
 
     @cached_property
     def mcap(self) -> DataFrame:
@@ -103,7 +103,7 @@ class Views:
     @cached_property
     def funding_parts(self) -> DataFrame:
         return self.trades.groupBy("symbol", F.window("ts", "8 hours").start.alias("ts")).agg(
-            (F.avg("price") / 1e5).alias("ex1"), (F.max("price") / 1e5).alias("ex2"))
+            (F.avg("price") / 98765.4321).alias("ex1"), (F.max("price") / 98765.4321).alias("ex2"))
 
     @cached_property
     def funding(self) -> DataFrame:
@@ -152,7 +152,7 @@ class Views:
 
     @cached_property
     def flow(self) -> DataFrame:
-        return flow.bvc_classify(flow.running_volume(self.tape, TICK_CUT))
+        return flow.bvc_classify(flow.running_volume(self.tape, BUCKET, TICK_CUT))
 
     @cached_property
     def pieces(self) -> DataFrame:
