@@ -39,10 +39,14 @@ def ohlc_sample_by(trades: DataFrame, width: timedelta = FOUR_HOURS,
 
 
 def latest_on(df: DataFrame, keys: Sequence[str], order: tuple[str, str]) -> DataFrame:
-    """Newest row per key for tick tables (time, id)."""
+    """Newest row per key for tick tables (time, id).
+
+    Column by column rather than as one struct: over fixed-width columns this stays a
+    hash aggregate with map-side partials.
+    """
+    newest = arrival_key(F.col(order[0]), F.col(order[1]))
     rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), arrival_key(F.col(order[0]), F.col(order[1])))
-    return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*")
+    return df.groupBy(*keys).agg(*[F.max_by(c, newest).alias(c) for c in rest]).select(*df.columns)
 
 
 def returns(w: WindowSpec, close: str = "close") -> Column:

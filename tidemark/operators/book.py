@@ -186,9 +186,12 @@ def book_as_of(entries: DataFrame, period: timedelta = timedelta(seconds=1),
         .repartition(*keys, BLOCK)
     )
     block_end = (F.col(BLOCK) + 1) * per_block
+    # an update after the last sample may fall into the block after the final one
+    limits = finals.select(*keys, "_last", F.explode(F.array_distinct(F.array(
+        "_final", F.floor((F.col("_last") + 1) / F.lit(per_block))))).alias(BLOCK))
     held = (
         placed.withColumn("_next", F.lead("_at").over(ordered([*level, BLOCK], "_at", "_order")))
-        .join(finals.withColumnRenamed("_final", BLOCK), [*keys, BLOCK], "left")
+        .join(limits, [*keys, BLOCK], "left")
         .withColumn("_end", F.least(F.coalesce("_next", block_end), F.coalesce(F.col("_last") + 1, block_end)) - 1)
         .filter((F.col("qty") > 0) & (F.col("_end") >= F.col("_at")))
     )

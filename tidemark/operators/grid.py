@@ -69,7 +69,7 @@ def grid_levels(parameters: DataFrame, b: Budget = Budget(), keep_small: bool =
     )
     bias = F.when(F.col("side") == "buy", F.col("long_bias")).otherwise(F.col("short_bias"))
     sized = (
-        levels.withColumn("quantity", F.try_divide(F.lit(b.available) / n, F.col("level_price")) * bias * 2)
+        levels.withColumn("quantity", F.try_divide(F.lit(b.available), n * F.col("level_price")) * bias * 2)
         .withColumn("value_usd", F.col("quantity") * F.col("level_price"))
         .withColumn("bad_price", F.col("level_price") <= 0)
         .select("symbol", "ts", "level", F.col("level_price").alias("price"), "side", "quantity",

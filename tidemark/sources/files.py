@@ -38,9 +38,14 @@ def src_parquet_cache(spark: SparkSession, path: str, build: Callable[[], DataFr
 
 
 def sink_parquet_csv(df: DataFrame, path: str, by: Sequence[str] = ("symbol",)) -> None:
-    """Write parquet and a CSV copy side by side, one folder per key value."""
+    """Write parquet and a CSV copy side by side, one folder per key value.
+
+    Rebalanced by key first: a folder gets few files however many tasks there are, and a
+    hot key is still written by several tasks.
+    """
+    placed = df.hint("rebalance", *by)
     for kind in ("parquet", "csv"):
-        writer = df.write.mode("overwrite").partitionBy(*by)
+        writer = placed.write.mode("overwrite").partitionBy(*by)
         if kind == "csv":
             writer = writer.option("header", True)
         writer.format(kind).save(f"{path}/{kind}")
@@ -54,7 +59,7 @@ def src_csv_series(spark: SparkSession, path: str, schema=SENTIMENT) -> DataFram
 def ctas_monthly(df: DataFrame, table: str, path: str, ts: str = "ts") -> None:
     """Create a table from a select, partitioned by year and month."""
     (
-        df.withColumn("year", F.year(ts)).withColumn("month", F.month(ts))
+        df.withColumn("year", F.year(ts)).withColumn("month", F.month(ts)).hint("rebalance", "year", "month")
         .write.mode("overwrite").partitionBy("year", "month").option("path", path).saveAsTable(table)
     )
 

@@ -76,24 +76,29 @@ def fn_string(v):
         F.col("value").cast("string").cast("double").alias("price")))
 
 
-@query("fn_array", sql("conv_id, first_two, longest, turns", "total", """
-SELECT conv_id, array_to_string(list_slice(lens, 1, 2), ',') AS first_two, lens[1] AS longest, turns,
-       CAST(list_sum(lens) AS DOUBLE) AS total
-FROM (SELECT conv_id, list(len(text) ORDER BY len(text) DESC, turn) AS lens,
-             array_to_string(list(CAST(turn AS VARCHAR) || ':' || role ORDER BY turn), ' ') AS turns
-      FROM conversations GROUP BY 1)"""))
+@query("fn_array", sql("doc_id, first_two, last_sorted, words, second", "total", """
+SELECT doc_id, array_to_string(list_slice(w, 1, 2), '|') AS first_two, list_sort(w)[-1] AS last_sorted,
+       CAST(len(w) AS INT) AS words, coalesce(w[2], '') AS second,
+       CAST(list_sum([len(x) for x in w]) AS DOUBLE) AS total
+FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)"""))
 def fn_array(v):
-    """Array functions over the turns of each conversation (a bounded list)."""
-    lens = F.transform(
-        F.sort_array(F.collect_list(F.struct((-F.length("text")).alias("n"), "turn"))), lambda e: -e["n"])
-    turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))),
-                        lambda e: F.concat_ws(":", e["turn"].cast("string"), e["role"]))
-    grouped = v.table("conversations").groupBy("conv_id").agg(
-        lens.alias("lens"), F.array_join(turns, " ").alias("turns"))
-    return grouped.select(
-        "conv_id", F.array_join(F.slice("lens", 1, 2).cast("array<string>"), ",").alias("first_two"),
-        F.col("lens")[0].cast("long").alias("longest"), "turns",
-        F.aggregate("lens", F.lit(0.0), lambda acc, n: acc + n).alias("total"))
+    """Array functions over the words of each whole text."""
+    words = v.table("documents").select("doc_id", F.split("text", " ").alias("w"))
+    return rounded(words.select(
+        "doc_id", F.array_join(F.slice("w", 1, 2), "|").alias("first_two"),
+        F.element_at(F.sort_array("w"), -1).alias("last_sorted"), F.size("w").alias("words"),
+        F.coalesce(F.get("w", F.lit(1)), F.lit("")).alias("second"),
+        F.aggregate("w", F.lit(0.0), lambda acc, x: acc + F.length(x)).alias("total")))
+
+
+@query("fn_posexplode", exact("""
+SELECT doc_id, pos, word FROM (
+  SELECT doc_id, unnest(w) AS word, CAST(unnest(range(len(w))) AS INT) AS pos
+  FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))"""))
+def fn_posexplode(v):
+    """Elements with their index."""
+    words = v.table("documents").select("doc_id", F.split("text", " ").alias("w"))
+    return words.select("doc_id", F.posexplode("w").alias("pos", "word"))
 
 
 @query("fn_json", sql("event_id", "known missing nested", """

@@ -25,9 +25,9 @@ class Live(Views):
     def table(self, name):
         if name != "events":
             return super().table(name)
-        schema = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").schema
-        return (self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-                .option("maxFilesPerTrigger", 1).parquet(self.sf_dir))
+        path = f"{self.sf_dir}/{name}.parquet"
+        schema = self.spark.read.parquet(path).schema
+        return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
 
     @property
     def envelopes(self):
