@@ -27,7 +27,9 @@ class Live(Views):
             return super().table(name)
         path = f"{self.sf_dir}/{name}.parquet"
         schema = self.spark.read.parquet(path).schema
-        return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
+        # as a pattern the path may be one file or a folder of files
+        pattern = path.removesuffix("t") + "[t]"
+        return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(pattern)
 
     @property
     def envelopes(self):
