@@ -95,3 +95,29 @@ def test_long_grids_are_expanded_in_chunks(spark):
     grid = G.span_grid(bounds, timedelta(seconds=1))
     assert grid.count() == 25_001 == grid.distinct().count()
     assert grid.agg(F.min("ts"), F.max("ts")).first() == (START, START + timedelta(seconds=25_000))
+
+
+def test_series_on_the_grid_equal_grids_joined(spark):
+    def times(*hours):
+        return [("a", START + timedelta(hours=h), float(h)) for h in hours]
+
+    schema = "symbol string, ts timestamp_ntz, {} double"
+    bars = spark.createDataFrame(times(0, 4, 8, 9, 16, 20, 28) + [("b", START, 1.0)], schema.format("close"))
+    x = spark.createDataFrame(times(1, 6, 22) + [("a", START + timedelta(hours=7), None)], schema.format("x"))
+    y = spark.createDataFrame(times(4, 17), schema.format("y"))
+    joined = bars
+    for series in (x, y):
+        joined = G.join_left_ts(joined, G.asof_grid(series))
+    assert of_spark(G.asof_on_grid(bars, [x, y])) == of_spark(joined)
+
+
+def test_event_table_may_be_a_folder(spark, tmp_path):
+    from workload import q_streaming
+    from workload.views import Views
+
+    source = "/root/testdata/sf0.001/events.parquet"
+    spark.read.parquet(source).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    rows = q_streaming.live(Views(spark, str(tmp_path))).events
+    from tidemark.streaming.envelope import drain
+
+    assert drain(rows.select("event_id"), "ids").count() == spark.read.parquet(source).count()

@@ -18,6 +18,7 @@ from ..functions.frames import full_avg, full_std, if_full, ordered, ratio_chang
 from ..functions.timing import arrival_key, floor_to
 from .timegrid import FOUR_HOURS
 
+# Volatility windows in rows and the guard of ratios.
 VOLATILITY_WINDOWS = (6, 24, 72)
 EPS = 1e-8
 

@@ -18,6 +18,7 @@ from ..functions.numeric import imbalance
 from ..functions.timing import from_micros, micros_of, slot, step
 from .blocks import BLOCK, CARRIED, Cut, id_cut, opening, with_lookback
 
+# Side names, depths, decay rates, sample depth and the spoofing limit.
 BID, ASK = "b", "a"
 DEPTHS = (1, 5, 10, 20)
 STRONG, WEAK = 0.8, 0.1

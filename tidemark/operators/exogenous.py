@@ -17,6 +17,7 @@ from ..functions.timing import floor_to
 from .bars import EPS
 from .timegrid import FOUR_HOURS, asof_grid, ffill, grid_of, join_left_ts, join_outer_ts, pct_change
 
+# Column names of the series, window and limit of the flow score.
 ONCHAIN = ("net_flow", "reserve", "reserve_change", "netflow_ma7", "netflow_volatility")
 STABLECOIN = ("stablecoin_mcap", "stablecoin_flow_7d", "stablecoin_trend")
 DERIVATIVES = ("open_interest_norm", "oi_change", "funding_rate")

@@ -17,6 +17,7 @@ from ..functions.numeric import norm_cdf
 from .blocks import BLOCK, CARRIED, Cut, blockwise, time_cut, with_lookback
 from .timegrid import asof_join
 
+# Look-backs, stand-ins and limits of the flow measures.
 SIGMA_WINDOW = 100
 SIGMA_LEAST = 10
 SIGMA_UNKNOWN = 1.0

@@ -13,6 +13,7 @@ from .labels import DOWN, RANGE, UP
 
 @dataclass(frozen=True)
 class Budget:
+    # Default budget of a price grid.
     capital: float = 1000.0
     allocation: float = 0.8
     least_order: float = 20.0

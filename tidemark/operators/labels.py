@@ -12,12 +12,14 @@ from ..functions.frames import if_full, ordered, ratio_change, trailing
 from ..functions.timing import age_days
 from .timegrid import max_ts
 
+# Regime numbers, quantiles and look-back of the adaptive labels.
 RANGE, UP, DOWN, DANGER = 0, 1, 2, 3
 ADAPTIVE_LOOKBACK = 168
 
 
 @dataclass(frozen=True)
 class Thresholds:
+    # Default limits of the label rules.
     forward_window: int = 3
     volatility_low: float = 0.015
     volatility_high: float = 0.05
@@ -129,6 +131,7 @@ def distinct_classes(df: DataFrame, column: str = "regime") -> DataFrame:
 
 @dataclass(frozen=True)
 class Decay:
+    # Default decay of the sample weights.
     rate: float = 0.001
     least: float = 0.1
     most: float = 1.0

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import earlier, last_known, ordered, ratio_change, so_far
@@ -110,6 +110,36 @@ def asof_grid(series: DataFrame, width: timedelta = FOUR_HOURS, keys: Sequence[s
     return out.select(*series.columns)
 
 
+def asof_on_grid(bars: DataFrame, series: Sequence[DataFrame], width: timedelta = FOUR_HOURS,
+                 keys: Sequence[str] = ("symbol",), ts: str = "ts") -> DataFrame:
+    """``asof_grid`` of each series joined to bars on equal time, without building the grids.
+
+    A bar on the grid sees the last row of a series at or before it, up to the last grid
+    point of that series. All series and the bars share one shuffle and one sort, and the
+    result stays partitioned by key and ordered by time for the windows that follow.
+    For series and bars of bounded length per key.
+    """
+    left = "_bar"
+    rows = bars.select(*keys, ts, F.lit(1).alias("_side"), F.struct(*bars.columns).alias(left))
+    payloads = []
+    for i, one in enumerate(series):
+        columns = [c for c in one.columns if c not in (*keys, ts)]
+        payloads.append((f"_series{i}", columns))
+        rows = rows.unionByName(
+            one.select(*keys, ts, F.lit(0).alias("_side"), F.struct(*columns).alias(f"_series{i}")),
+            allowMissingColumns=True)
+    w = ordered(keys, ts, "_side")
+    everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = {name: last_known(F.col(name), w) for name, _ in payloads}
+    ends = {f"_end{name}": F.max(F.when(F.col(name).isNotNull(), F.col(ts))).over(everything) for name, _ in payloads}
+    found = rows.withColumns(ends).withColumns(seen).filter(F.col(left).isNotNull())
+    on_grid = F.col(ts) == floor_to(F.col(ts), width)
+    return found.select(
+        *[F.col(c) if c in (*keys, ts) else F.col(left)[c].alias(c) for c in bars.columns],
+        *[F.when(on_grid & (F.col(ts) <= floor_to(F.col(f"_end{name}"), width)), F.col(name)[c]).alias(c)
+          for name, columns in payloads for c in columns])
+
+
 def ffill(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("symbol",),
           order: Sequence[str] = ("ts",), span: timedelta | None = ONE_DAY) -> DataFrame:
     """Replace NULLs by the last non-null value of the same key."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import exogenous as X
 from ..operators.bars import technical_features
-from ..operators.timegrid import asof_grid, join_left_ts
+from ..operators.timegrid import asof_on_grid, ffill, join_left_ts
 from ..schemas import OHLCV
 
 
@@ -35,16 +35,20 @@ def build_full_features(data: Dataset) -> DataFrame:
     On-chain gaps are kept, so bars after the last on-chain grid point are dropped with the
     warm-up rows; stablecoin, derivatives, sentiment and macro gaps become 0.
     """
-    df = technical_features(data.bars)
-    if data.onchain is not None:
-        df = join_left_ts(df, asof_grid(data.onchain, span=None))
-        df = X.net_flow_z(df)
-    df = X.zero_if_missing(df, ("Net_Flow_Z",)) if data.onchain is None else df
-    df = X.merge_macro(df, data.macro)
+    # Sources without a symbol first, by time; then everything that runs along a symbol,
+    # for which one shuffle and one sort of the bars are enough.
+    df = data.bars
+    if data.macro is not None:
+        df = join_left_ts(df, X.macro_change(data.macro), ["ts"])
     if data.sentiment is not None:
         df = join_left_ts(df, data.sentiment.select("ts", "FinBERT_Score"), ["ts"])
-    for series in (data.stablecoins, data.derivatives):
-        if series is not None:
-            df = join_left_ts(df, asof_grid(series, span=None))
-    df = X.zero_if_missing(df, ("FinBERT_Score", *X.STABLECOIN, *X.DERIVATIVES))
+    series = [s for s in (data.onchain, data.stablecoins, data.derivatives) if s is not None]
+    df = technical_features(asof_on_grid(df, series))
+    if data.macro is not None:
+        df = ffill(df, ["BTCDOM_ROC"], span=None)
+    if data.onchain is not None:
+        df = X.net_flow_z(df)
+    else:
+        df = X.zero_if_missing(df, ("Net_Flow_Z",))
+    df = X.zero_if_missing(df, ("BTCDOM_ROC", "FinBERT_Score", *X.STABLECOIN, *X.DERIVATIVES))
     return df.na.drop("any")
