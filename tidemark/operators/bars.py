@@ -147,8 +147,7 @@ def update_window(old: DataFrame, new: DataFrame, days: int = 730,
     both = old.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1)))
     rest = [c for c in old.columns if c not in (*keys, ts)]
     merged = (
-        both.groupBy(*keys, ts).agg(F.max_by(F.struct(*rest), "_age").alias("_row"))
-        .select(*keys, ts, "_row.*")
+        both.groupBy(*keys, ts).agg(*[F.max_by(c, "_age").alias(c) for c in rest])
     )
     newest = both.agg(F.max(ts)).scalar()
     return merged.filter(F.col(ts) > newest - F.make_dt_interval(F.lit(days))).select(*old.columns)

@@ -30,15 +30,13 @@ ENTRIES_PER_MESSAGE = 1_000_000
 def explode_levels(messages: DataFrame, keep: Sequence[str] = ("symbol", "arrival", "ts", "u")) -> DataFrame:
     """Depth messages (``b`` and ``a``: arrays of [price, qty] text) -> one row per entry."""
 
-    def entries(side: str) -> Column:
-        return F.transform(F.coalesce(F.col(side), F.array().cast("array<array<string>>")), lambda e, i: F.struct(
-            F.lit(side).alias("side"), i.alias("pos"),
-            F.try_element_at(e, F.lit(1)).cast("double").alias("price"),
-            F.try_element_at(e, F.lit(2)).cast("double").alias("qty")))
-
+    side = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("entries")) for s in (BID, ASK)]))
+    entry = F.posexplode("_s.entries")
     return (
-        messages.select(*keep, F.explode(F.concat(entries(BID), entries(ASK))).alias("_e"))
-        .select(*keep, "_e.*")
+        messages.select(*keep, side.alias("_s"))
+        .select(*keep, "_s.side", entry.alias("pos", "_e"))
+        .select(*keep, "side", "pos", F.get("_e", F.lit(0)).cast("double").alias("price"),
+                F.get("_e", F.lit(1)).cast("double").alias("qty"))
     )
 
 

@@ -135,7 +135,7 @@ def asof_on_grid(bars: DataFrame, series: Sequence[DataFrame], width: timedelta
     found = rows.withColumns(ends).withColumns(seen).filter(F.col(left).isNotNull())
     on_grid = F.col(ts) == floor_to(F.col(ts), width)
     return found.select(
-        *[F.col(c) if c in (*keys, ts) else F.col(left)[c].alias(c) for c in bars.columns],
+        *keys, ts, *[F.col(left)[c].alias(c) for c in bars.columns if c not in (*keys, ts)],
         *[F.when(on_grid & (F.col(ts) <= floor_to(F.col(f"_end{name}"), width)), F.col(name)[c]).alias(c)
           for name, columns in payloads for c in columns])
 
@@ -194,11 +194,7 @@ def max_ts(df: DataFrame, keys: Sequence[str] = ("symbol",), ts: str = "ts") ->
     return df.groupBy(*keys).agg(F.max(ts).alias("max_ts"))
 
 
-def last_row(df: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",)) -> DataFrame:
-    """Newest row per key, by aggregation with map-side partials."""
-    rest = [c for c in df.columns if c not in keys]
-    key = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    return (
-        df.groupBy(*keys).agg(F.max_by(F.struct(*rest), key).alias("_last"))
-        .select(*keys, "_last.*")
-    )
+def last_row(df: DataFrame, keys: Sequence[str] = ("symbol",), ts: str = "ts") -> DataFrame:
+    """Newest row per key (times are unique per key), by aggregation with map-side partials."""
+    rest = [c for c in df.columns if c not in (*keys, ts)]
+    return df.groupBy(*keys).agg(F.max(ts).alias(ts), *[F.max_by(c, ts).alias(c) for c in rest]).select(*df.columns)
