@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from compare import of_spark
@@ -42,11 +43,11 @@ def test_opening_totals(ticks, seconds):
     cut = blocks.time_cut(timedelta(seconds=seconds))
     openings = blocks.opening(ticks, cut, {"_before": F.sum("price")}, F.sum)
     inside = cut.apply(ticks).withColumn("_in", F.sum("price").over(
-        cut.window().rowsBetween(blocks.Window.unboundedPreceding, 0)))
+        cut.window().rowsBetween(Window.unboundedPreceding, 0)))
     total = inside.join(openings, cut.parts).select(
         "trade_id", (F.coalesce("_before", F.lit(0.0)) + F.col("_in")).alias("run"))
     whole = ticks.select("trade_id", F.sum("price").over(
-        ordered(["symbol"], "ts", "trade_id").rowsBetween(blocks.Window.unboundedPreceding, 0)).alias("run"))
+        ordered(["symbol"], "ts", "trade_id").rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
     assert of_spark(total) == of_spark(whole)
 
 

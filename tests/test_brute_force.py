@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from compare import of_spark
 from tidemark.functions.numeric import norm_cdf, spaced
 from tidemark.operators import bars as B
 from tidemark.operators import blocks, book, flow, grid, labels
@@ -206,6 +207,22 @@ def test_books_at_sample_times(spark, seconds):
     assert got == expected
 
 
+@pytest.mark.parametrize("depth", [1, 2, 4])
+@pytest.mark.parametrize("seconds", [3, 10, 600])
+def test_leaving_out_deep_levels_changes_no_top(spark, seconds, depth):
+    """Updates are rare here, so many levels live all through a block."""
+    rows = [r[:2] + (START + timedelta(milliseconds=1700 * i),) + r[3:] for i, r in enumerate(random_messages(80, 9))]
+    entries = book.explode_levels(spark.createDataFrame(rows, MESSAGES))
+    block = timedelta(seconds=seconds)
+    every = book.book_as_of(entries, block=block)
+    cut = book.book_as_of(entries, block=block, depth=depth)
+    columns = ["symbol", "ts", "side", "price", "qty", "level"]
+    assert of_spark(book.top_n_levels(cut, depth).select(*columns)) == of_spark(
+        book.top_n_levels(every, depth).select(*columns))
+    if depth == 1 and seconds < 600:
+        assert cut.count() < every.count()
+
+
 # --- bars, labels, weights, grids ---------------------------------------------
 
 def test_features_on_bars_equal_pandas(spark):

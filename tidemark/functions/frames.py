@@ -25,6 +25,10 @@ def earlier(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
+def whole(w: WindowSpec) -> WindowSpec:
+    return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def if_full(w: WindowSpec, n: int, probe: Column, value: Column) -> Column:
     """``value`` only where the trailing frame holds ``n`` non-null probes, else NULL."""
     return F.when(F.count(probe).over(trailing(w, n)) == n, value)

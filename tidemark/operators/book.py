@@ -13,7 +13,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import earlier, ordered
+from ..functions.frames import earlier, ordered, so_far, whole
 from ..functions.numeric import imbalance
 from ..functions.timing import from_micros, micros_of, slot, step
 from .blocks import BLOCK, CARRIED, Cut, id_cut, opening, with_lookback
@@ -140,7 +140,7 @@ def l2_snapshot(levels: DataFrame, n: int = 10, keys: Sequence[str] = ("symbol",
 
 def book_as_of(entries: DataFrame, period: timedelta = timedelta(seconds=1),
                block: timedelta = timedelta(minutes=10), keys: Sequence[str] = ("symbol",),
-               keep_block: bool = False) -> DataFrame:
+               keep_block: bool = False, depth: int | None = None) -> DataFrame:
     """Live levels at every sample time: a level holds from its update to the next one.
 
     Sample k of a symbol is at k*period, from its first update to its last. Instead of a
@@ -150,6 +150,9 @@ def book_as_of(entries: DataFrame, period: timedelta = timedelta(seconds=1),
     2. open every block with the level states left by earlier blocks, so that no state
        expands past its block;
     3. inside a block a state covers the samples up to the level's next update.
+
+    With ``depth``, levels that are never among the best ``depth`` of their side may be
+    left out (exactly those that ``depth`` better levels outrank all through a block).
     """
     level = [*keys, "side", "price"]
     per_block = int(block / period)
@@ -194,11 +197,29 @@ def book_as_of(entries: DataFrame, period: timedelta = timedelta(seconds=1),
         .withColumn("_end", F.least(F.coalesce("_next", block_end), F.coalesce(F.col("_last") + 1, block_end)) - 1)
         .filter((F.col("qty") > 0) & (F.col("_end") >= F.col("_at")))
     )
+    if depth is not None:
+        held = _reachable(held, level, keys, depth, F.least(block_end, F.coalesce(F.col("_last") + 1, block_end))
+                          - F.col(BLOCK) * per_block)
     out = held.withColumn("_sample", F.explode(F.sequence("_at", "_end"))).select(
         *keys, BLOCK, from_micros(F.col("_sample") * F.lit(micros_of(period))).alias("ts"), "side", "price", "qty")
     return out if keep_block else out.drop(BLOCK)
 
 
+def _reachable(held: DataFrame, level: Sequence[str], keys: Sequence[str], depth: int, samples: Column) -> DataFrame:
+    """Drop the states of levels with ``depth`` better levels that are live all through
+    the block: they cannot be among the best at any of its samples. Deep books would
+    otherwise expand a thousand levels a side to use twenty."""
+    covered = F.sum(F.col("_end") - F.col("_at") + 1).over(whole(ordered([*level, BLOCK], "_at")))
+    first = F.row_number().over(ordered([*level, BLOCK], "_at")) == 1
+    by_price = ordered([*keys, BLOCK, "side"], best_first(), "_at")
+    return (
+        held.withColumn("_always", (covered == samples).cast("int"))
+        .withColumn("_mark", F.when(first, F.col("_always")).otherwise(0))
+        .withColumn("_better", F.sum("_mark").over(so_far(by_price)) - F.col("_always"))
+        .filter(F.col("_better") < depth)
+    )
+
+
 # --- features -----------------------------------------------------------------
 
 def side_volume(side: str, depth: int | None = None, decay: float = 0.0) -> Column:
@@ -297,6 +318,6 @@ def book_features(ranked: DataFrame, keys: Sequence[str] = ("symbol", "ts")) ->
 def sample_books(entries: DataFrame, period: timedelta = timedelta(seconds=1),
                  block: timedelta = timedelta(minutes=10), depth: int = SAMPLE_DEPTH) -> DataFrame:
     """Ranked top levels of every symbol's book at every sample time."""
-    return top_n_levels(book_as_of(entries, period, block, keep_block=True), depth)
+    return top_n_levels(book_as_of(entries, period, block, keep_block=True, depth=depth), depth)
 
 

@@ -12,7 +12,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.frames import ordered, so_far, trailing
+from ..functions.frames import ordered, so_far, trailing, whole
 from ..functions.numeric import norm_cdf
 from .blocks import BLOCK, CARRIED, Cut, blockwise, time_cut, with_lookback
 from .timegrid import asof_join
@@ -45,20 +45,44 @@ def trade_price_change(trades: DataFrame, cut: Cut = time_cut()) -> DataFrame:
     return changed.filter(F.col("price_change").isNotNull())
 
 
-def with_sigma(d: DataFrame, w: WindowSpec) -> DataFrame:
+def with_sigma(d: DataFrame, cut: Cut) -> DataFrame:
     """Add the price change and the population deviation of the last 100 changes, with
-    stand-ins for too few changes and for a flat price."""
-    frame = trailing(w, SIGMA_WINDOW)
-    deviation = F.stddev_pop("price_change").over(frame)
-    return d.withColumn("price_change", price_change(w)).withColumn(
+    stand-ins for too few changes and for a flat price.
+
+    A sliding frame would visit 100 rows per trade. Here the rows of a block are counted
+    off in runs of 100: the last 100 squares are the current run so far plus the rest of
+    the run before, so each trade costs a constant number of steps, and rounding stays
+    within two runs. The sum of the changes is a difference of two prices, and a flat
+    stretch is recognised by the last row whose change differs, not by rounding.
+    """
+    n = SIGMA_WINDOW
+    w = cut.window()
+    run = ordered([*cut.parts, "_run"], *cut.order)
+    change = F.col("price_change")
+    counted = (
+        d.withColumn("price_change", price_change(w))
+        .withColumn("_row", F.row_number().over(w))
+        .withColumn("_moved", F.col("price") - F.coalesce(F.lag("price", n).over(w), F.first("price").over(so_far(w))))
+        .withColumn("_turn", F.max(F.when(change != F.lag(change).over(w), F.col("_row"))).over(so_far(w)))
+        .withColumn("_run", F.floor((F.col("_row") - 1) / n))
+        .withColumn("_sofar", F.coalesce(F.sum(change * change).over(so_far(run)), F.lit(0.0)))
+        .withColumn("_rest", F.coalesce(F.sum(change * change).over(whole(run)), F.lit(0.0)) - F.col("_sofar"))
+        .withColumn("_squares", F.col("_sofar") + F.coalesce(F.lag("_rest", n).over(w), F.lit(0.0)))
+    )
+    known = F.least(F.col("_row") - 1, F.lit(n))
+    # the change of row _turn differs from the one before it
+    flat = F.coalesce(F.col("_row") - F.col("_turn") + 1 >= known, F.lit(True))
+    variance = F.col("_squares") / known - F.pow(F.col("_moved") / known, F.lit(2))
+    return counted.withColumn(
         "sigma",
-        F.when(F.count("price_change").over(frame) <= SIGMA_LEAST, F.lit(SIGMA_UNKNOWN))
-        .when(deviation == 0, F.lit(SIGMA_FLAT))
-        .otherwise(deviation))
+        F.when(known <= SIGMA_LEAST, F.lit(SIGMA_UNKNOWN))
+        .when(flat | (variance <= 0), F.lit(SIGMA_FLAT))
+        .otherwise(F.sqrt(variance))
+    ).drop("_row", "_moved", "_turn", "_run", "_sofar", "_rest", "_squares")
 
 
 def trade_sigma(trades: DataFrame, cut: Cut = time_cut()) -> DataFrame:
-    changed = blockwise(trades, cut, SIGMA_WINDOW, with_sigma)
+    changed = blockwise(trades, cut, SIGMA_WINDOW, lambda d, w: with_sigma(d, cut))
     return changed.filter(F.col("price_change").isNotNull())
 
 
@@ -97,7 +121,7 @@ def running_volume(trades: DataFrame, volume: int = BUCKET_VOLUME, cut: Cut = ti
     )
     w = cut.window()
     inside = (
-        with_sigma(with_lookback(trades, cut, SIGMA_WINDOW), w)
+        with_sigma(with_lookback(trades, cut, SIGMA_WINDOW), cut)
         .filter(~F.col(CARRIED))
         .withColumn("lots", lots())
         .withColumn("_inside", F.sum("lots").over(so_far(w)))

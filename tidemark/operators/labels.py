@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.frames import if_full, ordered, ratio_change, trailing
+from ..functions.frames import if_full, ordered, ratio_change, trailing, whole
 from ..functions.timing import age_days
 from .timegrid import max_ts
 
@@ -202,7 +202,7 @@ def time_rank(df: DataFrame, keys: Sequence[str] = ("symbol",), ts: str = "ts")
     """Position in time from 1 and number of rows per key."""
     w = ordered(keys, ts)
     return df.withColumn("rn", F.row_number().over(w)).withColumn(
-        "n_rows", F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        "n_rows", F.count(F.lit(1)).over(whole(w)))
 
 
 def split_80_20(df: DataFrame, share: float = 0.8, keys: Sequence[str] = ("symbol",), ts: str = "ts") -> DataFrame:

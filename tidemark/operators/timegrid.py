@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import earlier, last_known, ordered, ratio_change, so_far
+from ..functions.frames import earlier, last_known, ordered, ratio_change, so_far, whole
 from ..functions.timing import floor_to, from_micros, micros_of, slot, step
 from .blocks import filled, time_cut
 
@@ -129,7 +129,7 @@ def asof_on_grid(bars: DataFrame, series: Sequence[DataFrame], width: timedelta
             one.select(*keys, ts, F.lit(0).alias("_side"), F.struct(*columns).alias(f"_series{i}")),
             allowMissingColumns=True)
     w = ordered(keys, ts, "_side")
-    everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    everything = whole(w)
     seen = {name: last_known(F.col(name), w) for name, _ in payloads}
     ends = {f"_end{name}": F.max(F.when(F.col(name).isNotNull(), F.col(ts))).over(everything) for name, _ in payloads}
     found = rows.withColumns(ends).withColumns(seen).filter(F.col(left).isNotNull())
