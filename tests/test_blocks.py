@@ -59,12 +59,13 @@ def test_ffill(ticks, span):
     assert of_spark(out) == of_spark(G.ffill(gaps, ["price"], order=order, span=None))
 
 
+@pytest.mark.parametrize("salts", [1, 5])
 @pytest.mark.parametrize("span", [timedelta(seconds=5), timedelta(minutes=3), timedelta(days=1)])
-def test_asof_join(ticks, span):
+def test_asof_join(ticks, span, salts):
     right = ticks.filter("trade_id % 13 = 0").select(
         "symbol", "ts", F.col("trade_id").alias("rid"), F.when(F.col("trade_id") % 2 == 0, F.col("price")).alias("rv"))
     left = ticks.filter("trade_id % 13 != 0").select("symbol", "ts", "trade_id")
-    out = G.asof_join(left, right, span=span, tie=("rid",))
+    out = G.asof_join(left, right, span=span, tie=("rid",), salts=salts)
     rows = {r.trade_id: r for r in out.collect()}
     assert len(rows) == left.count()
     rights = sorted(((r.symbol, r.ts, r.rid, r.rv) for r in right.collect()), key=lambda r: r[:3])

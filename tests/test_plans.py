@@ -60,6 +60,10 @@ def test_trade_windows_are_partitioned_by_block(v):
             assert re.search(r"_n#|_lots#|_first#|_end|_start|_later", line)
 
 
+def test_trade_totals_are_hash_aggregates(v):
+    assert "SortAggregate" not in plan(flow.running_volume(v.tape, 100, TICK_CUT))
+
+
 def test_carried_rows_are_limited_before_the_shuffle(v):
     text = plan(blocks.with_lookback(v.tape, TICK_CUT, 100))
     assert "WindowGroupLimit" in text and "Partial" in text

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.frames import earlier, ordered, so_far
-from ..functions.timing import slot
+from ..functions.timing import arrival_key, slot
 
 BLOCK = "_block"
 CARRIED = "_carried"
@@ -32,6 +32,7 @@ CARRIED = "_carried"
 class Cut:
     """How rows are ordered within ``keys`` and which block a row belongs to.
 
+    ``order`` is a time, a time and an id, or an id.
     ``number`` must not decrease along ``order``.
     """
 
@@ -43,6 +44,14 @@ class Cut:
     def parts(self) -> list[str]:
         return [*self.keys, BLOCK]
 
+    def order_key(self) -> Column:
+        """The order as one value; (time, id) packed so that ``min_by`` stays a hash aggregate."""
+        if len(self.order) == 1:
+            return F.col(self.order[0])
+        if len(self.order) == 2:
+            return arrival_key(*[F.col(c) for c in self.order])
+        return F.struct(*self.order)
+
     def window(self) -> WindowSpec:
         return ordered(self.parts, *self.order)
 
@@ -63,10 +72,21 @@ def time_cut(width: timedelta = timedelta(hours=1), keys: Sequence[str] = ("symb
 
 
 def id_cut(size: int, column: str, keys: Sequence[str] = ("symbol",)) -> Cut:
-    """Blocks of equal id range along an ever-growing id."""
+    """Blocks of equal id range along an ever-growing id: at most ``size`` rows each,
+    however the rows bunch in time."""
     return Cut(tuple(keys), (column,), lambda: F.floor(F.col(column) / F.lit(size)).cast("long"))
 
 
+def trade_cut(size: int = 1_000_000) -> Cut:
+    """Trades in the order of their ids, which grow with time."""
+    return id_cut(size, "trade_id")
+
+
+def message_cut(size: int = 1_000_000) -> Cut:
+    """Depth messages in the order they arrived."""
+    return id_cut(size, "arrival")
+
+
 def with_lookback(df: DataFrame, cut: Cut, rows: int) -> DataFrame:
     """Add ``_block`` and copy into each block the ``rows`` rows that precede it.
 
@@ -124,7 +144,7 @@ def filled(df: DataFrame, columns: Sequence[str], cut: Cut) -> DataFrame:
     """Forward fill across blocks: the last non-null of each earlier block opens the next."""
     first = "_first_"
     seen = {
-        first + c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*cut.order)))
+        first + c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), cut.order_key()))
         for c in columns
     }
     openings = opening(df, cut, seen, lambda n: F.last(n, ignorenulls=True))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import earlier, ordered, so_far, whole
 from ..functions.numeric import imbalance
 from ..functions.timing import from_micros, micros_of, slot, step
-from .blocks import BLOCK, CARRIED, Cut, id_cut, opening, with_lookback
+from .blocks import BLOCK, CARRIED, Cut, message_cut, opening, with_lookback
 
 # Side names, depths, decay rates, sample depth and the spoofing limit.
 BID, ASK = "b", "a"
@@ -41,7 +41,7 @@ def explode_levels(messages: DataFrame, keep: Sequence[str] = ("symbol", "arriva
 
 
 def stale_update_filter(diffs: DataFrame, snapshot_id: Column | None = None,
-                        cut: Cut = id_cut(1_000_000, "arrival")) -> DataFrame:
+                        cut: Cut = message_cut()) -> DataFrame:
     """Drop updates whose id is not above every id seen before them, in arrival order.
 
     ``snapshot_id`` is the id the book starts from (a column of ``diffs``; none = all new).
@@ -57,7 +57,7 @@ def stale_update_filter(diffs: DataFrame, snapshot_id: Column | None = None,
     )
 
 
-def sequence_gap_check(diffs: DataFrame, cut: Cut = id_cut(1_000_000, "arrival")) -> DataFrame:
+def sequence_gap_check(diffs: DataFrame, cut: Cut = message_cut()) -> DataFrame:
     """Flag messages whose ``pu`` is not the final id of the message before them."""
     w = cut.window()
     seen = with_lookback(diffs, cut, 1).withColumn("_previous", F.lag("u").over(w))
@@ -91,7 +91,7 @@ def snapshot_levels(snapshot: DataFrame) -> DataFrame:
     return explode_levels(shaped)
 
 
-def book_replay(snapshot: DataFrame, messages: DataFrame, cut: Cut = id_cut(1_000_000, "arrival")) -> DataFrame:
+def book_replay(snapshot: DataFrame, messages: DataFrame, cut: Cut = message_cut()) -> DataFrame:
     """Book after a snapshot and all later messages that are newer than it.
 
     Symbols without a snapshot have no book yet, as messages are only buffered for them.

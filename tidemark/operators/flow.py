@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import ordered, so_far, trailing, whole
 from ..functions.numeric import norm_cdf
-from .blocks import BLOCK, CARRIED, Cut, blockwise, time_cut, with_lookback
+from .blocks import BLOCK, CARRIED, Cut, blockwise, trade_cut, with_lookback
 from .timegrid import asof_join
 
 # Look-backs, stand-ins and limits of the flow measures.
@@ -39,7 +39,7 @@ def price_change(w: WindowSpec) -> Column:
     return F.col("price") - F.lag("price").over(w)
 
 
-def trade_price_change(trades: DataFrame, cut: Cut = time_cut()) -> DataFrame:
+def trade_price_change(trades: DataFrame, cut: Cut = trade_cut()) -> DataFrame:
     """Change to the previous trade; the first trade of a symbol has none and is dropped."""
     changed = blockwise(trades, cut, 1, lambda d, w: d.withColumn("price_change", price_change(w)))
     return changed.filter(F.col("price_change").isNotNull())
@@ -81,7 +81,7 @@ def with_sigma(d: DataFrame, cut: Cut) -> DataFrame:
     ).drop("_row", "_moved", "_turn", "_run", "_sofar", "_rest", "_squares")
 
 
-def trade_sigma(trades: DataFrame, cut: Cut = time_cut()) -> DataFrame:
+def trade_sigma(trades: DataFrame, cut: Cut = trade_cut()) -> DataFrame:
     changed = blockwise(trades, cut, SIGMA_WINDOW, lambda d, w: with_sigma(d, cut))
     return changed.filter(F.col("price_change").isNotNull())
 
@@ -98,7 +98,7 @@ def bvc_classify(flow: DataFrame) -> DataFrame:
     )
 
 
-def running_volume(trades: DataFrame, volume: int = BUCKET_VOLUME, cut: Cut = time_cut()) -> DataFrame:
+def running_volume(trades: DataFrame, volume: int = BUCKET_VOLUME, cut: Cut = trade_cut()) -> DataFrame:
     """Trades with change, sigma and their place in the running volume of the symbol:
     ``filled`` lots after the trade, counted from the start of bucket ``open_bucket``.
 
@@ -110,7 +110,7 @@ def running_volume(trades: DataFrame, volume: int = BUCKET_VOLUME, cut: Cut = ti
     between = cut.between_blocks()
     per_block = (
         cut.apply(trades).groupBy(*cut.parts)
-        .agg(F.sum(lots().cast("decimal(28,0)")).alias("_lots"), F.min_by(lots(), F.struct(*cut.order)).alias("_first"))
+        .agg(F.sum(lots().cast("decimal(28,0)")).alias("_lots"), F.min_by(lots(), cut.order_key()).alias("_first"))
     )
     before = F.sum("_lots").over(so_far(between)) - F.col("_lots") - F.first("_first").over(so_far(between))
     opened = (
@@ -204,7 +204,7 @@ def vpin_alert(toxicity: DataFrame, level: float = VPIN_ALERT) -> DataFrame:
 
 
 def trade_toxicity(trades: DataFrame, volume: int = BUCKET_VOLUME, window: int = VPIN_WINDOW,
-                   cut: Cut = time_cut()) -> DataFrame:
+                   cut: Cut = trade_cut()) -> DataFrame:
     """Trades -> VPIN per closed bucket."""
     pieces = volume_buckets(bvc_classify(running_volume(trades, volume, cut)), volume)
     return vpin(vpin_bucket_agg(pieces, volume), volume, window)

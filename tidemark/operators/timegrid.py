@@ -53,14 +53,16 @@ def grid_of(series: DataFrame, width: timedelta = FOUR_HOURS, keys: Sequence[str
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("symbol",), ts: str = "ts",
               span: timedelta | None = ONE_DAY, tie: Sequence[str] = (),
-              times: DataFrame | None = None) -> DataFrame:
+              times: DataFrame | None = None, salts: int = 1) -> DataFrame:
     """Each left row with the latest right row of its key at or before its time.
 
     The right row is taken whole, so its NULLs are kept. ``tie`` orders right rows of
     equal time. Left rows without a match stay, with NULLs.
 
     The spans left rows fall in are read from ``times`` if given: any frame of (keys, time)
-    that covers them and is cheaper to compute than ``left`` itself.
+    that covers them and is cheaper to compute than ``left`` itself. ``salts`` deals the
+    left rows of a span out to that many tasks, each with a copy of the span's right rows:
+    for spans in which one key has very many left rows and few right rows.
     """
     payload = [c for c in right.columns if c not in (*keys, ts)]
     tie = list(tie)
@@ -91,7 +93,12 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("symbol"
             .filter((F.col("_side") == 0) & F.col("_right").isNotNull())
             .withColumn("_side", F.lit(-1))
         )
-        rows = r.unionByName(l).unionByName(opens, allowMissingColumns=True)
+        r = r.unionByName(opens, allowMissingColumns=True)
+        if salts > 1:
+            parts = [*parts, "_salt"]
+            r = r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            l = l.withColumn("_salt", F.pmod(F.xxhash64("_left"), F.lit(salts)).cast("int"))
+        rows = r.unionByName(l)
     w = so_far(ordered(parts, F.asc_nulls_first(ts), "_side", "_tie"))
     return (
         rows.withColumn("_right", F.last("_right", ignorenulls=True).over(w))

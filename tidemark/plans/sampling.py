@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame
 
-from ..operators.blocks import Cut, time_cut
+from ..operators.blocks import Cut, trade_cut
 from ..operators.book import book_features, sample_books
 from ..operators.flow import BUCKET_VOLUME, VPIN_WINDOW, trade_toxicity, vpin_as_of
 from ..session import materialise
@@ -14,7 +14,7 @@ from ..session import materialise
 
 def sample_1s(entries: DataFrame, trades: DataFrame, period: timedelta = timedelta(seconds=1),
               block: timedelta = timedelta(minutes=10), volume: int = BUCKET_VOLUME,
-              window: int = VPIN_WINDOW, cut: Cut = time_cut()) -> DataFrame:
+              window: int = VPIN_WINDOW, cut: Cut = trade_cut()) -> DataFrame:
     """Book entries (stale messages removed) and trades -> sampled features.
 
     Buckets are few next to trades; they are written once because the as-of lookup reads

@@ -222,7 +222,7 @@ SELECT t.symbol, t.trade_id, t.ts, t.price, f.net_flow
 FROM trades t ASOF LEFT JOIN flows_daily f ON t.symbol = f.symbol AND f.ts <= t.ts"""))
 def asof_join(v):
     """Latest daily flow at every trade; trades after the last flow keep it."""
-    out = G.asof_join(v.trades, v.flows)
+    out = G.asof_join(v.trades, v.flows, salts=4)
     return rounded(out.select("symbol", "trade_id", "ts", "price", "net_flow"))
 
 

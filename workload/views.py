@@ -22,8 +22,8 @@ from .sqlviews import SHIFT_DAYS
 CLOCK_START = 1_704_067_200_000_000  # 2024-01-01
 TICK = 100_000
 BUCKET = 100
-TICK_CUT = blocks.time_cut(timedelta(minutes=5))
-ARRIVAL_CUT = blocks.id_cut(2_000, "arrival")
+TICK_CUT = blocks.trade_cut(2_000)
+ARRIVAL_CUT = blocks.message_cut(2_000)
 SYMBOL_OF = {
     "1-URGENT": "click", "2-HIGH": "error", "3-MEDIUM": "purchase", "4-NOT SPECIFIED": "signup", "5-LOW": "view",
 }
