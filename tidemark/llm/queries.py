@@ -1,6 +1,6 @@
 """Imports the modules that register queries."""
 
-from . import exact  # noqa: F401
+from . import binary, counting, exact  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
