@@ -13,7 +13,7 @@ from tidemark.llm import binary, counting, tokens
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ODD = [
     "", " ", "  ", "\n", "a  b", " a", "a ", "a\n b", "a \n b", "it's  the\tend. ", "x<|endoftext|>y <|endoftext|> z", "é ́a", "naïve  Straße  ΑΣ ΑΣ. İ",
-    "1 234  5", "  a b", "日本 語 テスト", "a\x1c b\x85 c", "'s 's't  're", "..  ..\r\n ..", "word " * 50, "z" * 300, "\x00 \x00",
+    "1 234  5", "Word. Wörter, ÀÉ. x., a.. ß. ×. ÷ ª. b.c, .", ". , .", "  a b", "日本 語 テスト", "a\x1c b\x85 c", "'s 's't  're", "..  ..\r\n ..", "word " * 50, "z" * 300, "\x00 \x00",
 ]
 
 
@@ -29,14 +29,14 @@ def test_pieces_give_the_ids_of_the_whole_text(file, window, monkeypatch):
     path = public_tokenizers.path(file)
     monkeypatch.setattr(tokens.windows, "__defaults__", (window,))
     whole = Tokenizer.from_file(path)
-    enc = tokens.Encoder(path, lambda e: e.ids)
+    enc = tokens.Encoder(path)
     texts = ODD + mixed(400)
     want = [whole.encode(x, add_special_tokens=False).ids for x in texts]
     got = [[] for _ in texts]
     for i, part in tokens.ids(enc, texts):
         got[i] += part.tolist()
     assert got == want
-    assert tokens.counts(tokens.Encoder(path, len), texts) == [len(x) for x in want]
+    assert tokens.counts(tokens.Encoder(path, count=True), texts) == [len(x) for x in want]
 
 
 def test_a_full_table_changes_nothing(monkeypatch):
@@ -44,7 +44,7 @@ def test_a_full_table_changes_nothing(monkeypatch):
     monkeypatch.setattr(tokens, "TABLE", 3)
     whole = Tokenizer.from_file(path)
     texts = mixed(50, 2)
-    assert tokens.counts(tokens.Encoder(path, len), texts) == [len(whole.encode(x, add_special_tokens=False)) for x in texts]
+    assert tokens.counts(tokens.Encoder(path, count=True), texts) == [len(whole.encode(x, add_special_tokens=False)) for x in texts]
 
 
 def frame(spark, rows):

@@ -62,10 +62,12 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, kind: str) -> byte
     """A dictionary for serialized arrays, from the ``SAMPLE`` documents with the least hash; empty if they are too few."""
     import zstandard
 
-    sample = documents(docs).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id", F.substring("text", 1, 8 * SAMPLE_IDS).alias("text"))
+    rows = documents(docs)
+    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()  # ids only: no text is sorted
+    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").limit(SAMPLE).select(F.substring("text", 1, 8 * SAMPLE_IDS).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path, "ids")
+        enc = tokens.encoder(path)
         for batch in by_bytes(batches, "text"):
             rows = [np.append(x, end_id)[:SAMPLE_IDS].astype(kind).tobytes() for _, x in _joined(tokens.ids(enc, batch.column("text").to_pylist()))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
@@ -94,7 +96,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int) -> None:
     spark.createDataFrame([(digest, bytearray(dictionary), kind)], "hash string, dictionary binary, kind string").write.parquet(f"{folder}/dictionary")
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, codec = tokens.encoder(path, "ids"), _codec(dictionary, "in")
+        enc, codec = tokens.encoder(path), _codec(dictionary, "in")
         for batch in by_bytes(batches, "text"):
             n, out = [], []
             for _, x in _joined(tokens.ids(enc, batch.column("text").to_pylist())):

@@ -26,7 +26,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_tokens``, ``over_limit`` of each row, with the vocabulary file ``path``."""
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path, "count")
+        enc = tokens.encoder(path, count=True)
         for batch in by_bytes(batches, "text"):
             n = tokens.counts(enc, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

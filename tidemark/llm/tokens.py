@@ -17,14 +17,26 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable, Iterable, Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 from .common import worker_cache
 
-#: Pieces kept in a worker's table, and the longest piece that is kept (characters).
-TABLE, LONGEST = 400_000, 64
+#: Pieces kept in each of a worker's two tables, the newer and the older one, and the longest piece that is kept (characters).
+TABLE, LONGEST = 500_000, 64
+#: Pieces that are one pre-token in either kind of vocabulary, normal forms included, and the stops that may follow.
+WORD, STOPS = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"), (".", ",")
+
+
+def byte_letters() -> list[str]:
+    """The letter a byte-level vocabulary writes for each byte: printable Latin-1 for itself, others from U+0100 on."""
+    plain = [33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255 for b in range(256)]
+    return [chr(b) if plain[b] else chr(256 + b - sum(plain[:b])) for b in range(256)]
+
+
+LETTERS = dict(enumerate(byte_letters()))
 #: Bytes of new pieces in one call of the library.
 CALL_BYTES = 1 << 20
 #: Characters of a text that are looked at together; a longer text is streamed in such windows.
@@ -86,35 +98,64 @@ def byte_level(path: str) -> bool:
 
 
 class Encoder:
-    """Ids or lengths of whole texts; ``keep`` turns the library's encoding of a piece into what the table holds."""
+    """Ids or lengths of whole texts. The table holds a piece's ids as bytes, or its length where ``count``."""
 
-    def __init__(self, path: str, keep: Callable[[object], object]):
+    def __init__(self, path: str, count: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.leading_space = byte_level(path)
-        self.keep = keep
+        self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.count = count
         self.table: dict[str, object] = {}
+        self.older: dict[str, object] = {}
+        self.long: list[str] = []
+
+    def _keep(self, ids: list[int]) -> object:
+        return len(ids) if self.count else np.array(ids, self.kind).tobytes()
+
+    def _word(self, piece: str) -> object:
+        """A piece of letters is one pre-token: the library's model takes it as it is."""
+        piece = piece if self.leading_space else piece.lower()
+        return self._keep([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(LETTERS))])
 
     def learn(self, wanted: Iterable[str]) -> dict[str, object]:
         """The table, with every piece of ``wanted`` in it until the next call."""
         wanted = set(wanted)
-        new = list(wanted.difference(self.table))
-        if len(self.table) + len(new) > TABLE:
-            self.table, new = {}, list(wanted)
-        new.sort(key=len)
+        if len(self.table) > TABLE:
+            self.table, self.older = {}, self.table
+        table, older = self.table, self.older
+        rest = []
+        for piece in wanted.difference(table):
+            known = older.get(piece)
+            if known is not None:
+                table[piece] = known
+            elif WORD.fullmatch(piece):
+                table[piece] = self._word(piece)
+            elif piece[-1:] in STOPS and WORD.fullmatch(piece, 0, len(piece) - 1):
+                # a stop after letters is a pre-token of its own
+                word, stop = piece[:-1], piece[-1]
+                for x in (word, stop):
+                    if x not in table:
+                        table[x] = older[x] if x in older else self._word(x) if x is word else self._keep(self.tokenizer.encode(x, add_special_tokens=False).ids)
+                table[piece] = table[word] + table[stop]
+            else:
+                rest.append(piece)
+        rest.sort(key=len)
         start, total = 0, 0
-        for i, piece in enumerate(new):
+        for i, piece in enumerate(rest):
             total += len(piece)
-            if total > CALL_BYTES or i + 1 == len(new):
-                call = new[start : i + 1]
-                self.table.update(zip(call, map(self.keep, self.tokenizer.encode_batch_fast(call, add_special_tokens=False)), strict=True))
+            if total > CALL_BYTES or i + 1 == len(rest):
+                call = rest[start : i + 1]
+                for x, e in zip(call, self.tokenizer.encode_batch_fast(call, add_special_tokens=False), strict=True):
+                    table[x] = len(e) if self.count else self._keep(e.ids)
                 start, total = i + 1, 0
-        self.long = [x for x in new if len(x) > LONGEST]
-        return self.table
+        self.long = [x for x in rest if len(x) > LONGEST]
+        return table
 
     def forget(self) -> None:
         """Drops the long pieces, which seldom come again."""
@@ -122,21 +163,18 @@ class Encoder:
             self.table.pop(x, None)
 
 
-def encoder(path: str, kind: str) -> Encoder:
-    """The worker's encoder for ``path``; ``kind``: "ids" keeps arrays of ids, "count" keeps lengths."""
-    keep = {"ids": lambda e: e.ids, "count": len}[kind]
-    return worker_cache(f"encoder {kind} {path}", lambda: Encoder(path, keep))
+def encoder(path: str, count: bool = False) -> Encoder:
+    """The worker's encoder for ``path``."""
+    return worker_cache(f"encoder {count} {path}", lambda: Encoder(path, count))
 
 
 def counts(enc: Encoder, texts: list[str]) -> list[int]:
     """Tokens of each text."""
-    out = []
+    out = [0] * len(texts)
     for group in _groups(enc, texts):
         cut = [(i, pieces(x, enc.leading_space)) for i, x in group]
         table = enc.learn(p for _, ps in cut for p in ps)
         for i, ps in cut:
-            if i == len(out):
-                out.append(0)
             out[i] += sum(map(table.__getitem__, ps))
         enc.forget()
     return out
@@ -148,10 +186,7 @@ def ids(enc: Encoder, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
         cut = [(i, pieces(x, enc.leading_space)) for i, x in group]
         table = enc.learn(p for _, ps in cut for p in ps)
         for i, ps in cut:
-            flat: list[int] = []
-            for p in ps:
-                flat += table[p]
-            yield i, np.array(flat, dtype=np.uint32)
+            yield i, np.frombuffer(b"".join(map(table.__getitem__, ps)), dtype=enc.kind).astype(np.uint32)
         enc.forget()
 
 
