@@ -1,6 +1,6 @@
 """Imports the modules that register queries."""
 
-from . import binary, counting, exact  # noqa: F401
-from .registry import ORACLES, QUERIES
+from . import binary, counting, exact, packing, transducer  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
