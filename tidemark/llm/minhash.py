@@ -36,7 +36,7 @@ from .registry import query
 from .words import Words, mixed
 
 SLOTS, BANDS, ROWS, SHINGLE, PERCENT = 128, 32, 4, 5, 75
-SMALL, PICKS, ROUNDS, BLOCK = 8, 2, 8, 1024
+SMALL, PICKS, ROUNDS, BLOCK = 8, 1, 1, 1024
 #: A pair goes to verification in the last step if its signatures agree in this share of the slots. At the similarity
 #: 0.75 the share has a standard deviation of less than 0.04, so this is more than six of them below.
 LEAST_AGREEMENT = 0.5
@@ -99,12 +99,15 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, "text"):
         doc, value, n = _sets(batch)
         first = np.searchsorted(doc, np.arange(n + 1))
-        keys = band_keys(signatures(doc, value, n)).view(np.int64)
+        h = signatures(doc, value, n)
+        keys = band_keys(h).view(np.int64)
+        short = (mixed(h.view(np.uint64)) >> np.uint64(48)).astype(np.uint16)  # 16 bits of each slot tell slots apart
         size = np.diff(first)
         digest = [hashlib.blake2b(value[first[i] : first[i + 1]].tobytes(), digest_size=16).digest() for i in range(n)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
-            ["doc_id", "n", "digest", "keys"],
+            [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(list(keys), pa.list_(pa.int64())),
+             pa.array([x.tobytes() for x in short], pa.binary())],
+            ["doc_id", "n", "digest", "keys", "signature"],
         )
 
 
@@ -141,7 +144,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _agreeing(key, left: pa.Table, right: pa.Table) -> pa.Table:
     """Pairs of two blocks whose labels differ and whose signatures agree often enough."""
     a, b = ([t.column(c).to_numpy() for c in ("id", "label")] for t in (left, right))
-    sa, sb = (np.array([np.frombuffer(x.as_buffer(), dtype=np.float64) for x in t.column("signature")]) for t in (left, right))
+    sa, sb = (np.array([np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in t.column("signature")]) for t in (left, right))
     out_a, out_b = [], []
     for i in range(len(a[0])):
         found = np.flatnonzero(((sb == sa[i]).mean(axis=1) >= LEAST_AGREEMENT) & (a[1][i] != b[1]) & (a[0][i] < b[0]))
@@ -150,16 +153,6 @@ def _agreeing(key, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def _with_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column("set")]
-        doc = np.repeat(np.arange(len(values)), [len(x) for x in values])
-        h = signatures(doc, np.concatenate(values) if values else np.zeros(0, np.uint64), len(values))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in ("bucket", "id", "label")] + [pa.array([x.tobytes() for x in h], pa.binary())], ["bucket", "id", "label", "signature"]
-        )
-
-
 def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
     """``members`` (``bucket``, ``id``) with the label of each id after ``links``."""
     if links is None:
@@ -174,8 +167,11 @@ def _open(labelled: DataFrame) -> DataFrame:
     return labelled.join(mixed_.select("bucket", "size"), "bucket")
 
 
-def links_between(members: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Links (``a`` < ``b``) that join all similar classes of the buckets ``members`` (``bucket``, ``id``)."""
+def links_between(members: DataFrame, sets: DataFrame, short: DataFrame) -> DataFrame:
+    """Links (``a`` < ``b``) that join all similar classes of the buckets ``members`` (``bucket``, ``id``).
+
+    ``sets`` (``id``, ``set``) holds their shingle hashes, ``short`` (``id``, ``signature``) 16 bits of each slot.
+    """
     left, right = F.col("left"), F.col("right")
     sized = members.join(members.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
     few = sized.where(f"size <= {SMALL}").groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("ids"))
@@ -201,9 +197,9 @@ def links_between(members: DataFrame, sets: DataFrame) -> DataFrame | None:
     now = materialise(_open(_labelled(rest, links)), "open_buckets")
     if now.isEmpty():
         return links
-    blocked = now.join(sets, "id").select("bucket", "id", "label", "set").mapInArrow(_with_signature, "bucket long, id long, label long, signature binary")
+    blocked = now.join(short, "id").select("bucket", "id", "label", "signature")
     n_blocks = now.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    blocked = materialise(blocked.join(n_blocks, "bucket").withColumn("block", (F.pmod(F.xxhash64("id"), F.col("n"))).cast("int")), "blocks")
+    blocked = materialise(blocked.join(n_blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")), "blocks")
     one = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     two = blocked.withColumnRenamed("block", "other_").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumnRenamed("other_", "other")
     cols = ("bucket", "block", "other", "id", "label", "signature")
@@ -215,17 +211,17 @@ def links_between(members: DataFrame, sets: DataFrame) -> DataFrame | None:
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
     rows = documents(docs)
-    signed = materialise(rows.mapInArrow(_signed, "doc_id long, n long, digest binary, keys array<long>"), "signed")
+    signed = materialise(rows.mapInArrow(_signed, "doc_id long, n long, digest binary, keys array<long>, signature binary"), "signed")
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("digest").agg(F.min("doc_id").alias("id"))
     own = materialise(usable.select("doc_id", "digest").join(classes, "digest").select("doc_id", "id").distinct(), "classes")
-    first = usable.select("doc_id", "keys").join(own.where("doc_id = id").select("doc_id"), "doc_id", "left_semi")
+    first = usable.select("doc_id", "keys", "signature").join(own.where("doc_id = id").select("doc_id"), "doc_id", "left_semi")
     bands = first.select(F.col("doc_id").alias("id"), F.explode("keys").alias("bucket")).distinct()
     shared = bands.join(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket", "left_semi")
     members = materialise(shared.select("bucket", "id"), "members")
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     sets = materialise(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_hashed, "id long, set binary"), "sets")
-    links = links_between(members, sets)
+    links = links_between(members, sets, first.select(F.col("doc_id").alias("id"), "signature"))
     of_classes = own.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     found = components(links.unionByName(of_classes))
     out = signed.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")

@@ -1,6 +1,6 @@
 """Imports the modules that register queries."""
 
-from . import binary, counting, exact, minhash, packing, suffix, transducer  # noqa: F401
+from . import binary, counting, embeddings, exact, language, minhash, packing, suffix, toxicity, transducer  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -129,8 +129,14 @@ def _first_round(length: int, gram: int):
     return rows
 
 
+def _second_round(length: int, gram: int, sizes: list[int]):
+    """Cutting out the bytes and naming the next ranges, in one Python worker."""
+    cut, named = _contexts(length, gram), _next_round(length, sizes, 1)
+    return lambda batches: named(cut(batches))
+
+
 def _contexts(length: int, gram: int):
-    """The bytes around the anchors that go on, out of each text; ``at`` holds them in rising order."""
+    """The bytes around the anchors that go on, out of each text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = length - gram
@@ -143,7 +149,7 @@ def _contexts(length: int, gram: int):
                     values = (row["key"], at["pos"], at["lo"], at["hi"], at["settled"], begin, data[begin : at["pos"] + length])
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
-                    if len(out[0]) >= 4096:
+                    if len(out[0]) >= 1024:
                         yield _context_batch(out)
                         out = [[] for _ in range(7)]
             yield _context_batch(out)
@@ -163,7 +169,7 @@ def _next_round(length: int, sizes: list[int], k: int):
     """The rows of round ``k`` out of those that went on in the round before; bytes that aren't needed any more go."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             out: list[list] = [[] for _ in range(9)]
             for row in batch.to_pylist():
                 x, data, begin = row["pos"], row["bytes"], row["begin"]
@@ -223,10 +229,10 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     on = settle(first, "first_round", len(sizes) == 1)
     if on is not None:
         at = on.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "lo", "hi", "settled"))).alias("at"))
-        rows = texts.join(at, "key").select("key", "text", "at").mapInArrow(_contexts(length, gram), CONTEXT_SQL)
+        rows = texts.join(at, "key").select("key", "text", "at")
         for k in range(1, len(sizes)):
-            ranges = rows.mapInArrow(_next_round(length, sizes, k), f"{CONTEXT_SQL}, core long, hull long")
-            ranges = materialise(ranges, f"ranges_{sizes[k]}")
+            step = _second_round(length, gram, sizes) if k == 1 else _next_round(length, sizes, k)
+            ranges = materialise(rows.mapInArrow(step, f"{CONTEXT_SQL}, core long, hull long"), f"ranges_{sizes[k]}")
             on = settle(ranges, f"round_{sizes[k]}", sizes[k] == 1)
             if on is not None:
                 rows = on.select([n for n, _ in CONTEXT])
