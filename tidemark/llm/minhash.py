@@ -38,8 +38,8 @@ from .words import Words, mixed
 SLOTS, BANDS, ROWS, SHINGLE, PERCENT = 128, 32, 4, 5, 75
 SMALL, PICKS, ROUNDS, BLOCK = 8, 1, 1, 1024
 #: A pair goes to verification in the last step if its signatures agree in this share of the slots. At the similarity
-#: 0.75 the share has a standard deviation of less than 0.04, so this is more than six of them below.
-LEAST_AGREEMENT = 0.5
+#: 0.75 the share has a standard deviation of 0.03, so this is more than four of them below.
+LEAST_AGREEMENT = 0.62
 
 
 def signatures(doc: np.ndarray, value: np.ndarray, n_docs: int, slots: int = SLOTS) -> np.ndarray:
@@ -84,7 +84,8 @@ def band_keys(h: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray
     with np.errstate(over="ignore"):
         for i in range(rows):
             key = mixed(key * np.uint64(0xD6E8FEB86659FD93) + bits[:, :, i], i)
-        return mixed(key + np.arange(bands, dtype=np.uint64)[None, :], 3)
+        number = np.arange(bands, dtype=np.uint64)[None, :]  # in the low five bits
+        return (mixed(key + number, 3) & ~np.uint64(31)) | number
 
 
 def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
@@ -142,12 +143,16 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _agreeing(key, left: pa.Table, right: pa.Table) -> pa.Table:
-    """Pairs of two blocks whose labels differ and whose signatures agree often enough."""
+    """Pairs of two blocks whose labels differ and whose signatures agree often enough; a pair that shares an earlier
+    band as well is left to that one."""
+    band = key[0].as_py() & 31
     a, b = ([t.column(c).to_numpy() for c in ("id", "label")] for t in (left, right))
     sa, sb = (np.array([np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in t.column("signature")]) for t in (left, right))
     out_a, out_b = [], []
     for i in range(len(a[0])):
-        found = np.flatnonzero(((sb == sa[i]).mean(axis=1) >= LEAST_AGREEMENT) & (a[1][i] != b[1]) & (a[0][i] < b[0]))
+        agree = sb == sa[i]
+        before = agree[:, : band * ROWS].reshape(len(sb), band, ROWS).all(axis=2).any(axis=1)
+        found = np.flatnonzero((agree.mean(axis=1) >= LEAST_AGREEMENT) & ~before & (a[1][i] != b[1]) & (a[0][i] < b[0]))
         out_a += [a[0][i]] * len(found)
         out_b += b[0][found].tolist()
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})

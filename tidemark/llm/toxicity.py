@@ -33,7 +33,7 @@ from .words import LOWER, mixed, powers, prefix_hashes
 
 SIZES, BUCKETS = (3, 4, 5), 1 << 18
 #: Labelled rows of each class in the fit, texts in which a feature must occur, smoothing, penalty and steps.
-PER_CLASS, LEAST_TEXTS, SMOOTH, PENALTY, STEPS = 1500, 3, 1.0, 1.0, 80
+PER_CLASS, LEAST_TEXTS, SMOOTH, PENALTY, STEPS = 600, 3, 1.0, 1.0, 80
 FOLDS = 5
 
 
@@ -76,7 +76,7 @@ def fit(rows: list[tuple[int, np.ndarray]], share: float) -> Model:
     if not len(label) or label.min() == label.max():
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     lengths = np.array([len(x) for _, x in rows])
-    doc, bucket = np.repeat(np.arange(len(rows)), lengths), np.concatenate([x for _, x in rows])
+    doc, bucket = np.repeat(np.arange(len(rows), dtype=np.int32), lengths), np.concatenate([x for _, x in rows])
     held = np.bincount(bucket, minlength=BUCKETS) >= LEAST_TEXTS
     use = held[bucket]
     doc, bucket = doc[use], bucket[use]
@@ -84,14 +84,14 @@ def fit(rows: list[tuple[int, np.ndarray]], share: float) -> Model:
     clean = np.bincount(bucket, minlength=BUCKETS) - toxic
     p, q = toxic + SMOOTH, clean + SMOOTH
     ratio = np.where(held, np.log((p / label.sum()) / (q / (len(label) - label.sum()))), 0.0)
-    value = ratio[bucket]
+    value = ratio.astype(np.float32)[bucket]
     # full-batch Adam on the mean loss; the penalty is spread over the rows
     w, b, step = np.zeros(BUCKETS), 0.0, 0.02
     m1, m2, c1, c2 = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     for t in range(1, STEPS + 1):
-        z = np.bincount(doc, weights=value * w[bucket], minlength=len(label)) + b
+        z = np.bincount(doc, weights=value * w.astype(np.float32)[bucket], minlength=len(label)) + b
         error = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - label) / len(label)
-        g = np.bincount(bucket, weights=value * error[doc], minlength=BUCKETS) + PENALTY * w / len(label)
+        g = np.bincount(bucket, weights=value * error.astype(np.float32)[doc], minlength=BUCKETS) + PENALTY * w / len(label)
         h = error.sum()
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         c1, c2 = 0.9 * c1 + 0.1 * h, 0.999 * c2 + 0.001 * h * h
@@ -130,12 +130,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             out = [b""] * len(texts)
             for doc, bucket in features(texts):
                 for i in np.unique(doc):
-                    out[i] = bucket[doc == i].astype("<u4").tobytes()
+                    out[i] = bucket[doc == i].astype("<i4").tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(out, pa.binary())], ["doc_id", "toxic", "buckets"])
 
     # repeated ids could lengthen the sample: one row each
     found = sample.mapInArrow(buckets, "doc_id long, toxic int, buckets binary").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("buckets").alias("buckets"))
-    rows = [(r.toxic, np.frombuffer(r.buckets, "<u4").astype(np.int64)) for r in found.orderBy("doc_id").collect()]  # bounded: 2 * PER_CLASS rows
+    rows = [(r.toxic, np.frombuffer(r.buckets, "<i4")) for r in found.orderBy("doc_id").collect()]  # bounded: 2 * PER_CLASS rows
     share = n1 / (n0 + n1) if n0 and n1 else (n1 + 0.5) / (n0 + n1 + 1)
     return fit(rows, share)
 
