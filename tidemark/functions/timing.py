@@ -72,5 +72,5 @@ def arrival_key(ts: Column, row_id: Column) -> Column:
     ``min_by``/``max_by`` over a struct falls back to a sort-based aggregate; over a
     decimal it stays a hash aggregate with map-side partials.
     """
-    shift = F.lit(10**18).cast("decimal(19,0)")
+    shift = F.lit("10000000000000000000").cast("decimal(20,0)")  # above every long
     return (micros(ts).cast("decimal(19,0)") * shift + row_id.cast("decimal(19,0)")).cast("decimal(38,0)")

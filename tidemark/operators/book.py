@@ -24,7 +24,7 @@ DEPTHS = (1, 5, 10, 20)
 STRONG, WEAK = 0.8, 0.1
 SAMPLE_DEPTH = 20
 SPOOF_LIMIT = 0.5
-ENTRIES_PER_MESSAGE = 1_000_000
+ENTRIES_PER_MESSAGE = 1 << 31  # above every array position
 
 
 def explode_levels(messages: DataFrame, keep: Sequence[str] = ("symbol", "arrival", "ts", "u")) -> DataFrame:
