@@ -13,9 +13,10 @@ classes. A bucket of at most ``SMALL`` classes names all its pairs, which bounds
 multiple of its members. In a larger one, each round tests all classes against a few
 representatives drawn anew, who then leave; a bucket ends when all its classes have one label. Every
 pair of a bucket with different labels is tested in the end, so no link is lost, and pairs that are
-already joined are never named. What is left after ``ROUNDS`` is compared block by block by its
-signatures, which name only pairs that may be similar. Links hold on full sets of 64-bit shingle
-hashes: 100 * intersection >= 75 * union.
+already joined are never named. What is left after ``ROUNDS`` is compared block by block: signatures
+tell which classes may be similar to another one, their sets then meet in the task, which tests the
+pairs and gives a spanning forest of the links, never the pairs. Links hold on full sets of 64-bit
+shingle hashes: 100 * intersection >= 75 * union.
 
 Defined results: null or empty texts, and texts without words, have the empty set and link with
 nothing; rows with one ``doc_id`` are one node, linked by whichever of their texts; a null ``doc_id``
@@ -36,8 +37,8 @@ from .registry import query
 from .words import Words, mixed
 
 SLOTS, BANDS, ROWS, SHINGLE, PERCENT = 128, 32, 4, 5, 75
-SMALL, PICKS, ROUNDS, BLOCK = 8, 1, 1, 1024
-#: A pair goes to verification in the last step if its signatures agree in this share of the slots. At the similarity
+SMALL, PICKS, ROUNDS, BLOCK, BLOCK_BYTES = 8, 1, 1, 1024, 16 << 20
+#: A pair is tested in the last step if its signatures agree in this share of the slots. At the similarity
 #: 0.75 the share has a standard deviation of 0.03, so this is more than four of them below.
 LEAST_AGREEMENT = 0.62
 
@@ -120,18 +121,20 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["id", "set"])
 
 
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets of hashes are similar enough."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(small) < PERCENT * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (a, b))
-            small, large = (x, y) if len(x) <= len(y) else (y, x)
-            if 100 * len(small) < PERCENT * len(large):
-                keep.append(False)
-                continue
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            both = int((large[at] == small).sum())
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        sets = [[np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in batch.column(c)] for c in ("set_a", "set_b")]
+        keep = [_alike(x, y) for x, y in zip(*sets, strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -142,19 +145,61 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long")
 
 
-def _agreeing(key, left: pa.Table, right: pa.Table) -> pa.Table:
-    """Pairs of two blocks whose labels differ and whose signatures agree often enough; a pair that shares an earlier
-    band as well is left to that one."""
-    band = key[0].as_py() & 31
+def _candidates(band: int, left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of ``left`` with any: its number, those of the rows of ``right`` that may be similar and have another
+    label, and their agreement. A pair that shares an earlier band as well is left to that one."""
     a, b = ([t.column(c).to_numpy() for c in ("id", "label")] for t in (left, right))
     sa, sb = (np.array([np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in t.column("signature")]) for t in (left, right))
-    out_a, out_b = [], []
+    if not len(sb):
+        return
     for i in range(len(a[0])):
         agree = sb == sa[i]
         before = agree[:, : band * ROWS].reshape(len(sb), band, ROWS).all(axis=2).any(axis=1)
-        found = np.flatnonzero((agree.mean(axis=1) >= LEAST_AGREEMENT) & ~before & (a[1][i] != b[1]) & (a[0][i] < b[0]))
-        out_a += [a[0][i]] * len(found)
-        out_b += b[0][found].tolist()
+        share = agree.mean(axis=1)
+        found = np.flatnonzero((share >= LEAST_AGREEMENT) & ~before & (a[1][i] != b[1]) & (a[0][i] < b[0]))
+        if len(found):
+            yield i, found, share[found]
+
+
+def _meeting(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """The rows of two blocks that have any candidate in the other one, with their side."""
+    sides = np.zeros(left.num_rows, dtype=bool), np.zeros(right.num_rows, dtype=bool)
+    for i, found, _ in _candidates(key[0].as_py() & 31, left, right):
+        sides[0][i] = True
+        sides[1][found] = True
+    out = [t.filter(pa.array(s)).append_column("side", pa.array([k] * int(s.sum()), pa.int32())) for k, (t, s) in enumerate(zip((left, right), sides))]
+    return pa.concat_tables(out).select([n for n, _ in MEETING])
+
+
+MEETING = [("bucket", "long"), ("block", "int"), ("other", "int"), ("side", "int"), ("id", "long"), ("label", "long"), ("signature", "binary")]
+
+
+def _joined(key: tuple, table: pa.Table) -> pa.Table:
+    """A spanning forest, over the labels, of the links between two blocks; the most alike pairs are tested first and
+    pairs that are joined by then need no test."""
+    side = table.column("side").to_numpy()
+    left, right = (table.filter(pa.array(side == k)) for k in (0, 1))
+    (a, la), (b, lb) = ((t.column("id").to_numpy(), t.column("label").to_numpy()) for t in (left, right))
+    sa, sb = ([np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in t.column("set")] for t in (left, right))
+    found = list(_candidates(key[0].as_py() & 31, left, right))
+    out_a, out_b = [], []
+    if found:
+        i = np.concatenate([np.full(len(j), k) for k, j, _ in found])
+        j = np.concatenate([x for _, x, _ in found])
+        order = np.argsort(-np.concatenate([x for _, _, x in found]), kind="stable")
+        parent = {int(x): int(x) for x in (*la, *lb)}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for p, q in zip(i[order].tolist(), j[order].tolist()):
+            x, y = find(int(la[p])), find(int(lb[q]))
+            if x != y and _alike(sa[p], sb[q]):
+                parent[max(x, y)] = min(x, y)
+                out_a.append(int(a[p]))
+                out_b.append(int(b[q]))
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
@@ -175,7 +220,8 @@ def _open(labelled: DataFrame) -> DataFrame:
 def links_between(members: DataFrame, sets: DataFrame, short: DataFrame) -> DataFrame:
     """Links (``a`` < ``b``) that join all similar classes of the buckets ``members`` (``bucket``, ``id``).
 
-    ``sets`` (``id``, ``set``) holds their shingle hashes, ``short`` (``id``, ``signature``) 16 bits of each slot.
+    ``sets`` (``id``, ``set``) holds their shingle hashes, ``short`` (``id``, ``signature``, ``n``) 16 bits of each slot
+    and the size of the set.
     """
     left, right = F.col("left"), F.col("right")
     sized = members.join(members.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
@@ -202,14 +248,20 @@ def links_between(members: DataFrame, sets: DataFrame, short: DataFrame) -> Data
     now = materialise(_open(_labelled(rest, links)), "open_buckets")
     if now.isEmpty():
         return links
-    blocked = now.join(short, "id").select("bucket", "id", "label", "signature")
-    n_blocks = now.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    blocked = materialise(blocked.join(n_blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")), "blocks")
-    one = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    two = blocked.withColumnRenamed("block", "other_").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumnRenamed("other_", "other")
-    cols = ("bucket", "block", "other", "id", "label", "signature")
-    pairs = one.select(*cols).groupBy("bucket", "block", "other").cogroup(two.select(*cols).groupBy("bucket", "block", "other")).applyInArrow(_agreeing, "a long, b long")
-    found = materialise(_verified(pairs.distinct(), sets), "links")
+    sized = now.join(short, "id").select("bucket", "id", "label", "signature", "n")
+    # a block's sets are bounded too: they meet in one task
+    n_blocks = sized.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    blocked = sized.drop("n").join(n_blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocked = materialise(blocked, "blocks")
+    blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = blocked.withColumn("other", blocks)
+    two = blocked.withColumnRenamed("block", "other").withColumn("block", blocks)
+    keys, cols = ("bucket", "block", "other"), ("bucket", "block", "other", "id", "label", "signature")
+    schema = ", ".join(f"{n} {t}" for n, t in MEETING)
+    # signatures first, so that full sets travel only with classes that may be similar to another one in their block
+    meeting = one.select(*cols).groupBy(*keys).cogroup(two.select(*cols).groupBy(*keys)).applyInArrow(_meeting, schema)
+    meeting = materialise(meeting, "meeting")
+    found = materialise(meeting.join(sets, "id").groupBy(*keys).applyInArrow(_joined, "a long, b long"), "links")
     return materialise(links.unionByName(found).distinct(), "links")
 
 
@@ -220,13 +272,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("digest").agg(F.min("doc_id").alias("id"))
     own = materialise(usable.select("doc_id", "digest").join(classes, "digest").select("doc_id", "id").distinct(), "classes")
-    first = usable.select("doc_id", "keys", "signature").join(own.where("doc_id = id").select("doc_id"), "doc_id", "left_semi")
+    first = usable.select("doc_id", "keys", "signature", "n").join(own.where("doc_id = id").select("doc_id"), "doc_id", "left_semi")
     bands = first.select(F.col("doc_id").alias("id"), F.explode("keys").alias("bucket")).distinct()
     shared = bands.join(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket", "left_semi")
     members = materialise(shared.select("bucket", "id"), "members")
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     sets = materialise(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_hashed, "id long, set binary"), "sets")
-    links = links_between(members, sets, first.select(F.col("doc_id").alias("id"), "signature"))
+    links = links_between(members, sets, first.select(F.col("doc_id").alias("id"), "signature", "n"))
     of_classes = own.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     found = components(links.unionByName(of_classes))
     out = signed.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
