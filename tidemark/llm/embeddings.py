@@ -8,7 +8,8 @@
 * In a list, table lookups give the distance from ``x`` to each code. Codes further than ``d`` plus the
   code's own error, which is stored, can't belong to partners; all others get their exact cosine in
   double precision. So no link is lost whatever the quantiser looks like.
-* Lists are cut into blocks of about ``BLOCK`` vectors and their queries into blocks of about ``QUERIES``,
+* A vector travels to each list it probes, so lists are as large as a task takes, not smaller.
+* Larger lists are cut into blocks of about ``BLOCK`` vectors and their queries into blocks of about ``QUERIES``,
   so a hot list is many tasks. A task gives link counts and a spanning forest of its links, never all
   pairs. Groups come from union-find over the forests.
 
@@ -35,7 +36,7 @@ from .common import components, fresh_path, materialise, read
 from .registry import query
 
 LEAST_COSINE, SAMPLE, SUBSPACES, CODEWORDS, LLOYD = 0.95, 8192, 8, 256, 5
-MOST_LISTS, BLOCK, QUERIES = 4096, 2048, 8192
+MOST_LISTS, BLOCK, QUERIES = 4096, 8192, 8192
 SLACK = 1e-6  # for rounding in the distances; the rerank is exact
 
 
@@ -186,7 +187,7 @@ def links(classes: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     size = classes.count()
     some = classes.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()  # bounded
     sample = _units(pa.array([bytes(r.vector) for r in some], pa.binary()))
-    quantiser = Quantiser(sample, max(1, min(MOST_LISTS, int(4 * math.sqrt(size)), len(sample) // 4 or 1)))
+    quantiser = Quantiser(sample, max(1, min(MOST_LISTS, math.ceil(size / BLOCK), len(sample) // 4 or 1)))
     spec = "id long, vector binary, list int, codes binary, error double, probes array<int>"
     indexed = classes.select("id", "vector").mapInArrow(_indexed(quantiser, reach), spec).join(classes.select("id", "n"), "id")
     path = fresh_path(classes.sparkSession, "index")
