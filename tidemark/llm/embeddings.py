@@ -37,7 +37,7 @@ from .registry import query
 
 LEAST_COSINE, SAMPLE, SUBSPACES, CODEWORDS, LLOYD = 0.95, 8192, 8, 256, 5
 MOST_LISTS, BLOCK, QUERIES = 4096, 8192, 8192
-SLACK = 1e-6  # for rounding in the distances; the rerank is exact
+SLACK = 1e-4  # for rounding in the distances, which are sums of single precision; the rerank is exact
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,17 +146,24 @@ def _linked(quantiser: Quantiser, least: float, reach: float):
             my, mine = members.column("id").to_numpy(), members.column("n").to_numpy()
             y = _units(members.column("vector").combine_chunks())
             codes = np.array([np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in members.column("codes").combine_chunks()])
-            limit = reach + members.column("error").to_numpy() + SLACK
+            limit = ((reach + members.column("error").to_numpy()) ** 2 + SLACK).astype(np.float32)[:, None]
             total = np.zeros(len(my), dtype=np.int64)
             for begin in range(0, queries.num_rows, 256):
                 part = queries.slice(begin, 256)
                 ids, n, own = part.column("id").to_numpy(), part.column("n").to_numpy(), part.column("list").to_numpy()
                 x = _units(part.column("vector").combine_chunks())
-                far = np.zeros((len(ids), len(my)))
-                for m, t in enumerate(quantiser.table(x, place)):
-                    far += t[:, codes[:, m]]
-                # in its own list a pair is met from the lower id
-                i, j = np.nonzero((np.sqrt(far) <= limit[None, :]) & ((own != place)[:, None] | (ids[:, None] < my[None, :])))
+                # rows are codewords: a code copies the distances of all queries to it at once
+                tables = [np.ascontiguousarray(t.T, dtype=np.float32) for t in quantiser.table(x, place)]
+                found = []
+                for first in range(0, len(my), 1024):
+                    some = slice(first, first + 1024)
+                    far = tables[0][codes[some, 0]]
+                    for m, t in enumerate(tables[1:], 1):
+                        far += t[codes[some, m]]
+                    # in its own list a pair is met from the lower id
+                    q, p = np.nonzero((far <= limit[some]) & ((own != place)[None, :] | (ids[None, :] < my[some, None])))
+                    found.append((p, q + first))
+                i, j = (np.concatenate(v) for v in zip(*found))
                 for s in range(0, len(i), 1 << 16):
                     p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
                     link = np.einsum("ij,ij->i", x[p], y[q]) >= least
