@@ -39,6 +39,8 @@ FREQUENT, ENDINGS, KNOWN, DIMENSIONS = 4096, 256, 1 << 17, 24
 FOLDS, HELD_OUT = 7, 2
 #: Passes over the counted pairs, pairs and noise words in a product, noise words per pair in the loss, step size.
 ROUNDS, PAIRS, NOISE, RATIO, STEP = 2, 4096, 512, 20.0, 0.1
+#: Bytes of text whose words a task holds as arrays at a time, and tokens in a matrix product.
+SLICE, TOKENS = 1 << 20, 1 << 15
 
 
 def _endings(words: Words, at: np.ndarray) -> np.ndarray:
@@ -81,7 +83,7 @@ class Lexicon:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word counts of each slice; the group of a word comes along."""
-    for batch in by_bytes(batches, "text"):
+    for batch in by_bytes(batches, "text", SLICE):
         words = Words([x.encode() for x in batch.column("text").to_pylist()])
         hashes, first, counts = np.unique(words.hash, return_index=True, return_counts=True)
         yield pa.RecordBatch.from_arrays(
@@ -93,7 +95,7 @@ def _pairs(lexicon: Lexicon):
     end, size = FREQUENT + ENDINGS, FREQUENT + ENDINGS + 1
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", SLICE):
             _, number, _, _ = lexicon.tokens([x.encode() for x in batch.column("text").to_pylist()])
             before = np.concatenate([[end], number[:-1]])  # an end stands before the next text too
             pairs, counts = np.unique(before * size + number, return_counts=True)
@@ -224,13 +226,13 @@ def scored(docs: DataFrame) -> DataFrame:
     below = float(np.log10(n_all + v_all + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", SLICE):
             texts_ = [x.encode() for x in batch.column("text").to_pylist()]
             doc, number, place, hash_ = lexicon.tokens(texts_)
             before = np.concatenate([[end], number[:-1]])
             logp = np.empty(len(number))
-            for i in range(0, len(number), 1 << 17):
-                s = slice(i, i + (1 << 17))
+            for i in range(0, len(number), TOKENS):
+                s = slice(i, i + TOKENS)
                 logp[s] = np.einsum("ij,ij->i", model.q[before[s]], model.r[number[s]]) + model.b[number[s]] - normal[before[s]]
             logp /= np.log(10)
             rare = (number >= FREQUENT) & (number < end)
