@@ -115,3 +115,15 @@ def test_pipeline_keeps_columns_and_packs_what_is_left(spark):
     for doc in {r.doc_id for r in rows}:
         own = [r for r in rows if r.doc_id == doc]
         assert sum(r.length for r in own) == own[0].doc_tokens
+
+
+def test_words_with_own_rows_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(language, "FREQUENT", 4)
+    rng = np.random.default_rng(4)
+    pairs = [(f"{a}aing", f"{a}bing") for a in "cdefghijklmnopqrst"]  # one group by their last bytes
+    texts = [" ".join(w for k in rng.integers(0, len(pairs), 60) for w in pairs[k]) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [r for r in language.scored(docs).collect() if r.held_out]
+    gain = sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows)
+    assert gain > 0.1  # every second word is known from the one before it
+    assert language.own_rows(10**10) >= 10 * language.own_rows(10**8) > language.own_rows(10**6)

@@ -1,9 +1,10 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation.
 
 Tokens are words and one end per text. The model predicts a token from the one before it (the end
-stands before the first): ``p(w | v) = exp(q_v . r_w + b_w) / Z_v`` over ``FREQUENT`` frequent words, the
-end, and ``ENDINGS`` groups of all other words, told apart by their last bytes. ``Z_v`` is summed over
-the whole vocabulary by matrix products, so probabilities are normalised. A word of a group has its
+stands before the first): ``p(w | v) = exp(q_v . r_w + b_w) / Z_v`` over the frequent words, the
+end, and ``ENDINGS`` groups of all other words, told apart by their last bytes. The number of frequent words
+grows with the square root of the training tokens (``own_rows``), so that their ``Z_v``, each a sum over all
+rows, cost a constant per token. ``Z_v`` is summed over all rows by matrix products in Spark, so probabilities are normalised. A word of a group has its
 share of the group's add-one counts, where one more count stands for all unseen words.
 
 Training counts all neighbouring pairs of the training texts in Spark. Tasks then take the counted
@@ -11,8 +12,8 @@ pairs in matrix products: pairs against shared noise words drawn from the words'
 the noise-contrastive loss. In each of ``ROUNDS`` all tasks start from the same parameters, and Spark
 averages theirs, weighted by their pairs. Biases start at the log frequencies.
 
-Memory: the model has at most ``FREQUENT + ENDINGS + 1`` rows; counts of the ``KNOWN`` most frequent words
-are sent to the tasks (16 bytes each); counts of all other words stay in Spark and are joined. Words
+Memory: the model has ``own_rows`` + ``ENDINGS`` + 1 rows of 200 bytes, 30 MB for 5 billion tokens; counts of the
+``KNOWN`` most frequent words, or of those with own rows if they are more, are sent to the tasks (16 bytes each); counts of all other words stay in Spark and are joined. Words
 are named by 64-bit hashes.
 
 Defined results: null and empty texts are the end alone. A null ``doc_id`` isn't held out and doesn't
@@ -35,7 +36,9 @@ from .common import by_bytes, documents, materialise, read
 from .registry import query
 from .words import Words, mixed
 
-FREQUENT, ENDINGS, KNOWN, DIMENSIONS = 4096, 256, 1 << 17, 24
+#: Least number of words with own rows, own rows per square root of the training tokens.
+FREQUENT, GROWTH = 4096, 2.0
+ENDINGS, KNOWN, DIMENSIONS = 256, 1 << 17, 24
 FOLDS, HELD_OUT = 7, 2
 #: Passes over the counted pairs, pairs and noise words in a product, noise words per pair in the loss, step size.
 ROUNDS, PAIRS, NOISE, RATIO, STEP = 2, 4096, 512, 20.0, 0.1
@@ -43,6 +46,11 @@ ROUNDS, PAIRS, NOISE, RATIO, STEP = 2, 4096, 512, 20.0, 0.1
 SLICE, TOKENS = 1 << 20, 1 << 15
 
 
+def own_rows(tokens: int) -> int:
+    """How many words have rows of their own after ``tokens`` training tokens."""
+    return max(FREQUENT, int(GROWTH * tokens**0.5))
+
+
 def _endings(words: Words, at: np.ndarray) -> np.ndarray:
     """The group of each word by its last two bytes."""
     last = words.data[words.end[at] - 1].astype(np.uint64)
@@ -51,10 +59,11 @@ def _endings(words: Words, at: np.ndarray) -> np.ndarray:
 
 
 class Lexicon:
-    """Counts of the known words, sorted by hash; ``model`` is a word's number in the model or -1."""
+    """Counts of the known words, sorted by hash; ``model`` is a word's number in the model or -1, ``frequent`` the number of
+    words with own rows."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, model: np.ndarray):
-        self.hashes, self.counts, self.model = hashes, counts, model
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, model: np.ndarray, frequent: int):
+        self.hashes, self.counts, self.model, self.frequent = hashes, counts, model, frequent
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each hash, -1 if it isn't known."""
@@ -72,11 +81,11 @@ class Lexicon:
         place = self.find(words.hash)
         number = np.where(place >= 0, self.model[np.maximum(place, 0)] if len(self.model) else -1, -1)
         rare = np.flatnonzero(number < 0)
-        number[rare] = FREQUENT + _endings(words, rare)
+        number[rare] = self.frequent + _endings(words, rare)
         ends = words.first[1:]
         n = len(texts)
         return (
-            np.insert(words.doc, ends, np.arange(n)), np.insert(number, ends, FREQUENT + ENDINGS),
+            np.insert(words.doc, ends, np.arange(n)), np.insert(number, ends, self.frequent + ENDINGS),
             np.insert(place, ends, -2), np.insert(words.hash, ends, np.uint64(0)),
         )
 
@@ -92,7 +101,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(lexicon: Lexicon):
-    end, size = FREQUENT + ENDINGS, FREQUENT + ENDINGS + 1
+    end, size = lexicon.frequent + ENDINGS, lexicon.frequent + ENDINGS + 1
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE):
@@ -110,13 +119,14 @@ class Model:
     r: np.ndarray
     b: np.ndarray
 
-    def normalisers(self) -> np.ndarray:
-        """log Z of every context."""
-        out = np.empty(len(self.q))
-        for i in range(0, len(self.q), 512):
-            z = self.q[i : i + 512].astype(np.float64) @ self.r.T.astype(np.float64) + self.b
+    def normalisers(self, first: int = 0, last: int | None = None) -> np.ndarray:
+        """log Z of every context, or of those from ``first`` to before ``last``."""
+        q, r = self.q[first:last], self.r.T.astype(np.float64)
+        out, rows = np.empty(len(q)), max(1, (1 << 21) // len(self.r))
+        for i in range(0, len(q), rows):
+            z = q[i : i + rows].astype(np.float64) @ r + self.b
             top = z.max(axis=1)
-            out[i : i + 512] = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
+            out[i : i + rows] = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
         return out
 
     def flat(self) -> np.ndarray:
@@ -161,7 +171,7 @@ def descend(model: Model, context: np.ndarray, word: np.ndarray, count: np.ndarr
 
 def train(spark: SparkSession, pairs: DataFrame, frequency: np.ndarray) -> Model:
     """Parameters after ``ROUNDS`` of averaged passes over ``pairs`` (``pair``, ``n``)."""
-    size = FREQUENT + ENDINGS + 1
+    size = len(frequency)
     rng = np.random.default_rng(11)
     share = (frequency + 0.5) / (frequency + 0.5).sum()
     model = Model(*(rng.normal(0, 0.1, (size, DIMENSIONS)).astype(np.float32) for _ in range(2)), np.log(share).astype(np.float32))
@@ -187,12 +197,27 @@ def train(spark: SparkSession, pairs: DataFrame, frequency: np.ndarray) -> Model
         # each row of the parameters is summed on its own: a row per task and parameter row meets in Spark
         got = pairs.mapInArrow(passes(model.flat(), turn), "row int, n double, values array<float>")
         sums = got.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(F.col("values")[i].cast("double")).alias(f"v{i}") for i in range(width)])
-        rows = sums.orderBy("row").collect()  # as many rows as the model has
-        if rows:
-            model = Model.of(np.array([[r[2 + i] / r.n for i in range(width)] for r in rows], dtype=np.float32))
+        rows = sums.orderBy("row").toArrow()  # as many rows as the model has
+        if rows.num_rows:
+            n = rows.column("n").to_numpy()
+            model = Model.of(np.stack([rows.column(f"v{i}").to_numpy() / n for i in range(width)], axis=1).astype(np.float32))
     return model
 
 
+def normalisers(spark: SparkSession, model: Model) -> np.ndarray:
+    """log Z of every context, ranges of contexts in tasks."""
+    size, step = len(model.q), 2048
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in batch.column("id").to_pylist():
+                z = model.normalisers(first, first + step)
+                yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(z)), pa.int64()), pa.array(z)], ["row", "z"])
+
+    ranges = spark.range(0, size, step, -(-size // step))
+    return ranges.mapInArrow(run, "row long, z double").orderBy("row").toArrow().column("z").to_numpy()  # one number per row of the model
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of each row."""
     spark = docs.sparkSession
@@ -202,27 +227,28 @@ def scored(docs: DataFrame) -> DataFrame:
     words = training.mapInArrow(_counted, "word long, n long, ending int").groupBy("word").agg(F.sum("n").alias("n"), F.first("ending").alias("ending"))
     words = materialise(words, "word_counts")
     texts = training.count()
-    top = words.orderBy(F.desc("n"), "word").limit(KNOWN).collect()  # bounded: KNOWN rows
-    hashes = np.array([r.word for r in top], dtype=np.int64).view(np.uint64)
-    counts = np.array([r.n for r in top], dtype=np.int64)
-    model_of = np.where(np.arange(len(top)) < FREQUENT, np.arange(len(top)), -1)
-    order = np.argsort(hashes)
-    lexicon = Lexicon(hashes[order], counts[order], model_of[order])
     per_group = words.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # ENDINGS rows
+    n_all = int(sum(r.n for r in per_group)) + texts  # words and ends
+    v_all = int(sum(r.v for r in per_group)) + (1 if texts else 0)
+    frequent = own_rows(n_all)
+    top = words.orderBy(F.desc("n"), "word").limit(max(KNOWN, frequent)).toArrow()  # bounded: KNOWN rows, or those of the model
+    hashes = top.column("word").to_numpy().view(np.uint64)
+    counts = top.column("n").to_numpy()
+    model_of = np.where(np.arange(len(counts)) < frequent, np.arange(len(counts)), -1)
+    order = np.argsort(hashes)
+    lexicon = Lexicon(hashes[order], counts[order], model_of[order], frequent)
     group_n, group_v = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in per_group:
         group_n[r.ending], group_v[r.ending] = r.n, r.v
-    for r in top[:FREQUENT]:
-        group_n[r.ending] -= r.n
-        group_v[r.ending] -= 1
-    n_all = int(counts[:0].sum()) + int(sum(r.n for r in per_group)) + texts  # words and ends
-    v_all = int(sum(r.v for r in per_group)) + (1 if texts else 0)
-    frequency = np.concatenate([np.pad(counts[:FREQUENT].astype(float), (0, max(0, FREQUENT - len(counts)))), np.maximum(group_n, 0), [texts]])
+    endings = top.column("ending").to_numpy()[:frequent]
+    group_n -= np.bincount(endings, weights=counts[:frequent], minlength=ENDINGS)
+    group_v -= np.bincount(endings, minlength=ENDINGS)
+    frequency = np.concatenate([np.pad(counts[:frequent].astype(float), (0, max(0, frequent - len(counts)))), np.maximum(group_n, 0), [texts]])
     pairs = materialise(training.mapInArrow(_pairs(lexicon), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pair_counts")
     model = train(spark, pairs, frequency) if texts else Model(*(np.zeros((len(frequency), DIMENSIONS), np.float32) for _ in range(2)), np.zeros(len(frequency), np.float32))
-    normal = model.normalisers()
+    normal = normalisers(spark, model)
     group_total = group_n + group_v + 1
-    end = FREQUENT + ENDINGS
+    end = frequent + ENDINGS
     below = float(np.log10(n_all + v_all + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +261,8 @@ def scored(docs: DataFrame) -> DataFrame:
                 s = slice(i, i + TOKENS)
                 logp[s] = np.einsum("ij,ij->i", model.q[before[s]], model.r[number[s]]) + model.b[number[s]] - normal[before[s]]
             logp /= np.log(10)
-            rare = (number >= FREQUENT) & (number < end)
-            logp[rare] -= np.log10(group_total[number[rare] - FREQUENT])  # the word's own count follows below or in the join
+            rare = (number >= frequent) & (number < end)
+            logp[rare] -= np.log10(group_total[number[rare] - frequent])  # the word's own count follows below or in the join
             count = np.where(place >= 0, lexicon.counts[np.maximum(place, 0)] if len(lexicon.counts) else 0, np.where(place == -2, texts, 0)).astype(np.int64)
             logp[rare & (place >= 0)] += np.log10(count[rare & (place >= 0)] + 1)
             settled = place != -1
