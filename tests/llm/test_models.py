@@ -127,3 +127,20 @@ def test_words_with_own_rows_grow_with_the_corpus(spark, monkeypatch):
     gain = sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows)
     assert gain > 0.1  # every second word is known from the one before it
     assert language.own_rows(10**10) >= 10 * language.own_rows(10**8) > language.own_rows(10**6)
+
+
+def test_a_pair_weighs_as_much_as_its_count(spark):
+    rows = [(1, 10_000)] + [(k, 1) for k in range(2, 102)]  # context 0, codes are 0 * size + word
+    size = 102
+    got = language.dealt(spark.createDataFrame(rows, "pair long, n long")).collect()
+    mean = sum(n for _, n in rows) / len(rows)
+    weight = np.bincount([r.pair for r in got], weights=[r.weight for r in got], minlength=size)
+    assert np.allclose(weight[1:] * mean, [n for _, n in rows])
+    assert max(r.weight for r in got) <= language.HEAVY and len(got) <= len(rows) * (1 + 1 / language.HEAVY)
+    rng = np.random.default_rng(5)
+    model = language.Model(*(rng.normal(0, 0.1, (size, language.DIMENSIONS)).astype(np.float32) for _ in range(2)), np.full(size, -np.log(size), np.float32))
+    word, weights = np.array([r.pair for r in got]), np.array([r.weight for r in got])
+    for _ in range(400):
+        language.descend(model, np.zeros(len(word), np.int64), word, weights, np.full(size, 1 / size), rng)
+    z = model.r @ model.q[0] + model.b
+    assert np.exp(z[1] - z.max()) / np.exp(z - z.max()).sum() > 0.9  # by square roots of counts 0.5

@@ -9,8 +9,9 @@ share of the group's add-one counts, where one more count stands for all unseen
 
 Training counts all neighbouring pairs of the training texts in Spark. Tasks then take the counted
 pairs in matrix products: pairs against shared noise words drawn from the words' own frequencies, with
-the noise-contrastive loss. In each of ``ROUNDS`` all tasks start from the same parameters, and Spark
-averages theirs, weighted by their pairs. Biases start at the log frequencies.
+the noise-contrastive loss. A pair weighs as much as its count; frequent ones are cut into parts for several
+products (``dealt``). In each of ``ROUNDS`` all tasks start from the same parameters, and Spark
+averages theirs, weighted by their counts. Biases start at the log frequencies.
 
 Memory: the model has ``own_rows`` + ``ENDINGS`` + 1 rows of 200 bytes, 30 MB for 5 billion tokens; counts of the
 ``KNOWN`` most frequent words, or of those with own rows if they are more, are sent to the tasks (16 bytes each); counts of all other words stay in Spark and are joined. Words
@@ -42,6 +43,8 @@ ENDINGS, KNOWN, DIMENSIONS = 256, 1 << 17, 24
 FOLDS, HELD_OUT = 7, 2
 #: Passes over the counted pairs, pairs and noise words in a product, noise words per pair in the loss, step size.
 ROUNDS, PAIRS, NOISE, RATIO, STEP = 2, 4096, 512, 20.0, 0.1
+#: Mean counts that one row of a pair holds at most.
+HEAVY = 4.0
 #: Bytes of text whose words a task holds as arrays at a time, and tokens in a matrix product.
 SLICE, TOKENS = 1 << 20, 1 << 15
 
@@ -137,14 +140,12 @@ class Model:
         return cls(flat[:, :DIMENSIONS], flat[:, DIMENSIONS : 2 * DIMENSIONS], flat[:, -1])
 
 
-def descend(model: Model, context: np.ndarray, word: np.ndarray, count: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> None:
-    """One pass over counted pairs with the noise-contrastive loss and Adagrad steps."""
+def descend(model: Model, context: np.ndarray, word: np.ndarray, weights: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> None:
+    """One pass over weighted pairs with the noise-contrastive loss and Adagrad steps."""
     q, r, b = model.q, model.r, model.b
     gq, gr, gb = (np.full(len(q), 1e-3, np.float32) for _ in range(3))
     step, cumulated, log_noise = STEP, np.cumsum(noise), np.log(noise * RATIO)
     order = rng.permutation(len(context))
-    weights = np.sqrt(count)  # tempers the few most frequent pairs
-    weights = weights / weights.mean()
     for i in range(0, len(order), PAIRS):
         at = order[i : i + PAIRS]
         c, w, n = context[at], word[at], weights[at].astype(np.float32)
@@ -169,8 +170,21 @@ def descend(model: Model, context: np.ndarray, word: np.ndarray, count: np.ndarr
         b += (step * db / np.sqrt(gb)).astype(np.float32)
 
 
+def dealt(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (``pair``, ``n``) as rows (``pair``, ``part``, ``weight``) whose weights are the counts over the mean count.
+
+    A pair of more than ``HEAVY`` mean counts is cut into equal parts, which are dealt to different tasks and products: no
+    row outweighs a product, and there is one row more for every ``HEAVY`` pairs at most.
+    """
+    mean = pairs.agg(F.avg("n")).first()[0] or 1.0
+    parts = F.ceil(F.col("n") / (HEAVY * mean)).cast("long")
+    rows = pairs.withColumn("parts", parts).select("pair", (F.col("n") / mean / F.col("parts")).alias("weight"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return rows.repartition("pair", "part")
+
+
 def train(spark: SparkSession, pairs: DataFrame, frequency: np.ndarray) -> Model:
     """Parameters after ``ROUNDS`` of averaged passes over ``pairs`` (``pair``, ``n``)."""
+    pairs = materialise(dealt(pairs), "dealt_pairs")
     size = len(frequency)
     rng = np.random.default_rng(11)
     share = (frequency + 0.5) / (frequency + 0.5).sum()
@@ -178,17 +192,17 @@ def train(spark: SparkSession, pairs: DataFrame, frequency: np.ndarray) -> Model
 
     def passes(flat: np.ndarray, turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, seen = Model.of(flat.copy()), 0
+            own, seen = Model.of(flat.copy()), 0.0
             own = Model(own.q.copy(), own.r.copy(), own.b.copy())
             draw = np.random.default_rng([turn, TaskContext.get().partitionId()])
             for batch in batches:
-                code, n = batch.column("pair").to_numpy(), batch.column("n").to_numpy().astype(np.float64)
+                code, weight = batch.column("pair").to_numpy(), batch.column("weight").to_numpy()
                 if len(code):
-                    descend(own, code // size, code % size, n, share, draw)
-                    seen += len(code)
+                    descend(own, code // size, code % size, weight, share, draw)
+                    seen += float(weight.sum())
             if seen:
                 out = own.flat() * np.float32(seen)
-                yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array([float(seen)] * size), pa.array(list(out), pa.list_(pa.float32()))], ["row", "n", "values"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array([seen] * size), pa.array(list(out), pa.list_(pa.float32()))], ["row", "n", "values"])
 
         return run
 
