@@ -116,3 +116,47 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     edges = [(i + 1, i) for i in range(1, 60)] + [(100, 100 + i) for i in range(1, 90)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(500, 500)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, **{100 + i: 100 for i in range(90)}, **{200 + i: 200 for i in range(9)}}
+
+
+def test_crowded_buckets_lose_no_link_however_few_slots_agree(spark, monkeypatch):
+    plain = minhash.signatures
+
+    def unlike(doc, value, n_docs, slots=minhash.SLOTS):
+        """One band is common to all texts, no other slot is common to any two of them."""
+        h = plain(doc, value, n_docs, slots)
+        own = np.unique(doc, return_index=True)
+        h[:, 4:] = 1000.0
+        h[:, :4] = 0.5
+        for d, at in zip(*own):
+            total = value[doc == d].sum(dtype=np.uint64)
+            h[d, 4:] += mixed(np.arange(slots - 4, dtype=np.uint64) + total) / 2.0**64
+        return h
+
+    monkeypatch.setattr(minhash, "signatures", unlike)
+    rng = random.Random(6)
+    rows = list(enumerate(x for words in (120, 60, 80, 700) for x in family(rng, 5, words, 3)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, minhash.near_groups(docs).collect())) == groups_by_id(rows)
+
+
+def groups_by_id(rows):
+    return sorted(groups(rows))
+
+
+def test_bounds_never_rule_out_a_similar_pair():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    sets = []
+    for size in (1, 3, 30, 900, 9000):
+        base = mixed(rng.integers(0, 1 << 62, size).astype(np.uint64))
+        sets += [np.unique(np.where(rng.random(size) < p, mixed(rng.integers(0, 1 << 62, size).astype(np.uint64)), base)) for p in (0, 0.05, 0.1, 0.14, 0.2, 0.6)]
+    bits = np.zeros((len(sets), minhash.BITS), dtype=bool)
+    for i, x in enumerate(sets):
+        bits[i, (mixed(x) % np.uint64(minhash.BITS)).astype(np.int64)] = True
+    packed = [x.tobytes() for x in np.packbits(bits, axis=1)]
+    keys = np.arange(len(sets) * minhash.BANDS, dtype=np.int64).reshape(len(sets), -1)
+    table = pa.table({"id": range(len(sets)), "label": range(len(sets)), "n": [len(x) for x in sets], "keys": pa.array(list(keys), pa.list_(pa.int64())), "bits": pa.array(packed, pa.binary())})
+    found = {(i, int(j)) for i, js, _ in minhash._candidates(0, table, table) for j in js}
+    similar = {(i, j) for i, j in combinations(range(len(sets)), 2) if minhash._alike(sets[i], sets[j])}
+    assert similar and similar <= found

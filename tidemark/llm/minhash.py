@@ -13,9 +13,10 @@ classes. A bucket of at most ``SMALL`` classes names all its pairs, which bounds
 multiple of its members. In a larger one, each round tests all classes against a few
 representatives drawn anew, who then leave; a bucket ends when all its classes have one label. Every
 pair of a bucket with different labels is tested in the end, so no link is lost, and pairs that are
-already joined are never named. What is left after ``ROUNDS`` is compared block by block: signatures
-tell which classes may be similar to another one, their sets then meet in the task, which tests the
-pairs and gives a spanning forest of the links, never the pairs. Links hold on full sets of 64-bit
+already joined are never named. What is left after ``ROUNDS`` is compared block by block: bit sets of the
+hashes bound the similarity of two classes from above, sets of classes whose bound allows a link then meet in
+the task, which tests the pairs and gives a spanning forest of the links, never the pairs. No similar pair of
+a bucket is left out. Links hold on full sets of 64-bit
 shingle hashes: 100 * intersection >= 75 * union.
 
 Defined results: null or empty texts, and texts without words, have the empty set and link with
@@ -38,9 +39,8 @@ from .words import Words, mixed
 
 SLOTS, BANDS, ROWS, SHINGLE, PERCENT = 128, 32, 4, 5, 75
 SMALL, PICKS, ROUNDS, BLOCK, BLOCK_BYTES = 8, 1, 1, 1024, 16 << 20
-#: A pair is tested in the last step if its signatures agree in this share of the slots. At the similarity
-#: 0.75 the share has a standard deviation of 0.03, so this is more than four of them below.
-LEAST_AGREEMENT = 0.62
+#: Bits of the set of hashes modulo this number.
+BITS = 4096
 
 
 def signatures(doc: np.ndarray, value: np.ndarray, n_docs: int, slots: int = SLOTS) -> np.ndarray:
@@ -103,13 +103,15 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.searchsorted(doc, np.arange(n + 1))
         h = signatures(doc, value, n)
         keys = band_keys(h).view(np.int64)
-        short = (mixed(h.view(np.uint64)) >> np.uint64(48)).astype(np.uint16)  # 16 bits of each slot tell slots apart
+        bits = np.zeros((n, BITS), dtype=bool)
+        bits[doc, (mixed(value) % np.uint64(BITS)).astype(np.int64)] = True
+        bits = np.packbits(bits, axis=1)
         size = np.diff(first)
         digest = [hashlib.blake2b(value[first[i] : first[i + 1]].tobytes(), digest_size=16).digest() for i in range(n)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(list(keys), pa.list_(pa.int64())),
-             pa.array([x.tobytes() for x in short], pa.binary())],
-            ["doc_id", "n", "digest", "keys", "signature"],
+             pa.array([x.tobytes() for x in bits], pa.binary())],
+            ["doc_id", "n", "digest", "keys", "bits"],
         )
 
 
@@ -147,18 +149,24 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _candidates(band: int, left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each row of ``left`` with any: its number, those of the rows of ``right`` that may be similar and have another
-    label, and their agreement. A pair that shares an earlier band as well is left to that one."""
-    a, b = ([t.column(c).to_numpy() for c in ("id", "label")] for t in (left, right))
-    sa, sb = (np.array([np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in t.column("signature")]) for t in (left, right))
-    if not len(sb):
+    label, and the bound of their similarity. A pair that shares an earlier band as well is left to that one.
+
+    Each bit that only one set has stands for at least one hash that the other set lacks, which bounds the intersection.
+    """
+    a, b = ([t.column(c).to_numpy() for c in ("id", "label", "n")] for t in (left, right))
+    if not len(a[0]) or not len(b[0]):
         return
+    bits_a, bits_b = (np.array([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t.column("bits")]) for t in (left, right))
+    keys_a, keys_b = (np.array([x.values.to_numpy() for x in t.column("keys")]) for t in (left, right))
+    ones = np.bitwise_count(bits_b).sum(axis=1, dtype=np.int64)
     for i in range(len(a[0])):
-        agree = sb == sa[i]
-        before = agree[:, : band * ROWS].reshape(len(sb), band, ROWS).all(axis=2).any(axis=1)
-        share = agree.mean(axis=1)
-        found = np.flatnonzero((share >= LEAST_AGREEMENT) & ~before & (a[1][i] != b[1]) & (a[0][i] < b[0]))
+        both = np.bitwise_count(bits_b & bits_a[i]).sum(axis=1, dtype=np.int64)
+        common = np.minimum(a[2][i] - (int(np.bitwise_count(bits_a[i]).sum(dtype=np.int64)) - both), b[2] - (ones - both))
+        union = a[2][i] + b[2] - common
+        before = (keys_b[:, :band] == keys_a[i, :band]).any(axis=1)
+        found = np.flatnonzero((100 * common >= PERCENT * union) & ~before & (a[1][i] != b[1]) & (a[0][i] < b[0]))
         if len(found):
-            yield i, found, share[found]
+            yield i, found, common[found] / union[found]
 
 
 def _meeting(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -171,11 +179,11 @@ def _meeting(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.concat_tables(out).select([n for n, _ in MEETING])
 
 
-MEETING = [("bucket", "long"), ("block", "int"), ("other", "int"), ("side", "int"), ("id", "long"), ("label", "long"), ("signature", "binary")]
+MEETING = [("bucket", "long"), ("block", "int"), ("other", "int"), ("side", "int"), ("id", "long"), ("label", "long"), ("n", "long"), ("keys", "array<long>"), ("bits", "binary")]
 
 
 def _joined(key: tuple, table: pa.Table) -> pa.Table:
-    """A spanning forest, over the labels, of the links between two blocks; the most alike pairs are tested first and
+    """A spanning forest, over the labels, of the links between two blocks; pairs of the highest bounds are tested first and
     pairs that are joined by then need no test."""
     side = table.column("side").to_numpy()
     left, right = (table.filter(pa.array(side == k)) for k in (0, 1))
@@ -220,8 +228,8 @@ def _open(labelled: DataFrame) -> DataFrame:
 def links_between(members: DataFrame, sets: DataFrame, short: DataFrame) -> DataFrame:
     """Links (``a`` < ``b``) that join all similar classes of the buckets ``members`` (``bucket``, ``id``).
 
-    ``sets`` (``id``, ``set``) holds their shingle hashes, ``short`` (``id``, ``signature``, ``n``) 16 bits of each slot
-    and the size of the set.
+    ``sets`` (``id``, ``set``) holds their shingle hashes, ``short`` (``id``, ``n``, ``keys``, ``bits``) the size of the set,
+    the key of each band and the bits of the hashes.
     """
     left, right = F.col("left"), F.col("right")
     sized = members.join(members.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
@@ -248,17 +256,17 @@ def links_between(members: DataFrame, sets: DataFrame, short: DataFrame) -> Data
     now = materialise(_open(_labelled(rest, links)), "open_buckets")
     if now.isEmpty():
         return links
-    sized = now.join(short, "id").select("bucket", "id", "label", "signature", "n")
+    sized = now.join(short, "id").select("bucket", "id", "label", "n", "keys", "bits")
     # a block's sets are bounded too: they meet in one task
     n_blocks = sized.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    blocked = sized.drop("n").join(n_blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocked = sized.join(n_blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     blocked = materialise(blocked, "blocks")
     blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     one = blocked.withColumn("other", blocks)
     two = blocked.withColumnRenamed("block", "other").withColumn("block", blocks)
-    keys, cols = ("bucket", "block", "other"), ("bucket", "block", "other", "id", "label", "signature")
+    keys, cols = ("bucket", "block", "other"), ("bucket", "block", "other", "id", "label", "n", "keys", "bits")
     schema = ", ".join(f"{n} {t}" for n, t in MEETING)
-    # signatures first, so that full sets travel only with classes that may be similar to another one in their block
+    # bits first, so that full sets travel only with classes that may be similar to another one in their block
     meeting = one.select(*cols).groupBy(*keys).cogroup(two.select(*cols).groupBy(*keys)).applyInArrow(_meeting, schema)
     meeting = materialise(meeting, "meeting")
     found = materialise(meeting.join(sets, "id").groupBy(*keys).applyInArrow(_joined, "a long, b long"), "links")
@@ -268,17 +276,17 @@ def links_between(members: DataFrame, sets: DataFrame, short: DataFrame) -> Data
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
     rows = documents(docs)
-    signed = materialise(rows.mapInArrow(_signed, "doc_id long, n long, digest binary, keys array<long>, signature binary"), "signed")
+    signed = materialise(rows.mapInArrow(_signed, "doc_id long, n long, digest binary, keys array<long>, bits binary"), "signed")
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("digest").agg(F.min("doc_id").alias("id"))
     own = materialise(usable.select("doc_id", "digest").join(classes, "digest").select("doc_id", "id").distinct(), "classes")
-    first = usable.select("doc_id", "keys", "signature", "n").join(own.where("doc_id = id").select("doc_id"), "doc_id", "left_semi")
+    first = usable.select("doc_id", "keys", "bits", "n").join(own.where("doc_id = id").select("doc_id"), "doc_id", "left_semi")
     bands = first.select(F.col("doc_id").alias("id"), F.explode("keys").alias("bucket")).distinct()
     shared = bands.join(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket", "left_semi")
     members = materialise(shared.select("bucket", "id"), "members")
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     sets = materialise(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_hashed, "id long, set binary"), "sets")
-    links = links_between(members, sets, first.select(F.col("doc_id").alias("id"), "signature", "n"))
+    links = links_between(members, sets, first.select(F.col("doc_id").alias("id"), "n", "keys", "bits"))
     of_classes = own.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     found = components(links.unionByName(of_classes))
     out = signed.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
