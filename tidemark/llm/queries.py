@@ -1,6 +1,8 @@
 """Imports the modules that register queries."""
 
-from . import binary, counting, embeddings, exact, language, minhash, packing, suffix, toxicity, transducer  # noqa: F401
+from . import (  # noqa: F401
+    binary, counting, embeddings, exact, language, minhash, packing, resampling, suffix, toxicity, transducer,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
