@@ -345,7 +345,7 @@ LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrst
 #: All phrases are counted; a longer phrase that occurs as often has one of one word more within it.
 SQL = rf"""
 WITH pieces AS (
-  SELECT lang, row_number() OVER () AS piece, list_filter(string_split_regex(x, '[ \t]+'), w -> w <> '') AS w
+  SELECT lang, row_number() OVER () AS piece, list_filter(string_split_regex(x, '[ \t]+'), lambda w: w <> '') AS w
   FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(coalesce({LOWER_SQL}, ''), '[.,;:!?\n\x0b\x0c\r]')) AS x FROM documents)),
 totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY 1),
 spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces WHERE len(w) > 0),
