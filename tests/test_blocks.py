@@ -59,13 +59,13 @@ def test_ffill(ticks, span):
     assert of_spark(out) == of_spark(G.ffill(gaps, ["price"], order=order, span=None))
 
 
-@pytest.mark.parametrize("salts", [1, 5])
+@pytest.mark.parametrize("rows", [7, 60, 10_000])
 @pytest.mark.parametrize("span", [timedelta(seconds=5), timedelta(minutes=3), timedelta(days=1)])
-def test_asof_join(ticks, span, salts):
+def test_asof_join(ticks, span, rows):
     right = ticks.filter("trade_id % 13 = 0").select(
         "symbol", "ts", F.col("trade_id").alias("rid"), F.when(F.col("trade_id") % 2 == 0, F.col("price")).alias("rv"))
     left = ticks.filter("trade_id % 13 != 0").select("symbol", "ts", "trade_id")
-    out = G.asof_join(left, right, span=span, tie=("rid",), salts=salts)
+    out = G.asof_join(left, right, span=span, tie=("rid",), rows_per_piece=rows)
     rows = {r.trade_id: r for r in out.collect()}
     assert len(rows) == left.count()
     rights = sorted(((r.symbol, r.ts, r.rid, r.rv) for r in right.collect()), key=lambda r: r[:3])
@@ -75,12 +75,92 @@ def test_asof_join(ticks, span, salts):
         assert (rows[r.trade_id].rid, rows[r.trade_id].rv) == expected
 
 
-def test_asof_join_with_given_times(ticks):
-    right = ticks.filter("trade_id % 13 = 0").select("symbol", "ts", F.col("trade_id").alias("rid"))
-    left = ticks.filter("trade_id % 5 = 0").select("symbol", "ts", "trade_id")
-    span = timedelta(minutes=1)
-    given = G.asof_join(left, right, span=span, tie=("rid",), times=ticks.select("symbol", "ts"))
-    assert of_spark(given) == of_spark(G.asof_join(left, right, span=span, tie=("rid",)))
+@pytest.mark.parametrize("hot", ["left", "right", "left, one time", "right, one time"])
+def test_asof_join_splits_hot_spans(spark, hot):
+    """95 % of the rows in one span, on either side, spread or all at one time: no task gets more than a few pieces' rows."""
+    def rows(n, crowded):
+        spread = [("s", START + timedelta(hours=7 * i), i) for i in range(n // 20)]
+        times = [0] * n if "one time" in hot else [i * 7919 % 86_400_000 for i in range(n)]
+        many = [("s", START + timedelta(days=1, hours=12 if "one time" in hot else 0, milliseconds=t), 10_000 + i) for i, t in enumerate(times)]
+        return spread + (many if crowded else many[::40])
+
+    n, piece = 4_000, 300
+    left = spark.createDataFrame(rows(n, hot.startswith("left")), "symbol string, ts timestamp_ntz, i bigint")
+    right = spark.createDataFrame(rows(n, hot.startswith("right")), "symbol string, ts timestamp_ntz, j bigint")
+    out = {r.i: r.j for r in G.asof_join(left, right, tie=("j",), rows_per_piece=piece).collect()}
+    rights = sorted((r.ts, r.j) for r in right.collect())
+    keys = [t for t, _ in rights]
+    from bisect import bisect_right
+
+    assert len(out) == left.count()
+    for r in left.collect():
+        at = bisect_right(keys, r.ts)
+        assert out[r.i] == (rights[at - 1][1] if at else None)
+    l = left.select("symbol", "ts", F.struct("i").alias("_left"), F.lit(1).alias("_side")).withColumn("_span", G.slot(F.col("ts"), G.ONE_DAY))
+    r = right.select("symbol", "ts", F.struct("j").alias("_right"), F.struct("j").alias("_tie"), F.lit(0).alias("_side")).withColumn("_span", G.slot(F.col("ts"), G.ONE_DAY))
+    parts = ["symbol", "_span"]
+    sizes = [d.groupBy(*parts, "_piece").count().agg(F.max("count")).first()[0] for d in G.dealt(l, r, parts, "ts", piece)]
+    assert max(sizes) < 2 * piece
+
+
+@pytest.mark.parametrize("seconds", [1, 10, 300, 100_000])
+def test_lookahead_equals_unbroken_window(ticks, seconds):
+    def ahead(d, w):
+        return d.withColumn("later", F.lead("price", 9).over(w)).withColumn("total", F.sum("price").over(w.rowsBetween(-3, 9)))
+
+    cut = blocks.time_cut(timedelta(seconds=seconds))
+    out = blocks.blockwise(ticks, cut, 3, ahead, ahead=9)
+    assert of_spark(out) == of_spark(ahead(ticks, ordered(["symbol"], "ts", "trade_id")))
+
+
+@pytest.mark.parametrize("minutes", [1, 7, 10_000])
+def test_forward_metrics_on_fine_bars(spark, minutes):
+    """Block by block as over the whole symbol, at the ends of blocks and of the series."""
+    import random
+
+    from tidemark.operators import labels
+
+    draw, rows = random.Random(2), []
+    for s, n in (("a", 90), ("b", 2), ("c", 5)):
+        price = 100.0
+        for i in range(n):
+            price *= 1 + draw.gauss(0, 0.01)
+            rows.append((s, START + timedelta(seconds=15 * i + 600 * (i // 30)), price, price * 1.01, price * 0.99))
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double, high double, low double").repartition(4)
+    plain = labels.with_forward(bars, labels.Thresholds(), ("symbol",), "ts")
+    out = labels.with_forward_blockwise(bars, blocks.time_cut(timedelta(minutes=minutes), order=("ts",)))
+
+    def nearby(df):
+        return of_spark(df.select("symbol", "ts", *[F.round(c, 12).alias(c) for c in ("forward_return", "forward_volatility", "forward_hl_range")]))
+
+    assert nearby(out) == nearby(plain)
+
+
+@pytest.mark.parametrize("days", [1, 30, 1000])
+def test_rolling_quantiles(spark, days):
+    """The sorted window against sorting each window anew, across blocks, with gaps and repeated values."""
+    import random
+
+    from tidemark.operators.bars import rolling_quantiles
+
+    draw, rows, n = random.Random(4), [], 12
+    for s, size in (("a", 150), ("b", 11), ("c", 12)):
+        rows += [(s, START + timedelta(hours=4 * i), draw.choice([None, 1.0, 2.0, 2.0, draw.random(), -draw.random()]) if s == "a" else draw.random()) for i in range(size)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, x double").repartition(3)
+    out = rolling_quantiles(df, {"low": ("x", 0.2), "mid": ("x", 0.5)}, n, block=timedelta(days=days)).orderBy("symbol", "ts").collect()
+    assert len(out) == len(rows)
+    for s in "abc":
+        values = [x for t, _, x in rows if t == s]
+        for i, r in enumerate([r for r in out if r.symbol == s]):
+            window = values[max(0, i - n + 1):i + 1]
+            full = len(window) == n and None not in window
+            for q, got in ((0.2, r.low), (0.5, r.mid)):
+                if not full:
+                    assert got is None
+                else:
+                    ordered_ = sorted(window)
+                    at = q * (n - 1)
+                    assert got == pytest.approx(ordered_[int(at)] + (ordered_[min(int(at) + 1, n - 1)] - ordered_[int(at)]) * (at % 1))
 
 
 def test_grid_copies_whole_rows_and_ends_at_the_last_point(spark):

@@ -8,14 +8,18 @@ computations block by block where finer bars ask for it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, insort
+from collections.abc import Mapping, Sequence
 from datetime import timedelta
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.frames import full_avg, full_std, if_full, ordered, ratio_change, trailing
+from ..functions.frames import full_avg, full_std, ordered, ratio_change, trailing
 from ..functions.timing import arrival_key, floor_to
+from .blocks import CARRIED, time_cut, with_lookback
 from .timegrid import FOUR_HOURS
 
 # Volatility windows in rows and the guard of ratios.
@@ -117,12 +121,58 @@ def moving_std(df: DataFrame, column: str, n: int, into: str,
     return df.withColumn(into, full_std(F.col(column), ordered(keys, ts), n))
 
 
+QUANTILE_BLOCK = timedelta(days=365)
+
+
+def rolling_quantiles(df: DataFrame, wanted: Mapping[str, tuple[str, float]], n: int, keys: Sequence[str] = ("symbol",),
+                      ts: str = "ts", block: timedelta = QUANTILE_BLOCK) -> DataFrame:
+    """Exact interpolated quantiles over the last ``n`` rows; ``wanted``: new column -> (column, share).
+
+    NULL where fewer than ``n`` of those rows have a value. Each column's window is a sorted
+    array from which one value leaves and into which one comes per row, found by bisection, so
+    no row looks at the whole window. Series are cut into blocks of time with the ``n - 1`` rows
+    before them.
+    """
+    cut = time_cut(block, keys, (ts,))
+    rows = with_lookback(df.withColumns({f"_of_{c}": F.col(c).cast("double") for c, _ in wanted.values()}), cut, n - 1)
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    out = ", ".join(f"`{c}` double" for c in wanted)
+    return rows.groupBy(*cut.parts).applyInArrow(_quantiles(dict(wanted), n, ts, df.columns), f"{named}, {out}")
+
+
+def _quantiles(wanted: dict[str, tuple[str, float]], n: int, ts: str, columns: list[str]):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(ts)
+        own = pc.invert(rows[CARRIED])
+        out = {}
+        for column in dict.fromkeys(c for c, _ in wanted.values()):
+            shares = {name: q for name, (c, q) in wanted.items() if c == column}
+            values = rows[f"_of_{column}"].to_pylist()
+            window: list[float] = []
+            found = {name: [None] * len(values) for name in shares}
+            for i, x in enumerate(values):
+                if i >= n and values[i - n] is not None:
+                    del window[bisect_left(window, values[i - n])]
+                if x is not None:
+                    insort(window, x)
+                if len(window) == n:
+                    for name, q in shares.items():
+                        at = q * (n - 1)
+                        low = int(at)
+                        high = min(low + 1, n - 1)
+                        found[name][i] = window[low] + (window[high] - window[low]) * (at - low)
+            out |= {name: pa.array(v, pa.float64()) for name, v in found.items()}
+        table = rows.select(columns)
+        for name in wanted:
+            table = table.append_column(name, out[name])
+        return table.filter(own)
+
+    return run
+
+
 def rolling_quantile(df: DataFrame, column: str, q: float, n: int, into: str,
                      keys: Sequence[str] = ("symbol",), ts: str = "ts") -> DataFrame:
-    """Exact interpolated quantile over ``n`` rows. For bars: each row costs O(n)."""
-    w = ordered(keys, ts)
-    c = F.col(column)
-    return df.withColumn(into, if_full(w, n, c, F.percentile(c, q).over(trailing(w, n))))
+    return rolling_quantiles(df, {into: (column, q)}, n, keys, ts)
 
 
 def src_ohlcv(candles: DataFrame, window_days: int = 730) -> DataFrame:

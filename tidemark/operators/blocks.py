@@ -7,6 +7,7 @@ cut a series into blocks, partition by (symbol, block), and hand each block what
 needs from before its start:
 
 * the last rows of the preceding blocks, for windows with a fixed look-back;
+* the first rows of the following blocks, for windows with a fixed look-ahead;
 * opening totals, for running sums and running maxima.
 
 Only per-block summaries are ever windowed by symbol alone.
@@ -119,6 +120,35 @@ def with_lookback(df: DataFrame, cut: Cut, rows: int) -> DataFrame:
     return own.withColumn(CARRIED, F.lit(False)).unionByName(carried)
 
 
+def with_lookahead(df: DataFrame, cut: Cut, rows: int) -> DataFrame:
+    """Only the copies: the ``rows`` rows that follow each block, ``_block`` being the block they are copied into.
+
+    The mirror image of ``with_lookback``, exact for blocks of any size.
+    """
+    own = cut.apply(df)
+    counts = own.groupBy(*cut.parts).agg(F.count(F.lit(1)).alias("_n"))
+    w = cut.between_blocks()
+    # Every listed block holds at least one row, so ``rows`` blocks before suffice.
+    spans = (
+        counts
+        .withColumn("_end", F.sum("_n").over(so_far(w)))
+        .withColumn("_start", F.col("_end") - F.col("_n"))
+        .withColumn("_sooner", F.collect_list(F.struct(F.col(BLOCK).alias("b"), F.col("_end").alias("e")))
+                    .over(w.rowsBetween(-rows, -1)))
+        .withColumn("_to", F.explode(F.filter("_sooner", lambda t: t["e"] > F.col("_start") - rows)))
+        .select(*cut.parts, "_start", "_to")
+    )
+    heads = (
+        own.withColumn("_front", F.row_number().over(cut.window()))
+        .filter(F.col("_front") <= rows)
+    )
+    return (
+        heads.join(spans, cut.parts)
+        .filter(F.col("_start") + F.col("_front") <= F.col("_to.e") + rows)
+        .select(*df.columns, F.col("_to.b").alias(BLOCK), F.lit(True).alias(CARRIED))
+    )
+
+
 def opening(df: DataFrame, cut: Cut, totals: dict[str, Column], combine: Callable) -> DataFrame:
     """Per (keys, block): each total combined over all earlier blocks (NULL at the first)."""
     per_block = cut.apply(df).groupBy(*cut.parts).agg(*[c.alias(n) for n, c in totals.items()])
@@ -127,14 +157,18 @@ def opening(df: DataFrame, cut: Cut, totals: dict[str, Column], combine: Callabl
 
 
 def blockwise(df: DataFrame, cut: Cut, rows: int,
-              compute: Callable[[DataFrame, WindowSpec], DataFrame]) -> DataFrame:
-    """Run a look-back computation block by block; same rows as over the whole symbol.
+              compute: Callable[[DataFrame, WindowSpec], DataFrame], ahead: int = 0) -> DataFrame:
+    """Run a computation on neighbouring rows block by block; same rows as over the whole symbol.
 
     ``compute`` gets the frame and the window to use and must keep every row. Values are
-    those of an unbroken window as long as they depend on at most ``rows`` earlier rows.
+    those of an unbroken window as long as they depend on at most ``rows`` earlier and
+    ``ahead`` later rows.
     """
+    seen = with_lookback(df, cut, rows)
+    if ahead:
+        seen = seen.unionByName(with_lookahead(df, cut, ahead))
     return (
-        compute(with_lookback(df, cut, rows), cut.window())
+        compute(seen, cut.window())
         .filter(~F.col(CARRIED))
         .drop(BLOCK, CARRIED)
     )

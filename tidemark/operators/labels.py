@@ -8,8 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.frames import if_full, ordered, ratio_change, trailing, whole
+from ..functions.frames import ordered, ratio_change
 from ..functions.timing import age_days
+from ..session import materialise
+from .bars import rolling_quantiles
+from .blocks import Cut, blockwise
 from .timegrid import max_ts
 
 # Regime numbers, quantiles and look-back of the adaptive labels.
@@ -42,8 +45,7 @@ def forward_hl_range(w: WindowSpec, n: int) -> Column:
     return F.try_divide(F.lead("high", n).over(w) - F.lead("low", n).over(w), F.col("close"))
 
 
-def with_forward(df: DataFrame, t: Thresholds, keys: Sequence[str], ts: str) -> DataFrame:
-    w = ordered(keys, ts)
+def forward_columns(df: DataFrame, t: Thresholds, w: WindowSpec) -> DataFrame:
     n = t.forward_window
     return (
         df.withColumn("_ret", ratio_change(F.col("close"), w))
@@ -56,6 +58,15 @@ def with_forward(df: DataFrame, t: Thresholds, keys: Sequence[str], ts: str) ->
     )
 
 
+def with_forward(df: DataFrame, t: Thresholds, keys: Sequence[str], ts: str) -> DataFrame:
+    return forward_columns(df, t, ordered(keys, ts))
+
+
+def with_forward_blockwise(df: DataFrame, cut: Cut, t: Thresholds = Thresholds()) -> DataFrame:
+    """The same for fine bars, block by block: a block sees ``forward_window`` rows before and behind it."""
+    return blockwise(df, cut, t.forward_window, lambda d, w: forward_columns(d, t, w), ahead=t.forward_window)
+
+
 def regime_case(t: Thresholds = Thresholds()) -> Column:
     """First matching rule wins; a comparison with NULL does not match."""
     fr, fv, hl = F.col("forward_return"), F.col("forward_volatility"), F.col("forward_hl_range")
@@ -81,22 +92,14 @@ def label_regime(df: DataFrame, t: Thresholds = Thresholds(), keys: Sequence[str
 def label_adaptive(df: DataFrame, lookback: int = ADAPTIVE_LOOKBACK, t: Thresholds = Thresholds(),
                    keys: Sequence[str] = ("symbol",), ts: str = "ts") -> DataFrame:
     """Labels with thresholds from the rolling 20th and 80th percentile."""
-    w = ordered(keys, ts)
-    frame = trailing(w, lookback)
-
-    def quantile(column: str, q: float) -> Column:
-        return if_full(w, lookback, F.col(column), F.percentile(column, q).over(frame))
-
+    wanted = {
+        "vol_p20": ("forward_volatility", 0.20), "vol_p80": ("forward_volatility", 0.80),
+        "return_p20": ("forward_return", 0.20), "return_p80": ("forward_return", 0.80),
+    }
     fr, fv = F.col("forward_return"), F.col("forward_volatility")
     calm = fv < F.col("vol_p80")
     return dropna_subset(
-        with_forward(df, t, keys, ts).drop("forward_hl_range")
-        .withColumns({
-            "vol_p20": quantile("forward_volatility", 0.20),
-            "vol_p80": quantile("forward_volatility", 0.80),
-            "return_p20": quantile("forward_return", 0.20),
-            "return_p80": quantile("forward_return", 0.80),
-        })
+        rolling_quantiles(with_forward(df, t, keys, ts).drop("forward_hl_range"), wanted, lookback, keys, ts)
         .withColumn(
             "regime_adaptive",
             F.when(fv > F.col("vol_p80"), DANGER)
@@ -106,11 +109,20 @@ def label_adaptive(df: DataFrame, lookback: int = ADAPTIVE_LOOKBACK, t: Threshol
     )
 
 
+def _class_counts(df: DataFrame, column: str) -> DataFrame:
+    """Rows per class, each next to the number of rows and of classes: one pass over the input.
+
+    The totals come from the counts, which are one row per class.
+    """
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    together = counts.agg(F.collect_list(F.struct(column, "n")).alias("_c"), F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_classes"))
+    return together.select(F.inline("_c"), "_total", "_classes")
+
+
 def regime_distribution(df: DataFrame, column: str = "regime") -> DataFrame:
     """Rows and share in percent per class (rounded half to even, 2 places)."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.withColumn("pct", F.bround(F.col("n") / total * 100, 2)).orderBy(column)
+    counts = _class_counts(df, column)
+    return counts.select(column, "n", F.bround(F.col("n") / F.col("_total") * 100, 2).alias("pct")).orderBy(column)
 
 
 def regime_summary(df: DataFrame, column: str = "regime") -> DataFrame:
@@ -179,9 +191,8 @@ def weight_stats(weighted: DataFrame, column: str = "weight") -> DataFrame:
 
 def class_balance(df: DataFrame, label: str = "regime") -> DataFrame:
     """n / (classes present * n of class); at most one row per class."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.agg((F.sum("n") / F.count(F.lit(1))).alias("fair")).scalar()
-    return counts.withColumn("class_weight", totals / F.col("n")).select(label, "n", "class_weight")
+    fair = F.col("_total") / F.col("_classes")
+    return _class_counts(df, label).select(label, "n", (fair / F.col("n")).alias("class_weight"))
 
 
 def join_class_weight(df: DataFrame, weights: DataFrame, label: str = "regime") -> DataFrame:
@@ -198,30 +209,46 @@ def balanced_weight(weighted: DataFrame, label: str = "regime") -> DataFrame:
 
 # --- splits and scores -------------------------------------------------------
 
-def time_rank(df: DataFrame, keys: Sequence[str] = ("symbol",), ts: str = "ts") -> DataFrame:
-    """Position in time from 1 and number of rows per key."""
-    w = ordered(keys, ts)
-    return df.withColumn("rn", F.row_number().over(w)).withColumn(
-        "n_rows", F.count(F.lit(1)).over(whole(w)))
-
-
-def split_80_20(df: DataFrame, share: float = 0.8, keys: Sequence[str] = ("symbol",), ts: str = "ts") -> DataFrame:
-    ranked = time_rank(df, keys, ts)
-    first = F.floor(F.col("n_rows") * F.lit(share))
-    return ranked.withColumn("is_train", F.col("rn") <= first).drop("rn", "n_rows")
+def time_rank(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """Rows with the rank ``rn`` of their time among all ``n_times`` distinct times, from 1, over all keys.
 
-
-def ts_cv_folds(df: DataFrame, k: int = 3, keys: Sequence[str] = ("symbol",), ts: str = "ts") -> DataFrame:
+    The distinct times are dealt by ranges, written once, and numbered range by range; only
+    the number of times in each range, one row per task, reaches the driver. Rows without a
+    time are left out.
+    """
+    spark = df.sparkSession
+    times = df.select(ts).filter(F.col(ts).isNotNull()).distinct().repartitionByRange(ts)
+    dealt = materialise(times.withColumn("_range", F.spark_partition_id()), "times")
+    sizes = sorted((r["_range"], r["count"]) for r in dealt.groupBy("_range").count().collect())
+    total, before = 0, []
+    for part, n in sizes:
+        before.append((part, total))
+        total += n
+    starts = spark.createDataFrame(before, "_range int, _before bigint")
+    ranked = dealt.join(F.broadcast(starts), "_range").select(
+        ts, (F.col("_before") + F.row_number().over(ordered(["_range"], ts))).cast("long").alias("rn"),
+        F.lit(total).cast("long").alias("n_times"))
+    return df.join(ranked, ts)
+
+
+def split_80_20(df: DataFrame, share: float = 0.8, ts: str = "ts") -> DataFrame:
+    """``is_train`` for the rows of the first ``share`` of all times: no key trains on a time that another is tested on."""
+    ranked = time_rank(df, ts)
+    first = F.floor(F.col("n_times") * F.lit(share))
+    return ranked.withColumn("is_train", F.col("rn") <= first).drop("rn", "n_times")
+
+
+def ts_cv_folds(df: DataFrame, k: int = 3, ts: str = "ts") -> DataFrame:
     """Expanding folds: one row per (row, fold it takes part in) with its role.
 
-    Fold i tests on its own slice and trains on everything before it.
+    Fold i tests on its own slice of the times and trains on everything before it, over all keys.
     """
-    ranked = time_rank(df, keys, ts).withColumn("_test", F.floor(F.col("n_rows") / F.lit(k + 1)))
+    ranked = time_rank(df, ts).withColumn("_test", F.floor(F.col("n_times") / F.lit(k + 1)))
     folds = ranked.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    start = F.col("n_rows") - (F.lit(k) - F.col("fold")) * F.col("_test")
+    start = F.col("n_times") - (F.lit(k) - F.col("fold")) * F.col("_test")
     place = F.col("rn") - 1
     role = F.when(place < start, "train").when(place < start + F.col("_test"), "test")
-    return folds.withColumn("role", role).filter(F.col("role").isNotNull()).drop("rn", "n_rows", "_test")
+    return folds.withColumn("role", role).filter(F.col("role").isNotNull()).drop("rn", "n_times", "_test")
 
 
 def confusion_matrix(df: DataFrame, label: str = "regime", prediction: str = "prediction",
@@ -259,25 +286,21 @@ def class_scores(df: DataFrame, label: str = "regime", prediction: str = "predic
 
 
 def classification_report(df: DataFrame, label: str = "regime", prediction: str = "prediction") -> DataFrame:
-    """Per-class rows followed by accuracy, macro and support-weighted averages."""
+    """Per-class rows followed by accuracy, macro and support-weighted averages, from one pass."""
     scores = class_scores(df, label, prediction)
-    per = scores.select(
-        F.col("regime").cast("string").alias("name"), "precision", "recall", "f1", "support")
+    measures = ("precision", "recall", "f1")
     n = F.sum("support")
 
-    def weighted(c: str) -> Column:
-        return F.sum(F.col(c) * F.col("support")) / n
+    def row(name: Column, *values: Column, support: Column) -> Column:
+        return F.struct(name.alias("name"), *[v.alias(m) for m, v in zip(measures, values, strict=True)], support.alias("support"))
 
     accuracy = F.sum("tp") / n
-    summary = scores.agg(F.explode(F.array(
-        F.struct(F.lit("accuracy").alias("name"), accuracy.alias("precision"), accuracy.alias("recall"),
-                 accuracy.alias("f1"), n.alias("support")),
-        F.struct(F.lit("macro avg").alias("name"), F.avg("precision").alias("precision"),
-                 F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), n.alias("support")),
-        F.struct(F.lit("weighted avg").alias("name"), weighted("precision").alias("precision"),
-                 weighted("recall").alias("recall"), weighted("f1").alias("f1"), n.alias("support")),
-    )).alias("s")).select("s.*")
-    return per.unionByName(summary)
+    classes = F.collect_list(row(F.col("regime").cast("string"), *[F.col(m) for m in measures], support=F.col("support")))
+    summary = F.array(
+        row(F.lit("accuracy"), accuracy, accuracy, accuracy, support=n),
+        row(F.lit("macro avg"), *[F.avg(m) for m in measures], support=n),
+        row(F.lit("weighted avg"), *[F.sum(F.col(m) * F.col("support")) / n for m in measures], support=n))
+    return scores.agg(F.concat(classes, summary).alias("_rows")).select(F.inline("_rows"))
 
 
 def weighted_f1(df: DataFrame, label: str = "regime", prediction: str = "prediction") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import earlier, last_known, ordered, ratio_change, so_far, whole
-from ..functions.timing import floor_to, from_micros, micros_of, slot, step
+from ..functions.timing import floor_to, from_micros, micros, micros_of, slot, step
 from .blocks import filled, time_cut
 
 FOUR_HOURS = timedelta(hours=4)
@@ -51,18 +51,76 @@ def grid_of(series: DataFrame, width: timedelta = FOUR_HOURS, keys: Sequence[str
     return span_grid(bounds, width, ts)
 
 
+# Rows of both sides that a task is given at most, roughly, and into how many pieces a span can fall.
+ROWS_PER_PIECE = 1_000_000
+MOST_PIECES = 4_096
+
+
+def pieces(left: DataFrame, right: DataFrame, parts: Sequence[str], ts: str, rows: int) -> DataFrame:
+    """Spans (``parts``) with more than ``rows`` rows of both sides together -> ``_bounds``: times that cut
+    them into pieces of about ``rows`` rows, a time as often as pieces end at it.
+
+    Counts and quantile sketches are aggregated map-side; the sketch sees the rows of hot spans only.
+    """
+    both = left.select(*parts, ts).unionByName(right.select(*parts, ts)).filter(F.col(ts).isNotNull())
+    hot = both.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
+    grid = [i / MOST_PIECES for i in range(1, MOST_PIECES)]
+    wanted = F.least(F.ceil(F.col("_n") / rows), F.lit(MOST_PIECES)).cast("int")
+    cuts = F.transform(F.sequence(F.lit(1), F.col("_p") - 1), lambda j: F.element_at("_grid", F.floor(j * MOST_PIECES / F.col("_p")).cast("int")))
+    return (
+        both.join(hot, list(parts)).groupBy(*parts)
+        .agg(F.max("_n").alias("_n"), F.percentile_approx(micros(F.col(ts)), grid, 4 * MOST_PIECES).alias("_grid"))
+        .withColumn("_p", wanted).select(*parts, cuts.alias("_bounds"))
+    )
+
+
+def _passed(bounds: Column, at: Column, strict: bool) -> Column:
+    """How many of the ascending ``bounds`` are below ``at`` (or at it, unless ``strict``), by bisection."""
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(MOST_PIECES.bit_length()))])
+
+    def step_up(found: Column, jump: Column) -> Column:
+        probe = F.get(bounds, found + jump - 1)
+        return F.when(probe < at if strict else probe <= at, found + jump).otherwise(found)
+
+    return F.coalesce(F.aggregate(halves, F.lit(0), step_up), F.lit(0))
+
+
+def dealt(left: DataFrame, right: DataFrame, parts: Sequence[str], ts: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides (``_left``, ``_right``) with ``_piece``, the part of its span a row falls into.
+
+    Pieces follow each other in time. Where so many rows share one time that several pieces
+    end at it, the left rows of that time are dealt over them, and the right rows, of which
+    only the last counts, are reduced to it.
+    """
+    cuts = pieces(left, right, parts, ts, rows)
+    at = micros(F.col(ts))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return (
+            df.join(cuts, list(parts), "left")
+            .withColumn("_piece", _passed(F.col("_bounds"), at, True))
+            .withColumn("_shared", F.when(F.col("_bounds").isNotNull(), _passed(F.col("_bounds"), at, False) - F.col("_piece")).otherwise(0))
+            .drop("_bounds")
+        )
+
+    l = placed(left).withColumn("_piece", F.col("_piece") + F.when(
+        F.col("_shared") > 1, F.pmod(F.xxhash64("_left"), F.col("_shared")).cast("int")).otherwise(0)).drop("_shared")
+    r = placed(right)
+    crowded = r.filter("_shared > 1").groupBy(*parts, "_piece", ts).agg(
+        F.max_by("_right", "_tie").alias("_right"), F.max("_tie").alias("_tie")).withColumn("_side", F.lit(0))
+    return l, r.filter("_shared <= 1").drop("_shared").unionByName(crowded, allowMissingColumns=True)
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("symbol",), ts: str = "ts",
-              span: timedelta | None = ONE_DAY, tie: Sequence[str] = (),
-              times: DataFrame | None = None, salts: int = 1) -> DataFrame:
+              span: timedelta | None = ONE_DAY, tie: Sequence[str] = (), rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
     """Each left row with the latest right row of its key at or before its time.
 
     The right row is taken whole, so its NULLs are kept. ``tie`` orders right rows of
     equal time. Left rows without a match stay, with NULLs.
 
-    The spans left rows fall in are read from ``times`` if given: any frame of (keys, time)
-    that covers them and is cheaper to compute than ``left`` itself. ``salts`` deals the
-    left rows of a span out to that many tasks, each with a copy of the span's right rows:
-    for spans in which one key has very many left rows and few right rows.
+    Long series are cut into spans of time, and spans with many rows, on either side, by
+    themselves into pieces of about ``rows_per_piece`` rows. Each span or piece opens with the
+    last right row before it, found by a scan over their ends.
     """
     payload = [c for c in right.columns if c not in (*keys, ts)]
     tie = list(tie)
@@ -78,27 +136,22 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("symbol"
     if span is None:
         rows = r.unionByName(l)
     else:
-        parts = [*keys, "_span"]
         r, l = (d.withColumn("_span", slot(F.col(ts), span)) for d in (r, l))
+        l, r = dealt(l, r, [*keys, "_span"], ts, rows_per_piece)
+        parts = [*keys, "_span", "_piece"]
         ends = r.groupBy(*parts).agg(
             F.max_by("_right", F.struct(ts, "_tie")).alias("_right")).withColumn("_side", F.lit(1))
-        spans = l if times is None else times.withColumn("_span", slot(F.col(ts), span))
-        starts = spans.select(*parts).distinct().select(
+        starts = l.select(*parts).distinct().select(
             *parts, F.lit(None).cast(r.schema["_right"].dataType).alias("_right"), F.lit(0).alias("_side"))
-        # one row per span with left rows: the last right row of all earlier spans
+        # one row per piece with left rows: the last right row of all earlier pieces
         opens = (
             ends.unionByName(starts)
             .withColumn("_right", F.last("_right", ignorenulls=True)
-                        .over(earlier(ordered(keys, "_span", "_side"))))
+                        .over(earlier(ordered(keys, "_span", "_piece", "_side"))))
             .filter((F.col("_side") == 0) & F.col("_right").isNotNull())
             .withColumn("_side", F.lit(-1))
         )
-        r = r.unionByName(opens, allowMissingColumns=True)
-        if salts > 1:
-            parts = [*parts, "_salt"]
-            r = r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            l = l.withColumn("_salt", F.pmod(F.xxhash64("_left"), F.lit(salts)).cast("int"))
-        rows = r.unionByName(l)
+        rows = r.unionByName(opens, allowMissingColumns=True).unionByName(l)
     w = so_far(ordered(parts, F.asc_nulls_first(ts), "_side", "_tie"))
     return (
         rows.withColumn("_right", F.last("_right", ignorenulls=True).over(w))

@@ -182,7 +182,7 @@ SELECT symbol, ts, CASE WHEN n = 168 THEN p20 END AS p20, CASE WHEN n = 168 THEN
   WINDOW q AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 167 PRECEDING AND CURRENT ROW))"""))
 def rolling_quantile(v):
     moved = v.bars.withColumn("returns", B.returns(by_symbol()))
-    both = B.rolling_quantile(B.rolling_quantile(moved, "returns", 0.2, 168, "p20"), "returns", 0.8, 168, "p80")
+    both = B.rolling_quantiles(moved, {"p20": ("returns", 0.2), "p80": ("returns", 0.8)}, 168)
     return rounded(both.select("symbol", "ts", "p20", "p80"))
 
 
@@ -222,7 +222,7 @@ SELECT t.symbol, t.trade_id, t.ts, t.price, f.net_flow
 FROM trades t ASOF LEFT JOIN flows_daily f ON t.symbol = f.symbol AND f.ts <= t.ts"""))
 def asof_join(v):
     """Latest daily flow at every trade; trades after the last flow keep it."""
-    out = G.asof_join(v.trades, v.flows, salts=4)
+    out = G.asof_join(v.trades, v.flows)
     return rounded(out.select("symbol", "trade_id", "ts", "price", "net_flow"))
 
 

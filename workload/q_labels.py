@@ -140,25 +140,30 @@ def dropna_subset(v):
     return rounded(L.dropna_subset(metrics).select("symbol", "ts", "close", "forward_return"))
 
 
-def quantile(column, q, n=42):
+def quantile(column, q, n):
     frame = f"OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
     return f"CASE WHEN count({column}) {frame} = {n} THEN quantile_cont({column}, {q}) {frame} END"
 
 
-@query("label_adaptive", sql(
-    "symbol, ts, regime_adaptive", "forward_return forward_volatility vol_p20 vol_p80 return_p20 return_p80", f"""
+def _adaptive(name, lookback):
+    @query(name, sql(
+        "symbol, ts, regime_adaptive", "forward_return forward_volatility vol_p20 vol_p80 return_p20 return_p80", f"""
 SELECT *, CAST(CASE WHEN forward_volatility > vol_p80 THEN 3
                     WHEN forward_return > return_p80 AND forward_volatility < vol_p80 THEN 1
                     WHEN forward_return < return_p20 AND forward_volatility < vol_p80 THEN 2 ELSE 0 END AS INT)
           AS regime_adaptive
-FROM (SELECT *, {quantile('forward_volatility', 0.2)} AS vol_p20, {quantile('forward_volatility', 0.8)} AS vol_p80,
-             {quantile('forward_return', 0.2)} AS return_p20, {quantile('forward_return', 0.8)} AS return_p80
+FROM (SELECT *, {quantile('forward_volatility', 0.2, lookback)} AS vol_p20, {quantile('forward_volatility', 0.8, lookback)} AS vol_p80,
+             {quantile('forward_return', 0.2, lookback)} AS return_p20, {quantile('forward_return', 0.8, lookback)} AS return_p80
       FROM forward_metrics)
 WHERE forward_return IS NOT NULL"""))
-def label_adaptive(v):
-    return rounded(L.label_adaptive(v.bars, 42).select(
-        "symbol", "ts", "regime_adaptive", "forward_return", "forward_volatility",
-        "vol_p20", "vol_p80", "return_p20", "return_p80"))
+    def run(v):
+        return rounded(L.label_adaptive(v.bars, lookback).select(
+            "symbol", "ts", "regime_adaptive", "forward_return", "forward_volatility",
+            "vol_p20", "vol_p80", "return_p20", "return_p80"))
+
+
+_adaptive("label_adaptive", L.ADAPTIVE_LOOKBACK)
+_adaptive("label_adaptive_week", 42)
 
 
 @query("regime_distribution", sql("regime, n", "pct", """
@@ -226,16 +231,15 @@ def balanced_weight(v):
         "symbol", "ts", "regime", "weight", "class_weight", "final_weight"))
 
 
-@query("time_rank", exact(f"""
-SELECT symbol, ts, row_number() OVER w AS rn, count(*) OVER (PARTITION BY symbol) AS n_rows FROM labelled {W}"""))
+@query("time_rank", exact("""
+SELECT symbol, ts, dense_rank() OVER (ORDER BY ts) AS rn, (SELECT count(DISTINCT ts) FROM labelled) AS n_times FROM labelled"""))
 def time_rank(v):
-    ranked = L.time_rank(labelled(v))
-    return ranked.select("symbol", "ts", F.col("rn").cast("long").alias("rn"), "n_rows")
+    return L.time_rank(labelled(v)).select("symbol", "ts", "rn", "n_times")
 
 
 @query("split_80_20", exact("""
-SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts)
-                   <= floor(0.8 * count(*) OVER (PARTITION BY symbol)) AS is_train FROM labelled"""))
+SELECT symbol, ts, dense_rank() OVER (ORDER BY ts) <= floor(0.8 * (SELECT count(DISTINCT ts) FROM labelled)) AS is_train
+FROM labelled"""))
 def split_80_20(v):
     return L.split_80_20(labelled(v)).select("symbol", "ts", "is_train")
 
@@ -243,8 +247,8 @@ def split_80_20(v):
 @query("ts_cv_folds", exact("""
 SELECT symbol, ts, CAST(fold AS INT) AS fold, CASE WHEN place < start THEN 'train' ELSE 'test' END AS role
 FROM (SELECT *, n - (3 - fold) * (n // 4) AS start
-      FROM (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS place,
-                   count(*) OVER (PARTITION BY symbol) AS n, unnest([0, 1, 2]) AS fold FROM labelled))
+      FROM (SELECT symbol, ts, dense_rank() OVER (ORDER BY ts) - 1 AS place,
+                   (SELECT count(DISTINCT ts) FROM labelled) AS n, unnest([0, 1, 2]) AS fold FROM labelled))
 WHERE place < start + n // 4"""))
 def ts_cv_folds(v):
     return L.ts_cv_folds(labelled(v)).select("symbol", "ts", "fold", "role")
