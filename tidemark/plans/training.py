@@ -9,15 +9,15 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.labels import balanced_weight, class_balance, join_class_weight, ts_cv_folds, weighted_f1
+from ..operators.labels import balanced_weight, ts_cv_folds, weighted_f1
 from ..session import materialise
+from .boosting import BoostedModel, fit_boosted
 
 SEED = 42
 CLASSES = 4
@@ -34,11 +34,12 @@ SEARCH = {
     "min_gain": (0.0, 10.0),
 }
 LOG_SCALE = ("learning_rate",)
+BOOSTED_ONLY = ("learning_rate",)  # a forest has no such parameter
 
 
 @dataclass(frozen=True)
 class Params:
-    """Hyper-parameters; ``boosted`` trades class probabilities for boosted trees."""
+    """Hyper-parameters of boosted trees, or of a forest (which ignores ``learning_rate``)."""
 
     max_depth: int = 5
     n_estimators: int = 100
@@ -47,58 +48,61 @@ class Params:
     colsample: float = 0.5
     min_gain: float = 0.0
     learning_rate: float = 0.1
-    boosted: bool = False
+    boosted: bool = True
 
 
 @dataclass(frozen=True)
 class Fitted:
-    model: PipelineModel
+    """A model on assembled features; forests and boosted trees give the same columns."""
+
+    model: RandomForestClassificationModel | BoostedModel
     params: Params
     features: tuple[str, ...]
 
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(assembler(self.features).transform(df))
+
+
+def assembler(features: Sequence[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+
 
 def ml_assemble(df: DataFrame, features: Sequence[str], label: str = "regime",
                 weight: str = "final_weight") -> DataFrame:
     """Feature vector, label and weight next to the key columns."""
     kept = [c for c in ("symbol", "ts", "fold", "role") if c in df.columns]
-    vector = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     named = df.withColumn("label", F.col(label).cast("double")).withColumn("weight_", F.col(weight))
-    return vector.transform(named).select(*kept, "features", "label", F.col("weight_").alias("weight"))
+    return assembler(features).transform(named).select(*kept, "features", "label", F.col("weight_").alias("weight"))
 
 
-def estimator(p: Params, features: Sequence[str], label: str, weight: str) -> Pipeline:
-    shared = dict(featuresCol="features", labelCol=label, weightCol=weight)
+def fit_assembled(rows: DataFrame, p: Params) -> RandomForestClassificationModel | BoostedModel:
+    """Trees on rows from ``ml_assemble``, which are read many times and should be written out."""
     tree = dict(maxDepth=p.max_depth, minInstancesPerNode=p.min_child_weight, minInfoGain=p.min_gain,
-                subsamplingRate=p.subsample, featureSubsetStrategy=str(p.colsample), seed=SEED)
+                subsamplingRate=p.subsample, featureSubsetStrategy=str(p.colsample), seed=SEED,
+                featuresCol="features", labelCol="label", weightCol="weight")
     if p.boosted:
-        model = OneVsRest(classifier=GBTClassifier(
-            maxIter=p.n_estimators, stepSize=p.learning_rate, **tree), **shared)
-    else:
-        model = RandomForestClassifier(numTrees=p.n_estimators, **tree, **shared)
-    vector = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
-    return Pipeline(stages=[vector, model])
+        return fit_boosted(rows, GBTClassifier(maxIter=p.n_estimators, stepSize=p.learning_rate, **tree), CLASSES)
+    return RandomForestClassifier(numTrees=p.n_estimators, **tree).fit(rows)
 
 
 def ml_train(df: DataFrame, features: Sequence[str], p: Params = Params(), label: str = "regime",
              weight: str = "weight") -> Fitted:
     """Fit on all rows, weighted by age and class.
 
-    Tree fitting passes over its input many times, so the rows are written out first.
+    Tree fitting passes over its input many times, so the assembled rows are written out first.
     """
     rows = balanced_weight(df.withColumn("weight", F.col(weight)), label)
-    weighted = materialise(rows.select(*features, label, "final_weight"), "training")
-    model = estimator(p, features, label, "final_weight").fit(weighted)
-    return Fitted(model, p, tuple(features))
+    return Fitted(fit_assembled(materialise(ml_assemble(rows, features, label), "training"), p), p, tuple(features))
 
 
 def ml_predict(fitted: Fitted, df: DataFrame) -> DataFrame:
-    return fitted.model.transform(df).withColumn("prediction", F.col("prediction").cast("int")).drop(
+    return fitted.transform(df).withColumn("prediction", F.col("prediction").cast("int")).drop(
         "features", "rawPrediction", "probability")
 
 
 def ml_proba(fitted: Fitted, df: DataFrame) -> DataFrame:
     """Predictions with one probability column per class."""
-    scored = fitted.model.transform(df).withColumn("_p", vector_to_array("probability"))
+    scored = fitted.transform(df).withColumn("_p", vector_to_array("probability"))
     return (
         scored.withColumn("prediction", F.col("prediction").cast("int"))
         .withColumns({f"p_{c}": F.coalesce(F.get("_p", F.lit(c)), F.lit(0.0)) for c in range(CLASSES)})
@@ -108,9 +112,9 @@ def ml_proba(fitted: Fitted, df: DataFrame) -> DataFrame:
 
 def feature_importance(spark: SparkSession, fitted: Fitted) -> DataFrame:
     """Features by importance; as many rows as there are features."""
-    forest = fitted.model.stages[-1]
-    values = [float(x) for x in forest.featureImportances.toArray()]
-    rows = list(zip(fitted.features, values))
+    model = fitted.model
+    values = model.importances() if isinstance(model, BoostedModel) else [float(x) for x in model.featureImportances.toArray()]
+    rows = list(zip(fitted.features, values, strict=True))
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(
         F.desc("importance"), "feature")
 
@@ -119,9 +123,10 @@ def top_features(importance: DataFrame, n: int = 5) -> DataFrame:
     return importance.orderBy(F.desc("importance"), "feature").limit(n)
 
 
-def search_table(trials: int, search: dict = SEARCH, seed: int = SEED) -> list[Params]:
-    """Seeded random points of the search space."""
+def search_table(trials: int, search: dict = SEARCH, seed: int = SEED, boosted: bool = True) -> list[Params]:
+    """Seeded random points of the search space, over the parameters the kind of trees has."""
     draw = random.Random(seed)
+    names = [n for n in search if boosted or n not in BOOSTED_ONLY]
 
     def point(name: str):
         low, high = search[name]
@@ -131,29 +136,26 @@ def search_table(trials: int, search: dict = SEARCH, seed: int = SEED) -> list[P
             return low * (high / low) ** draw.random()
         return draw.uniform(low, high)
 
-    return [Params(**{name: point(name) for name in search}) for _ in range(trials)]
+    return [Params(**{name: point(name) for name in names}, boosted=boosted) for _ in range(trials)]
 
 
 def ml_tune(df: DataFrame, features: Sequence[str], candidates: Sequence[Params], k: int = FOLDS,
             label: str = "regime", parallelism: int = 4) -> DataFrame:
     """Mean weighted F1 of each candidate over time-ordered folds, best first.
 
-    Class weights come from the whole training set, once. The folds are written to the
-    shared folder and read by all fits, which run side by side.
+    Class weights come from the whole training set, once. The assembled folds are written to
+    the shared folder and read by all fits, which run side by side.
     """
     spark = df.sparkSession
-    weighted = join_class_weight(df, class_balance(df, label), label).withColumn(
-        "final_weight", F.col("weight") * F.col("class_weight"))
-    folds = materialise(
-        ts_cv_folds(weighted.select("symbol", "ts", label, "final_weight", *features), k), "folds")
+    weighted = balanced_weight(df, label).select("symbol", "ts", label, "final_weight", *features)
+    folds = materialise(ml_assemble(ts_cv_folds(weighted, k), features, label), "folds")
 
     def score(job: tuple[int, int]) -> tuple[int, int, float]:
         trial, fold = job
         part = folds.filter(F.col("fold") == fold)
-        model = estimator(candidates[trial], features, label, "final_weight").fit(part.filter("role = 'train'"))
-        guessed = model.transform(part.filter("role = 'test'")).withColumn(
-            "prediction", F.col("prediction").cast("int"))
-        return trial, fold, float(weighted_f1(guessed, label).first()[0] or 0.0)
+        model = fit_assembled(part.filter("role = 'train'"), candidates[trial])
+        guessed = model.transform(part.filter("role = 'test'"))
+        return trial, fold, float(weighted_f1(guessed, "label").first()[0] or 0.0)
 
     jobs = [(t, f) for t in range(len(candidates)) for f in range(k)]
     with ThreadPool(parallelism) as pool:
@@ -169,8 +171,11 @@ def best_of(tuned: DataFrame) -> Params:
 
 
 def ml_save(spark: SparkSession, fitted: Fitted, path: str) -> None:
-    """Model plus a one-row table with its parameters and importances."""
-    fitted.model.write().overwrite().save(f"{path}/model")
+    """Model plus a one-row table with its parameters and features."""
+    if isinstance(fitted.model, BoostedModel):
+        fitted.model.save(f"{path}/model")
+    else:
+        fitted.model.write().overwrite().save(f"{path}/model")
     notes = [(json.dumps(vars(fitted.params)), list(fitted.features), CLASSES)]
     spark.createDataFrame(notes, "params string, features array<string>, n_classes int") \
         .write.mode("overwrite").parquet(f"{path}/metadata")
@@ -178,13 +183,14 @@ def ml_save(spark: SparkSession, fitted: Fitted, path: str) -> None:
 
 def ml_load(spark: SparkSession, path: str) -> Fitted:
     notes = spark.read.parquet(f"{path}/metadata").first()
-    return Fitted(PipelineModel.load(f"{path}/model"), Params(**json.loads(notes["params"])),
-                  tuple(notes["features"]))
+    p = Params(**json.loads(notes["params"]))
+    model = BoostedModel.load(spark, f"{path}/model") if p.boosted else RandomForestClassificationModel.load(f"{path}/model")
+    return Fitted(model, p, tuple(notes["features"]))
 
 
 def ml_retrain_daily(df: DataFrame, features: Sequence[str], root: str, candidates: Sequence[Params] | None = None,
                      label: str = "regime") -> tuple[Fitted, str]:
-    """Tune quickly, fit on everything, save under a name with the time of day."""
+    """Tune quickly (20 random points by default), fit on everything, save under a name with the time of day."""
     spark = df.sparkSession
     tuned = ml_tune(df, features, candidates or search_table(QUICK_TRIALS), label=label)
     fitted = ml_train(df, features, best_of(tuned), label)
