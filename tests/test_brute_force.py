@@ -74,7 +74,8 @@ def test_streaming_arrays_equal_sequential_processing():
     state, got = arrays.Flow(100, 10), []
     for a in range(0, 500, 77):
         part = rows[a:a + 77]
-        closed = state.take(np.array([r[3] for r in part]), np.array([int(r[4] * arrays.LOTS) for r in part]))
+        lots, size = np.array([int(r[4] * arrays.LOTS) for r in part]), 100 * arrays.LOTS
+        closed = state.take(np.array([r[3] for r in part]), lots // size, lots % size)
         got += [(int(b), i, v, part[c][1]) for b, i, v, c in
                 zip(closed.bucket, closed.imbalance, closed.vpin, closed.closer)]
     expected = sequential_vpin(rows, 100, 10)
@@ -114,29 +115,35 @@ FAKE_BULL = [("b", 3000.0, 100.0), ("b", 2999.0, 10.0), ("b", 2998.0, 10.0), ("b
              ("a", 3004.0, 1000.0), ("a", 3005.0, 1000.0)]
 
 
-def ranked(spark, levels):
+def books(spark, levels):
     rows = [("s", START, *r) for r in levels]
-    return book.book_level_rank(spark.createDataFrame(
-        rows, "symbol string, ts timestamp_ntz, side string, price double, qty double"))
+    return book.l2_snapshot(spark.createDataFrame(
+        rows, "symbol string, ts timestamp_ntz, side string, price double, qty double"), 20, ("symbol", "ts"))
+
+
+def sides(levels):
+    """Both sides as (prices, quantities), best first."""
+    out = [sorted(((p, q) for s, p, q in levels if s == side), reverse=side == "b") for side in ("b", "a")]
+    return [[(np.array([p for p, _ in x]), np.array([q for _, q in x]))] for x in out]
 
 
 def test_features_of_a_fake_bull_book(spark):
-    r = book.book_features(ranked(spark, FAKE_BULL)).first()
+    r = book.book_features(books(spark, FAKE_BULL)).first()
     assert r.obi_L1 == pytest.approx(90 / 110)
     assert r.obi_L5 == pytest.approx((140 - 4010) / 4150)
     assert r.spread_absolute == 1 and r.spread_relative == pytest.approx(1 / 3001)
     assert r.spoofing_divergence == pytest.approx(1.750712, abs=1e-6)
-    same = arrays.features({(s, p): q for s, p, q in FAKE_BULL})
-    assert {k: r[k] for k in same} == pytest.approx(same)
+    same = arrays.features(*sides(FAKE_BULL))
+    assert {k: r[k] for k in same} == pytest.approx({k: v[0] for k, v in same.items()})
 
 
 def test_micro_price_leans_to_the_thin_side(spark):
-    r = book.mid_micro_price(ranked(spark, [("b", 100.0, 100.0), ("a", 101.0, 10.0)])).first()
+    r = book.mid_micro_price(books(spark, [("b", 100.0, 100.0), ("a", 101.0, 10.0)])).first()
     assert r.mid_price == 100.5 and r.micro_price == pytest.approx((101 * 100 + 100 * 10) / 110)
 
 
 def test_one_sided_books_give_no_features(spark):
-    only_bids = ranked(spark, [("b", 100.0, 1.0)])
+    only_bids = books(spark, [("b", 100.0, 1.0)])
     assert book.book_features(only_bids).count() == 0
     assert book.obi_depth(only_bids).first().obi_L5 == 1.0
 
@@ -192,7 +199,7 @@ def test_books_at_sample_times(spark, seconds):
     rows = random_messages(150)
     messages = spark.createDataFrame(rows, MESSAGES).repartition(3)
     entries = book.explode_levels(book.stale_update_filter(messages, cut=blocks.id_cut(20, "arrival")))
-    out = book.book_as_of(entries, timedelta(seconds=1), timedelta(seconds=seconds)).collect()
+    out = book.book_as_of(book.books_as_of(entries, timedelta(seconds=1), timedelta(seconds=seconds), None)).collect()
     history = list(sequential_books(rows))
     last = START + timedelta(seconds=int((max(r.ts for r in entries.collect()) - START).total_seconds()))
     second, expected = START, {}
@@ -208,19 +215,123 @@ def test_books_at_sample_times(spark, seconds):
 
 
 @pytest.mark.parametrize("depth", [1, 2, 4])
-@pytest.mark.parametrize("seconds", [3, 10, 600])
-def test_leaving_out_deep_levels_changes_no_top(spark, seconds, depth):
+@pytest.mark.parametrize("seconds", [3, 600])
+def test_top_levels_are_the_first_of_all(spark, seconds, depth):
     """Updates are rare here, so many levels live all through a block."""
     rows = [r[:2] + (START + timedelta(milliseconds=1700 * i),) + r[3:] for i, r in enumerate(random_messages(80, 9))]
     entries = book.explode_levels(spark.createDataFrame(rows, MESSAGES))
     block = timedelta(seconds=seconds)
-    every = book.book_as_of(entries, block=block)
-    cut = book.book_as_of(entries, block=block, depth=depth)
-    columns = ["symbol", "ts", "side", "price", "qty", "level"]
-    assert of_spark(book.top_n_levels(cut, depth).select(*columns)) == of_spark(
-        book.top_n_levels(every, depth).select(*columns))
-    if depth == 1 and seconds < 600:
-        assert cut.count() < every.count()
+    every = book.book_as_of(book.books_as_of(entries, block=block, depth=None))
+    cut = book.book_as_of(book.books_as_of(entries, block=block, depth=depth))
+    assert of_spark(cut) == of_spark(every.filter(F.col("level") <= depth))
+    ranked = book.book_level_rank(every.drop("level"))
+    assert of_spark(every) == of_spark(ranked.select(*every.columns))
+
+
+def test_a_quiet_level_is_opened_in_every_block(spark, monkeypatch):
+    """Blocks of one sample, expanded in chunks of three: the only change is at the start."""
+    monkeypatch.setattr(book, "BLOCKS_AT_ONCE", 3)
+    rows = [("s", 0, START, 1, [["90", "2"]], [["91", "1"]]), ("s", 1, START + timedelta(seconds=20), 2, [["90", "3"]], [])]
+    entries = book.explode_levels(spark.createDataFrame(rows, MESSAGES))
+    out = book.books_as_of(entries, block=timedelta(seconds=1)).orderBy("ts").collect()
+    assert [r.ts for r in out] == [START + timedelta(seconds=i) for i in range(21)]
+    assert [r.bids[0].qty for r in out] == [2.0] * 20 + [3.0] and {r.asks[0].price for r in out} == {91.0}
+
+
+def test_updates_beyond_a_million_in_one_message(spark):
+    """The position in a message counts below the arrival, however long the message is; ids may pass 10^18."""
+    at = 1_800_000_000_000_000_000
+    rows = [("s", "b", 90.0, at, 1_500_000, 2.0), ("s", "b", 90.0, at, 7, 5.0), ("s", "b", 91.0, at + 1, 0, 1.0), ("s", "b", 91.0, at, 3_000_000, 9.0)]
+    entries = spark.createDataFrame(rows, "symbol string, side string, price double, arrival bigint, pos int, qty double")
+    assert as_book(book.apply_book_updates(entries).collect()) == {("b", 90.0): 2.0, ("b", 91.0): 1.0}
+
+
+def test_trade_ids_beyond_ten_to_the_18th(spark):
+    rows = [(s, 1_800_000_000_000_000_000 + i, t, p, q) for s, i, t, p, q in make_trades(300)]
+    trades = spark.createDataFrame(rows, TRADES)
+    bar = B.ohlc_sample_by(trades).first()
+    assert (bar.open, bar.close) == (rows[0][3], rows[-1][3])
+    got = [(r.bucket, r.closing_trade) for r in flow.trade_toxicity(trades, 100, 10).orderBy("bucket").collect()]
+    assert got == [(b, t) for b, _, _, t in sequential_vpin(rows, 100, 10)]
+
+
+# --- volume without limit, deviations without cancellation ------------------------
+
+def giant_trades(n, units):
+    draw, price, rows = random.Random(2), 1000.0, []
+    for i in range(n):
+        price += draw.choice([-0.5, 0.0, 0.25, 1.0])
+        qty = Decimal(draw.choice(["0", "0.00000001", units, units + ".12345678", "17.5"]))
+        rows.append(("s", i, START + timedelta(milliseconds=130 * i), price, qty))
+    return rows
+
+
+def exact_buckets(rows, volume):
+    """(bucket, closing trade, sum of the pieces per trade) in exact arithmetic."""
+    total, out = Decimal(0), []
+    for _, trade, _, _, qty in rows[1:]:
+        before, total = total, total + qty
+        out += [(int(b), trade) for b in range(int(before // volume), int(total // volume))]
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 50, 1000])
+@pytest.mark.parametrize("units, volume", [("5000000000", 2_000_000_000), ("123456789012", 10_000_000_000), ("900", 7)])
+def test_any_volume(spark, units, volume, block):
+    """200 trades of 5e9 units overflow 64 bits of lots in sum, one of 1.2e11 units alone."""
+    rows = giant_trades(200, units)
+    trades = spark.createDataFrame(rows, TRADES).repartition(3)
+    out = flow.trade_toxicity(trades, volume, 10, blocks.trade_cut(block)).orderBy("bucket").collect()
+    assert [(r.bucket, r.closing_trade) for r in out] == exact_buckets(rows, volume)
+    state, got, size = arrays.Flow(volume, 10), [], volume * arrays.LOTS
+    for a in range(0, 200, 61):
+        part = rows[a:a + 61]
+        lots = [int(r[4] * arrays.LOTS) for r in part]
+        closed = state.take(np.array([r[3] for r in part]), np.array([x // size for x in lots]), np.array([x % size for x in lots]))
+        got += [(int(b), part[c][1], i, v) for b, c, i, v in zip(closed.bucket, closed.closer, closed.imbalance, closed.vpin)]
+    assert [g[:2] for g in got] == exact_buckets(rows, volume)
+    assert [r.imbalance for r in out] == pytest.approx([g[2] for g in got], rel=1e-9, abs=1e-9 * volume)
+    assert [r.vpin for r in out] == pytest.approx([g[3] for g in got], abs=1e-9)
+
+
+def test_a_trade_over_many_buckets_comes_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(arrays, "BUCKETS_AT_ONCE", 7)
+    monkeypatch.setattr(flow, "BUCKETS_AT_ONCE", 11)
+    rows = make_trades(3) + [("s", 3, START + timedelta(seconds=9), 1003.0, Decimal("5321.5")), ("s", 4, START + timedelta(seconds=10), 1002.0, Decimal("60"))]
+    expected = [(b, t) for b, _, _, t in sequential_vpin(rows, 10, 5)]
+    out = flow.trade_toxicity(spark.createDataFrame(rows, TRADES), 10, 5).orderBy("bucket").collect()
+    assert [(r.bucket, r.closing_trade) for r in out] == expected
+    lots, size = np.array([int(r[4] * arrays.LOTS) for r in rows]), 10 * arrays.LOTS
+    steps = list(arrays.Flow(10, 5).steps(np.array([r[3] for r in rows]), lots // size, lots % size))
+    assert len(steps) > 20 and max(len(c.bucket) for c in steps) <= 15
+    assert [(int(b), rows[c][1]) for x in steps for b, c in zip(x.bucket, x.closer)] == expected
+
+
+@pytest.mark.parametrize("block", [3, 70, 1000])
+def test_deviation_of_small_noise_on_a_large_drift(spark, block):
+    """Changes of 100 with noise of 1e-7: squares of changes would lose the noise altogether."""
+    draw, price, rows = random.Random(8), 1000.0, []
+    for i in range(400):
+        price += 100 + draw.gauss(0, 1e-7)
+        rows.append(("s", i, START + timedelta(milliseconds=i), price, Decimal(1)))
+    got = {r.trade_id: r.sigma for r in flow.trade_sigma(spark.createDataFrame(rows, TRADES), blocks.trade_cut(block)).collect()}
+    changes = np.diff([r[3] for r in rows])
+    streamed = arrays.sigmas(np.empty(0), changes)
+    for i in range(1, 400):
+        window = changes[max(0, i - 100):i]
+        two_pass = 1.0 if len(window) <= 10 else math.sqrt(float(np.mean((window - window.mean()) ** 2))) or 0.01
+        assert got[i] == pytest.approx(two_pass, rel=1e-6) and streamed[i - 1] == pytest.approx(two_pass, rel=1e-6)
+
+
+def test_equal_changes_are_flat(spark):
+    """Steps of 0.1 are no binary fractions: batch and stream agree on which stretches are flat."""
+    price, rows = 0.0, []
+    for i in range(300):
+        price = round(price + 0.1, 10) if i < 150 else price
+        rows.append(("s", i, START + timedelta(milliseconds=i), price, Decimal(1)))
+    got = [r.sigma for r in flow.trade_sigma(spark.createDataFrame(rows, TRADES), blocks.trade_cut(40)).orderBy("trade_id").collect()]
+    streamed = arrays.sigmas(np.empty(0), np.diff([r[3] for r in rows]))
+    assert got == pytest.approx(streamed.tolist(), rel=1e-6) and got[-1] == 0.01
 
 
 # --- bars, labels, weights, grids ---------------------------------------------
@@ -281,14 +392,38 @@ def test_weights_stay_in_range_and_halve(spark):
     assert halved[1700.0] == pytest.approx(0.5)
 
 
-def test_folds_never_train_on_the_future(spark):
-    df = spark.createDataFrame([("s", START + timedelta(hours=i)) for i in range(22)], "symbol string, ts timestamp_ntz")
-    folds = labels.ts_cv_folds(df, 3).collect()
+@pytest.fixture
+def uneven(spark):
+    """Three symbols over different stretches of time: cuts by symbol would put training times after test times."""
+    spans = {"early": range(0, 15), "late": range(9, 40), "thin": range(2, 40, 9)}
+    rows = [(s, START + timedelta(hours=i)) for s, hours in spans.items() for i in hours]
+    return spark.createDataFrame(rows, "symbol string, ts timestamp_ntz").repartition(5)
+
+
+def test_times_are_ranked_over_all_symbols(uneven):
+    times = sorted({r.ts for r in uneven.collect()})
+    rank = {t: i + 1 for i, t in enumerate(times)}
+    for r in labels.time_rank(uneven).collect():
+        assert (r.rn, r.n_times) == (rank[r.ts], len(times))
+
+
+def test_no_window_over_all_times(uneven):
+    text = labels.split_80_20(uneven)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in text
+
+
+def test_no_training_time_after_a_test_time(uneven):
+    split = labels.split_80_20(uneven).collect()
+    train, test = ([r.ts for r in split if r.is_train == side] for side in (True, False))
+    assert max(train) < min(test) and len({*train}) == 32
+    folds = labels.ts_cv_folds(uneven, 3).collect()
     for fold in range(3):
-        train = [r.ts for r in folds if r.fold == fold and r.role == "train"]
-        test = [r.ts for r in folds if r.fold == fold and r.role == "test"]
-        assert len(test) == 5 and max(train) < min(test)
-        assert len(train) == 22 - (3 - fold) * 5
+        train, test = ({r.ts for r in folds if r.fold == fold and r.role == role} for role in ("train", "test"))
+        assert len(test) == 10 and max(train) < min(test) and len(train) == 40 - (3 - fold) * 10
+
+
+def test_split_of_nothing(uneven):
+    assert labels.split_80_20(uneven.limit(0)).count() == 0
 
 
 def test_grid_of_one_signal(spark):

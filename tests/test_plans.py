@@ -1,15 +1,14 @@
 """What the physical plans must and must not contain."""
 
 import re
-from datetime import timedelta
-
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidemark.operators import blocks, book, flow
+from tidemark.operators import blocks, book, epochs, flow
 from tidemark.operators.bars import ohlc_sample_by, technical_features
-from workload.views import TICK_CUT, Views
+from tidemark.plans.sampling import sampled_books
+from workload.views import ARRIVAL_CUT, TICK_CUT, Views
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
@@ -57,7 +56,7 @@ def test_trade_windows_are_partitioned_by_block(v):
     # windows by symbol alone only see the per-block totals
     for line in plan(rows).splitlines():
         if re.search(r"Window \[", line) and "_block" not in line.rsplit("], [", 2)[-2]:
-            assert re.search(r"_n#|_lots#|_first#|_end|_start|_later", line)
+            assert re.search(r"_n#|_full#|_rest#|_first_|_end|_start|_later", line)
 
 
 def test_trade_totals_are_hash_aggregates(v):
@@ -69,10 +68,13 @@ def test_carried_rows_are_limited_before_the_shuffle(v):
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
-def test_sampled_books_are_shuffled_before_they_expand(v):
-    text = plan(book.book_features(book.sample_books(v.entries, block=timedelta(seconds=20))))
-    above = text[:text.index("Generate explode(sequence(_at")]
-    assert "Exchange" not in above
+def test_sampled_books_are_neither_expanded_nor_ranked(v):
+    """Levels are shuffled once by block; samples come out of the walk through it."""
+    text = plan(book.book_features(sampled_books(v.messages, v.snapshots, epochs.feed_end(v.messages, v.tape), cut=ARRIVAL_CUT)))
+    above = text[:text.index("FlatMapGroupsInArrow")]
+    assert "Exchange" not in above and "Generate" not in above and "Window" not in above
+    assert "row_number() windowspecdefinition(symbol" in text  # of the snapshots alone
+    assert not re.search(r"_w0|rank", above)
 
 
 def test_final_book_is_a_hash_aggregate(v):

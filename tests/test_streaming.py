@@ -1,7 +1,9 @@
 """Streams fed in several micro-batches end where the batch operators end."""
 
-from datetime import timedelta
+from datetime import datetime, timedelta
+from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,10 +13,11 @@ from tidemark.plans.sampling import sample_1s
 from tidemark.streaming import envelope as E
 from tidemark.streaming import ticks as S
 from workload.q_book import snapshot
-from workload.views import BUCKET, Views, rounded
+from workload.views import BUCKET, Views, rounded, tick_time
 
 SF_DIR = "/root/testdata/sf0.001"
 PARTS = 7
+START = datetime(2024, 1, 1)
 
 
 @pytest.fixture(scope="module")
@@ -22,11 +25,11 @@ def inputs(spark):
     return Views(spark, SF_DIR)
 
 
-def arriving(spark, df, order, folder):
+def arriving(spark, df, order, folder, parts=PARTS):
     """``df`` as a stream of several files, in order of ``order``."""
     highest = df.agg(F.max(order)).first()[0] + 1
-    for i in range(PARTS):
-        part = df.filter((F.col(order) >= highest * i // PARTS) & (F.col(order) < highest * (i + 1) // PARTS))
+    for i in range(parts):
+        part = df.filter((F.col(order) >= highest * i // parts) & (F.col(order) < highest * (i + 1) // parts))
         part.coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
@@ -61,8 +64,8 @@ def test_book_waits_for_its_snapshot(spark, inputs, tmp_path):
 
     start = levels.groupBy("symbol").agg(side("b").alias("bids"), side("a").alias("asks")).withColumn(
         "last_update_id", F.lit(100).cast("long"))
-    rows = inputs.messages.select("symbol", F.lit(False).alias("is_snapshot"), "arrival", "u", "b", "a").unionByName(
-        start.select("symbol", F.lit(True).alias("is_snapshot"), F.lit(450).cast("long").alias("arrival"),
+    rows = inputs.messages.select("symbol", F.lit(False).alias("is_snapshot"), "arrival", "ts", "u", "b", "a").unionByName(
+        start.select("symbol", F.lit(True).alias("is_snapshot"), F.lit(450).cast("long").alias("arrival"), tick_time(F.lit(450)).alias("ts"),
                      F.col("last_update_id").alias("u"), F.col("bids").alias("b"), F.col("asks").alias("a")))
     changes = E.drain(S.stream_book(arriving(spark, rows, "arrival", str(tmp_path / "rows"))), "book")
     newest = changes.groupBy("symbol", "side", "price").agg(F.max_by("qty", "arrival").alias("qty"))
@@ -70,16 +73,109 @@ def test_book_waits_for_its_snapshot(spark, inputs, tmp_path):
     assert of_spark(newest.filter("qty > 0")) == of_spark(expected) and expected.count() > 50
 
 
-def test_samples(spark, inputs, tmp_path):
-    messages = arriving(spark, inputs.messages, "arrival", str(tmp_path / "messages"))
-    trades = arriving(spark, inputs.tape, "trade_id", str(tmp_path / "tape"))
+@pytest.mark.parametrize("depth_files, trade_files", [(7, 2), (2, 7)])
+def test_samples_do_not_depend_on_which_feed_is_ahead(spark, inputs, tmp_path, depth_files, trade_files):
+    """Every row of the batch samples, the last second included, whichever feed runs ahead; snapshots among the messages."""
+    messages = arriving(spark, inputs.depth_feed, "arrival", str(tmp_path / "messages"), depth_files)
+    trades = arriving(spark, inputs.tape, "trade_id", str(tmp_path / "tape"), trade_files)
     out = rounded(E.drain(S.stream_sample_1s(messages, trades, 50, 10), "samples"))
-    batch = rounded(sample_1s(inputs.entries, inputs.tape, volume=50, window=10, block=timedelta(seconds=20)))
-    last = out.groupBy("symbol").agg(F.max("ts").alias("last"))
-    upto = batch.join(last, "symbol").filter(F.col("ts") <= F.col("last")).select(*out.columns)
-    ends = inputs.fresh.groupBy("symbol").agg(F.max("ts").alias("end"))
-    within = out.join(ends, "symbol").filter(F.col("ts") <= F.col("end")).select(*out.columns)
-    assert of_spark(within) == of_spark(upto) and within.count() > 400
+    batch = rounded(sample_1s(inputs.messages, inputs.snapshots, inputs.tape, volume=50, window=10, block=timedelta(seconds=20)))
+    assert of_spark(out) == of_spark(batch) and out.count() > 250
+    end = inputs.tape.agg(F.max("ts")).first()[0]
+    assert out.agg(F.max("ts")).first()[0] == (end - timedelta(milliseconds=1)).replace(microsecond=0)
+
+
+def test_a_quiet_symbol_goes_on_by_the_clock(spark, tmp_path):
+    """One snapshot and a few messages of one symbol; another one moves the watermark on."""
+    def pairs(*levels):
+        return [[str(p), str(q)] for p, q in levels]
+
+    schema = "symbol string, is_snapshot boolean, arrival bigint, ts timestamp_ntz, u bigint, b array<array<string>>, a array<array<string>>"
+    rows = [
+        ("q", False, 0, START, 5, pairs((90, 1)), pairs((95, 1))),  # older than the snapshot
+        ("q", False, 1, START + timedelta(seconds=1), 8, pairs((91, 2)), []),  # waits for it
+        ("q", True, 2, START + timedelta(seconds=2.5), 7, pairs((90, 3), (80, 1)), pairs((95, 4))),
+        ("q", False, 3, START + timedelta(seconds=4), 9, pairs((90, 0)), []),
+        ("q", True, 4, START + timedelta(seconds=30.2), 9, pairs((70, 1)), pairs((75, 1))),
+    ] + [("busy", i == 0, 10 + i, START + timedelta(seconds=i), i, pairs((50, 1 + i % 3)), pairs((51, 1))) for i in range(41)]
+    trades = [(s, i, START + timedelta(seconds=i), 10.0 + i % 2, Decimal(1)) for s in ("q", "busy") for i in range(41)]
+    depth = spark.createDataFrame(rows, schema)
+    tape = spark.createDataFrame(trades, "symbol string, trade_id bigint, ts timestamp_ntz, price double, qty decimal(38,8)")
+    out = E.drain(S.stream_sample_1s(
+        arriving(spark, depth, "arrival", str(tmp_path / "d"), 5), arriving(spark, tape, "trade_id", str(tmp_path / "t"), 3), 3, 2), "quiet")
+    q = {int((r.ts - START).total_seconds()): r for r in out.filter("symbol = 'q'").collect()}
+    assert sorted(q) == list(range(3, 40))  # both feeds end at 40 s, which is not over yet
+    assert {(q[i].mid_price, q[i].obi_L1, q[i].obi_L20) for i in (3,)} == {(93.0, (2 - 4) / 6, (6 - 4) / 10)}
+    assert {(q[i].mid_price, q[i].obi_L20) for i in range(4, 31)} == {(93.0, (3 - 4) / 7)}
+    assert {(q[i].mid_price, q[i].obi_L20) for i in range(31, 40)} == {(72.5, 0.0)}
+    assert out.filter("symbol = 'busy'").count() == 40
+
+
+@pytest.mark.parametrize("keep", [1, 2, 100])
+def test_live_levels_beyond_the_held_ones_come_back(monkeypatch, keep):
+    """A ladder that holds few levels reads the deeper ones when the best go; only changes are written."""
+    import random
+
+    from tidemark.streaming.depth import LiveBook
+
+    class Map(dict):
+        reads = writes = 0
+
+        def iterator(self):
+            self.reads += 1
+            return iter([((p,), (q,)) for (p,), q in self.items()])
+
+        def updateValue(self, k, v):
+            self.writes += 1
+            self[k] = v[0]
+
+        def removeKey(self, k):
+            self.writes += 1
+            self.pop(k, None)
+
+    class Value:
+        v = None
+
+        def exists(self):
+            return self.v is not None
+
+        def get(self):
+            return self.v
+
+        def update(self, v):
+            self.v = v
+
+    class Handle:
+        def __init__(self):
+            self.maps = {}
+
+        def getMapState(self, name, *_):
+            return self.maps.setdefault(name, Map())
+
+        def getValueState(self, *_):
+            return Value()
+
+    handle, draw, plain, changes = Handle(), random.Random(keep), {}, 0
+    live = LiveBook(handle, 3, keep)
+    for batch in range(60):
+        at, bid, price, qty, expected = [], [], [], [], []
+        for s in range(batch * 4, batch * 4 + 4):
+            for _ in range(draw.randint(0, 4)):
+                b, p, q = draw.random() < 0.5, float(draw.randint(1, 30)), float(draw.choice([0, 0, 0, 1, 2]))
+                plain[b, p] = q
+                for x, y in zip((at, bid, price, qty), (s, b, p, q)):
+                    x.append(y)
+            expected.append([sorted(((p, q) for (b, p), q in plain.items() if q and b == side), reverse=side)[:3] for side in (True, False)])
+        live.load()
+        found = live.walk(np.array(at, np.int64), np.array(bid, bool), np.array(price), np.array(qty), batch * 4, batch * 4 + 3)
+        changes += len(set(zip(bid, price)))
+        live.save()
+        got = [[list(zip(*map(np.ndarray.tolist, side))) for side in step[2:]] for step in found for _ in range(step[1])]
+        assert got == expected
+    maps = handle.maps.values()
+    assert sum(m.writes for m in maps) == changes
+    if keep == 100:
+        assert sum(m.reads for m in maps) == 0
 
 
 def test_bars_close_with_the_watermark(spark, inputs, tmp_path):
@@ -91,14 +187,14 @@ def test_bars_close_with_the_watermark(spark, inputs, tmp_path):
 
 
 def test_feature_sink_is_partitioned(spark, inputs, tmp_path):
-    messages = arriving(spark, inputs.messages, "arrival", str(tmp_path / "messages"))
+    messages = arriving(spark, inputs.depth_feed, "arrival", str(tmp_path / "messages"))
     trades = arriving(spark, inputs.tape, "trade_id", str(tmp_path / "tape"))
     path = str(tmp_path / "features")
     with E.state_partitions(spark, 2):
         rows = S.stream_sample_1s(messages, trades, BUCKET)
         E.sink_features(rows, path, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert {p.name for p in (tmp_path / "features").iterdir() if p.name.startswith("symbol=")} == {
-        f"symbol={r.symbol}" for r in inputs.fresh.select("symbol").distinct().collect()}
+        f"symbol={r.symbol}" for r in inputs.snapshots.select("symbol").distinct().collect()}
 
 
 def test_snapshot_fixture_is_the_early_book(inputs):

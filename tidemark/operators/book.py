@@ -1,8 +1,9 @@
 """Order book: replay of updates, books at sample times, imbalance and price features.
 
-A book is a table of levels ``(symbol, side, price, qty)``. Updates of one symbol may be
-a third of all rows, so the stale filter and the carry-forward of levels work on blocks
-of time or of ids; the final book is a hash aggregate with map-side partials.
+A book is a table of levels ``(symbol, side, price, qty)`` or, at a sample time, a row with both
+sides as sorted arrays (``bids``, ``asks``, best first). Updates of one symbol may be a third of
+all rows, so the stale filter and the carry-forward of levels work on blocks of time or of ids;
+the final book is a hash aggregate with map-side partials.
 """
 
 from __future__ import annotations
@@ -10,13 +11,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import earlier, ordered, so_far, whole
+from ..functions.frames import earlier, ordered
 from ..functions.numeric import imbalance
 from ..functions.timing import from_micros, micros_of, slot, step
 from .blocks import BLOCK, CARRIED, Cut, message_cut, opening, with_lookback
+from .ladder import Ladder, walk
 
 # Side names, depths, decay rates, sample depth and the spoofing limit.
 BID, ASK = "b", "a"
@@ -109,17 +113,12 @@ def best_first(side: str = "side", price: str = "price") -> Column:
     return F.when(F.col(side) == BID, -F.col(price)).otherwise(F.col(price))
 
 
-def placed_keys(books: DataFrame, keys: Sequence[str]) -> list[str]:
-    """Keys of a book, with its block where known: rows are already placed by block."""
-    return [*keys, BLOCK] if BLOCK in books.columns else list(keys)
-
-
 def book_level_rank(levels: DataFrame, keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
     """Level number from 1: bids from the highest price down, asks from the lowest up.
 
     The window holds one side of one book, whose size is the number of live prices.
     """
-    w = ordered([*placed_keys(levels, keys), "side"], best_first())
+    w = ordered([*keys, "side"], best_first())
     return levels.withColumn("level", F.row_number().over(w))
 
 
@@ -138,21 +137,26 @@ def l2_snapshot(levels: DataFrame, n: int = 10, keys: Sequence[str] = ("symbol",
     return top.groupBy(*keys).agg(side(BID).alias("bids"), side(ASK).alias("asks"))
 
 
-def book_as_of(entries: DataFrame, period: timedelta = timedelta(seconds=1),
-               block: timedelta = timedelta(minutes=10), keys: Sequence[str] = ("symbol",),
-               keep_block: bool = False, depth: int | None = None) -> DataFrame:
-    """Live levels at every sample time: a level holds from its update to the next one.
+# Blocks a level is opened in by one row at most.
+BLOCKS_AT_ONCE = 1_000
+
 
-    Sample k of a symbol is at k*period, from its first update to its last. Instead of a
-    range join, each level state is expanded into just the samples it covers:
+def books_as_of(entries: DataFrame, period: timedelta = timedelta(seconds=1), block: timedelta = timedelta(minutes=10),
+                depth: int | None = SAMPLE_DEPTH, keys: Sequence[str] = ("symbol",),
+                lasts: DataFrame | None = None) -> DataFrame:
+    """The book at every sample time: the best ``depth`` levels a side as sorted arrays (NULL: all levels).
+
+    Sample k of a key is at k*period, from its first update to its last, or to ``_last`` of
+    ``lasts`` (one row per key); books without any level give no row.
 
     1. keep the last update per level and sample (map-side partials);
-    2. open every block with the level states left by earlier blocks, so that no state
-       expands past its block;
-    3. inside a block a state covers the samples up to the level's next update.
+    2. open every block with the level states left by earlier blocks; the single shuffle
+       of the levels is by (keys, block);
+    3. a block's task walks through its samples with both sides as sorted arrays, changed
+       by the difference to the sample before. No level is ever expanded over the samples
+       it holds at, and nothing is ranked.
 
-    With ``depth``, levels that are never among the best ``depth`` of their side may be
-    left out (exactly those that ``depth`` better levels outrank all through a block).
+    A task holds the levels of one block, whatever the length of the series.
     """
     level = [*keys, "side", "price"]
     per_block = int(block / period)
@@ -163,113 +167,136 @@ def book_as_of(entries: DataFrame, period: timedelta = timedelta(seconds=1),
         entries.groupBy(*level, visible.alias("_at")).agg(F.max_by("qty", newest).alias("qty"))
         .withColumn(BLOCK, F.floor(F.col("_at") / F.lit(per_block)))
     )
-    finals = (
-        entries.groupBy(*keys).agg(F.max(slot(F.col("ts"), period)).alias("_last"))
-        .withColumn("_final", F.floor(F.col("_last") / F.lit(per_block)))
-    )
+    if lasts is None:
+        lasts = entries.groupBy(*keys).agg(F.max(slot(F.col("ts"), period)).alias("_last"))
+    finals = lasts.withColumn("_final", F.floor(F.col("_last") / F.lit(per_block)))
     # state of each level at the end of each block it changed in
     ends = (
         states.groupBy(*level, BLOCK).agg(F.max_by("qty", "_at").alias("qty"))
         .withColumn("_until", F.lead(BLOCK).over(ordered(level, BLOCK)))
     )
-    # only the last state of a level, one row, has to ask when its symbol ends
+    # only the last state of a level, one row, has to ask when its key ends
     lasting = ends.filter(F.col("_until").isNull()).drop("_until").join(
         finals.select(*keys, F.col("_final").alias("_until")), list(keys))
+    chunk = F.lit(BLOCKS_AT_ONCE)
     opened = (
         ends.filter(F.col("_until").isNotNull()).unionByName(lasting)
         .filter((F.col("qty") > 0) & (F.col("_until") > F.col(BLOCK)))
-        .withColumn(BLOCK, F.explode(F.sequence(F.col(BLOCK) + 1, F.col("_until"))))
+        .withColumn("_chunk", F.explode(F.sequence(
+            F.floor((F.col(BLOCK) + 1) / chunk), F.floor(F.col("_until") / chunk))))
+        .withColumn(BLOCK, F.explode(F.sequence(
+            F.greatest(F.col(BLOCK) + 1, F.col("_chunk") * chunk), F.least(F.col("_until"), (F.col("_chunk") + 1) * chunk - 1))))
         .select(*level, (F.col(BLOCK) * per_block).alias("_at"), "qty", BLOCK)
     )
-    # One shuffle by (symbol, block), before states expand into samples: all windows and
-    # groupings that follow have the block among their keys and stay in place.
     placed = (
         states.withColumn("_order", F.lit(1)).unionByName(opened.withColumn("_order", F.lit(0)))
         .repartition(*keys, BLOCK)
     )
-    block_end = (F.col(BLOCK) + 1) * per_block
     # an update after the last sample may fall into the block after the final one
     limits = finals.select(*keys, "_last", F.explode(F.array_distinct(F.array(
         "_final", F.floor((F.col("_last") + 1) / F.lit(per_block))))).alias(BLOCK))
-    held = (
-        placed.withColumn("_next", F.lead("_at").over(ordered([*level, BLOCK], "_at", "_order")))
-        .join(limits, [*keys, BLOCK], "left")
-        .withColumn("_end", F.least(F.coalesce("_next", block_end), F.coalesce(F.col("_last") + 1, block_end)) - 1)
-        .filter((F.col("qty") > 0) & (F.col("_end") >= F.col("_at")))
+    block_end = (F.col(BLOCK) + 1) * per_block - 1
+    bounded = (
+        placed.join(limits, [*keys, BLOCK], "left")
+        .withColumn("_stop", F.least(block_end, F.coalesce("_last", block_end)))
+        .filter(F.col("_at") <= F.col("_stop"))
+        .select(*keys, BLOCK, "_at", "_order", "_stop", (F.col("side") == BID).alias("_bid"), "price", "qty")
     )
-    if depth is not None:
-        held = _reachable(held, level, keys, depth, F.least(block_end, F.coalesce(F.col("_last") + 1, block_end))
-                          - F.col(BLOCK) * per_block)
-    out = held.withColumn("_sample", F.explode(F.sequence("_at", "_end"))).select(
-        *keys, BLOCK, from_micros(F.col("_sample") * F.lit(micros_of(period))).alias("ts"), "side", "price", "qty")
-    return out if keep_block else out.drop(BLOCK)
-
-
-def _reachable(held: DataFrame, level: Sequence[str], keys: Sequence[str], depth: int, samples: Column) -> DataFrame:
-    """Drop the states of levels with ``depth`` better levels that are live all through
-    the block: they cannot be among the best at any of its samples. Deep books would
-    otherwise expand a thousand levels a side to use twenty."""
-    covered = F.sum(F.col("_end") - F.col("_at") + 1).over(whole(ordered([*level, BLOCK], "_at")))
-    first = F.row_number().over(ordered([*level, BLOCK], "_at")) == 1
-    by_price = ordered([*keys, BLOCK, "side"], best_first(), "_at")
+    types = dict(bounded.dtypes)
+    sides = "bids array<struct<price:double,qty:double>>, asks array<struct<price:double,qty:double>>"
+    schema = ", ".join(f"{k} {types[k]}" for k in keys)
+    walked = bounded.groupBy(*keys, BLOCK).applyInArrow(
+        _walker(tuple(keys), depth), f"{schema}, {BLOCK} bigint, _sample bigint, {sides}")
+    return walked.select(
+        *keys, from_micros(F.col("_sample") * F.lit(micros_of(period))).alias("ts"), "bids", "asks")
+
+
+def _walker(keys: tuple[str, ...], depth: int | None):
+    """The samples of one block from its level states."""
+    pair = pa.struct([("price", pa.float64()), ("qty", pa.float64())])
+
+    def side(best: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p, _ in best])]).astype(np.int32)
+        price, qty = (np.concatenate([b[i] for b in best]) if best else np.empty(0) for i in (0, 1))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(price), pa.array(qty)], fields=list(pair)))
+
+    def walked(rows: pa.Table) -> pa.Table:
+        at, order = rows["_at"].to_numpy(), rows["_order"].to_numpy()
+        by = np.lexsort((order, at))
+        steps = list(walk(
+            Ladder(True), Ladder(False), at[by], rows["_bid"].to_numpy(zero_copy_only=False)[by], rows["price"].to_numpy()[by],
+            rows["qty"].to_numpy()[by], int(at.min()), rows["_stop"][0].as_py(), depth))
+        steps = [s for s in steps if len(s[2][0]) or len(s[3][0])]
+        count = np.array([s[1] for s in steps], dtype=np.int64)
+        state = pa.array(np.repeat(np.arange(len(steps)), count))
+        first = np.array([s[0] for s in steps], dtype=np.int64)
+        sample = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        columns = {k: pa.repeat(rows[k][0], len(sample)) for k in (*keys, BLOCK)}
+        return pa.table(columns | {"_sample": sample, "bids": side([s[2] for s in steps]).take(state), "asks": side([s[3] for s in steps]).take(state)})
+
+    return walked
+
+
+def book_as_of(books: DataFrame) -> DataFrame:
+    """Books as rows: one per level that is live at the sample, ``level`` 1 being the best of its side."""
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("levels")) for s, c in ((BID, "bids"), (ASK, "asks"))]))
+    rest = [c for c in books.columns if c not in ("bids", "asks")]
     return (
-        held.withColumn("_always", (covered == samples).cast("int"))
-        .withColumn("_mark", F.when(first, F.col("_always")).otherwise(0))
-        .withColumn("_better", F.sum("_mark").over(so_far(by_price)) - F.col("_always"))
-        .filter(F.col("_better") < depth)
+        books.select(*rest, sides.alias("_s"))
+        .select(*rest, "_s.side", F.posexplode("_s.levels").alias("_pos", "_level"))
+        .select(*rest, "side", "_level.price", "_level.qty", (F.col("_pos") + 1).alias("level"))
     )
 
 
-# --- features -----------------------------------------------------------------
+# --- features of books held as sorted arrays ------------------------------------
 
 def side_volume(side: str, depth: int | None = None, decay: float = 0.0) -> Column:
     """Volume of one side down to ``depth``, each level further from the top counting less."""
-    inside = F.col("side") == side
-    if depth is not None:
-        inside = inside & (F.col("level") <= depth)
-    weight = F.exp(F.lit(-decay) * (F.col("level") - 1)) if decay else F.lit(1.0)
-    return F.coalesce(F.sum(F.when(inside, F.col("qty") * weight)), F.lit(0.0))
+    levels = F.col(side) if depth is None else F.slice(side, 1, depth)
+    volumes = F.transform(levels, (lambda x, i: x["qty"] * F.exp(F.lit(-decay) * i)) if decay else (lambda x: x["qty"]))
+    return F.aggregate(volumes, F.lit(0.0), lambda total, x: total + x)
 
 
-def book_side_volume(ranked: DataFrame, depth: int, keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
-    return _grouped(ranked, keys, {"bid_volume": side_volume(BID, depth), "ask_volume": side_volume(ASK, depth)})
+def book_side_volume(books: DataFrame, depth: int) -> DataFrame:
+    return _with_features(books, {"bid_volume": side_volume("bids", depth), "ask_volume": side_volume("asks", depth)})
 
 
 def obi_columns() -> dict[str, Column]:
-    return {f"obi_L{d}": imbalance(side_volume(BID, d), side_volume(ASK, d)) for d in DEPTHS}
+    return {f"obi_L{d}": imbalance(side_volume("bids", d), side_volume("asks", d)) for d in DEPTHS}
 
 
 def weighted_obi_columns() -> dict[str, Column]:
     return {
-        name: imbalance(side_volume(BID, None, rate), side_volume(ASK, None, rate))
+        name: imbalance(side_volume("bids", None, rate), side_volume("asks", None, rate))
         for name, rate in (("obi_weighted_strong", STRONG), ("obi_weighted_weak", WEAK))
     }
 
 
 def top_columns() -> dict[str, Column]:
     """Best price and volume on each side."""
-    top = F.col("level") == 1
     return {
-        name: F.max(F.when(top & (F.col("side") == side), F.col(value)))
+        name: F.get(F.col(side), F.lit(0))[value]
         for name, side, value in (
-            ("bid", BID, "price"), ("ask", ASK, "price"), ("bid_qty", BID, "qty"), ("ask_qty", ASK, "qty"))
+            ("bid", "bids", "price"), ("ask", "asks", "price"), ("bid_qty", "bids", "qty"), ("ask_qty", "asks", "qty"))
     }
 
 
-def _grouped(ranked: DataFrame, keys: Sequence[str], columns: dict[str, Column]) -> DataFrame:
-    return ranked.groupBy(*placed_keys(ranked, keys)).agg(*[c.alias(n) for n, c in columns.items()]).drop(BLOCK)
+def _with_features(books: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The key columns of the books and features computed from both sides."""
+    keys = [c for c in books.columns if c not in ("bids", "asks")]
+    return books.select(*keys, *[c.alias(n) for n, c in columns.items()])
 
 
 def two_sided(books: DataFrame) -> DataFrame:
-    return books.filter(F.col("bid").isNotNull() & F.col("ask").isNotNull())
+    return books.filter((F.size("bids") > 0) & (F.size("asks") > 0))
 
 
-def obi_depth(ranked: DataFrame, keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
-    return _grouped(ranked, keys, obi_columns())
+def obi_depth(books: DataFrame) -> DataFrame:
+    return _with_features(books, obi_columns())
 
 
-def obi_weighted(ranked: DataFrame, keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
-    return _grouped(ranked, keys, weighted_obi_columns())
+def obi_weighted(books: DataFrame) -> DataFrame:
+    return _with_features(books, weighted_obi_columns())
 
 
 def with_spread(top: DataFrame) -> DataFrame:
@@ -277,9 +304,9 @@ def with_spread(top: DataFrame) -> DataFrame:
     return top.withColumn("spread_absolute", gap).withColumn("spread_relative", F.try_divide(gap, F.col("ask")))
 
 
-def spread(ranked: DataFrame, keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
+def spread(books: DataFrame) -> DataFrame:
     """Absolute spread, and the same relative to the best ask."""
-    return with_spread(two_sided(_grouped(ranked, keys, top_columns())))
+    return with_spread(_with_features(two_sided(books), top_columns()))
 
 
 def with_micro_price(top: DataFrame) -> DataFrame:
@@ -294,30 +321,22 @@ def with_micro_price(top: DataFrame) -> DataFrame:
     )
 
 
-def mid_micro_price(ranked: DataFrame, keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
-    return with_micro_price(two_sided(_grouped(ranked, keys, top_columns())))
+def mid_micro_price(books: DataFrame) -> DataFrame:
+    return with_micro_price(_with_features(two_sided(books), top_columns()))
 
 
-def spoof_divergence(ranked: DataFrame, keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
+def spoof_divergence(books: DataFrame) -> DataFrame:
     """Imbalance at the top minus imbalance in depth; flagged when far apart."""
-    both = obi_depth(ranked, keys).select(*keys, "obi_L1", "obi_L20")
+    both = obi_depth(books).drop("obi_L5", "obi_L10")
     return both.withColumn("spoofing_divergence", F.col("obi_L1") - F.col("obi_L20")).withColumn(
         "spoof_flag", F.abs("spoofing_divergence") > SPOOF_LIMIT)
 
 
-def book_features(ranked: DataFrame, keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
-    """All book features per book in one aggregation; one-sided books are skipped."""
-    books = two_sided(_grouped(ranked, keys, {**obi_columns(), **weighted_obi_columns(), **top_columns()}))
+def book_features(books: DataFrame) -> DataFrame:
+    """All book features per book; one-sided books are skipped."""
+    top = _with_features(two_sided(books), {**obi_columns(), **weighted_obi_columns(), **top_columns()})
     return (
-        with_micro_price(with_spread(books))
+        with_micro_price(with_spread(top))
         .withColumn("spoofing_divergence", F.col("obi_L1") - F.col("obi_L20"))
         .drop("bid", "ask", "bid_qty", "ask_qty")
     )
-
-
-def sample_books(entries: DataFrame, period: timedelta = timedelta(seconds=1),
-                 block: timedelta = timedelta(minutes=10), depth: int = SAMPLE_DEPTH) -> DataFrame:
-    """Ranked top levels of every symbol's book at every sample time."""
-    return top_n_levels(book_as_of(entries, period, block, keep_block=True, depth=depth), depth)
-
-

@@ -12,7 +12,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.frames import ordered, so_far, trailing, whole
+from ..functions.frames import earlier, ordered, so_far, trailing
 from ..functions.numeric import norm_cdf
 from .blocks import BLOCK, CARRIED, Cut, blockwise, trade_cut, with_lookback
 from .timegrid import asof_join
@@ -31,8 +31,22 @@ LOTS = 100_000_000  # quantities have eight decimals
 
 
 def lots(qty: str = "qty") -> Column:
-    """Exact quantity as a whole number of 1e-8 units; whole numbers stay in generated code."""
-    return (F.col(qty) * F.lit(LOTS)).cast("bigint")
+    """Exact quantity as a whole number of 1e-8 units."""
+    return (F.col(qty) * F.lit(LOTS)).cast("decimal(38,0)")
+
+
+def bucket_parts(volume: int, qty: str = "qty") -> tuple[Column, Column]:
+    """A quantity as whole buckets and the lots left over (less than a bucket), both longs.
+
+    Quantities that fit in 64 bits of lots, nearly all, stay in long arithmetic.
+    """
+    size = F.lit(volume * LOTS)
+    small = F.col(qty) < F.lit(90_000_000_000)
+    short = (F.col(qty) * F.lit(LOTS)).cast("bigint")
+    whole = F.call_function("div", lots(qty), size)
+    full = F.when(small, F.call_function("div", short, size)).otherwise(whole)
+    rest = F.when(small, F.pmod(short, size)).otherwise((lots(qty) % size).cast("bigint"))
+    return full, rest
 
 
 def price_change(w: WindowSpec) -> Column:
@@ -50,35 +64,41 @@ def with_sigma(d: DataFrame, cut: Cut) -> DataFrame:
     stand-ins for too few changes and for a flat price.
 
     A sliding frame would visit 100 rows per trade. Here the rows of a block are counted
-    off in runs of 100: the last 100 squares are the current run so far plus the rest of
-    the run before, so each trade costs a constant number of steps, and rounding stays
-    within two runs. The sum of the changes is a difference of two prices, and a flat
-    stretch is recognised by the last row whose change differs, not by rounding.
+    off in runs of 100: the last 100 changes are the current run so far plus the rest of
+    the run before. Of both parts (count, mean, sum of squared differences from the mean)
+    is kept, which grows and merges without the cancellation that sums of squares suffer,
+    so each trade costs a constant number of steps. Equal changes give exactly 0.
     """
     n = SIGMA_WINDOW
     w = cut.window()
     run = ordered([*cut.parts, "_run"], *cut.order)
+    back = ordered([*cut.parts, "_run"], *[F.desc(c) for c in cut.order])
     change = F.col("price_change")
+
+    def part(frame: WindowSpec) -> Column:
+        count = F.count(change).over(frame)
+        spread = F.coalesce(F.var_pop(change).over(frame), F.lit(0.0)) * count
+        return F.struct(count.alias("n"), F.coalesce(F.avg(change).over(frame), F.lit(0.0)).alias("mean"), spread.alias("m2"))
+
     counted = (
         d.withColumn("price_change", price_change(w))
         .withColumn("_row", F.row_number().over(w))
-        .withColumn("_moved", F.col("price") - F.coalesce(F.lag("price", n).over(w), F.first("price").over(so_far(w))))
-        .withColumn("_turn", F.max(F.when(change != F.lag(change).over(w), F.col("_row"))).over(so_far(w)))
         .withColumn("_run", F.floor((F.col("_row") - 1) / n))
-        .withColumn("_sofar", F.coalesce(F.sum(change * change).over(so_far(run)), F.lit(0.0)))
-        .withColumn("_rest", F.coalesce(F.sum(change * change).over(whole(run)), F.lit(0.0)) - F.col("_sofar"))
-        .withColumn("_squares", F.col("_sofar") + F.coalesce(F.lag("_rest", n).over(w), F.lit(0.0)))
+        .withColumn("_rest", part(earlier(back)))  # the rows of the run behind this one
+        .withColumn("_sofar", part(so_far(run)))
+        .withColumn("_old", F.lag("_rest", n).over(w))
     )
-    known = F.least(F.col("_row") - 1, F.lit(n))
-    # the change of row _turn differs from the one before it
-    flat = F.coalesce(F.col("_row") - F.col("_turn") + 1 >= known, F.lit(True))
-    variance = F.col("_squares") / known - F.pow(F.col("_moved") / known, F.lit(2))
+    a, b = F.col("_sofar"), F.col("_old")
+    old = F.coalesce(b["n"], F.lit(0))
+    known = a["n"] + old
+    apart = a["mean"] - F.coalesce(b["mean"], F.lit(0.0))
+    m2 = a["m2"] + F.when(old > 0, b["m2"] + apart * apart * a["n"] * old / known).otherwise(0.0)
     return counted.withColumn(
         "sigma",
         F.when(known <= SIGMA_LEAST, F.lit(SIGMA_UNKNOWN))
-        .when(flat | (variance <= 0), F.lit(SIGMA_FLAT))
-        .otherwise(F.sqrt(variance))
-    ).drop("_row", "_moved", "_turn", "_run", "_sofar", "_rest", "_squares")
+        .when(m2 <= 0, F.lit(SIGMA_FLAT))
+        .otherwise(F.sqrt(m2 / known))
+    ).drop("_row", "_run", "_rest", "_sofar", "_old")
 
 
 def trade_sigma(trades: DataFrame, cut: Cut = trade_cut()) -> DataFrame:
@@ -100,62 +120,82 @@ def bvc_classify(flow: DataFrame) -> DataFrame:
 
 def running_volume(trades: DataFrame, volume: int = BUCKET_VOLUME, cut: Cut = trade_cut()) -> DataFrame:
     """Trades with change, sigma and their place in the running volume of the symbol:
-    ``filled`` lots after the trade, counted from the start of bucket ``open_bucket``.
-
-    The symbol's first trade is discarded and does not count. One shuffle of the trades:
-    look-back windows, the running sum and the join of the opening totals all use the
-    (symbol, block) partitioning. Only block totals, which may exceed a long, are decimals.
+    after the trade ``filled`` lots are in bucket ``bucket``; it brought ``full`` whole
+    buckets and ``rest`` lots.
+
+    Volume is carried as (whole buckets, lots of the open one), which adds up in any
+    order, so no number grows with the volume but the bucket's own. The symbol's first
+    trade is discarded and does not count. One shuffle of the trades: look-back windows,
+    running sums and the join of the opening totals all use the (symbol, block)
+    partitioning. Lots are summed as longs where a block of 16 million trades cannot
+    overflow them, else as decimals.
     """
     size = F.lit(volume * LOTS)
+    full, rest = bucket_parts(volume)
+    kind = "bigint" if volume * LOTS <= 1 << 38 else "decimal(38,0)"
     between = cut.between_blocks()
-    per_block = (
-        cut.apply(trades).groupBy(*cut.parts)
-        .agg(F.sum(lots().cast("decimal(28,0)")).alias("_lots"), F.min_by(lots(), cut.order_key()).alias("_first"))
-    )
-    before = F.sum("_lots").over(so_far(between)) - F.col("_lots") - F.first("_first").over(so_far(between))
+    wide = "decimal(38,0)"
+    own = cut.apply(trades).withColumn("full", full).withColumn("rest", rest)
+    per_block = own.groupBy(*cut.parts).agg(
+        F.sum(F.col("full").cast(wide)).alias("_full"), F.sum(F.col("rest").cast(wide)).alias("_rest"),
+        F.min_by("full", cut.order_key()).alias("_first_full"), F.min_by("rest", cut.order_key()).alias("_first_rest"))
+
+    def before(total: str, first: str) -> Column:
+        return F.sum(total).over(so_far(between)) - F.col(total) - F.first(first).over(so_far(between))
+
     opened = (
-        per_block.withColumn("_before", before)
-        .withColumn("_rest", F.pmod("_before", size))
-        .select(*cut.parts, F.col("_rest").cast("bigint").alias("_rest"),
-                ((F.col("_before") - F.col("_rest")) / size).cast("bigint").alias("open_bucket"))
+        per_block.withColumn("_before", before("_rest", "_first_rest")).withColumn("_buckets", before("_full", "_first_full"))
+        .withColumn("_open", F.pmod("_before", size))
+        .select(*cut.parts, F.col("_open").cast("bigint").alias("_open"),
+                (F.col("_buckets") + F.call_function("div", F.col("_before") - F.col("_open"), size)).cast("bigint").alias("_bucket"))
     )
     w = cut.window()
     inside = (
         with_sigma(with_lookback(trades, cut, SIGMA_WINDOW), cut)
         .filter(~F.col(CARRIED))
-        .withColumn("lots", lots())
-        .withColumn("_inside", F.sum("lots").over(so_far(w)))
+        .withColumn("full", full).withColumn("rest", rest)
+        .withColumn("_full", F.sum("full").over(so_far(w)))
+        .withColumn("_rest", F.sum(F.col("rest").cast(kind)).over(so_far(w)))
     )
+    reached = F.col("_open").cast(kind) + F.col("_rest")
     return (
         inside.join(opened, cut.parts)
-        .withColumn("filled", F.col("_rest") + F.col("_inside"))
+        .withColumn("filled", F.pmod(reached, size).cast("bigint"))
+        .withColumn("bucket", (F.col("_bucket") + F.col("_full") + F.call_function("div", reached, size)).cast("bigint"))
         .filter(F.col("price_change").isNotNull())
-        .select(*trades.columns, "price_change", "sigma", "lots", "open_bucket", "filled")
+        .select(*trades.columns, "price_change", "sigma", "full", "rest", "bucket", "filled")
     )
 
 
+BUCKETS_AT_ONCE = 10_000
+
+
 def volume_buckets(flow: DataFrame, volume: int = BUCKET_VOLUME) -> DataFrame:
     """Split each trade over the fixed-volume buckets it reaches, pro rata.
 
     ``piece`` is the quantity that falls into ``bucket``. Whole lots keep every trade on
-    the right side of a boundary.
+    the right side of a boundary. A trade over very many buckets is expanded in chunks of
+    ``BUCKETS_AT_ONCE``, so no single row ever holds more.
     """
-    size = F.lit(volume * LOTS)
-    low = F.col("filled") - F.col("lots")
-
-    def whole(c: Column) -> Column:
-        return F.floor((c - F.pmod(c, size)) / size)
-
-    pieces = (
-        flow.filter(F.col("lots") > 0)
-        .withColumn("_bucket", F.explode(F.sequence(whole(low), whole(F.col("filled") - 1))))
-        .withColumn("piece_lots", F.least(F.col("filled"), (F.col("_bucket") + 1) * size)
-                    - F.greatest(low, F.col("_bucket") * size))
+    size, chunk = F.lit(volume * LOTS), F.lit(BUCKETS_AT_ONCE)
+    borrow = F.col("rest") > F.col("filled")
+    placed = (
+        flow.filter((F.col("full") > 0) | (F.col("rest") > 0))
+        .withColumn("_from", F.col("bucket") - F.col("full") - borrow.cast("int"))
+        .withColumn("_begin", F.col("filled") - F.col("rest") + F.when(borrow, size).otherwise(0))
+        .withColumn("_to", F.col("bucket") - (F.col("filled") == 0).cast("int"))
+        .withColumn("_end", F.when(F.col("filled") == 0, size).otherwise(F.col("filled")))
+        .withColumn("_chunk", F.explode(F.sequence(F.floor(F.col("_from") / chunk), F.floor(F.col("_to") / chunk))))
+        .withColumn("_at", F.explode(F.sequence(
+            F.greatest("_from", F.col("_chunk") * chunk), F.least(F.col("_to"), F.col("_chunk") * chunk + chunk - 1))))
     )
+    pieces = placed.withColumn(
+        "piece_lots", F.when(F.col("_at") == F.col("_to"), F.col("_end")).otherwise(size)
+        - F.when(F.col("_at") == F.col("_from"), F.col("_begin")).otherwise(0))
     return (
-        pieces.withColumn("bucket", F.col("open_bucket") + F.col("_bucket"))
+        pieces.withColumn("bucket", F.col("_at"))
         .withColumn("piece", F.col("piece_lots") / F.lit(float(LOTS)))
-        .drop("_bucket", "open_bucket", "filled")
+        .drop("_from", "_to", "_begin", "_end", "_chunk", "_at", "full", "rest", "filled")
     )
 
 
@@ -211,8 +251,8 @@ def trade_toxicity(trades: DataFrame, volume: int = BUCKET_VOLUME, window: int =
 
 
 def vpin_as_of(instants: DataFrame, toxicity: DataFrame, span: timedelta | None = timedelta(hours=1),
-               keys: Sequence[str] = ("symbol",), times: DataFrame | None = None) -> DataFrame:
+               keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Each instant with the value of the last bucket closed by then, neutral before that."""
     closes = toxicity.select(*keys, F.col("closed_at").alias("ts"), "bucket", "vpin")
-    found = asof_join(instants, closes, keys, "ts", span, tie=("bucket",), times=times)
+    found = asof_join(instants, closes, keys, "ts", span, tie=("bucket",))
     return found.drop("bucket").withColumn("vpin", F.coalesce("vpin", F.lit(VPIN_NEUTRAL)))

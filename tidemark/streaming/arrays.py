@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
 from ..functions.numeric import NORM_DENOMINATOR, NORM_NUMERATOR, NORM_SPLIT, NORM_ZERO, SQRT_TWO_PI
+from ..operators.book import DEPTHS, SAMPLE_DEPTH, STRONG, WEAK
 from ..operators.flow import (
     BUCKET_VOLUME, LOTS, SIGMA_FLAT, SIGMA_LEAST, SIGMA_UNKNOWN, SIGMA_WINDOW, VPIN_NEUTRAL, VPIN_WINDOW,
 )
 
 ROWS_AT_ONCE = 10_000
+BUCKETS_AT_ONCE = 1_000_000
 
 
 def norm_cdf(z: np.ndarray) -> np.ndarray:
@@ -38,7 +41,8 @@ def sigmas(history: np.ndarray, changes: np.ndarray) -> np.ndarray:
     out = np.concatenate([
         np.nanstd(windows[i:i + ROWS_AT_ONCE], axis=1) for i in range(0, len(windows), ROWS_AT_ONCE)])
     known = np.minimum(len(history) + 1 + np.arange(len(changes)), SIGMA_WINDOW)
-    return np.where(known <= SIGMA_LEAST, SIGMA_UNKNOWN, np.where(out == 0, SIGMA_FLAT, out))
+    flat = np.nanmax(windows, axis=1) == np.nanmin(windows, axis=1)  # a mean of equal values may be off by a rounding
+    return np.where(known <= SIGMA_LEAST, SIGMA_UNKNOWN, np.where(flat | (out == 0), SIGMA_FLAT, out))
 
 
 @dataclass
@@ -62,45 +66,69 @@ class Flow:
     changes: np.ndarray = field(default_factory=lambda: np.empty(0))
     imbalances: np.ndarray = field(default_factory=lambda: np.empty(0))
 
-    def take(self, price: np.ndarray, lots: np.ndarray) -> Closed:
-        """Trades in order -> the buckets they close."""
+    def take(self, price: np.ndarray, full: np.ndarray, rest: np.ndarray) -> Closed:
+        """Trades in order, their volume as whole buckets and lots left over -> the buckets they close."""
+        none = np.empty(0)
+        closed = [Closed(none.astype(int), none, none, none.astype(int)), *self.steps(price, full, rest)]
+        return Closed(*[np.concatenate([getattr(c, f) for c in closed]) for f in ("bucket", "imbalance", "vpin", "closer")])
+
+    def steps(self, price: np.ndarray, full: np.ndarray, rest: np.ndarray) -> Iterator[Closed]:
+        """``take`` in parts of some ``BUCKETS_AT_ONCE`` buckets, also where one trade fills more than that."""
         start = 0
         if self.last_price is None and len(price):
             self.last_price, start = float(price[0]), 1  # the first trade only sets the price
-        closed = self._fill(price[start:], lots[start:], start)
-        seen = np.concatenate([self.imbalances, closed.imbalance])
-        self.imbalances = seen[-self.window:]
-        return closed
-
-    def _fill(self, price: np.ndarray, lots: np.ndarray, offset: int) -> Closed:
-        none = np.empty(0)
+        price, full, rest = price[start:], full[start:], rest[start:]
         if not len(price):
-            return Closed(none.astype(int), none, none, none.astype(int))
+            return
         changes = np.diff(price, prepend=self.last_price)
         tilt = 2 * norm_cdf(changes / sigmas(self.changes, changes)) - 1
         self.last_price = float(price[-1])
         self.changes = np.concatenate([self.changes, changes])[-SIGMA_WINDOW:]
-
+        # a trade over many buckets counts as several of the same tilt
+        parts = np.maximum(1, -(-full // BUCKETS_AT_ONCE))
+        trade = np.repeat(np.arange(len(full)), parts)
+        last = np.cumsum(parts) - 1
+        some = np.full(len(trade), BUCKETS_AT_ONCE)
+        some[last] = full - (parts - 1) * BUCKETS_AT_ONCE
+        left = np.zeros(len(trade), dtype=np.int64)
+        left[last] = rest
+        reach = np.cumsum(some + 1)
+        # so few at once that their lots add up to less than 63 bits
+        most = max(1, min(ROWS_AT_ONCE, (1 << 62) // (self.volume * LOTS)))
+        i = 0
+        while i < len(trade):
+            far = int(np.searchsorted(reach, (reach[i - 1] if i else 0) + 2 * BUCKETS_AT_ONCE, side="right"))
+            j = min(max(far, i + 1), i + most)
+            closed = self._fill(tilt[trade[i:j]], some[i:j], left[i:j])
+            closed.closer = trade[i:j][closed.closer] + start
+            yield closed
+            i = j
+
+    def _fill(self, tilt: np.ndarray, full: np.ndarray, rest: np.ndarray) -> Closed:
+        """Buckets are counted from the open one; no sum of lots leaves ``len(tilt)`` buckets."""
         size = self.volume * LOTS
-        hi = self.filled + np.cumsum(lots)
-        lo = hi - lots
-        traded = np.flatnonzero(lots > 0)
-        first, last = lo[traded] // size, (hi[traded] - 1) // size
-        count = last - first + 1
+        lots = self.filled + np.cumsum(rest)
+        bucket, filled = np.cumsum(full) + lots // size, lots % size  # after each trade
+        borrow = rest > filled
+        first, begin = bucket - full - borrow, filled - rest + size * borrow
+        last, end = bucket - (filled == 0), np.where(filled == 0, size, filled)
+        traded = np.flatnonzero((full > 0) | (rest > 0))
+        count = (last - first + 1)[traded]
         trade = np.repeat(traded, count)
-        bucket = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        piece = np.minimum(hi[trade], (bucket + 1) * size) - np.maximum(lo[trade], bucket * size)
-        total = int(hi[-1]) // size
-        signed = np.bincount(bucket, weights=piece / LOTS * tilt[trade], minlength=total + 1)
+        piece_of = np.repeat(first[traded], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        piece = np.where(piece_of == last[trade], end[trade], size) - np.where(piece_of == first[trade], begin[trade], 0)
+        total = int(bucket[-1])
+        signed = np.bincount(piece_of, weights=piece / LOTS * tilt[trade], minlength=total + 1)
         signed[0] += self.signed
         imbalance = np.abs(signed[:total])
-        closer = np.searchsorted(bucket, np.arange(total), side="right") - 1
+        closer = np.searchsorted(piece_of, np.arange(total), side="right") - 1
         windows = trailing_windows(self.imbalances, imbalance, self.window)
         vpin = np.where(np.isnan(windows[:, 0]), VPIN_NEUTRAL, windows.sum(axis=1) / (self.window * self.volume)) \
-            if total else none
-        out = Closed(self.bucket + np.arange(total), imbalance, vpin, trade[closer] + offset)
+            if total else np.empty(0)
+        out = Closed(self.bucket + np.arange(total), imbalance, vpin, trade[closer])
+        self.imbalances = np.concatenate([self.imbalances, imbalance])[-self.window:]
         self.bucket += total
-        self.filled = int(hi[-1]) - total * size
+        self.filled = int(filled[-1])
         self.signed = float(signed[total])
         return out
 
@@ -112,30 +140,36 @@ def newer(ids: np.ndarray, last: int | None) -> np.ndarray:
     return ids > before
 
 
-def side_arrays(book: dict[tuple[str, float], float], side: str, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prices and quantities of one side, best first."""
-    levels = sorted(((p, q) for (s, p), q in book.items() if s == side), reverse=side == "b")[:depth]
-    pairs = np.array(levels, dtype=float).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+def table_of(best: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best price (NaN: none) and quantities, filled up with zeros, of many books' sides."""
+    top, qty = np.full(len(best), np.nan), np.zeros((len(best), depth))
+    for i, (price, q) in enumerate(best):
+        if len(price):
+            top[i] = price[0]
+            qty[i, :len(q)] = q
+    return top, qty
+
 
+def lean(bid: np.ndarray, ask: np.ndarray) -> np.ndarray:
+    total = bid + ask
+    return np.where(total != 0, (bid - ask) / np.where(total != 0, total, 1), 0.0)
 
-def lean(bid: float, ask: float) -> float:
-    return (bid - ask) / (bid + ask) if bid + ask else 0.0
 
+def features(bids: list[tuple[np.ndarray, np.ndarray]], asks: list[tuple[np.ndarray, np.ndarray]],
+             depth: int = SAMPLE_DEPTH) -> dict[str, np.ndarray]:
+    """Book features of many books, each side as (prices, quantities), best first.
 
-def features(book: dict[tuple[str, float], float], depth: int = 20) -> dict[str, float] | None:
-    """Book features of one instant, or None for a one-sided book."""
-    (bp, bq), (ap, aq) = (side_arrays(book, s, depth) for s in ("b", "a"))
-    if not len(bp) or not len(ap):
-        return None
-    out = {f"obi_L{d}": lean(bq[:d].sum(), aq[:d].sum()) for d in (1, 5, 10, 20)}
-    for name, rate in (("strong", 0.8), ("weak", 0.1)):
-        weigh = [(q * np.exp(-rate * np.arange(len(q)))).sum() for q in (bq, aq)]
-        out[f"obi_weighted_{name}"] = lean(*weigh)
-    gap, mid, top = ap[0] - bp[0], (ap[0] + bp[0]) / 2, bq[0] + aq[0]
-    micro = (ap[0] * bq[0] + bp[0] * aq[0]) / top if top else mid
+    ``mid_price`` is NaN for a one-sided book.
+    """
+    (bid, bq), (ask, aq) = table_of(bids, depth), table_of(asks, depth)
+    out = {f"obi_L{d}": lean(bq[:, :d].sum(1), aq[:, :d].sum(1)) for d in DEPTHS}
+    for name, rate in (("strong", STRONG), ("weak", WEAK)):
+        weight = np.exp(-rate * np.arange(depth))
+        out[f"obi_weighted_{name}"] = lean(bq @ weight, aq @ weight)
+    gap, mid, top = ask - bid, (ask + bid) / 2, bq[:, 0] + aq[:, 0]
+    micro = np.where(top != 0, (ask * bq[:, 0] + bid * aq[:, 0]) / np.where(top != 0, top, 1), mid)
     return out | {
-        "spread_absolute": gap, "spread_relative": gap / ap[0],
-        "spoofing_divergence": out["obi_L1"] - out["obi_L20"],
+        "spread_absolute": gap, "spread_relative": gap / ask,
+        "spoofing_divergence": out["obi_L1"] - out[f"obi_L{SAMPLE_DEPTH}"],
         "mid_price": mid, "micro_price": micro, "micro_dev": micro - mid,
     }

@@ -10,16 +10,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from datetime import timedelta
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.timing import arrival_key
-from ..operators.flow import BUCKET_VOLUME, VPIN_ALERT, VPIN_NEUTRAL, VPIN_WINDOW, lots
+from ..functions.timing import arrival_key, micros, micros_of
+from ..operators.book import ASK, BID, SAMPLE_DEPTH
+from ..operators.epochs import RESYNC
+from ..operators.flow import BUCKET_VOLUME, VPIN_ALERT, VPIN_NEUTRAL, VPIN_WINDOW, bucket_parts
 from ..schemas import BOOK_FEATURES
 from .arrays import Flow, features, newer
+from .depth import FIELDS, LiveBook, Waiting, in_order, levels_of, packed, segments, sides_as_doubles
 
 SECOND = 1_000_000
 
@@ -37,10 +43,6 @@ def stream_ohlc(trades: DataFrame, width: str = "4 hours", delay: str = "10 minu
     )
 
 
-def in_order(batches: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    return pd.concat(list(batches), ignore_index=True).sort_values(list(by), kind="stable", ignore_index=True)
-
-
 class FlowStore:
     """Loads and saves the order-flow state of the current key."""
 
@@ -78,12 +80,12 @@ class VpinProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         t = in_order(rows, "ts", "trade_id")
         flow = self.store.load()
-        closed = flow.take(t["price"].to_numpy(), t["lots"].to_numpy())
+        times, ids = t["ts"].to_numpy(), t["trade_id"].to_numpy()
+        for closed in flow.steps(t["price"].to_numpy(), t["full"].to_numpy(), t["rest"].to_numpy()):
+            yield pd.DataFrame({
+                "symbol": key[0], "bucket": closed.bucket, "closed_at": times[closed.closer],
+                "closing_trade": ids[closed.closer], "imbalance": closed.imbalance, "vpin": closed.vpin})
         self.store.save(flow)
-        yield pd.DataFrame({
-            "symbol": key[0], "bucket": closed.bucket, "closed_at": t["ts"].to_numpy()[closed.closer],
-            "closing_trade": t["trade_id"].to_numpy()[closed.closer],
-            "imbalance": closed.imbalance, "vpin": closed.vpin})
 
     def close(self) -> None:
         pass
@@ -91,8 +93,9 @@ class VpinProcessor(StatefulProcessor):
 
 def stream_vpin(trades: DataFrame, volume: int = BUCKET_VOLUME, window: int = VPIN_WINDOW) -> DataFrame:
     """Toxicity at every bucket close."""
+    full, rest = bucket_parts(volume)
     return (
-        trades.select("symbol", "trade_id", "ts", "price", lots().alias("lots")).groupBy("symbol")
+        trades.select("symbol", "trade_id", "ts", "price", full.alias("full"), rest.alias("rest")).groupBy("symbol")
         .transformWithStateInPandas(
             VpinProcessor(volume, window),
             "symbol string, bucket bigint, closed_at timestamp_ntz, closing_trade bigint, "
@@ -130,155 +133,223 @@ def stream_late_drop(messages: DataFrame) -> DataFrame:
         IdProcessor(), "symbol string, arrival bigint, ts timestamp_ntz, u bigint", "append", "none")
 
 
-def entries_of(message) -> Iterator[tuple[str, float, float]]:
-    for side, pairs in (("b", message.b), ("a", message.a)):
-        for price, qty in pairs if pairs is not None else ():
-            yield side, float(price), float(qty)
-
-
 class BookProcessor(StatefulProcessor):
     """Live book: messages wait until the snapshot is there, then newer ones are applied."""
 
+    def __init__(self, resync: int):
+        self.resync = resync
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        pairs = "array<array<string>>"
         self.last = handle.getValueState("last", "u bigint")
-        self.waiting = handle.getListState("waiting", f"arrival bigint, u bigint, b {pairs}, a {pairs}")
+        self.recent = Waiting(handle, "recent")
         self.levels = handle.getMapState("levels", "side string, price double", "qty double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        m = in_order(rows, "arrival")
-        snapshots, diffs = m[m["is_snapshot"]], m[~m["is_snapshot"]][["arrival", "u", "b", "a"]]
+        depth = ordered_depth(pd.concat(list(rows), ignore_index=True))
+        last = self.last.get()[0] if self.last.exists() else None
+        # without a snapshot nothing that waits matters
+        recent = self.recent.all() if depth["is_snapshot"].any() else FIELDS.empty_table().to_pandas()
+        parts, last = segments(depth, last, recent, self.resync)
         changed: dict[tuple[str, float], tuple[int, float]] = {}
-        if not self.last.exists():
-            if snapshots.empty:
-                self.waiting.appendList([_message(r) for r in diffs.itertuples()])
-                return
-            snapshot = snapshots.iloc[0]
-            self.last.update((int(snapshot.u),))
-            for side, price, qty in entries_of(snapshot):
-                changed[side, price] = (-1, qty)
-            held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-            self.waiting.clear()
-            if held:
-                diffs = pd.concat([pd.DataFrame(held, columns=diffs.columns), diffs], ignore_index=True)
-                diffs = diffs.sort_values("arrival", kind="stable", ignore_index=True)
-        last = self.last.get()[0]
-        if len(diffs):
-            ids = diffs["u"].to_numpy()
-            for message in diffs[newer(ids, last)].itertuples():
-                for side, price, qty in entries_of(message):
-                    changed[side, price] = (int(message.arrival), qty)
-            self.last.update((max(last, int(ids.max())),))
+        for part in parts:
+            if part.snapshot is not None:
+                # the newest row per level is the book: levels that the snapshot lacks are gone with it
+                at = int(part.snapshot.seq)
+                gone = {k: (at, 0.0) for k, (_, q) in changed.items() if q > 0}
+                changed |= gone | {k: (at, 0.0) for k, _ in self.levels.iterator() if k not in changed}
+                self._note(changed, part.snapshot.to_frame().T, at)
+            self._note(changed, part.messages, int(part.snapshot.seq) if part.snapshot is not None else None)
         for level, (_, qty) in changed.items():
             if qty > 0:
                 self.levels.updateValue(level, (qty,))
-            elif self.levels.containsKey(level):
+            else:
                 self.levels.removeKey(level)
+        self.recent.add(depth[~depth["is_snapshot"]])
+        if last is not None:
+            self.last.update((last,))
+            self.recent.forget(int(depth["ts"].max()) - self.resync)
         yield pd.DataFrame(
             [(key[0], arrival, s, p, q) for (s, p), (arrival, q) in changed.items()],
             columns=["symbol", "arrival", "side", "price", "qty"])
 
+    @staticmethod
+    def _note(changed: dict, messages: pd.DataFrame, least: int | None) -> None:
+        """The last entry of each level; a replayed message counts with its snapshot."""
+        row, is_bid, price, qty = levels_of(messages)
+        arrival = messages["seq"].to_numpy(dtype=np.int64)[row]
+        if least is not None:
+            arrival = np.maximum(arrival, least)
+        sides = np.where(is_bid, BID, ASK).tolist()
+        changed |= zip(zip(sides, price.tolist()), zip(arrival.tolist(), qty.tolist()))
+
     def close(self) -> None:
         pass
 
 
-def _message(r) -> tuple:
-    def plain(pairs):
-        return [[str(x) for x in p] for p in pairs] if pairs is not None else []
-    return int(r.arrival), int(r.u), plain(r.b), plain(r.a)
+def ordered_depth(depth: pd.DataFrame) -> pd.DataFrame:
+    """In order of arrival, a snapshot before the message of the same number."""
+    first = ~depth["is_snapshot"].to_numpy(dtype=bool)
+    return depth.iloc[np.lexsort((first, depth["seq"].to_numpy()))].reset_index(drop=True)
 
 
-def stream_book(messages: DataFrame) -> DataFrame:
+def depth_rows(messages: DataFrame) -> DataFrame:
+    """Messages and snapshots in the form the processors read: entries as arrays of doubles."""
+    return messages.select(
+        "symbol", micros(F.col("ts")).alias("ts"), F.col("arrival").alias("seq"), "is_snapshot", "u", *sides_as_doubles())
+
+
+def stream_book(messages: DataFrame, resync: timedelta = RESYNC) -> DataFrame:
     """Level changes of the live book, one row per changed level and micro-batch.
 
-    ``messages`` holds depth messages and, flagged ``is_snapshot``, the snapshot of each
-    symbol with its id in ``u``. The newest row per level is the book; quantity 0 = gone.
+    ``messages`` holds depth messages and, flagged ``is_snapshot``, the snapshots of each
+    symbol with their id in ``u``. The newest row per level is the book; quantity 0 = gone.
     """
     return (
-        messages.select("symbol", "is_snapshot", "arrival", "u", "b", "a").groupBy("symbol")
+        depth_rows(messages).groupBy("symbol")
         .transformWithStateInPandas(
-            BookProcessor(), "symbol string, arrival bigint, side string, price double, qty double",
+            BookProcessor(micros_of(resync)), "symbol string, arrival bigint, side string, price double, qty double",
             "append", "none")
     )
 
 
+TRADE_FIELDS = pa.schema([(c, t) for c, t in (
+    ("ts", pa.int64()), ("seq", pa.int64()), ("price", pa.float64()), ("full", pa.int64()), ("rest", pa.int64()))])
+
+
 class SampleProcessor(StatefulProcessor):
-    """Book and flow state of a symbol, sampled at every full second of event time."""
+    """Book and flow state of a symbol, sampled at every full second of event time.
 
-    def __init__(self, volume: int, window: int):
-        self.volume, self.window = volume, window
+    Rows are held until the watermark has passed them, so it does not matter which feed is
+    ahead. A timer per symbol goes off at the next second: then all rows up to the last second
+    that the watermark has passed are applied and each second up to it gives a row, whether
+    anything happened in it or not.
+    """
+
+    def __init__(self, volume: int, window: int, resync: int):
+        self.volume, self.window, self.resync = volume, window, resync
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.store = FlowStore(handle, self.volume, self.window)
-        self.clock = handle.getValueState("clock", "next_second bigint, u bigint")
+        self.clock = handle.getValueState("clock", "next_second bigint, u bigint")  # NULLs before the first snapshot
         self.toxicity = handle.getValueState("toxicity", "vpin double")
-        self.levels = handle.getMapState("levels", "side string, price double", "qty double")
+        self.book = LiveBook(handle, SAMPLE_DEPTH)
+        self.depth, self.recent = Waiting(handle, "depth"), Waiting(handle, "recent")
+        self.trades = Waiting(handle, "trades", TRADE_FIELDS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        t = in_order(rows, "ts", "seq")
-        at = t["ts"].to_numpy().astype("datetime64[us]").astype("int64")
-        second, last = self.clock.get() if self.clock.exists() else (None, None)
-        vpin = self.toxicity.get()[0] if self.toxicity.exists() else VPIN_NEUTRAL
-        trades = t["price"].notna().to_numpy()
-        flow = self.store.load()
-        closed = flow.take(t["price"].to_numpy()[trades], t["lots"].to_numpy()[trades].astype("int64"))
-        self.store.save(flow)
-        closes = at[trades][closed.closer]
-
-        depth = t[~trades]
-        fresh = newer(depth["u"].to_numpy().astype("int64"), last) if len(depth) else np.empty(0, dtype=bool)
-        book = {(s, p): q for (s, p), (q,) in self.levels.iterator()}
-        known = set(book)
-        out = []
-
-        def sample_before(moment: int) -> None:
-            """Emit all due seconds that end before ``moment``; later updates cannot change them."""
-            nonlocal second
-            while second is not None and second * SECOND < moment:
-                row = features(book)
-                if row is not None:
-                    i = int(np.searchsorted(closes, second * SECOND, side="right"))
-                    row["vpin"] = float(closed.vpin[i - 1]) if i else vpin
-                    out.append((key[0], pd.Timestamp(second * SECOND, unit="us"), *[row[f] for f in BOOK_FEATURES]))
-                second += 1
-
-        for message in depth[fresh].itertuples():
-            moment = int(at[message.Index])
-            if second is None:
-                second = -(-moment // SECOND)
-            sample_before(moment)
-            for side, price, qty in entries_of(message):
-                if qty > 0:
-                    book[side, price] = qty
-                else:
-                    book.pop((side, price), None)
-        sample_before(int(at.max()))
-
-        for level in known - set(book):
-            self.levels.removeKey(level)
-        for level, qty in book.items():
-            self.levels.updateValue(level, (qty,))
-        if second is not None:
-            ids = [i for i in (last, depth["u"].max() if len(depth) else None) if i is not None]
-            self.clock.update((int(second), int(max(ids))))
-        if len(closed.vpin):
-            self.toxicity.update((float(closed.vpin[-1]),))
-        yield pd.DataFrame(out, columns=["symbol", "ts", *BOOK_FEATURES])
+        t = pd.concat(list(rows), ignore_index=True)
+        traded = t["is_trade"].to_numpy(dtype=bool)
+        self.depth.add(t[~traded])
+        self.trades.add(t[traded])
+        if not self.clock.exists():
+            self.clock.update((None, None))
+            self.handle.registerTimer(int(t["ts"].min() // SECOND + 1) * 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = int(timerValues.getCurrentWatermarkInMs()) // 1000  # the last second all of whose rows are here
+        self.handle.registerTimer((upto + 1) * 1000)
+        second, last = self.clock.get()
+        closes, values = self._flow(upto)
+        depth = ordered_depth(self._due(self.depth, upto))
+        known = self.recent.all() if depth["is_snapshot"].any() else FIELDS.empty_table().to_pandas()
+        parts, last = segments(depth, last, known, self.resync)
+        if len(depth):
+            self.recent.add(depth[~depth["is_snapshot"]])
+            if last is not None:
+                self.recent.forget(int(depth["ts"].max()) - self.resync)
+        if last is None:
+            return
+        samples = []
+        self.book.load()
+        nothing = (np.empty(0, np.int64), np.empty(0, bool), np.empty(0), np.empty(0))
+        for i, part in enumerate(parts):
+            if part.snapshot is not None:
+                opened = -(-int(part.snapshot.ts) // SECOND)
+                if second is not None and second < opened:
+                    samples += self.book.walk(*nothing, second, opened - 1)
+                second = opened if second is None else max(second, opened)
+                self.book.restart()
+                _, *levels = levels_of(part.snapshot.to_frame().T)
+                for bid, price, qty in zip(*[x.tolist() for x in levels]):
+                    self.book.sides[BID if bid else ASK].put(price, qty)
+            row, *entries = levels_of(part.messages)
+            at = -(-part.messages["ts"].to_numpy(dtype=np.int64) // SECOND)[row]
+            # an epoch ends before the first second that sees the next snapshot
+            until = upto if i + 1 == len(parts) else -(-int(parts[i + 1].snapshot.ts) // SECOND) - 1
+            samples += self.book.walk(at, *entries, second, until)
+            second = max(second, until + 1)
+        if second <= upto:  # nothing came: the clock goes on
+            samples += self.book.walk(*nothing, second, upto)
+            second = upto + 1
+        self.book.save()
+        self.clock.update((second, last))
+        yield self._rows(key[0], samples, closes, values)
+
+    def _flow(self, upto: int) -> tuple[np.ndarray, np.ndarray]:
+        """Times at which toxicity changed, and its values; the first is the one known before."""
+        before = self.toxicity.get()[0] if self.toxicity.exists() else VPIN_NEUTRAL
+        times, values = [np.array([np.iinfo(np.int64).min])], [np.array([before])]
+        t = self._due(self.trades, upto)
+        if len(t):
+            t = t.sort_values(["ts", "seq"], kind="stable", ignore_index=True)
+            flow = self.store.load()
+            at = t["ts"].to_numpy()
+            for closed in flow.steps(t["price"].to_numpy(), t["full"].to_numpy(), t["rest"].to_numpy()):
+                newest = np.flatnonzero(np.diff(closed.closer, append=-1))  # the last bucket that a trade closed
+                times.append(at[closed.closer[newest]])
+                values.append(closed.vpin[newest])
+            self.store.save(flow)
+            self.toxicity.update((float(np.concatenate(values)[-1]),))
+        return np.concatenate(times), np.concatenate(values)
+
+    @staticmethod
+    def _due(waiting: Waiting, upto: int) -> pd.DataFrame:
+        """Take the rows up to a second out of those that wait."""
+        t = waiting.all()
+        due = t["ts"] <= upto * SECOND
+        if due.any():
+            later = t[~due]
+            waiting.replace([(int(later["ts"].max()), packed(later, waiting.schema))] if len(later) else [])
+        return t[due]
+
+    @staticmethod
+    def _rows(symbol: str, samples: list, closes: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+        samples = [s for s in samples if len(s[2][0]) and len(s[3][0])]  # one-sided books give no row
+        found = features([s[2] for s in samples], [s[3] for s in samples])
+        count = np.array([s[1] for s in samples], dtype=np.int64)
+        first = np.array([s[0] for s in samples], dtype=np.int64)
+        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        found = {k: np.repeat(v, count) for k, v in found.items()}
+        found["vpin"] = values[np.searchsorted(closes, at * SECOND, side="right") - 1]
+        return pd.DataFrame({"symbol": symbol, "ts": (at * SECOND).astype("datetime64[us]"), **{f: found[f] for f in BOOK_FEATURES}})
 
     def close(self) -> None:
         pass
 
 
-def stream_sample_1s(messages: DataFrame, trades: DataFrame, volume: int = BUCKET_VOLUME,
-                     window: int = VPIN_WINDOW) -> DataFrame:
-    """One feature row per symbol and second, as soon as the next event shows it is over."""
-    none = F.lit(None)
-    pairs = "array<array<string>>"
-    depth = messages.select("symbol", "ts", F.col("arrival").alias("seq"), "u", "b", "a",
-                            none.cast("double").alias("price"), none.cast("bigint").alias("lots"))
-    flow = trades.select("symbol", "ts", F.col("trade_id").alias("seq"), none.cast("bigint").alias("u"),
-                         none.cast(pairs).alias("b"), none.cast(pairs).alias("a"), "price", lots().alias("lots"))
-    columns = ", ".join(f"{f} double" for f in BOOK_FEATURES)
-    return depth.unionByName(flow).groupBy("symbol").transformWithStateInPandas(
-        SampleProcessor(volume, window), f"symbol string, ts timestamp_ntz, {columns}", "append", "none")
+def stream_sample_1s(depth: DataFrame, trades: DataFrame, volume: int = BUCKET_VOLUME, window: int = VPIN_WINDOW,
+                     delay: str = "1 millisecond", resync: timedelta = RESYNC) -> DataFrame:
+    """One feature row per symbol and second of event time, as soon as both feeds have passed it by ``delay``.
 
+    ``depth`` holds messages and, flagged ``is_snapshot``, snapshots (see ``stream_book``). The
+    watermark is the lesser one of both feeds: rows of a feed that runs ahead wait. A feed whose
+    rows come out of order by more than ``delay`` loses the late ones. No column is NULL, as
+    whole numbers next to NULLs would reach Python as floats.
+    """
+    def clocked(df: DataFrame) -> DataFrame:
+        return df.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay)
+
+    d, t = clocked(depth), clocked(trades)
+    full, rest = bucket_parts(volume)
+    rows = d.select(
+        "symbol", "at", F.lit(False).alias("is_trade"), micros(F.col("ts")).alias("ts"), F.col("arrival").alias("seq"), "is_snapshot", "u",
+        *sides_as_doubles(), F.lit(0.0).alias("price"), F.lit(0).cast("bigint").alias("full"), F.lit(0).cast("bigint").alias("rest"),
+    ).unionByName(t.select(
+        "symbol", "at", F.lit(True).alias("is_trade"), micros(F.col("ts")).alias("ts"), F.col("trade_id").alias("seq"),
+        F.lit(False).alias("is_snapshot"), F.lit(0).cast("bigint").alias("u"),
+        *[F.array().cast("array<double>").alias(c) for c in ("bp", "bq", "ap", "aq")], "price", full.alias("full"), rest.alias("rest")))
+    columns = ", ".join(f"{f} double" for f in BOOK_FEATURES)
+    return rows.groupBy("symbol").transformWithStateInPandas(
+        SampleProcessor(volume, window, micros_of(resync)), f"symbol string, ts timestamp_ntz, {columns}", "append", "eventTime")

@@ -79,7 +79,7 @@ def snapshot(v):
 
 
 def sampled(v):
-    return sample_1s(v.entries, v.tape, block=timedelta(minutes=2), volume=BUCKET, cut=TICK_CUT)
+    return sample_1s(v.messages, v.snapshots, v.tape, block=timedelta(minutes=2), volume=BUCKET, cut=TICK_CUT, arrivals=ARRIVAL_CUT)
 
 
 @query("explode_levels", sql("symbol, arrival, side", "price qty", """
@@ -143,40 +143,40 @@ def top_n_levels(v):
 
 @query("book_as_of", sql("symbol, ts, side", "price qty", "SELECT * FROM ranked_1s"))
 def book_as_of(v):
-    return rounded(v.ranked.select("symbol", "ts", "side", "price", "qty"))
+    return rounded(K.book_as_of(v.books).select("symbol", "ts", "side", "price", "qty"))
 
 
 @query("book_side_volume", sql("symbol, ts", "bid_volume ask_volume", f"""
 SELECT symbol, ts, {volume('b', 5)} AS bid_volume, {volume('a', 5)} AS ask_volume FROM ranked_1s GROUP BY 1, 2"""))
 def book_side_volume(v):
-    return rounded(K.book_side_volume(v.ranked, 5))
+    return rounded(K.book_side_volume(v.books, 5))
 
 
 @query("obi_depth", sql("symbol, ts", "obi_L1 obi_L5 obi_L10 obi_L20", "SELECT * FROM feature_rows"))
 def obi_depth(v):
-    return rounded(K.obi_depth(v.ranked))
+    return rounded(K.obi_depth(v.books))
 
 
 @query("obi_weighted", sql("symbol, ts", "obi_weighted_strong obi_weighted_weak", "SELECT * FROM feature_rows"))
 def obi_weighted(v):
-    return rounded(K.obi_weighted(v.ranked))
+    return rounded(K.obi_weighted(v.books))
 
 
 @query("spread", sql("symbol, ts", "spread_absolute spread_relative", f"SELECT * FROM feature_rows WHERE {TWO_SIDED}"))
 def spread(v):
-    return rounded(K.spread(v.ranked).select("symbol", "ts", "spread_absolute", "spread_relative"))
+    return rounded(K.spread(v.books).select("symbol", "ts", "spread_absolute", "spread_relative"))
 
 
 @query("spoof_divergence", sql("symbol, ts, spoof_flag", "spoofing_divergence", """
 SELECT *, abs(spoofing_divergence) > 0.5 AS spoof_flag FROM feature_rows"""))
 def spoof_divergence(v):
-    return rounded(K.spoof_divergence(v.ranked).drop("obi_L1", "obi_L20"))
+    return rounded(K.spoof_divergence(v.books).drop("obi_L1", "obi_L20"))
 
 
 @query("mid_micro_price", sql("symbol, ts", "mid_price micro_price micro_dev",
                               f"SELECT * FROM feature_rows WHERE {TWO_SIDED}"))
 def mid_micro_price(v):
-    return rounded(K.mid_micro_price(v.ranked).select("symbol", "ts", "mid_price", "micro_price", "micro_dev"))
+    return rounded(K.mid_micro_price(v.books).select("symbol", "ts", "mid_price", "micro_price", "micro_dev"))
 
 
 @query("sample_1s", sql("symbol, ts", FEATURES, "SELECT * FROM sampled_features"))

@@ -104,7 +104,7 @@ def norm_cdf(v):
 SELECT symbol, trade_id, CAST(hi AS DOUBLE) AS cum_qty FROM filled_volume"""))
 def running_volume(v):
     running = T.running_volume(v.tape, BUCKET, TICK_CUT)
-    total = F.col("open_bucket") * BUCKET + F.col("filled") / T.LOTS
+    total = F.col("bucket") * BUCKET + F.col("filled") / T.LOTS
     return rounded(running.select("symbol", "trade_id", total.alias("cum_qty")))
 
 

@@ -10,14 +10,7 @@ from tidemark.streaming import ticks as S
 from .q_book import FEATURES, snapshot
 from .registry import query
 from .sqlviews import exact, rounded as sql, view
-from .views import BUCKET, Views, rounded
-
-view("clock_seconds", """
-SELECT symbol, unnest(generate_series(date_trunc('second', lo + INTERVAL '999999 microseconds'),
-                                      date_trunc('second', hi - INTERVAL '1 microsecond'), INTERVAL 1 SECOND)) AS ts
-FROM (SELECT symbol, min(ts) AS lo, max(ts) AS hi FROM book_diffs GROUP BY 1)
-""")
-
+from .views import BUCKET, Views, rounded, tick_time
 
 class Live(Views):
     """The same inputs as streams: the event file arrives as a stream source."""
@@ -37,7 +30,7 @@ class Live(Views):
         e = self.events
         name = F.col("event_type")
         even = F.col("user_id") % 2 == 0
-        step = F.floor(F.col("user_id") / 2) % 20
+        step = F.floor(F.col("user_id") / 2) % 60
         price = F.when(even, 100 - step).otherwise(101 + step).cast("double")
         pair = F.concat(F.lit('[["'), price.cast("string"), F.lit('", "'), F.col("k"), F.lit('"]]'))
         depth = F.concat(
@@ -100,7 +93,7 @@ def stream_book(v):
     """Snapshot and messages through the live book; the newest row per level is the book."""
     path = fresh_path(v.spark, "snapshots")
     start = snapshot(v).select(
-        "symbol", F.lit(True).alias("is_snapshot"), F.lit(-1).cast("long").alias("arrival"),
+        "symbol", F.lit(True).alias("is_snapshot"), F.lit(-1).cast("long").alias("arrival"), tick_time(F.lit(0)).alias("ts"),
         F.col("last_update_id").alias("u"), F.col("bids").alias("b"), F.col("asks").alias("a"))
     start.write.parquet(path)
     snapshots = v.spark.readStream.schema(start.schema).parquet(path)
@@ -110,33 +103,21 @@ def stream_book(v):
     return rounded(newest.filter(F.col("qty") > 0))
 
 
-view("streamed_samples", f"""
-SELECT f.*, coalesce(x.vpin, 0.5) AS vpin FROM feature_rows f JOIN clock_seconds USING (symbol, ts)
-ASOF LEFT JOIN (SELECT symbol, closed_at, arg_max(vpin, bucket) AS vpin FROM toxicity GROUP BY 1, 2) x
-  ON x.symbol = f.symbol AND x.closed_at <= f.ts
-WHERE bid IS NOT NULL AND ask IS NOT NULL
-""")
-
-
-@query("stream_sample_1s", sql("symbol, ts", FEATURES, "SELECT * FROM streamed_samples"))
+@query("stream_sample_1s", sql("symbol, ts", FEATURES, "SELECT * FROM sampled_features"))
 def stream_sample_1s(v):
-    """Samples up to the last update, to be compared with the batch samples."""
+    """Every second that both feeds have passed: the rows of the batch samples."""
     l = live(v)
-    out = E.drain(S.stream_sample_1s(l.messages, l.tape, BUCKET), "samples")
-    last = v.fresh.groupBy("symbol").agg(F.max("ts").alias("last"))
-    return rounded(out.join(last, "symbol").filter(F.col("ts") <= F.col("last")).drop("last"))
+    return rounded(E.drain(S.stream_sample_1s(l.depth_feed, l.tape, BUCKET), "samples"))
 
 
 @query("sink_features_microstructure", sql("symbol, date", "rows mean_vpin", """
-SELECT symbol, CAST(ts AS DATE) AS date, count(*) AS rows, avg(vpin) AS mean_vpin FROM streamed_samples GROUP BY 1, 2"""))
+SELECT symbol, CAST(ts AS DATE) AS date, count(*) AS rows, avg(vpin) AS mean_vpin FROM sampled_features GROUP BY 1, 2"""))
 def sink_features_microstructure(v):
     """Samples appended to a table partitioned by symbol and date."""
     l = live(v)
     path = fresh_path(v.spark, "features_microstructure")
     with E.state_partitions(v.spark):
-        rows = S.stream_sample_1s(l.messages, l.tape, BUCKET)
+        rows = S.stream_sample_1s(l.depth_feed, l.tape, BUCKET)
         E.sink_features(rows, path, path + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    last = v.fresh.groupBy("symbol").agg(F.max("ts").alias("last"))
-    table = v.spark.read.parquet(path).join(last, "symbol").filter(F.col("ts") <= F.col("last"))
-    return rounded(table.groupBy("symbol", "date").agg(
+    return rounded(v.spark.read.parquet(path).groupBy("symbol", "date").agg(
         F.count(F.lit(1)).cast("double").alias("rows"), F.avg("vpin").alias("mean_vpin")))

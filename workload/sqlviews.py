@@ -18,7 +18,7 @@ def view(name: str, body: str) -> None:
 view("trades", """
 SELECT event_type AS symbol, event_id AS trade_id, ts, 1000 + 0.5 * value AS price,
        CAST(json_extract_string(props, '$.k') AS DECIMAL(38,8)) AS qty
-FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) > 0
+FROM events
 """)
 
 # the same trades on a clock of one event per 100 ms, the rate of the live feed
@@ -74,8 +74,8 @@ SELECT event_type AS symbol, event_id AS arrival,
        TIMESTAMP '2024-01-01' + to_milliseconds(100 * event_id) AS ts,
        CASE WHEN event_id % 17 = 0 THEN event_id - 30 ELSE event_id END AS u,
        CASE WHEN user_id % 2 = 0 THEN 'b' ELSE 'a' END AS side,
-       CAST(CASE WHEN user_id % 2 = 0 THEN 100 - (user_id // 2) % 20
-                 ELSE 101 + (user_id // 2) % 20 END AS DOUBLE) AS price,
+       CAST(CASE WHEN user_id % 2 = 0 THEN 100 - (user_id // 2) % 60
+                 ELSE 101 + (user_id // 2) % 60 END AS DOUBLE) AS price,
        CAST(json_extract_string(props, '$.k') AS DOUBLE) AS qty
 FROM events
 """)
@@ -92,16 +92,47 @@ SELECT symbol, side, price, arg_max(qty, arrival) AS qty FROM fresh_diffs
 GROUP BY 1, 2, 3 HAVING arg_max(qty, arrival) > 0
 """)
 
+view("book_snapshots", """
+SELECT symbol, event_id AS arrival, ts, event_id - 25 AS last_id,
+       row_number() OVER w AS epoch, lead(event_id) OVER w AS closed, lead(ts) OVER w AS closed_at
+FROM (SELECT event_type AS symbol, event_id, TIMESTAMP '2024-01-01' + to_milliseconds(100 * event_id) AS ts
+      FROM events WHERE event_id % 97 = 5)
+WINDOW w AS (PARTITION BY symbol ORDER BY event_id)
+""")
+
+# messages once for each epoch they may count in: their own, and later ones that replay them
+view("epoch_diffs", """
+SELECT * EXCLUDE (seen) FROM (
+  SELECT d.symbol, s.epoch, d.arrival, greatest(d.ts, s.ts) AS ts, d.u, d.side, d.price, d.qty, s.last_id,
+         max(d.u) OVER (PARTITION BY d.symbol, s.epoch ORDER BY d.arrival
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+  FROM book_diffs d JOIN book_snapshots s ON s.symbol = d.symbol AND (
+    (d.arrival >= s.arrival AND (s.closed IS NULL OR d.arrival < s.closed))
+    OR (d.arrival < s.arrival AND d.u > s.last_id AND (s.epoch = 1 OR d.ts >= s.ts - INTERVAL 10 SECOND))))
+WHERE u > last_id AND (seen IS NULL OR u > seen)
+""")
+
+view("epoch_levels", """
+SELECT symbol, epoch, arrival, ts, side, price, qty FROM epoch_diffs
+UNION ALL
+SELECT symbol, epoch, -1, ts, side, CASE WHEN side = 'b' THEN 100 - 1.5 * i ELSE 101 + 1.5 * i END,
+       CAST(1 + (arrival + 3 * i) % 11 AS DOUBLE)
+FROM (SELECT *, unnest(['b', 'a']) AS side FROM (SELECT *, unnest(range(45)) AS i FROM book_snapshots))
+""")
+
 view("level_states", """
-SELECT symbol, side, price, qty, ts AS valid_from,
-       lead(ts) OVER (PARTITION BY symbol, side, price ORDER BY arrival) AS valid_to
-FROM fresh_diffs
+SELECT l.symbol, l.side, l.price, l.qty, l.ts AS valid_from,
+       least(lead(l.ts) OVER (PARTITION BY l.symbol, l.epoch, l.side, l.price ORDER BY l.arrival), s.closed_at) AS valid_to
+FROM epoch_levels l JOIN book_snapshots s USING (symbol, epoch)
 """)
 
+# every second from the first snapshot on that both feeds have passed
 view("sample_times", """
 SELECT symbol, unnest(generate_series(first_s, last_s, INTERVAL 1 SECOND)) AS ts
 FROM (SELECT symbol, date_trunc('second', min(ts) + INTERVAL '999999 microseconds') AS first_s,
-             date_trunc('second', max(ts)) AS last_s FROM fresh_diffs GROUP BY 1)
+             (SELECT date_trunc('second', least((SELECT max(ts) FROM book_diffs), (SELECT max(ts) FROM tape))
+                     - INTERVAL 1 MILLISECOND)) AS last_s
+      FROM book_snapshots GROUP BY 1)
 """)
 
 view("books_1s", """

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import softmax
 from tidemark.functions.timing import from_micros
 from tidemark.operators import bars as B
-from tidemark.operators import blocks, book, flow
+from tidemark.operators import blocks, book, epochs, flow
 from tidemark.operators import exogenous as X
+from tidemark.plans.sampling import sampled_books
 from tidemark.schemas import QTY
 from tidemark.session import configure
 from tidemark.sources.files import read_table
@@ -55,7 +56,7 @@ class Views:
 
     @cached_property
     def trades(self) -> DataFrame:
-        return self.events.filter(F.col("k").cast("int") > 0).select(
+        return self.events.select(
             F.col("event_type").alias("symbol"), F.col("event_id").alias("trade_id"), "ts",
             (F.lit(1000.0) + F.lit(0.5) * F.col("value")).alias("price"), F.col("k").cast(QTY).alias("qty"))
 
@@ -119,7 +120,7 @@ class Views:
     def messages(self) -> DataFrame:
         """Depth messages of one price each, quoted twice: the later entry must win."""
         even = F.col("user_id") % 2 == 0
-        step = F.floor(F.col("user_id") / 2) % 20
+        step = F.floor(F.col("user_id") / 2) % 60
         price = F.when(even, 100 - step).otherwise(101 + step).cast("double").cast("string")
         qty = F.col("k").cast("double")
         entries = F.array(F.array(price, (qty + 1).cast("string")), F.array(price, qty.cast("string")))
@@ -144,9 +145,31 @@ class Views:
         return book.apply_book_updates(self.entries)
 
     @cached_property
-    def ranked(self) -> DataFrame:
-        """Top levels of every book, once a second."""
-        return book.sample_books(self.entries, block=timedelta(minutes=2))
+    def snapshots(self) -> DataFrame:
+        """Now and then a whole book, 25 ids behind; half of its prices no message ever touches."""
+        step = F.sequence(F.lit(0), F.lit(44))
+
+        def levels(sign: int, best: float) -> Column:
+            return F.transform(step, lambda i: F.array(
+                (F.lit(best) + F.lit(1.5 * sign) * i).cast("string"), (1 + (F.col("event_id") + 3 * i) % 11).cast("double").cast("string")))
+
+        return self.events.filter(F.col("event_id") % 97 == 5).select(
+            F.col("event_type").alias("symbol"), F.col("event_id").alias("arrival"), tick_time(F.col("event_id")).alias("ts"),
+            (F.col("event_id") - 25).alias("last_update_id"), levels(-1, 100.0).alias("bids"), levels(1, 101.0).alias("asks"))
+
+    @cached_property
+    def depth_feed(self) -> DataFrame:
+        """Messages and snapshots as they arrive on one feed."""
+        columns = ("symbol", "is_snapshot", "arrival", "ts", "u", "b", "a")
+        return self.messages.withColumn("is_snapshot", F.lit(False)).select(*columns).unionByName(
+            self.snapshots.withColumn("is_snapshot", F.lit(True)).withColumnsRenamed(
+                {"last_update_id": "u", "bids": "b", "asks": "a"}).select(*columns))
+
+    @cached_property
+    def books(self) -> DataFrame:
+        """Top levels of every book, once a second, from its first snapshot on."""
+        return sampled_books(self.messages, self.snapshots, epochs.feed_end(self.messages, self.tape),
+                             block=timedelta(minutes=2), cut=ARRIVAL_CUT)
 
     # --- order flow -----------------------------------------------------------
 
