@@ -18,7 +18,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 
@@ -37,6 +38,8 @@ def byte_letters() -> list[str]:
 
 
 LETTERS = dict(enumerate(byte_letters()))
+#: White space, and each with a space before and behind it.
+BESIDE = [(c, " " + c, c + " ") for c in map(chr, range(0x3001)) if c.isspace()]
 #: Bytes of new pieces in one call of the library.
 CALL_BYTES = 1 << 20
 #: Characters of a text that are looked at together; a longer text is streamed in such windows.
@@ -45,9 +48,12 @@ WINDOW = 1 << 20
 
 def pieces(text: str, leading_space: bool) -> list[str]:
     """``text`` cut at its safe boundaries, spaces kept where ``leading_space``."""
-    parts = text.split(" ")
     if not leading_space:
-        return parts
+        return text.split(" ")
+    beside = any(c in text and (x in text or y in text) for c, x, y in BESIDE)
+    if "\0" not in text and not beside and not (text[:1].isspace() or text[-1:].isspace()):
+        return text.replace(" ", "\0 ").split("\0")  # no white space beside a space: all spaces are safe
+    parts = text.split(" ")
     out = [parts[0]]
     # a boundary is safe where the characters on both sides of the space are not white space
     open_end = not parts[0] or parts[0][-1].isspace()
@@ -123,9 +129,8 @@ class Encoder:
         piece = piece if self.leading_space else piece.lower()
         return self._keep([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(LETTERS))])
 
-    def learn(self, wanted: Iterable[str]) -> dict[str, object]:
+    def learn(self, wanted: set[str]) -> dict[str, object]:
         """The table, with every piece of ``wanted`` in it until the next call."""
-        wanted = set(wanted)
         if len(self.table) > TABLE:
             self.table, self.older = {}, self.table
         table, older = self.table, self.older
@@ -168,14 +173,18 @@ def encoder(path: str, count: bool = False) -> Encoder:
     return worker_cache(f"encoder {count} {path}", lambda: Encoder(path, count))
 
 
+def _found(table: dict[str, object], keys: list[str]) -> tuple:
+    return itemgetter(*keys)(table) if len(keys) > 1 else (table[keys[0]],)
+
+
 def counts(enc: Encoder, texts: list[str]) -> list[int]:
     """Tokens of each text."""
     out = [0] * len(texts)
     for group in _groups(enc, texts):
         cut = [(i, pieces(x, enc.leading_space)) for i, x in group]
-        table = enc.learn(p for _, ps in cut for p in ps)
+        table = enc.learn(set().union(*[ps for _, ps in cut]))
         for i, ps in cut:
-            out[i] += sum(map(table.__getitem__, ps))
+            out[i] += sum(_found(table, ps))
         enc.forget()
     return out
 
@@ -184,9 +193,9 @@ def ids(enc: Encoder, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
     """(number of the text, ids) in order; a long text comes in several parts, every text at least once."""
     for group in _groups(enc, texts):
         cut = [(i, pieces(x, enc.leading_space)) for i, x in group]
-        table = enc.learn(p for _, ps in cut for p in ps)
+        table = enc.learn(set().union(*[ps for _, ps in cut]))
         for i, ps in cut:
-            yield i, np.frombuffer(b"".join(map(table.__getitem__, ps)), dtype=enc.kind).astype(np.uint32)
+            yield i, np.frombuffer(b"".join(_found(table, ps)), dtype=enc.kind).astype(np.uint32)
         enc.forget()
 
 
