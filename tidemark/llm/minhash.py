@@ -41,6 +41,7 @@ SLOTS, BANDS, ROWS, SHINGLE, PERCENT = 128, 32, 4, 5, 75
 SMALL, PICKS, ROUNDS, BLOCK, BLOCK_BYTES = 8, 1, 1, 1024, 16 << 20
 #: Bits of the set of hashes modulo this number.
 BITS = 4096
+SLICE = 1 << 20  # bytes of text whose shingles are held together
 
 
 def signatures(doc: np.ndarray, value: np.ndarray, n_docs: int, slots: int = SLOTS) -> np.ndarray:
@@ -98,7 +99,7 @@ def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
-    for batch in by_bytes(batches, "text"):
+    for batch in by_bytes(batches, "text", SLICE):
         doc, value, n = _sets(batch)
         first = np.searchsorted(doc, np.arange(n + 1))
         h = signatures(doc, value, n)
@@ -116,7 +117,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in by_bytes(batches, "text"):
+    for batch in by_bytes(batches, "text", SLICE):
         doc, value, n = _sets(batch)
         first = np.searchsorted(doc, np.arange(n + 1))
         rows = [value[first[i] : first[i + 1]].tobytes() for i in range(n)]

@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +35,7 @@ SIZES, BUCKETS = (3, 4, 5), 1 << 18
 #: penalty and steps.
 PER_CLASS, LEAST_TEXTS, LEAST_RATIO, SMOOTH, PENALTY, STEPS = 600, 12, 1.5, 1.0, 5.0, 150
 FOLDS = 5
+SLICE = 1 << 20  # bytes of text that a task looks at together
 
 
 def features(texts: list[bytes], group: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = documents(docs).join(F.broadcast(drawn), "doc_id")
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", SLICE):
             texts = [x.encode() for x in batch.column("text").to_pylist()]
             out = [b""] * len(texts)
             for doc, bucket in features(texts):
@@ -143,7 +143,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` of each row."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", SLICE):
             values = model.scores([x.encode() for x in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.float64())], ["doc_id", "score"])
 
@@ -156,11 +156,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.scores([(x or "").encode() for x in text]))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", SLICE):
+            yield batch.filter(pa.array(model.scores([(x or "").encode() for x in batch.column("text").to_pylist()]) < 0.5))
 
-    return docs.where(score("text") < 0.5)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 @query("op3_toxicity")

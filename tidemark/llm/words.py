@@ -32,7 +32,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``BASE`` to the powers 0 .. n - 1 and to 0 .. -(n - 1), modulo 2^64."""
     global _powers, _inverses
     if len(_powers) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = max(1 << 16, n + n // 16)
         _powers, _inverses = (np.full(size, x, dtype=np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64)))
         _powers[0] = _inverses[0] = 1
         with np.errstate(over="ignore"):
