@@ -136,7 +136,7 @@ def test_forward_metrics_on_fine_bars(spark, minutes):
     assert nearby(out) == nearby(plain)
 
 
-@pytest.mark.parametrize("days", [1, 30, 1000])
+@pytest.mark.parametrize("days", [1, 30, None])
 def test_rolling_quantiles(spark, days):
     """The sorted window against sorting each window anew, across blocks, with gaps and repeated values."""
     import random
@@ -147,7 +147,7 @@ def test_rolling_quantiles(spark, days):
     for s, size in (("a", 150), ("b", 11), ("c", 12)):
         rows += [(s, START + timedelta(hours=4 * i), draw.choice([None, 1.0, 2.0, 2.0, draw.random(), -draw.random()]) if s == "a" else draw.random()) for i in range(size)]
     df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, x double").repartition(3)
-    out = rolling_quantiles(df, {"low": ("x", 0.2), "mid": ("x", 0.5)}, n, block=timedelta(days=days)).orderBy("symbol", "ts").collect()
+    out = rolling_quantiles(df, {"low": ("x", 0.2), "mid": ("x", 0.5)}, n, block=timedelta(days=days) if days else None).orderBy("symbol", "ts").collect()
     assert len(out) == len(rows)
     for s in "abc":
         values = [x for t, _, x in rows if t == s]

@@ -121,23 +121,25 @@ def moving_std(df: DataFrame, column: str, n: int, into: str,
     return df.withColumn(into, full_std(F.col(column), ordered(keys, ts), n))
 
 
-QUANTILE_BLOCK = timedelta(days=365)
-
-
 def rolling_quantiles(df: DataFrame, wanted: Mapping[str, tuple[str, float]], n: int, keys: Sequence[str] = ("symbol",),
-                      ts: str = "ts", block: timedelta = QUANTILE_BLOCK) -> DataFrame:
+                      ts: str = "ts", block: timedelta | None = None) -> DataFrame:
     """Exact interpolated quantiles over the last ``n`` rows; ``wanted``: new column -> (column, share).
 
     NULL where fewer than ``n`` of those rows have a value. Each column's window is a sorted
     array from which one value leaves and into which one comes per row, found by bisection, so
-    no row looks at the whole window. Series are cut into blocks of time with the ``n - 1`` rows
-    before them.
+    no row looks at the whole window. A task holds one key's series, which is bounded for bars;
+    longer series are cut into blocks of time (``block``) with the ``n - 1`` rows before them.
     """
-    cut = time_cut(block, keys, (ts,))
-    rows = with_lookback(df.withColumns({f"_of_{c}": F.col(c).cast("double") for c, _ in wanted.values()}), cut, n - 1)
+    rows = df.withColumns({f"_of_{c}": F.col(c).cast("double") for c, _ in wanted.values()})
+    parts = list(keys)
+    if block is None:
+        rows = rows.withColumn(CARRIED, F.lit(False))
+    else:
+        cut = time_cut(block, keys, (ts,))
+        rows, parts = with_lookback(rows, cut, n - 1), cut.parts
     named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     out = ", ".join(f"`{c}` double" for c in wanted)
-    return rows.groupBy(*cut.parts).applyInArrow(_quantiles(dict(wanted), n, ts, df.columns), f"{named}, {out}")
+    return rows.groupBy(*parts).applyInArrow(_quantiles(dict(wanted), n, ts, df.columns), f"{named}, {out}")
 
 
 def _quantiles(wanted: dict[str, tuple[str, float]], n: int, ts: str, columns: list[str]):

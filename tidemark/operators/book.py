@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import earlier, ordered
 from ..functions.numeric import imbalance
 from ..functions.timing import from_micros, micros_of, slot, step
+from ..session import materialise
 from .blocks import BLOCK, CARRIED, Cut, message_cut, opening, with_lookback
 from .ladder import Ladder, walk
 
@@ -149,7 +150,7 @@ def books_as_of(entries: DataFrame, period: timedelta = timedelta(seconds=1), bl
     Sample k of a key is at k*period, from its first update to its last, or to ``_last`` of
     ``lasts`` (one row per key); books without any level give no row.
 
-    1. keep the last update per level and sample (map-side partials);
+    1. keep the last update per level and sample (map-side partials), written once;
     2. open every block with the level states left by earlier blocks; the single shuffle
        of the levels is by (keys, block);
     3. a block's task walks through its samples with both sides as sorted arrays, changed
@@ -163,10 +164,9 @@ def books_as_of(entries: DataFrame, period: timedelta = timedelta(seconds=1), bl
     newest = update_order(F.col("arrival"), F.col("pos"))
     # first sample at or after the update
     visible = slot(F.col("ts") - step(timedelta(microseconds=1)), period) + 1
-    states = (
+    states = materialise(
         entries.groupBy(*level, visible.alias("_at")).agg(F.max_by("qty", newest).alias("qty"))
-        .withColumn(BLOCK, F.floor(F.col("_at") / F.lit(per_block)))
-    )
+        .withColumn(BLOCK, F.floor(F.col("_at") / F.lit(per_block))), "level_states")
     if lasts is None:
         lasts = entries.groupBy(*keys).agg(F.max(slot(F.col("ts"), period)).alias("_last"))
     finals = lasts.withColumn("_final", F.floor(F.col("_last") / F.lit(per_block)))
@@ -188,9 +188,11 @@ def books_as_of(entries: DataFrame, period: timedelta = timedelta(seconds=1), bl
             F.greatest(F.col(BLOCK) + 1, F.col("_chunk") * chunk), F.least(F.col("_until"), (F.col("_chunk") + 1) * chunk - 1))))
         .select(*level, (F.col(BLOCK) * per_block).alias("_at"), "qty", BLOCK)
     )
+    # a few levels make many samples: a fixed number of tasks, not one that follows the bytes of the levels
+    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = (
         states.withColumn("_order", F.lit(1)).unionByName(opened.withColumn("_order", F.lit(0)))
-        .repartition(*keys, BLOCK)
+        .repartition(tasks, *keys, BLOCK)
     )
     # an update after the last sample may fall into the block after the final one
     limits = finals.select(*keys, "_last", F.explode(F.array_distinct(F.array(

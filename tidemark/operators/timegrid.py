@@ -54,24 +54,31 @@ def grid_of(series: DataFrame, width: timedelta = FOUR_HOURS, keys: Sequence[str
 # Rows of both sides that a task is given at most, roughly, and into how many pieces a span can fall.
 ROWS_PER_PIECE = 1_000_000
 MOST_PIECES = 4_096
+BROADCAST_BOUNDS = 250_000  # numbers a task may be sent
 
 
-def pieces(left: DataFrame, right: DataFrame, parts: Sequence[str], ts: str, rows: int) -> DataFrame:
+def pieces(left: DataFrame, right: DataFrame, parts: Sequence[str], ts: str, rows: int) -> DataFrame | None:
     """Spans (``parts``) with more than ``rows`` rows of both sides together -> ``_bounds``: times that cut
-    them into pieces of about ``rows`` rows, a time as often as pieces end at it.
+    them into pieces of about ``rows`` rows, a time as often as pieces end at it. None without such spans.
 
     Counts and quantile sketches are aggregated map-side; the sketch sees the rows of hot spans only.
+    The counting runs at once, and two numbers come back: how many hot spans there are, and pieces.
     """
     both = left.select(*parts, ts).unionByName(right.select(*parts, ts)).filter(F.col(ts).isNotNull())
     hot = both.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
-    grid = [i / MOST_PIECES for i in range(1, MOST_PIECES)]
     wanted = F.least(F.ceil(F.col("_n") / rows), F.lit(MOST_PIECES)).cast("int")
+    n_spans, n_pieces = hot.agg(F.count(F.lit(1)), F.sum(wanted)).first()
+    if not n_spans:
+        return None
+    few = n_spans <= BROADCAST_BOUNDS
+    grid = [i / MOST_PIECES for i in range(1, MOST_PIECES)]
     cuts = F.transform(F.sequence(F.lit(1), F.col("_p") - 1), lambda j: F.element_at("_grid", F.floor(j * MOST_PIECES / F.col("_p")).cast("int")))
-    return (
-        both.join(hot, list(parts)).groupBy(*parts)
+    found = (
+        both.join(F.broadcast(hot) if few else hot, list(parts)).groupBy(*parts)
         .agg(F.max("_n").alias("_n"), F.percentile_approx(micros(F.col(ts)), grid, 4 * MOST_PIECES).alias("_grid"))
         .withColumn("_p", wanted).select(*parts, cuts.alias("_bounds"))
     )
+    return F.broadcast(found) if n_pieces <= BROADCAST_BOUNDS else found
 
 
 def _passed(bounds: Column, at: Column, strict: bool) -> Column:
@@ -93,6 +100,8 @@ def dealt(left: DataFrame, right: DataFrame, parts: Sequence[str], ts: str, rows
     only the last counts, are reduced to it.
     """
     cuts = pieces(left, right, parts, ts, rows)
+    if cuts is None:
+        return tuple(d.withColumn("_piece", F.lit(0)) for d in (left, right))
     at = micros(F.col(ts))
 
     def placed(df: DataFrame) -> DataFrame:
