@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidemark.operators import blocks, book, epochs, flow
+from tidemark.operators import blocks, book, epochs, flow, labels
 from tidemark.operators.bars import ohlc_sample_by, technical_features
 from tidemark.plans.sampling import sampled_books
 from workload.views import ARRIVAL_CUT, TICK_CUT, Views
@@ -77,6 +77,38 @@ def test_sampled_books_are_neither_expanded_nor_ranked(v):
     assert not re.search(r"_w0|rank", above)
 
 
+@pytest.mark.parametrize("report", [labels.class_balance, labels.regime_distribution, labels.classification_report])
+def test_reports_read_their_input_once(spark, tmp_path, report):
+    path = str(tmp_path / "rows")
+    spark.range(40).selectExpr("cast(id % 4 as int) AS regime", "cast(id % 3 as int) AS prediction").write.parquet(path)
+    assert plan(report(spark.read.parquet(path))).count("FileScan") == 1
+
+
+def test_a_broken_text_package_takes_nothing_along(tmp_path):
+    """Without the text operators, or with an import error in them, the other queries are all there."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    for d in ("tidemark", "workload"):
+        shutil.copytree(os.path.join(root, d), tmp_path / d, ignore=shutil.ignore_patterns("__pycache__", "llm"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+
+    def counts():
+        run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+        return tuple(map(int, run.stdout.split()[-2:]))
+
+    without = counts()
+    assert without[0] > 140
+    (tmp_path / "tidemark" / "llm").mkdir()
+    (tmp_path / "tidemark" / "llm" / "__init__.py").write_text("import no_such_module")
+    (tmp_path / "corpus_pipeline.py").write_text("from tidemark.llm import exact")
+    assert counts() == without
+
+
 def test_final_book_is_a_hash_aggregate(v):
     text = plan(book.apply_book_updates(v.entries))
     assert "SortAggregate" not in text

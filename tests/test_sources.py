@@ -83,6 +83,24 @@ def test_lines(spark):
     assert line == 't,symbol=S a=1.500000,b=3i,c="x" 1704067200000000000'
 
 
+def test_lines_without_symbol_time_or_values(spark):
+    """No symbol: no tag. No time: none in the line. No values: no line. Marks in a symbol are escaped."""
+    rows = [(None, START, 1.0), ("S", None, 2.0), ("S", START, None), ("a b,c=d", START, 3.0)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, a double")
+    assert sorted(r.line for r in files.line_protocol(df, "t").collect()) == [
+        "t a=1.000000 1704067200000000000", "t,symbol=S a=2.000000", "t,symbol=a\\ b\\,c\\=d a=3.000000 1704067200000000000"]
+
+
+def test_both_copies_come_from_one_computation(spark, tmp_path):
+    """The CSV copy is made from the parquet files: a value drawn anew would differ."""
+    df = spark.range(200).select(F.when(F.col("id") % 7 > 0, F.concat(F.lit("s"), F.col("id") % 3)).alias("symbol"), "id", F.rand().alias("x"))
+    files.sink_parquet_csv(df, str(tmp_path))
+    columns = ["id", "symbol", "x"]
+    first = spark.read.parquet(str(tmp_path / "parquet")).select(*columns)
+    second = spark.read.schema("id bigint, x double, symbol string").csv(str(tmp_path / "csv"), header=True).select(*columns)
+    assert sorted(first.collect(), key=str) == sorted(second.collect(), key=str) and first.count() == 200
+
+
 def test_cache_is_read_while_young_and_rebuilt_when_old(spark, tmp_path):
     path = str(tmp_path / "cache")
     calls = []

@@ -196,9 +196,9 @@ def class_balance(df: DataFrame, label: str = "regime") -> DataFrame:
 
 
 def join_class_weight(df: DataFrame, weights: DataFrame, label: str = "regime") -> DataFrame:
-    """Every row with the weight of its class. ``weights`` has one row per class label
-    (four regimes), which bounds what is broadcast."""
-    return df.join(F.broadcast(weights.select(label, "class_weight")), label)
+    """Every row with the weight of its class. ``weights`` has one row per class; whether it is
+    small enough to be sent to every task the planner sees at run time."""
+    return df.join(weights.select(label, "class_weight"), label)
 
 
 def balanced_weight(weighted: DataFrame, label: str = "regime") -> DataFrame:

@@ -41,14 +41,12 @@ def sink_parquet_csv(df: DataFrame, path: str, by: Sequence[str] = ("symbol",))
     """Write parquet and a CSV copy side by side, one folder per key value.
 
     Rebalanced by key first: a folder gets few files however many tasks there are, and a
-    hot key is still written by several tasks.
+    hot key is still written by several tasks. The input is computed once: the copy is made
+    from the parquet files.
     """
-    placed = df.hint("rebalance", *by)
-    for kind in ("parquet", "csv"):
-        writer = placed.write.mode("overwrite").partitionBy(*by)
-        if kind == "csv":
-            writer = writer.option("header", True)
-        writer.format(kind).save(f"{path}/{kind}")
+    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(f"{path}/parquet")
+    written = df.sparkSession.read.schema(df.schema).parquet(f"{path}/parquet").select(*df.columns)
+    written.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).option("header", True).csv(f"{path}/csv")
 
 
 def src_csv_series(spark: SparkSession, path: str, schema=SENTIMENT) -> DataFrame:
@@ -77,13 +75,22 @@ def _field(name: str, kind: str) -> Column:
     return F.when(c.isNotNull(), F.concat(F.lit(f"{name}="), text))
 
 
+def _escaped(tag: Column) -> Column:
+    """Commas, spaces and equal signs end a tag's value unless a backslash goes before them."""
+    return F.regexp_replace(tag.cast("string"), r"([,= ])", r"\\$1")
+
+
 def line_protocol(df: DataFrame, table: str, tag: str = "symbol", ts: str = "ts") -> DataFrame:
-    """Rows -> ``table,symbol=S field=v,... time_ns``; the format of a field follows its type."""
+    """Rows -> ``table,symbol=S field=v,... time_ns``; the format of a field follows its type.
+
+    A row without a tag is a line without one, a row without a time leaves it to the receiver,
+    and a row without any field value, which the format cannot hold, gives no line.
+    """
     fields = [_field(n, t) for n, t in df.dtypes if n not in (tag, ts)]
-    return df.select(F.concat(
-        F.lit(f"{table},{tag}="), F.col(tag), F.lit(" "),
-        F.concat_ws(",", *fields), F.lit(" "), (micros(F.col(ts)) * 1000).cast("string"),
-    ).alias("line"))
+    named = F.concat(F.lit(table), F.coalesce(F.concat(F.lit(f",{tag}="), _escaped(F.col(tag))), F.lit("")))
+    time = F.coalesce(F.concat(F.lit(" "), (micros(F.col(ts)) * 1000).cast("string")), F.lit(""))
+    values = F.concat_ws(",", *fields)
+    return df.select(F.when(values != "", F.concat(named, F.lit(" "), values, time)).alias("line")).filter(F.col("line").isNotNull())
 
 
 def sink_line_protocol(df: DataFrame, table: str, path: str) -> None:

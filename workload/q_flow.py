@@ -48,27 +48,31 @@ SELECT *, sum(qty) OVER (PARTITION BY symbol ORDER BY ts, trade_id
                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM classified
 """)
 
-view("bucket_pieces", f"""
+def bucket_views(suffix: str, volume: int) -> None:
+    """Pieces, closed buckets and toxicity for buckets of ``volume``."""
+    view(f"bucket_pieces{suffix}", f"""
 SELECT symbol, trade_id, ts, buy_prob, bucket,
-       least(hi, (bucket + 1) * {BUCKET}) - greatest(hi - qty, bucket * {BUCKET}) AS piece
-FROM (SELECT *, unnest(range(CAST(floor((hi - qty) / {BUCKET}) AS BIGINT),
-                             CAST(floor(hi / {BUCKET}) AS BIGINT) + 1)) AS bucket
+       least(hi, (bucket + 1) * {volume}) - greatest(hi - qty, bucket * {volume}) AS piece
+FROM (SELECT *, unnest(range(CAST(floor((hi - qty) / {volume}) AS BIGINT),
+                             CAST(floor(hi / {volume}) AS BIGINT) + 1)) AS bucket
       FROM (SELECT symbol, trade_id, ts, buy_prob, CAST(qty AS BIGINT) AS qty, CAST(hi AS BIGINT) AS hi
             FROM filled_volume))
-WHERE least(hi, (bucket + 1) * {BUCKET}) > greatest(hi - qty, bucket * {BUCKET})
+WHERE least(hi, (bucket + 1) * {volume}) > greatest(hi - qty, bucket * {volume})
 """)
-
-view("closed_buckets", f"""
+    view(f"closed_buckets{suffix}", f"""
 SELECT symbol, bucket, abs(sum(piece * (2 * buy_prob - 1))) AS imbalance, max(ts) AS closed_at,
        max(trade_id) AS closing_trade
-FROM bucket_pieces GROUP BY 1, 2 HAVING sum(piece) = {BUCKET}
+FROM bucket_pieces{suffix} GROUP BY 1, 2 HAVING sum(piece) = {volume}
 """)
-
-view("toxicity", f"""
-SELECT *, CASE WHEN count(*) OVER h < 50 THEN 0.5 ELSE sum(imbalance) OVER h / (50 * {BUCKET}) END AS vpin
-FROM closed_buckets WINDOW h AS (PARTITION BY symbol ORDER BY bucket ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)
+    view(f"toxicity{suffix}", f"""
+SELECT *, CASE WHEN count(*) OVER h < 50 THEN 0.5 ELSE sum(imbalance) OVER h / (50 * {volume}) END AS vpin
+FROM closed_buckets{suffix} WINDOW h AS (PARTITION BY symbol ORDER BY bucket ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)
 """)
 
+
+bucket_views("", BUCKET)
+bucket_views("_default", T.BUCKET_VOLUME)
+
 view("tape_seconds", """
 SELECT symbol, unnest(generate_series(date_trunc('second', min(ts)), date_trunc('second', max(ts)),
                                       INTERVAL 1 SECOND)) AS ts FROM tape GROUP BY symbol
@@ -128,6 +132,18 @@ def vpin_alert(v):
     return rounded(T.vpin_alert(v.toxicity, 0.3).select("symbol", "bucket", "closed_at", "vpin"))
 
 
+@query("vpin_default", sql("symbol, bucket, closed_at", "vpin", "SELECT * FROM toxicity_default"))
+def vpin_default(v):
+    """Buckets of 1000 units, 50 of them in the window."""
+    return rounded(T.trade_toxicity(v.tape, cut=TICK_CUT).select("symbol", "bucket", "closed_at", "vpin"))
+
+
+@query("vpin_alert_default", sql("symbol, bucket, closed_at", "vpin", "SELECT * FROM toxicity_default WHERE vpin > 0.8"))
+def vpin_alert_default(v):
+    """The level of 0.8 on buckets of 1000 units; calm trades give no row."""
+    return rounded(T.vpin_alert(T.trade_toxicity(v.tape, cut=TICK_CUT)).select("symbol", "bucket", "closed_at", "vpin"))
+
+
 @query("vpin_as_of", sql("symbol, ts", "vpin", """
 SELECT s.symbol, s.ts, coalesce(x.vpin, 0.5) AS vpin FROM tape_seconds s
 ASOF LEFT JOIN (SELECT symbol, closed_at, arg_max(vpin, bucket) AS vpin FROM toxicity GROUP BY 1, 2) x

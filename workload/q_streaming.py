@@ -77,6 +77,12 @@ def stream_vpin(v):
     return rounded(E.drain(S.stream_vpin(live(v).tape, BUCKET), "vpin"))
 
 
+@query("stream_vpin_default", sql("symbol, bucket, closed_at, closing_trade", "imbalance vpin", "SELECT * FROM toxicity_default"))
+def stream_vpin_default(v):
+    """Buckets of 1000 units, 50 of them in the window."""
+    return rounded(E.drain(S.stream_vpin(live(v).tape), "vpin"))
+
+
 @query("stream_vpin_alert", sql("symbol, bucket, closed_at", "vpin", "SELECT * FROM toxicity WHERE vpin > 0.3"))
 def stream_vpin_alert(v):
     alerts = S.stream_vpin_alert(S.stream_vpin(live(v).tape, BUCKET), 0.3)
