@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import fresh_path, materialise
 
-__all__ = ["documents", "read", "worker_cache", "components", "materialise", "fresh_path", "by_bytes"]
+__all__ = ["Stored", "documents", "read", "worker_cache", "components", "materialise", "fresh_path", "by_bytes"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,29 @@ def worker_cache(name: str, make: Callable[[], object]) -> object:
     return getattr(kept, name)
 
 
+class Stored:
+    """Tables written to the shared folder whose files are deleted as soon as nothing reads them any more.
+
+    What was computed from a table must be written itself before the table goes, so that a lost
+    executor never asks for it again.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, str] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def drop(self, table: DataFrame) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table)))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes of text each (a longer text is a slice of its own)."""
     for batch in batches:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, documents, materialise, read
+from .common import Stored, by_bytes, documents, materialise, read
 from .registry import query
 from .words import mixed, powers, prefix_hashes
 
@@ -209,33 +209,29 @@ def _ranked(rows: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(``key``, ``spans``: sorted starts and ends) of the bytes to remove. ``texts``: ``key`` (long, one text each) and ``text``;
     it is read three times."""
-    # materialised: the grouping and the join below read it
-    first = materialise(texts.where(F.octet_length("text") >= length).mapInArrow(
+    stored = Stored(texts.sparkSession)
+    # written: the grouping and the join below read it
+    ranges = stored.write(texts.where(F.octet_length("text") >= length).mapInArrow(
         _first_round(length, gram), "key long, pos long, lo int, hi int, core long, hull long"
     ).withColumn("settled", F.lit(False)), "anchors")
     sizes = widths(length, gram)
     found = []
-
-    def settle(rows: DataFrame, name: str, last: bool) -> DataFrame | None:
-        """Keeps the spans of rows that repeat; gives the rows that go on."""
-        met = materialise(rows.join(_ranked(rows), ["core", "hull"]), name)
+    for k in range(len(sizes)):
+        # only the rows of this round are kept, and of the rounds before only the spans
+        met = stored.write(ranges.join(_ranked(ranges), ["core", "hull"]), f"round_{sizes[k]}")
+        stored.drop(ranges)
         spans = met.where("repeats AND NOT settled").select("key", (F.col("pos") - F.col("hi")).alias("a"), (F.col("pos") - F.col("lo") + F.lit(length)).alias("b"))
-        found.append(spans)
-        if last:
-            return None
-        on = met.where((F.col("witness.key") == F.col("key")) & (F.col("witness.pos") == F.col("pos")) & F.col("goes_on"))
-        return on.withColumn("settled", F.col("settled") | F.col("repeats"))
-
-    on = settle(first, "first_round", len(sizes) == 1)
-    if on is not None:
-        at = on.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "lo", "hi", "settled"))).alias("at"))
-        rows = texts.join(at, "key").select("key", "text", "at")
-        for k in range(1, len(sizes)):
-            step = _second_round(length, gram, sizes) if k == 1 else _next_round(length, sizes, k)
-            ranges = materialise(rows.mapInArrow(step, f"{CONTEXT_SQL}, core long, hull long"), f"ranges_{sizes[k]}")
-            on = settle(ranges, f"round_{sizes[k]}", sizes[k] == 1)
-            if on is not None:
-                rows = on.select([n for n, _ in CONTEXT])
+        found.append(materialise(spans, "spans"))
+        if k + 1 < len(sizes):
+            on = met.where((F.col("witness.key") == F.col("key")) & (F.col("witness.pos") == F.col("pos")) & F.col("goes_on"))
+            on = on.withColumn("settled", F.col("settled") | F.col("repeats"))
+            if k:
+                rows, step = on.select([n for n, _ in CONTEXT]), _next_round(length, sizes, k + 1)
+            else:
+                at = on.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "lo", "hi", "settled"))).alias("at"))
+                rows, step = texts.join(at, "key").select("key", "text", "at"), _second_round(length, gram, sizes)
+            ranges = stored.write(rows.mapInArrow(step, f"{CONTEXT_SQL}, core long, hull long"), f"ranges_{sizes[k + 1]}")
+        stored.drop(met)
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)
