@@ -70,3 +70,17 @@ def test_repeated_ids_nulls_and_other_columns(spark):
     got = {(r.doc_id, r.text, r.n_chars) for r in out.collect()}
     assert got == {(1, "", 0), (None, "own ", 4), (2, None, None), (3, "short", 5)} and out.count() == 5
     assert suffix.drop_repeats(docs.limit(0)).collect() == [] and suffix.cut_repeats(docs.limit(0)).collect() == []
+
+
+def test_tables_of_finished_rounds_are_deleted(spark, monkeypatch):
+    """Every table of a round goes once the next one is written; what is left holds spans only."""
+    import os
+
+    from tidemark.llm import common
+
+    made = []
+    monkeypatch.setattr(common, "fresh_path", lambda s, name, plain=common.fresh_path: made.append(plain(s, name)) or made[-1])
+    docs = spark.createDataFrame([(i, "x" * 30 + "the same long passage " * 30 + str(i)) for i in range(20)], "doc_id long, text string")
+    assert suffix.cut_repeats(docs).where("n_removed > 0").count() == 20
+    assert len(made) >= 3
+    assert not [p for p in made if os.path.exists(p.removeprefix("file:"))]
