@@ -51,6 +51,39 @@ def test_streaming_equals_merging_and_keeps_little(machine):
     assert read - out <= 4 * machine.lookahead  # tokens come while the input goes on
 
 
+def test_pairs_that_stay_apart(machine):
+    assert machine.ordered
+    rng = random.Random(6)
+    ids = sorted(machine.rank)
+    near = [machine.parts[x] for x in rng.sample(sorted(machine.parts), 1000)]  # pairs that merge, and parts of tokens beside them
+    pairs = near + [(a, machine.parts.get(b, (b,))[0]) for a, b in near] + [(rng.choice(ids), rng.choice(ids)) for _ in range(1000)]
+    for a, b in pairs:
+        assert machine.apart(a, b) == (machine.merge(machine.bytes_of[a] + machine.bytes_of[b]) == [a, b])
+
+
+def test_every_pretoken_goes_through_the_transducer(whole, monkeypatch):
+    own = transducer.Transducer(PATH)
+    seen = []
+    plain = own.stream
+    monkeypatch.setattr(own, "stream", lambda data: seen.append(bytes(data)) or plain(data))
+    text = "the quick browner fox's 12 words, thenianess " + "x" * 300
+    got = [x for part in own.encode(text) for x in part]
+    assert got == whole.encode(text, add_special_tokens=False).ids
+    assert {*seen} == {x.encode() for x in own.pattern.findall(text)}
+
+
+def test_small_tables_and_pieces_without_boundary(whole, monkeypatch):
+    for name, value in (("PAIRS", 3), ("PRETOKENS", 2), ("SEGMENTS", 2), ("PART", 5)):
+        monkeypatch.setattr(transducer, name, value)
+    own = transducer.Transducer(PATH)
+    for text in mixed(60, 8):
+        assert [x for part in own.encode(text) for x in part] == whole.encode(text, add_special_tokens=False).ids
+        parts = [*own.long(text)]
+        assert [x for part in parts for x in part] == whole.encode(text, add_special_tokens=False).ids and max(map(len, parts)) <= 5
+    text = "ab1," * 150_000
+    assert [x for part in own.encode(text) for x in part] == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_broken_bytes_decode_as_the_library_does(machine, whole):
     rng = random.Random(4)
     for _ in range(300):
