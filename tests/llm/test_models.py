@@ -28,6 +28,36 @@ def test_toxicity_learns_words_and_leaves_clean_texts(spark):
     assert toxicity.scored(docs.limit(0), toxicity.train(docs, labels)).collect() == []
 
 
+def test_toxicity_learns_rare_words(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(260)]
+    common, rare = words[:200], words[200:]  # each rare word is in about 10 of 600 toxic texts
+    texts = [[str(x) for x in rng.choice(common, 60)] for _ in range(1900)]
+    toxic = [i % 2 for i in range(len(texts))]
+    for i in range(1, len(texts), 2):
+        texts[i].insert(int(rng.integers(60)), rare[rng.integers(60)])
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    rows = [r for r in toxicity.scored(docs, toxicity.train(docs, labels)).collect() if r.held_out]
+    found = [r.predicted for r in rows if toxic[r.doc_id]]
+    flagged = [r.predicted for r in rows if not toxic[r.doc_id]]
+    assert sum(found) >= 0.9 * len(found) and sum(flagged) <= 0.01 * len(flagged)
+
+
+def test_toxicity_counts_all_labelled_rows(spark):
+    texts = ["Abc d", "abcd", None, "", "xyz" * 50, "abcd"]
+    label = [1, 0, 1, 0, 1, 0]
+    df = spark.createDataFrame([(i, x or "", y) for i, (x, y) in enumerate(zip(texts, label))], "doc_id long, text string, toxic int").repartition(3)
+    held, n = toxicity.counted(df)
+    want = np.zeros((2, toxicity.BUCKETS), np.int64)
+    for x, y in zip(texts, label):
+        for _, bucket in toxicity.features([(x or "").encode()]):
+            want[y, bucket] += 1
+    assert (held == want).all() and n.tolist() == [3, 3]
+    # what both classes hold alike has the value 0, however uneven they are
+    assert np.abs(toxicity.ratios(np.array([[800, 1], [100, 1]]), np.array([800, 100]))[0]) < 1e-9
+
+
 def brute_vectors(rows, least):
     units = [(i, np.array(v) / np.abs(v).max() / np.linalg.norm(np.array(v) / np.abs(v).max())) if v and None not in v and np.isfinite(v).all() and np.any(v) else (i, None) for i, v in rows]
     n = len(rows)

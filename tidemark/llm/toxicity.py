@@ -1,19 +1,22 @@
 """Toxicity of texts: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the distinct runs of ``SIZES`` bytes of the text with A-Z lower-cased, hashed into
-``BUCKETS``. With ``p`` and ``q`` the smoothed numbers of toxic and clean texts that hold a feature,
-its value is ``r = log((p / sum p) / (q / sum q))`` where it occurs, else 0. Logistic regression
-with an L2 penalty is fitted on these values; the product of both is one weight per bucket.
+``BUCKETS``. With ``p`` and ``q`` the smoothed shares of toxic and clean texts that hold a feature,
+its value is ``r = log(p / q)`` where it occurs, else 0. Smoothing adds ``2 * SMOOTH`` texts, divided
+as the labelled texts are, so what both classes hold alike has the value 0 however uneven they are.
+Logistic regression with an L2 penalty is fitted on these values; the product of both is one weight
+per bucket.
 
-The fit takes a bounded sample: at most ``PER_CLASS`` labelled rows of each class, those with the
-least hash of their id. The share of toxic rows among all labelled ones sets the intercept. Every
-row is scored on its whole text.
+The log-count ratios take all labelled rows, counted in Spark: one row per bucket reaches the driver. The
+regression takes a bounded sample: at most ``PER_CLASS`` labelled rows of each class, those with the least
+hash of their id. The share of toxic rows among all labelled ones sets the intercept. Every row is scored
+on its whole text.
 
 Defined results: null and empty texts have no features and get the score of the intercept. Where
 several label rows name a document the highest label counts; null labels and null ids label
 nothing. Without labelled rows of both classes every score is the smoothed share of toxic rows
-(0 without any labels). Repeated rows are scored one by one; no rows give no rows; other columns
-play no part.
+(0 without any labels). Repeated rows of a labelled document count one by one, and are scored one by
+one; no rows give no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -31,9 +34,8 @@ from .registry import query
 from .words import LOWER, mixed, powers, prefix_hashes
 
 SIZES, BUCKETS = (3, 4, 5), 1 << 18
-#: Labelled rows of each class in the fit, texts in which a feature must occur, least size of its log ratio, smoothing,
-#: penalty and steps.
-PER_CLASS, LEAST_TEXTS, LEAST_RATIO, SMOOTH, PENALTY, STEPS = 600, 12, 1.5, 1.0, 5.0, 150
+#: Labelled rows of each class in the regression, labelled texts in which a feature must occur, smoothing, penalty and steps.
+PER_CLASS, LEAST_TEXTS, SMOOTH, PENALTY, STEPS = 600, 2, 1.0, 5.0, 150
 FOLDS = 5
 SLICE = 1 << 20  # bytes of text that a task looks at together
 
@@ -71,18 +73,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.intercept, -60, 60)))
 
 
-def fit(rows: list[tuple[int, np.ndarray]], share: float) -> Model:
-    """A model from (label, buckets) rows; ``share`` of all labelled rows are toxic."""
+def ratios(held: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Log-count ratio of each bucket: ``held[y]`` texts of class ``y`` hold it, of ``texts[y]``."""
+    part = texts / texts.sum()
+    out = np.log((held[1] + 2 * SMOOTH * part[1]) / texts[1]) - np.log((held[0] + 2 * SMOOTH * part[0]) / texts[0])
+    out[held.sum(axis=0) < LEAST_TEXTS] = 0
+    return out
+
+
+def fit(rows: list[tuple[int, np.ndarray]], share: float, held: np.ndarray, texts: np.ndarray) -> Model:
+    """A model from (label, buckets) rows and the counts of all labelled rows, of which ``share`` are toxic."""
     label = np.array([y for y, _ in rows], dtype=np.float64)
     if not len(label) or label.min() == label.max():
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     lengths = np.array([len(x) for _, x in rows])
     doc, bucket = np.repeat(np.arange(len(rows), dtype=np.int32), lengths), np.concatenate([x for _, x in rows])
-    toxic = np.bincount(bucket, weights=label[doc], minlength=BUCKETS)
-    texts = np.bincount(bucket, minlength=BUCKETS)
-    p, q = toxic + SMOOTH, texts - toxic + SMOOTH
-    ratio = np.log((p / label.sum()) / (q / (len(label) - label.sum())))
-    ratio[(texts < LEAST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0
+    ratio = ratios(held, texts)
     use = ratio[bucket] != 0
     doc, bucket = doc[use], bucket[use]
     value = ratio.astype(np.float32)[bucket]
@@ -106,6 +112,27 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id) % FOLDS
 
 
+def counted(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How many texts of class 0 and 1 hold each bucket, and how many there are, over ``doc_id``, ``text``, ``toxic``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, BUCKETS + 1), np.int64)  # the last one counts the texts themselves
+        for batch in by_bytes(batches, "text", SLICE):
+            label = batch.column("toxic").to_numpy()
+            held[:, BUCKETS] += np.bincount(label, minlength=2)
+            for doc, bucket in features([x.encode() for x in batch.column("text").to_pylist()]):
+                for y in (0, 1):
+                    held[y, :BUCKETS] += np.bincount(bucket[label[doc] == y], minlength=BUCKETS)
+        at = np.flatnonzero(held.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[0, at]), pa.array(held[1, at])], ["bucket", "clean", "toxic"])
+
+    sums = labelled.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    got = sums.toArrow()  # BUCKETS + 1 rows at most
+    held = np.zeros((2, BUCKETS + 1), np.int64)
+    held[:, got.column("bucket").to_numpy()] = got.column("clean").to_numpy(), got.column("toxic").to_numpy()
+    return held[:, :BUCKETS], held[:, BUCKETS]
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled documents outside fold 0."""
     known = (
@@ -136,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     found = sample.mapInArrow(buckets, "doc_id long, toxic int, buckets binary").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("buckets").alias("buckets"))
     rows = [(r.toxic, np.frombuffer(r.buckets, "<i4")) for r in found.orderBy("doc_id").collect()]  # bounded: 2 * PER_CLASS rows
     share = n1 / (n0 + n1) if n0 and n1 else (n1 + 0.5) / (n0 + n1 + 1)
-    return fit(rows, share)
+    held, texts = counted(documents(docs).join(known.where("toxic IN (0, 1)"), "doc_id"))
+    return fit(rows, share, held, texts)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
