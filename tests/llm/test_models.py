@@ -44,7 +44,7 @@ def test_toxicity_learns_rare_words(spark):
     assert sum(found) >= 0.9 * len(found) and sum(flagged) <= 0.01 * len(flagged)
 
 
-def test_toxicity_counts_all_labelled_rows(spark):
+def test_toxicity_counts_labelled_rows(spark, monkeypatch):
     texts = ["Abc d", "abcd", None, "", "xyz" * 50, "abcd"]
     label = [1, 0, 1, 0, 1, 0]
     df = spark.createDataFrame([(i, x or "", y) for i, (x, y) in enumerate(zip(texts, label))], "doc_id long, text string, toxic int").repartition(3)
@@ -54,6 +54,11 @@ def test_toxicity_counts_all_labelled_rows(spark):
         for _, bucket in toxicity.features([(x or "").encode()]):
             want[y, bucket] += 1
     assert (held == want).all() and n.tolist() == [3, 3]
+    ids = spark.range(4000).selectExpr("id AS doc_id", "cast(id % 4 = 0 AS int) AS toxic")
+    assert toxicity.chosen(ids, (3000, 1000)).count() == 4000
+    monkeypatch.setattr(toxicity, "COUNTED", 1000)
+    some = {r.toxic: r["count"] for r in toxicity.chosen(ids, (3000, 1000)).groupBy("toxic").count().collect()}
+    assert some[1] == 1000 and 850 < some[0] < 1150
     # what both classes hold alike has the value 0, however uneven they are
     assert np.abs(toxicity.ratios(np.array([[800, 1], [100, 1]]), np.array([800, 100]))[0]) < 1e-9
 

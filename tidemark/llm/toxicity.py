@@ -7,10 +7,11 @@ as the labelled texts are, so what both classes hold alike has the value 0 howev
 Logistic regression with an L2 penalty is fitted on these values; the product of both is one weight
 per bucket.
 
-The log-count ratios take all labelled rows, counted in Spark: one row per bucket reaches the driver. The
-regression takes a bounded sample: at most ``PER_CLASS`` labelled rows of each class, those with the least
-hash of their id. The share of toxic rows among all labelled ones sets the intercept. Every row is scored
-on its whole text.
+The log-count ratios take about ``COUNTED`` labelled documents of each class (all, if there are no more), counted
+in Spark: one row per bucket reaches the driver. Their ids are chosen by a threshold on a hash and broadcast,
+so that no text is shuffled. The regression takes at most ``PER_CLASS`` labelled documents of each class, those
+with the least hash of their id. The share of toxic rows among all labelled ones sets the intercept. Every
+row is scored on its whole text.
 
 Defined results: null and empty texts have no features and get the score of the intercept. Where
 several label rows name a document the highest label counts; null labels and null ids label
@@ -34,8 +35,10 @@ from .registry import query
 from .words import LOWER, mixed, powers, prefix_hashes
 
 SIZES, BUCKETS = (3, 4, 5), 1 << 18
-#: Labelled rows of each class in the regression, labelled texts in which a feature must occur, smoothing, penalty and steps.
-PER_CLASS, LEAST_TEXTS, SMOOTH, PENALTY, STEPS = 600, 2, 1.0, 5.0, 150
+#: Labelled documents of each class in the regression and in the counts.
+PER_CLASS, COUNTED = 600, 50_000
+#: Labelled texts in which a feature must occur, smoothing, penalty and steps.
+LEAST_TEXTS, SMOOTH, PENALTY, STEPS = 2, 1.0, 5.0, 150
 FOLDS = 5
 SLICE = 1 << 20  # bytes of text that a task looks at together
 
@@ -82,7 +85,7 @@ def ratios(held: np.ndarray, texts: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[int, np.ndarray]], share: float, held: np.ndarray, texts: np.ndarray) -> Model:
-    """A model from (label, buckets) rows and the counts of all labelled rows, of which ``share`` are toxic."""
+    """A model from (label, buckets) rows and the counts of ``ratios``; ``share`` of all labelled rows are toxic."""
     label = np.array([y for y, _ in rows], dtype=np.float64)
     if not len(label) or label.min() == label.max():
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
@@ -112,6 +115,13 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id) % FOLDS
 
 
+def chosen(known: DataFrame, texts: tuple[int, int]) -> DataFrame:
+    """The rows of ``known`` that are counted; ``texts[y]`` rows are of class ``y``. Their number, 2 * COUNTED but for chance, bounds a broadcast."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    limits = [(1 << 40) * COUNTED // max(n, COUNTED) for n in texts]
+    return known.where(((F.col("toxic") == 0) & (place < limits[0])) | ((F.col("toxic") == 1) & (place < limits[1])))
+
+
 def counted(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """How many texts of class 0 and 1 hold each bucket, and how many there are, over ``doc_id``, ``text``, ``toxic``."""
 
@@ -163,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     found = sample.mapInArrow(buckets, "doc_id long, toxic int, buckets binary").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("buckets").alias("buckets"))
     rows = [(r.toxic, np.frombuffer(r.buckets, "<i4")) for r in found.orderBy("doc_id").collect()]  # bounded: 2 * PER_CLASS rows
     share = n1 / (n0 + n1) if n0 and n1 else (n1 + 0.5) / (n0 + n1 + 1)
-    held, texts = counted(documents(docs).join(known.where("toxic IN (0, 1)"), "doc_id"))
+    held, texts = counted(documents(docs).join(F.broadcast(chosen(known, (n0, n1))), "doc_id"))
     return fit(rows, share, held, texts)
 
 
