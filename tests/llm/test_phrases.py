@@ -137,3 +137,11 @@ def test_sieve_holds_what_was_put_in(spark):
     assert table.holds(runs.hash(2)[pairs][:3000]).all()
     other = np.random.default_rng(1).integers(0, 1 << 63, 100_000).astype(np.uint64)
     assert table.holds(other).mean() < 0.02
+
+
+@pytest.mark.parametrize("least, top", [(6, 2000), (4, 12)])
+def test_sieves_that_let_everything_through(spark, monkeypatch, least, top):
+    """What passes a sieve unasked is neither scored without its parts nor returned twice."""
+    monkeypatch.setattr(P, "sieve", lambda phrases, count: P.Sieve(np.full(1, np.iinfo(np.uint64).max, dtype=np.uint64)))
+    rows = corpus()
+    assert run(spark, rows, least, top) == expected(rows, least, top)

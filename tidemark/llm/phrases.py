@@ -292,12 +292,13 @@ def _grown(texts: DataFrame, frontier: DataFrame, known: Sieve, band: DataFrame,
         at = at[taken.holds(runs.word[at])]
         yield 2, at[known.holds(runs.word[at + 1])]
 
-    # a word may pass the sieve unasked; its phrases belong to another band
-    of_band = band.select("lang", F.col("phrase").alias("_head"))
-    head = F.substring_index("phrase", " ", 1).alias("_head")
-    two = materialise(
-        counted(texts, pairs).where(F.col("n") >= least).select("lang", "phrase", "n", head).join(of_band, ["lang", "_head"], "left_semi").drop("_head"), "pairs"
-    )
+    def of_band(found: DataFrame) -> DataFrame:
+        """A word or pair may pass its sieve unasked; its phrases belong to another band."""
+        heads = band.select("lang", F.col("phrase").alias("_head"))
+        head = F.substring_index("phrase", " ", 1).alias("_head")
+        return found.where(F.col("n") >= least).select("lang", "phrase", "n", head).join(heads, ["lang", "_head"], "left_semi").drop("_head")
+
+    two = materialise(of_band(counted(texts, pairs)), "pairs")
     frequent = sieve(two, two.count())
 
     def longer(runs: Runs):
@@ -309,7 +310,7 @@ def _grown(texts: DataFrame, frontier: DataFrame, known: Sieve, band: DataFrame,
             at = at[known.holds(runs.word[at + k - 1])]
             yield k, at
 
-    grams = materialise(two.unionByName(counted(texts, longer).where(F.col("n") >= least)), "grams")
+    grams = materialise(two.unionByName(of_band(counted(texts, longer))), "grams")
     prefixes = frontier.select("lang", "phrase", "n").unionByName(grams).select("lang", F.col("phrase").alias("first"), F.col("n").alias("l"))
     of_lang = band.groupBy("lang").agg(F.first("total").alias("n"), F.first("least").alias("least"))  # one value in a language
     phrase = (
