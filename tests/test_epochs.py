@@ -120,3 +120,26 @@ def test_the_clock_stops_with_the_slower_feed(spark):
     newest = sampled_books(messages, snapshots, feed_end(messages, early)).agg(F.max("ts")).first()[0]
     assert newest == (at(100) - timedelta(milliseconds=1)).replace(microsecond=0)
     assert sampled_books(messages, snapshots, feed_end(messages, early.limit(0))).count() == 0
+
+
+def test_no_block_meets_all_epochs(spark):
+    """Blocks find their epochs by number: no join is by symbol alone, which would grow with their product."""
+    import re
+
+    from tidemark.operators import epochs as E
+
+    rows, shots = feed()
+    seen = []
+    plain = getattr(E, "materialise", None)
+
+    def noted(df, name):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    E.materialise = noted
+    try:
+        found = E.book_epochs(spark.createDataFrame(rows, MESSAGES), spark.createDataFrame(shots, SNAPSHOTS), blocks.id_cut(7, "arrival")).entries
+    finally:
+        E.materialise = plain
+    seen.append(found._jdf.queryExecution().executedPlan().toString())
+    assert not any(re.search(r"Join \[symbol#\d+\], \[symbol#\d+\],", plan) for plan in seen)

@@ -19,11 +19,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import ordered
 from ..functions.timing import micros, micros_of, slot, step
+from ..session import materialise
 from .blocks import Cut, message_cut
 from .book import ASK, BID, explode_levels, sequence_gap_check, stale_update_filter
 
@@ -54,6 +55,16 @@ def numbered(snapshots: DataFrame) -> DataFrame:
         F.lead("arrival").over(w).alias("closed"), F.lead("ts").over(w).alias("closed_at"), "last_update_id", "bids", "asks")
 
 
+def _latest(rows: DataFrame, at: str, epochs: DataFrame, by: str, name: str) -> DataFrame:
+    """``rows`` with the highest epoch of the symbol whose ``by`` is not above ``at`` (NULL: none). Blocks and epochs, never
+    messages, are windowed by symbol; no block meets all epochs."""
+    held = F.struct(*rows.columns)
+    marks = epochs.select("symbol", F.col(by).alias("_at"), "epoch").withColumn("_row", F.lit(None).cast(rows.select(held.alias("r")).schema["r"].dataType))
+    asked = rows.select("symbol", F.col(at).alias("_at"), F.lit(None).cast("int").alias("epoch"), held.alias("_row"))
+    w = ordered(["symbol"], "_at", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return marks.unionByName(asked).withColumn(name, F.max("epoch").over(w)).filter("_row IS NOT NULL").select("_row.*", name)
+
+
 def in_epochs(messages: DataFrame, epochs: DataFrame, cut: Cut, resync: timedelta = RESYNC) -> DataFrame:
     """Messages, once for each epoch they may count in, with ``epoch`` and the ``last_update_id`` it starts from.
 
@@ -65,8 +76,15 @@ def in_epochs(messages: DataFrame, epochs: DataFrame, cut: Cut, resync: timedelt
     waited = (F.col("epoch") == 1) | (F.col("_newest") >= F.col("opened_at") - step(resync))
     replayed = (F.col("opened") > F.col("_lo")) & (F.col("last_update_id") < F.col("_top")) & waited
     fields = ("epoch", "opened", "opened_at", "closed", "last_update_id")
-    concerned = bounds.join(epochs.select("symbol", *fields), "symbol").filter(own | replayed).groupBy(*cut.parts).agg(
-        F.collect_list(F.struct(*fields)).alias("_epochs"))
+    # own and replayed epochs lie between the one open at the first message and the last that may still ask for these
+    near = bounds.withColumn("_reach", F.col("_newest") + step(resync))
+    for at, by, found in (("_lo", "opened", "_first"), ("_hi", "opened", "_own"), ("_reach", "opened_at", "_replayed")):
+        near = _latest(near, at, epochs, by, found)
+    first = F.coalesce("_first", F.lit(1))
+    near = near.withColumn("epoch", F.explode(F.sequence(first, F.greatest(first, "_own", "_replayed"))))
+    concerned = materialise(
+        near.join(epochs.select("symbol", *fields), ["symbol", "epoch"]).filter(own | replayed).groupBy(*cut.parts).agg(
+            F.collect_list(F.struct(*fields)).alias("_epochs")), "concerned")
 
     def counts(e: Column) -> Column:
         within = (e["opened"] <= F.col("arrival")) & (e["closed"].isNull() | (e["closed"] > F.col("arrival")))
