@@ -199,3 +199,74 @@ def test_feature_sink_is_partitioned(spark, inputs, tmp_path):
 
 def test_snapshot_fixture_is_the_early_book(inputs):
     assert snapshot(inputs).count() == 5
+
+
+@pytest.mark.parametrize("run_rows, piece_rows", [(10, 3), (64, 7), (1000, 5)])
+def test_chunks_are_the_sorted_rows(run_rows, piece_rows):
+    """However few rows are held: every row once, in stable order, equal first keys in one chunk."""
+    import pandas as pd
+
+    from tidemark.streaming import depth as D
+
+    draw = np.random.default_rng(run_rows)
+    rows = pd.DataFrame({"ts": draw.integers(0, 90, 400), "seq": draw.integers(0, 4, 400), "price": np.arange(400.0), "full": 0, "rest": 1})
+    frames = (rows.iloc[i:i + 9] for i in range(0, 400, 9))
+    chunks = list(D.sorted_chunks(frames, ["ts", "seq"], S.TRADE_FIELDS, run_rows, piece_rows))
+    pd.testing.assert_frame_equal(pd.concat(chunks, ignore_index=True), rows.sort_values(["ts", "seq"], kind="stable", ignore_index=True), check_dtype=False)
+    assert all(a["ts"].max() < b["ts"].min() for a, b in zip(chunks, chunks[1:]))
+    assert len(chunks) == 1 or max(map(len, chunks)) < 300
+    assert list(D.sorted_chunks(iter(()), ["ts", "seq"], S.TRADE_FIELDS)) == []
+
+
+def test_one_large_batch_is_applied_in_chunks(spark, inputs, monkeypatch, tmp_path):
+    """A feed that comes in one batch, held 60 rows at a time, gives the rows of the batch operators."""
+    from tidemark.streaming import depth as D
+
+    monkeypatch.setattr(D, "RUN_ROWS", 60)
+    monkeypatch.setattr(D, "PIECE_ROWS", 7)
+    out = rounded(E.drain(S.stream_sample_1s(
+        arriving(spark, inputs.depth_feed, "arrival", str(tmp_path / "m"), 1), arriving(spark, inputs.tape, "trade_id", str(tmp_path / "t"), 1), 50, 10), "samples"))
+    batch = rounded(sample_1s(inputs.messages, inputs.snapshots, inputs.tape, volume=50, window=10, block=timedelta(seconds=20)))
+    assert of_spark(out) == of_spark(batch) and out.count() > 250
+    start = snapshot(inputs).select("symbol", F.lit(True).alias("is_snapshot"), F.lit(-1).cast("long").alias("arrival"), tick_time(F.lit(0)).alias("ts"),
+                                    F.col("last_update_id").alias("u"), F.col("bids").alias("b"), F.col("asks").alias("a"))
+    rows = inputs.messages.select("symbol", F.lit(False).alias("is_snapshot"), "arrival", "ts", "u", "b", "a").unionByName(start)
+    changes = E.drain(S.stream_book(arriving(spark, rows, "arrival", str(tmp_path / "b"), 1)), "book")
+    newest = changes.groupBy("symbol", "side", "price").agg(F.max_by("qty", "arrival").alias("qty")).filter("qty > 0")
+    expected = book.book_replay(snapshot(inputs), inputs.messages, blocks.id_cut(50, "arrival"))
+    assert of_spark(newest) == of_spark(expected)
+
+
+def test_only_messages_young_enough_are_kept_for_replays():
+    import pandas as pd
+
+    from tidemark.streaming import depth as D
+
+    class State:
+        kept = []
+
+        def all(self):
+            return D.FIELDS.empty_table().to_pandas()
+
+        def add(self, rows):
+            self.kept = [*self.kept, rows]
+
+        def forget(self, before):
+            pass
+
+    none, last, seen = [np.empty(0)], None, []
+    waiting = S.Recent(State(), 1000)
+    for i in range(50):
+        n = np.arange(i * 100, i * 100 + 100)
+        chunk = pd.DataFrame({"ts": n * 10, "seq": n, "is_snapshot": n % 100 == 50, "u": n - 25 * (n % 100 == 50), **{c: none * 100 for c in ("bp", "bq", "ap", "aq")}})
+        table, parts, last = D.segments(chunk, last, waiting.before(chunk), 1000)
+        seen.append((table, parts))
+        waiting.after(chunk, last)
+        assert i == 0 or sum(map(len, waiting.held)) <= 101
+    waiting.save()
+    assert sum(map(len, waiting.state.kept)) <= 101
+    table, parts = seen[30]
+    opened = [p for p in parts if p.snapshot is not None]
+    # the snapshot's id is 25 behind: the 24 messages with newer ids before it are replayed at its time, then the 49 behind it
+    assert len(opened) == 1 and len(opened[0].rows) == 24 + 49
+    assert (opened[0].ts[:24] == table["ts"][opened[0].snapshot]).all()

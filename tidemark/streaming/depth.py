@@ -6,6 +6,7 @@ it are replayed, stale ids don't count.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,6 +64,10 @@ class Waiting:
     def all(self) -> pd.DataFrame:
         return unpacked([bytes(b) for _, b in self.rows.get()] if self.rows.exists() else [], self.schema)
 
+    def batches(self) -> Iterator[pd.DataFrame]:
+        for _, b in self.rows.get() if self.rows.exists() else ():
+            yield unpacked([bytes(b)], self.schema)
+
     def forget(self, before: int) -> None:
         """Drop the batches that are wholly older."""
         held = [(int(t), bytes(b)) for t, b in self.rows.get()] if self.rows.exists() else []
@@ -79,39 +84,60 @@ class Waiting:
 
 @dataclass
 class Segment:
-    """Messages that count in one epoch; ``snapshot`` opens it, NULL continues the one before."""
+    """Messages that count in one epoch, as rows of a table with the time they take effect.
+
+    ``snapshot``, a row as well, opens it; NULL continues the epoch before."""
+
+    snapshot: int | None
+    rows: np.ndarray
+    ts: np.ndarray
 
-    snapshot: pd.Series | None
-    messages: pd.DataFrame
 
+def segments(depth: pd.DataFrame, last: int | None, recent: pd.DataFrame, resync: int) -> tuple[pd.DataFrame, list[Segment], int | None]:
+    """Rows in order of (seq, snapshots first) -> the table that epochs point into, the epochs and the last id.
 
-def segments(depth: pd.DataFrame, last: int | None, recent: pd.DataFrame, resync: int) -> tuple[list[Segment], int | None]:
-    """Rows in order of (seq, snapshots first) -> epochs and the last id. ``recent``: messages before them that a
-    snapshot may replay. ``last`` is NULL as long as there was no snapshot; ``resync`` in microseconds."""
+    ``recent``: messages before them that a snapshot may replay. ``last`` is NULL as long as there was no snapshot;
+    ``resync`` in microseconds. A snapshot looks only at the messages from the first one on that is young enough."""
+    table = pd.concat([recent, depth], ignore_index=True) if len(recent) else depth.reset_index(drop=True)
+    snap = table["is_snapshot"].to_numpy(dtype=bool)
+    ts, u = table["ts"].to_numpy(), table["u"].to_numpy()
+    newest = np.maximum.accumulate(ts) if len(ts) else ts
     out = []
-    marks = np.flatnonzero(depth["is_snapshot"].to_numpy())
-    edges = [0, *marks.tolist(), len(depth)]
-    pool = recent
+    edges = [len(recent), *np.flatnonzero(snap).tolist(), len(table)]
     for i in range(len(edges) - 1):
-        part = depth.iloc[edges[i]:edges[i + 1]]
-        snapshot = part.iloc[0] if i else None
-        messages = part.iloc[1:] if i else part
-        if snapshot is not None:
-            waited = pool["u"] > snapshot.u
+        a, b = edges[i], edges[i + 1]
+        rows = np.arange(a + 1 if i else a, b)
+        at = ts[rows]
+        if i:
+            since = 0 if last is None else int(np.searchsorted(newest[:a], ts[a] - resync))
+            waited = ~snap[since:a] & (u[since:a] > u[a])
             if last is not None:
-                waited &= pool["ts"] >= snapshot.ts - resync
-            replayed = pool[waited]
-            replayed = replayed.assign(ts=replayed["ts"].clip(lower=snapshot.ts))
-            last = int(snapshot.u)
-            messages = pd.concat([replayed, messages]) if len(replayed) else messages
-        pool = pd.concat([pool, part.iloc[1 if i else 0:]])
-        if last is None or (snapshot is None and not len(messages)):
+                waited &= ts[since:a] >= ts[a] - resync
+            replayed = since + np.flatnonzero(waited)
+            rows, at = np.concatenate([replayed, rows]), np.concatenate([np.maximum(ts[replayed], ts[a]), at])
+            last = int(u[a])
+        if last is None or (not i and not len(rows)):
             continue
-        ids = messages["u"].to_numpy()
-        out.append(Segment(snapshot, messages[newer(ids, last)] if len(ids) else messages))
-        if len(ids):
-            last = max(last, int(ids.max()))
-    return out, last
+        if len(rows):
+            ids = u[rows]
+            counts = newer(ids, last)
+            rows, at, last = rows[counts], at[counts], max(last, int(ids.max()))
+        out.append(Segment(a if i else None, rows, at))
+    return table, out, last
+
+
+class Levels:
+    """The entries of all rows of a table, parsed once; those of some rows are picked by number."""
+
+    def __init__(self, table: pd.DataFrame):
+        row, self.is_bid, self.price, self.qty = levels_of(table)
+        self.first = np.searchsorted(row, np.arange(len(table) + 1))
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``rows``, is bid, price, qty)."""
+        size = self.first[rows + 1] - self.first[rows]
+        at = np.repeat(self.first[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.repeat(np.arange(len(rows)), size), self.is_bid[at], self.price[at], self.qty[at]
 
 
 def levels_of(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -184,3 +210,77 @@ class LiveBook:
 
 def in_order(batches: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values(list(by), kind="stable", ignore_index=True)
+
+
+RUN_ROWS, PIECE_ROWS = 100_000, 5_000  # rows of a sorted run; rows of each run in memory at once
+
+
+def sorted_chunks(frames: Iterator[pd.DataFrame], by: list[str], schema: pa.Schema, run_rows: int = 0, piece_rows: int = 0) -> Iterator[pd.DataFrame]:
+    """All rows in the order of ``by``, in chunks; rows that agree in the first column come in one chunk.
+
+    Up to ``run_rows`` rows are sorted in memory; more become sorted runs in temporary files, of which some
+    ``piece_rows`` rows each are held while they are merged."""
+    run_rows, piece_rows = run_rows or RUN_ROWS, piece_rows or PIECE_ROWS
+
+    def ordered(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts, ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
+
+    held, size = [], 0
+    with tempfile.TemporaryDirectory(prefix="tidemark-runs-") as folder:
+        runs = []
+
+        def spill() -> None:
+            path = f"{folder}/{len(runs)}"
+            with pa.ipc.new_file(path, schema) as writer:
+                writer.write_table(pa.Table.from_pandas(ordered(held)[schema.names], schema=schema, preserve_index=False), piece_rows)
+            runs.append(pa.ipc.open_file(pa.OSFile(path)))
+
+        for frame in frames:
+            held.append(frame[schema.names])
+            size += len(frame)
+            if size >= run_rows:
+                spill()
+                held, size = [], 0
+        if not runs:
+            if size:
+                yield ordered(held)
+            return
+        if size:
+            spill()
+        del held
+        key = by[0]
+        nothing = schema.empty_table().to_pandas()
+        buffers, at, ready, n = [nothing for _ in runs], [0] * len(runs), [], 0
+
+        def more(i: int) -> None:
+            if at[i] < runs[i].num_record_batches:
+                batch = pa.Table.from_batches([runs[i].get_batch(at[i])]).to_pandas()
+                buffers[i] = pd.concat([buffers[i], batch], ignore_index=True) if len(buffers[i]) else batch
+                at[i] += 1
+
+        while True:
+            for i, b in enumerate(buffers):
+                if not len(b):
+                    more(i)
+            # rows below the last one held of every unfinished run
+            ends = {i: buffers[i][key].iloc[-1] for i in range(len(runs)) if at[i] < runs[i].num_record_batches}
+            if not ends:
+                rest = [*ready, *[b for b in buffers if len(b)]]
+                if rest:
+                    yield ordered(rest)
+                return
+            least = min(ends.values())
+            moved = False
+            for i, b in enumerate(buffers):
+                k = int(np.searchsorted(b[key].to_numpy(), least)) if len(b) else 0
+                if k:
+                    ready.append(b.iloc[:k])
+                    buffers[i] = b.iloc[k:].reset_index(drop=True)
+                    n, moved = n + k, True
+            if not moved:
+                for i, end in ends.items():
+                    if end == least:
+                        more(i)
+            if n >= run_rows // 2:
+                yield ordered(ready)
+                ready, n = [], 0

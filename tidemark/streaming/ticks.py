@@ -25,7 +25,7 @@ from ..operators.epochs import RESYNC
 from ..operators.flow import BUCKET_VOLUME, VPIN_ALERT, VPIN_NEUTRAL, VPIN_WINDOW, bucket_parts
 from ..schemas import BOOK_FEATURES
 from .arrays import Flow, features, newer
-from .depth import FIELDS, LiveBook, Waiting, in_order, levels_of, packed, segments, sides_as_doubles
+from .depth import FIELDS, Levels, LiveBook, Waiting, in_order, packed, segments, sides_as_doubles, sorted_chunks
 
 SECOND = 1_000_000
 
@@ -145,38 +145,39 @@ class BookProcessor(StatefulProcessor):
         self.levels = handle.getMapState("levels", "side string, price double", "qty double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        depth = ordered_depth(pd.concat(list(rows), ignore_index=True))
         last = self.last.get()[0] if self.last.exists() else None
-        # without a snapshot nothing that waits matters
-        recent = self.recent.all() if depth["is_snapshot"].any() else FIELDS.empty_table().to_pandas()
-        parts, last = segments(depth, last, recent, self.resync)
+        waiting = Recent(self.recent, self.resync)
         changed: dict[tuple[str, float], tuple[int, float]] = {}
-        for part in parts:
-            if part.snapshot is not None:
-                # the newest row per level is the book: levels that the snapshot lacks are gone with it
-                at = int(part.snapshot.seq)
-                gone = {k: (at, 0.0) for k, (_, q) in changed.items() if q > 0}
-                changed |= gone | {k: (at, 0.0) for k, _ in self.levels.iterator() if k not in changed}
-                self._note(changed, part.snapshot.to_frame().T, at)
-            self._note(changed, part.messages, int(part.snapshot.seq) if part.snapshot is not None else None)
+        for depth in depth_chunks(rows):
+            table, parts, last = segments(depth, last, waiting.before(depth), self.resync)
+            seq, levels = table["seq"].to_numpy(dtype=np.int64), Levels(table)
+            for part in parts:
+                least = None
+                if part.snapshot is not None:
+                    # the newest row per level is the book: levels that the snapshot lacks are gone with it
+                    least = int(seq[part.snapshot])
+                    gone = {k: (least, 0.0) for k, (_, q) in changed.items() if q > 0}
+                    changed |= gone | {k: (least, 0.0) for k, _ in self.levels.iterator() if k not in changed}
+                    self._note(changed, seq, levels, np.array([part.snapshot]), least)
+                self._note(changed, seq, levels, part.rows, least)
+            waiting.after(depth, last)
         for level, (_, qty) in changed.items():
             if qty > 0:
                 self.levels.updateValue(level, (qty,))
             else:
                 self.levels.removeKey(level)
-        self.recent.add(depth[~depth["is_snapshot"]])
+        waiting.save()
         if last is not None:
             self.last.update((last,))
-            self.recent.forget(int(depth["ts"].max()) - self.resync)
         yield pd.DataFrame(
             [(key[0], arrival, s, p, q) for (s, p), (arrival, q) in changed.items()],
             columns=["symbol", "arrival", "side", "price", "qty"])
 
     @staticmethod
-    def _note(changed: dict, messages: pd.DataFrame, least: int | None) -> None:
+    def _note(changed: dict, seq: np.ndarray, levels: Levels, rows: np.ndarray, least: int | None) -> None:
         """The last entry of each level; a replayed message counts with its snapshot."""
-        row, is_bid, price, qty = levels_of(messages)
-        arrival = messages["seq"].to_numpy(dtype=np.int64)[row]
+        row, is_bid, price, qty = levels.of(rows)
+        arrival = seq[rows][row]
         if least is not None:
             arrival = np.maximum(arrival, least)
         sides = np.where(is_bid, BID, ASK).tolist()
@@ -186,10 +187,46 @@ class BookProcessor(StatefulProcessor):
         pass
 
 
-def ordered_depth(depth: pd.DataFrame) -> pd.DataFrame:
-    """In order of arrival, a snapshot before the message of the same number."""
-    first = ~depth["is_snapshot"].to_numpy(dtype=bool)
-    return depth.iloc[np.lexsort((first, depth["seq"].to_numpy()))].reset_index(drop=True)
+def depth_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In order of arrival, a snapshot before the message of the same number; memory does not grow with the rows."""
+    flagged = (f.assign(is_message=~f["is_snapshot"].to_numpy(dtype=bool)) for f in frames)
+    return sorted_chunks(flagged, ["seq", "is_message"], FIELDS.append(pa.field("is_message", pa.bool_())))
+
+
+class Recent:
+    """The messages that a snapshot may replay, over the chunks of one call; the rest of them is in state."""
+
+    def __init__(self, state: Waiting, resync: int):
+        self.state, self.resync = state, resync
+        self.stored: pd.DataFrame | None = None
+        self.held: list[pd.DataFrame] = []
+        self.known, self.newest = False, None
+
+    def before(self, depth: pd.DataFrame) -> pd.DataFrame:
+        # without a snapshot nothing that waits matters
+        if not depth["is_snapshot"].any():
+            return FIELDS.empty_table().to_pandas()
+        if self.stored is None:
+            self.stored = self.state.all()
+        return pd.concat([self.stored, *[h[FIELDS.names] for h in self.held]], ignore_index=True)
+
+    def after(self, depth: pd.DataFrame, last: int | None) -> None:
+        newest = int(depth["ts"].max())
+        self.newest = newest if self.newest is None else max(self.newest, newest)
+        self.held.append(depth[~depth["is_snapshot"].to_numpy(dtype=bool)])
+        if last is not None:
+            self.known, since = True, self.newest - self.resync
+            self.held = [h[h["ts"] >= since] for h in self.held if len(h) and h["ts"].max() >= since]
+            if self.stored is not None:
+                self.stored = self.stored[self.stored["ts"] >= since]
+
+    def save(self) -> None:
+        if self.newest is None:
+            return
+        for h in self.held:
+            self.state.add(h)
+        if self.known:
+            self.state.forget(self.newest - self.resync)
 
 
 def depth_rows(messages: DataFrame) -> DataFrame:
@@ -238,13 +275,18 @@ class SampleProcessor(StatefulProcessor):
         self.trades = Waiting(handle, "trades", TRADE_FIELDS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        t = pd.concat(list(rows), ignore_index=True)
-        traded = t["is_trade"].to_numpy(dtype=bool)
-        self.depth.add(t[~traded])
-        self.trades.add(t[traded])
-        if not self.clock.exists():
+        first = None
+        for t in rows:
+            if not len(t):
+                continue
+            traded = t["is_trade"].to_numpy(dtype=bool)
+            self.depth.add(t[~traded])
+            self.trades.add(t[traded])
+            least = int(t["ts"].min())
+            first = least if first is None else min(first, least)
+        if first is not None and not self.clock.exists():
             self.clock.update((None, None))
-            self.handle.registerTimer(int(t["ts"].min() // SECOND + 1) * 1000)
+            self.handle.registerTimer((first // SECOND + 1) * 1000)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -252,67 +294,99 @@ class SampleProcessor(StatefulProcessor):
         self.handle.registerTimer((upto + 1) * 1000)
         second, last = self.clock.get()
         closes, values = self._flow(upto)
-        depth = ordered_depth(self._due(self.depth, upto))
-        known = self.recent.all() if depth["is_snapshot"].any() else FIELDS.empty_table().to_pandas()
-        parts, last = segments(depth, last, known, self.resync)
-        if len(depth):
-            self.recent.add(depth[~depth["is_snapshot"]])
-            if last is not None:
-                self.recent.forget(int(depth["ts"].max()) - self.resync)
-        if last is None:
-            return
+        waiting = Recent(self.recent, self.resync)
+        loaded = False
+        for until, depth in self._seconds(upto):
+            if len(depth):
+                table, parts, last = segments(depth, last, waiting.before(depth), self.resync)
+                waiting.after(depth, last)
+            else:
+                table, parts = depth, []
+            if last is None:
+                continue
+            if not loaded:
+                self.book.load()
+                loaded = True
+            samples, second = self._walk(table, parts, second, until)
+            if samples:
+                yield self._rows(key[0], samples, closes, values)
+        waiting.save()
+        if loaded:
+            self.book.save()
+            self.clock.update((second, last))
+
+    def _seconds(self, upto: int) -> Iterator[tuple[int, pd.DataFrame]]:
+        """Depth rows in order, each chunk with the last second that it completes; at least one, up to ``upto``."""
+        rest = None
+        for chunk in depth_chunks(self._due(self.depth, upto)):
+            if rest is not None:
+                both = pd.concat([rest, chunk], ignore_index=True).sort_values(["seq", "is_message"], kind="stable", ignore_index=True)
+                until = -(-int(both["ts"].max()) // SECOND) - 1
+                done = (both["ts"] <= until * SECOND).to_numpy()
+                if done.any():
+                    yield until, both[done]
+                rest = both[~done]
+            else:
+                rest = chunk
+        yield upto, FIELDS.empty_table().to_pandas() if rest is None else rest
+
+    def _walk(self, table: pd.DataFrame, parts: list, second: int | None, upto: int) -> tuple[list, int]:
+        """The samples that the epochs ``parts`` give up to ``upto``, and the second to go on with."""
         samples = []
-        self.book.load()
         nothing = (np.empty(0, np.int64), np.empty(0, bool), np.empty(0), np.empty(0))
+        ts, levels = table["ts"].to_numpy(dtype=np.int64), Levels(table)
         for i, part in enumerate(parts):
             if part.snapshot is not None:
-                opened = -(-int(part.snapshot.ts) // SECOND)
+                opened = -(-int(ts[part.snapshot]) // SECOND)
                 if second is not None and second < opened:
                     samples += self.book.walk(*nothing, second, opened - 1)
                 second = opened if second is None else max(second, opened)
                 self.book.restart()
-                _, *levels = levels_of(part.snapshot.to_frame().T)
-                for bid, price, qty in zip(*[x.tolist() for x in levels]):
+                _, *entries = levels.of(np.array([part.snapshot]))
+                for bid, price, qty in zip(*[x.tolist() for x in entries]):
                     self.book.sides[BID if bid else ASK].put(price, qty)
-            row, *entries = levels_of(part.messages)
-            at = -(-part.messages["ts"].to_numpy(dtype=np.int64) // SECOND)[row]
+            row, *entries = levels.of(part.rows)
+            at = -(-part.ts // SECOND)[row]
             # an epoch ends before the first second that sees the next snapshot
-            until = upto if i + 1 == len(parts) else -(-int(parts[i + 1].snapshot.ts) // SECOND) - 1
+            until = upto if i + 1 == len(parts) else -(-int(ts[parts[i + 1].snapshot]) // SECOND) - 1
             samples += self.book.walk(at, *entries, second, until)
             second = max(second, until + 1)
         if second <= upto:  # nothing came: the clock goes on
             samples += self.book.walk(*nothing, second, upto)
             second = upto + 1
-        self.book.save()
-        self.clock.update((second, last))
-        yield self._rows(key[0], samples, closes, values)
+        return samples, second
 
     def _flow(self, upto: int) -> tuple[np.ndarray, np.ndarray]:
         """Times at which toxicity changed, and its values; the first is the one known before."""
         before = self.toxicity.get()[0] if self.toxicity.exists() else VPIN_NEUTRAL
         times, values = [np.array([np.iinfo(np.int64).min])], [np.array([before])]
-        t = self._due(self.trades, upto)
-        if len(t):
-            t = t.sort_values(["ts", "seq"], kind="stable", ignore_index=True)
-            flow = self.store.load()
+        flow = None
+        for t in sorted_chunks(self._due(self.trades, upto), ["ts", "seq"], TRADE_FIELDS):
+            flow = flow or self.store.load()
             at = t["ts"].to_numpy()
             for closed in flow.steps(t["price"].to_numpy(), t["full"].to_numpy(), t["rest"].to_numpy()):
                 newest = np.flatnonzero(np.diff(closed.closer, append=-1))  # the last bucket that a trade closed
                 times.append(at[closed.closer[newest]])
                 values.append(closed.vpin[newest])
+        if flow is not None:
             self.store.save(flow)
             self.toxicity.update((float(np.concatenate(values)[-1]),))
         return np.concatenate(times), np.concatenate(values)
 
     @staticmethod
-    def _due(waiting: Waiting, upto: int) -> pd.DataFrame:
-        """Take the rows up to a second out of those that wait."""
-        t = waiting.all()
-        due = t["ts"] <= upto * SECOND
-        if due.any():
-            later = t[~due]
-            waiting.replace([(int(later["ts"].max()), packed(later, waiting.schema))] if len(later) else [])
-        return t[due]
+    def _due(waiting: Waiting, upto: int) -> Iterator[pd.DataFrame]:
+        """Take the rows up to a second out of those that wait, a batch at a time."""
+        later, taken = [], False
+        for t in waiting.batches():
+            due = (t["ts"] <= upto * SECOND).to_numpy()
+            if not due.all():
+                left = t[~due]
+                later.append((int(left["ts"].max()), packed(left, waiting.schema)))
+            if due.any():
+                taken = True
+                yield t[due]
+        if taken:
+            waiting.replace(later)
 
     @staticmethod
     def _rows(symbol: str, samples: list, closes: np.ndarray, values: np.ndarray) -> pd.DataFrame:
