@@ -47,6 +47,33 @@ def test_a_full_table_changes_nothing(monkeypatch):
     assert tokens.counts(tokens.Encoder(path, count=True), texts) == [len(whole.encode(x, add_special_tokens=False)) for x in texts]
 
 
+@pytest.mark.parametrize("file", FILES)
+def test_words_behind_signs_are_cut_off_and_go_to_the_model_many_in_a_call(file):
+    path = public_tokenizers.path(file)
+    whole, enc = Tokenizer.from_file(path), tokens.Encoder(path)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcehnorstéüßÉ") for _ in range(rng.randrange(1, 9)))
+    signs = ["", ".", ",", "!!", "$$$", ".\n", "\n", "12", "-", "(", "|>", ".\n\n", "'", "'s", ";\t", "٣", "<|"]
+    texts = [" ".join(word() + rng.choice(signs) + rng.choice(["", word(), "THE", "s,", "x."]) for _ in range(50)) for _ in range(60)]
+    assert [x.tolist() for _, x in tokens.ids(enc, texts)] == [whole.encode(x, add_special_tokens=False).ids for x in texts]
+
+    class Seen:
+        def __init__(self, inner):
+            self.inner, self.calls = inner, []
+
+        def encode_batch_fast(self, call, **more):
+            self.calls.append(list(call))
+            return self.inner.encode_batch_fast(call, **more)
+
+    enc = tokens.Encoder(path)
+    enc.tokenizer, enc.words = Seen(enc.tokenizer), Seen(enc.words)
+    text = " ".join(f"{word()}thn{rng.choice(['', '.', '###', '.' + chr(10) + 'Then'])}" for _ in range(500))
+    (_, got), = tokens.ids(enc, [text])
+    assert got.tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert {x for call in enc.tokenizer.calls for x in call} <= {".", "###", ".\n"}
+    assert len(enc.words.calls) == 1 and len(enc.words.calls[0]) <= 2
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(i, x, 7, "s") for i, x in rows], "doc_id long, text string, n_tokens int, start string")
 
