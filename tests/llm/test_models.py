@@ -179,3 +179,22 @@ def test_a_pair_weighs_as_much_as_its_count(spark):
         language.descend(model, np.zeros(len(word), np.int64), word, weights, np.full(size, 1 / size), rng)
     z = model.r @ model.q[0] + model.b
     assert np.exp(z[1] - z.max()) / np.exp(z - z.max()).sum() > 0.9  # by square roots of counts 0.5
+
+
+def test_products_with_noise_words_take_single_precision_once():
+    """A product of PAIRS pairs and NOISE words is held once, in the precision of the parameters."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    size, n = 600, 2 * language.PAIRS
+    share = rng.random(size)
+    share /= share.sum()
+    model = language.Model(*(rng.normal(0, 0.1, (size, language.DIMENSIONS)).astype(np.float32) for _ in range(2)), np.log(share).astype(np.float32))
+    context, word = rng.integers(0, size, n), rng.integers(0, size, n)
+    before = model.flat()
+    tracemalloc.start()
+    language.descend(model, context, word, rng.random(n), share, rng)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * 4 * language.PAIRS * language.NOISE
+    assert np.isfinite(model.flat()).all() and not np.array_equal(model.flat(), before)

@@ -141,21 +141,27 @@ class Model:
 
 
 def descend(model: Model, context: np.ndarray, word: np.ndarray, weights: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> None:
-    """One pass over weighted pairs with the noise-contrastive loss and Adagrad steps."""
+    """One pass over weighted pairs with the noise-contrastive loss and Adagrad steps, in single precision as the parameters."""
     q, r, b = model.q, model.r, model.b
     gq, gr, gb = (np.full(len(q), 1e-3, np.float32) for _ in range(3))
-    step, cumulated, log_noise = STEP, np.cumsum(noise), np.log(noise * RATIO)
+    step, cumulated, log_noise = STEP, np.cumsum(noise), np.log(noise * RATIO).astype(np.float32)
     order = rng.permutation(len(context))
+    room = np.empty((min(PAIRS, len(order)), NOISE), np.float32)  # of every product in turn
     for i in range(0, len(order), PAIRS):
         at = order[i : i + PAIRS]
         c, w, n = context[at], word[at], weights[at].astype(np.float32)
         k = np.minimum(np.searchsorted(cumulated, rng.random(NOISE) * cumulated[-1]), len(noise) - 1)
-        x = q[c]
-        true = (x * r[w]).sum(1) + b[w] - log_noise[w]
-        false = x @ r[k].T + (b[k] - log_noise[k])[None, :]
+        x, rw, rk = q[c], r[w], r[k]
+        true = (x * rw).sum(1) + b[w] - log_noise[w]
         up = n / (1 + np.exp(np.clip(true, -30, 30)))
-        down = -(n[:, None] * (RATIO / NOISE)) / (1 + np.exp(-np.clip(false, -30, 30)))
-        dx = up[:, None] * r[w] + down @ r[k]
+        down = np.matmul(x, rk.T, out=room[: len(at)])
+        down += b[k] - log_noise[k]
+        np.clip(down, -30, 30, out=down)
+        np.negative(down, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.divide(-(n[:, None] * np.float32(RATIO / NOISE)), down, out=down)
+        dx = up[:, None] * rw + down @ rk
         dw, dk = up[:, None] * x, down.T @ x
         for table, grown, rows, grad in ((q, gq, c, dx), (r, gr, np.concatenate([w, k]), np.concatenate([dw, dk]))):
             ids, place = np.unique(rows, return_inverse=True)
