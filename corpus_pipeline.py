@@ -28,7 +28,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that occur several times go, at every place."""
+    """Passages that occur several times, strings of 400 bytes and runs of over 50 words, go at every place."""
     return suffix.drop_repeats(docs)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -84,3 +85,53 @@ def test_tables_of_finished_rounds_are_deleted(spark, monkeypatch):
     assert suffix.cut_repeats(docs).where("n_removed > 0").count() == 20
     assert len(made) >= 3
     assert not [p for p in made if os.path.exists(p.removeprefix("file:"))]
+
+
+def without_runs(texts, words):
+    """The texts without the words, and the white space between them, of runs of ``words`` words that start elsewhere too."""
+    places = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    lists = [[t[a:b].lower() for a, b in p] for t, p in zip(texts, places)]
+    seen = Counter(tuple(x[i : i + words]) for x in lists for i in range(len(x) - words + 1))
+    out = []
+    for t, p, x in zip(texts, places, lists):
+        hit = np.zeros(len(t), bool)
+        for i in range(len(x) - words + 1):
+            if seen[tuple(x[i : i + words])] > 1:
+                hit[p[i][0] : p[i + words - 1][1]] = True
+        out.append(bytes(c for c, h in zip(t, hit) if not h).decode())
+    return out
+
+
+@pytest.mark.parametrize("words", [3, 12, 51])
+def test_runs_of_words_against_every_run(spark, words):
+    rng = random.Random(words)
+    pool = ["".join(rng.choice("abcdß") for _ in range(rng.randrange(1, 4))) for _ in range(300)]
+
+    def text(n, space=" "):
+        return space.join(rng.choice(pool) for _ in range(n))
+
+    passages = [text(n) for n in (words - 1, words, words + 1, words + 9)]
+    texts = [text(rng.randrange(3 * words)) for _ in range(20)] + ["", " \n", "é"]
+    for p in passages * 2:
+        texts += [text(9) + "\n" + p + " " + text(9), text(5) + " " + p.replace(" ", "\t ", 4), p + "x"]
+    texts += ["to " * (2 * words) + "the " * words, "THE " * (words + 1)]
+    docs = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(texts)], "doc_id long, text string, n_chars int").repartition(5)
+    got = suffix.drop_repeats(docs, 100_000, words).orderBy("doc_id").collect()
+    want = without_runs([x.encode() for x in texts], words)
+    assert [r.text for r in got] == want != texts
+    assert [r.n_chars for r in got] == [len(x) for x in want]
+
+
+def test_passages_of_over_fifty_words_go_whatever_their_bytes(spark):
+    """51 words are about 330 bytes in most texts, below the 400 of the strings."""
+    rng = random.Random(3)
+
+    def text(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+    passage, short = text(51), text(50)
+    assert len(passage) < suffix.LENGTH
+    sides = [(text(30), text(40)) for _ in range(3)]
+    rows = [(i, f"{a} {passage} {b}") for i, (a, b) in enumerate(sides)] + [(9, text(100)), (10, short + " end"), (11, short + " other"), (12, None)]
+    got = dict(suffix.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == dict(rows) | {i: f"{a}  {b}" for i, (a, b) in enumerate(sides)}

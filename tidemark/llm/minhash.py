@@ -216,12 +216,15 @@ def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
     """``members`` (``bucket``, ``id``) with the label of each id after ``links``."""
     if links is None:
         return members.withColumn("label", F.col("id"))
-    labels = components(links)
-    return members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
+    # one row per id meets the labels, not one per bucket; an id has at most ``BANDS`` buckets
+    ids = members.groupBy("id").agg(F.collect_list("bucket").alias("buckets"))
+    labels = ids.join(components(links), "id", "left").select("id", "buckets", F.coalesce("component", "id").alias("label"))
+    return labels.select(F.explode("buckets").alias("bucket"), "id", "label")
 
 
 def _open(labelled: DataFrame) -> DataFrame:
     """Members of the buckets in which more than one label is left."""
+    labelled = materialise(labelled, "labelled")
     mixed_ = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x <> y")
     return labelled.join(mixed_.select("bucket", "size"), "bucket")
 
