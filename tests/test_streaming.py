@@ -271,3 +271,122 @@ def test_only_messages_young_enough_are_kept_for_replays():
     # the snapshot's id is 25 behind: the 24 messages with newer ids before it are replayed at its time, then the 49 behind it
     assert len(opened) == 1 and len(opened[0].rows) == 24 + 49
     assert (opened[0].ts[:24] == table["ts"][opened[0].snapshot]).all()
+
+
+def test_packed_feeds_and_small_blocks_give_the_same_samples(spark, inputs, monkeypatch, tmp_path):
+    """Pieces of few rows, blocks of few samples, many of which begin at or just before a snapshot."""
+    from tidemark.streaming import pieces as P
+
+    for name, value in (("PACKED_ROWS", 300), ("BLOCK_SAMPLES", 3), ("BLOCK_CHANGES", 9)):
+        monkeypatch.setattr(P, name, value)
+    out = rounded(E.drain(S.stream_sample_1s(
+        arriving(spark, inputs.depth_feed, "arrival", str(tmp_path / "m"), 3), arriving(spark, inputs.tape, "trade_id", str(tmp_path / "t"), 2), 50, 10), "samples"))
+    batch = rounded(sample_1s(inputs.messages, inputs.snapshots, inputs.tape, volume=50, window=10, block=timedelta(seconds=20)))
+    assert of_spark(out) == of_spark(batch) and out.count() > 250
+
+
+def test_a_task_packs_its_rows_by_symbol():
+    """A stateful operator gets few large values; each holds rows of one symbol, in order, none lost."""
+    import pyarrow as pa
+
+    from tidemark.streaming import pieces as P
+    from tidemark.streaming.depth import unpacked
+
+    draw = np.random.default_rng(1)
+    n = 2_000
+    names = ["b", None, "a"]
+    columns = {"symbol": [names[i] for i in draw.integers(0, 3, n)], "ts": draw.integers(0, 50, n), "seq": draw.permutation(n),
+               "price": draw.random(n), "full": np.zeros(n, np.int64), "rest": np.ones(n, np.int64)}
+    rows = pa.table(columns)
+    pieces = [r for b in P.pack(S.TRADE_FIELDS, S.TRADE_ORDER, True)(iter(rows.to_batches(100))) for r in b.to_pylist()]
+    assert [p["symbol"] for p in pieces] == ["a", "b", None]
+    for p in pieces:
+        got = unpacked([p["rows"]], S.TRADE_FIELDS)
+        expected = rows.to_pandas()
+        expected = expected[expected["symbol"].isna() if p["symbol"] is None else expected["symbol"] == p["symbol"]]
+        assert got.equals(expected.sort_values(["ts", "seq"], ignore_index=True).drop(columns="symbol"))
+        assert P.Span(*[p[f] for f in P.Span._fields]) == (got["ts"].min(), got["ts"].max(), got["ts"].min(), got["ts"].max(), len(got))
+
+
+class Rows:
+    """Map state in memory."""
+
+    def __init__(self):
+        self.held, self.reads = {}, 0
+
+    def iterator(self):
+        return iter([((k,), v) for (k,), v in self.held.items()])
+
+    def updateValue(self, k, v):
+        self.held[k] = v
+
+    def removeKey(self, k):
+        self.held.pop(k, None)
+
+    def getValue(self, k):
+        self.reads += 1
+        return self.held[k]
+
+
+@pytest.mark.parametrize("most", [40, 10_000])
+def test_pieces_are_taken_in_order_and_late_rows_are_lost(monkeypatch, most):
+    """Whether many rows overlap or few; rows that are not due stay, pieces that are not due are not read."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from tidemark.streaming import depth as D
+    from tidemark.streaming import pieces as P
+
+    monkeypatch.setattr(D, "RUN_ROWS", most)
+    monkeypatch.setattr(D, "PIECE_ROWS", 5)
+    held = P.Pieces(SimpleNamespace(getMapState=lambda *a: Rows()), "t", S.TRADE_FIELDS, S.TRADE_ORDER)
+    draw = np.random.default_rng(most)
+    rows = pd.DataFrame({"ts": draw.integers(0, 900, 600), "seq": np.arange(600), "price": draw.random(600), "full": 0, "rest": 1})
+    parts = [rows.iloc[i:i + 60].sort_values(S.TRADE_ORDER) for i in range(0, 600, 60)]
+    parts.append(pd.DataFrame({"ts": [2_000], "seq": [600], "price": [1.0], "full": [0], "rest": [1]}))
+    for p in parts:
+        held.add([(P.span_of(p, S.TRADE_ORDER), D.packed(p, S.TRADE_FIELDS))], 99)
+    everything = pd.concat(parts).sort_values(S.TRADE_ORDER, kind="stable")
+    for since, upto in ((99, 400), (400, 1_000)):
+        chunks = list(held.chunks(upto))
+        pd.testing.assert_frame_equal(pd.concat(chunks, ignore_index=True), everything[(everything["ts"] > since) & (everything["ts"] <= upto)].reset_index(drop=True),
+                                      check_dtype=False)
+        assert all(a["ts"].max() < b["ts"].min() for a, b in zip(chunks, chunks[1:]))
+    assert held.rows.reads == 20 and len(held.rows.held) == len(held.spans.held) == 1
+
+
+def test_a_block_opens_with_all_levels_that_may_come_up():
+    """Levels beyond the held ones are read when enough of those go within a block."""
+    from tidemark.operators.ladder import Ladder
+
+    levels = {float(p): 1.0 for p in range(50)}
+    for keep in (5, 100):
+        side = Ladder(True, lambda: dict(levels), keep)
+        side.load(levels)
+        assert side.lasting(3, {49.0, 47.0})[0].tolist() == [49, 48, 47, 46, 45]
+        assert side.lasting(3, {float(p) for p in range(20, 50)})[0].tolist() == [float(p) for p in range(49, 16, -1)]
+        assert len(side.lasting(60, set())[0]) == 50
+
+
+def test_rows_behind_the_watermark_before_their_batch_are_lost(spark, tmp_path):
+    """In the third batch: a message of 5 s comes too late, one of 22 s does not, though both lie behind the newest."""
+    schema = "symbol string, is_snapshot boolean, arrival bigint, ts timestamp_ntz, u bigint, b array<array<string>>, a array<array<string>>"
+
+    def at(seconds):
+        return START + timedelta(seconds=seconds)
+
+    rows = [("q", True, 0, at(0), 0, [["90", "1"]], [["95", "1"]]), ("q", False, 1, at(10), 1, [], []),
+            ("q", False, 10, at(20), 10, [], []), ("q", False, 11, at(30), 11, [], []),
+            ("q", False, 20, at(5), 12, [["91", "1"]], []), ("q", False, 21, at(22), 20, [["92", "1"]], []), ("q", False, 22, at(40), 22, [], []),
+            ("q", False, 30, at(50), 30, [], [])]
+    depth = spark.createDataFrame(rows, schema)
+    tape = spark.createDataFrame([("q", n, at(s), 10.0, Decimal(1)) for n, s in ((0, 0), (1, 10), (10, 20), (11, 30), (20, 31), (21, 40), (30, 50))],
+                                 "symbol string, trade_id bigint, ts timestamp_ntz, price double, qty decimal(38,8)")
+    for df, order, name in ((depth, "arrival", "d"), (tape, "trade_id", "t")):
+        for i in range(4):
+            df.filter(F.col(order).between(i * 10, i * 10 + 9)).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    streams = [spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n)) for df, n in ((depth, "d"), (tape, "t"))]
+    out = {int((r.ts - START).total_seconds()): r.mid_price for r in E.drain(S.stream_sample_1s(*streams, 3, 2), "late").collect()}
+    assert sorted(out) == list(range(50))
+    assert {out[i] for i in range(22)} == {92.5} and {out[i] for i in range(22, 50)} == {93.5}

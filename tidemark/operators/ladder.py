@@ -70,6 +70,25 @@ class Ladder:
         keys = self.keys if depth is None else self.keys[:depth]
         return np.array([self.sign * k for k in keys]), np.array([self.qty[k] for k in keys])
 
+    def lasting(self, depth: int, gone: set[float]) -> Best:
+        """The best levels, as far as ``depth`` of them are not in ``gone``; levels beyond do not matter while those go."""
+        def reach(keys: list[float]) -> int | None:
+            left = 0
+            for i, k in enumerate(keys):
+                left += self.sign * k not in gone
+                if left == depth:
+                    return i + 1
+            return None
+
+        keys, qty, n = self.keys, self.qty, reach(self.keys)
+        if n is None and self.floor < np.inf:
+            levels = self.refill()
+            self.load(levels)
+            keys = sorted(self.sign * p for p in levels)
+            qty, n = {self.sign * p: q for p, q in levels.items()}, reach(keys)
+        keys = keys[:n]
+        return np.array([self.sign * k for k in keys]), np.array([qty[k] for k in keys])
+
 
 def walk(bids: Ladder, asks: Ladder, at: np.ndarray, is_bid: np.ndarray, price: np.ndarray, qty: np.ndarray,
          start: int, last: int, depth: int | None) -> Iterator[tuple[int, int, Best, Best]]:

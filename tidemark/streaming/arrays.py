@@ -122,9 +122,10 @@ class Flow:
         signed[0] += self.signed
         imbalance = np.abs(signed[:total])
         closer = np.searchsorted(piece_of, np.arange(total), side="right") - 1
-        windows = trailing_windows(self.imbalances, imbalance, self.window)
-        vpin = np.where(np.isnan(windows[:, 0]), VPIN_NEUTRAL, windows.sum(axis=1) / (self.window * self.volume)) \
-            if total else np.empty(0)
+        vpin = np.empty(0)
+        if total:
+            windows = trailing_windows(self.imbalances, imbalance, self.window)
+            vpin = np.where(np.isnan(windows[:, 0]), VPIN_NEUTRAL, windows.sum(axis=1) / (self.window * self.volume))
         out = Closed(self.bucket + np.arange(total), imbalance, vpin, trade[closer])
         self.imbalances = np.concatenate([self.imbalances, imbalance])[-self.window:]
         self.bucket += total

@@ -37,10 +37,10 @@ def sides_as_doubles(bids: str = "b", asks: str = "a") -> list[Column]:
     return [numbers(s, i).alias(n) for n, s, i in (("bp", bids, 0), ("bq", bids, 1), ("ap", asks, 0), ("aq", asks, 1))]
 
 
-def packed(rows: pd.DataFrame, schema: pa.Schema = FIELDS) -> bytes:
+def packed(rows: pd.DataFrame | pa.Table, schema: pa.Schema = FIELDS) -> bytes:
     sink = pa.BufferOutputStream()
-    table = pa.Table.from_pandas(rows[schema.names], schema=schema, preserve_index=False)
-    with pa.ipc.new_stream(sink, schema) as writer:
+    table = rows if isinstance(rows, pa.Table) else pa.Table.from_pandas(rows[schema.names], schema=schema, preserve_index=False)
+    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -64,10 +64,6 @@ class Waiting:
     def all(self) -> pd.DataFrame:
         return unpacked([bytes(b) for _, b in self.rows.get()] if self.rows.exists() else [], self.schema)
 
-    def batches(self) -> Iterator[pd.DataFrame]:
-        for _, b in self.rows.get() if self.rows.exists() else ():
-            yield unpacked([bytes(b)], self.schema)
-
     def forget(self, before: int) -> None:
         """Drop the batches that are wholly older."""
         held = [(int(t), bytes(b)) for t, b in self.rows.get()] if self.rows.exists() else []
@@ -189,6 +185,13 @@ class LiveBook:
             side.load({})
             side.log = {}
 
+    def apply(self, is_bid: np.ndarray, price: np.ndarray, qty: np.ndarray) -> None:
+        """Changes in order; only the last one of a level is made."""
+        for s, of_side in ((BID, is_bid), (ASK, ~is_bid)):
+            latest, at = np.unique(price[of_side][::-1], return_index=True)
+            for p, q in zip(latest.tolist(), qty[of_side][::-1][at].tolist()):
+                self.sides[s].put(p, q)
+
     def walk(self, at: np.ndarray, is_bid: np.ndarray, price: np.ndarray, qty: np.ndarray, first: int, last: int) -> list[tuple[int, int, Best, Best]]:
         """Changes (``at``: the first sample that sees them) up to ``last`` -> the books of the samples first to last."""
         return list(walk(self.sides[BID], self.sides[ASK], at, is_bid, price, qty, first, last, self.depth))
@@ -215,6 +218,10 @@ def in_order(batches: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
 RUN_ROWS, PIECE_ROWS = 100_000, 5_000  # rows of a sorted run; rows of each run in memory at once
 
 
+def rows_at_once() -> int:
+    return RUN_ROWS
+
+
 def sorted_chunks(frames: Iterator[pd.DataFrame], by: list[str], schema: pa.Schema, run_rows: int = 0, piece_rows: int = 0) -> Iterator[pd.DataFrame]:
     """All rows in the order of ``by``, in chunks; rows that agree in the first column come in one chunk.
 

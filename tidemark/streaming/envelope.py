@@ -13,6 +13,8 @@ from ..session import configure, fresh_path
 
 ENVELOPE = T.StructType([T.StructField("stream", T.StringType()), T.StructField("data", T.VariantType())])
 
+ARROW_BYTES = 16_000_000
+
 
 def open_envelopes(raw: DataFrame, text: str = "value") -> DataFrame:
     """JSON text ``{"stream": ..., "data": {...}}`` -> stream name and payload.
@@ -59,14 +61,19 @@ def trade_messages(messages: DataFrame, keep: tuple[str, ...] = ("arrival", "ts"
 
 @contextmanager
 def state_partitions(spark: SparkSession, n: int | None = None) -> Iterator[None]:
-    """Start a stateful stream with ``n`` state partitions (default: one per core)."""
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(n or spark.sparkContext.defaultParallelism))
+    """Start a stateful stream with ``n`` state partitions (default: one per core).
+
+    Rows may be large, so what Python workers get at once is bounded in bytes, too."""
+    settings = {"spark.sql.shuffle.partitions": str(n or spark.sparkContext.defaultParallelism),
+                "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str, by: tuple[str, ...] = ()):

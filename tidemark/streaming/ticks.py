@@ -23,11 +23,13 @@ from ..functions.timing import arrival_key, micros, micros_of
 from ..operators.book import ASK, BID, SAMPLE_DEPTH
 from ..operators.epochs import RESYNC
 from ..operators.flow import BUCKET_VOLUME, VPIN_ALERT, VPIN_NEUTRAL, VPIN_WINDOW, bucket_parts
-from ..schemas import BOOK_FEATURES
-from .arrays import Flow, features, newer
-from .depth import FIELDS, Levels, LiveBook, Waiting, in_order, packed, segments, sides_as_doubles, sorted_chunks
+from .arrays import Flow, newer
+from .depth import FIELDS, Levels, LiveBook, Segment, Waiting, in_order, segments, sides_as_doubles, sorted_chunks
+from .pieces import ASKED, BIDDEN, BLOCKS, RESTART, SAMPLES, SECOND, Pieces, Span, clocked_pieces, cuts, walked
 
-SECOND = 1_000_000
+ARRIVALS, DEPTH_ORDER = FIELDS.append(pa.field("is_message", pa.bool_())), ["seq", "is_message"]
+BLOCKS_AT_ONCE = 32
+BLOCK_COLUMNS = [c.split()[0] for c in BLOCKS.split(", ")]
 
 
 def stream_ohlc(trades: DataFrame, width: str = "4 hours", delay: str = "10 minutes") -> DataFrame:
@@ -190,7 +192,7 @@ class BookProcessor(StatefulProcessor):
 def depth_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """In order of arrival, a snapshot before the message of the same number; memory does not grow with the rows."""
     flagged = (f.assign(is_message=~f["is_snapshot"].to_numpy(dtype=bool)) for f in frames)
-    return sorted_chunks(flagged, ["seq", "is_message"], FIELDS.append(pa.field("is_message", pa.bool_())))
+    return sorted_chunks(flagged, DEPTH_ORDER, ARRIVALS)
 
 
 class Recent:
@@ -249,17 +251,42 @@ def stream_book(messages: DataFrame, resync: timedelta = RESYNC) -> DataFrame:
     )
 
 
+TRADE_ORDER = ["ts", "seq"]
 TRADE_FIELDS = pa.schema([(c, t) for c, t in (
     ("ts", pa.int64()), ("seq", pa.int64()), ("price", pa.float64()), ("full", pa.int64()), ("rest", pa.int64()))])
 
 
+def changes_of(table: pd.DataFrame, parts: list[Segment], until: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first sample that sees it, kind, price, qty) of all changes that the epochs ``parts`` make up to ``until``, in order."""
+    ts = table["ts"].to_numpy(dtype=np.int64)
+    rows, at, opening = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+    for i, part in enumerate(parts):
+        # an epoch ends before the first second that sees the next snapshot
+        last = until if i + 1 == len(parts) else -(-int(ts[parts[i + 1].snapshot]) // SECOND) - 1
+        own = -(-part.ts // SECOND)
+        use = own <= last
+        if part.snapshot is not None:
+            rows.append([part.snapshot])
+            at.append([-(-int(ts[part.snapshot]) // SECOND)])
+            opening.append([True])
+        rows.append(part.rows[use])
+        at.append(own[use])
+        opening.append(np.zeros(use.sum(), bool))
+    rows, at, opening = (np.concatenate(x) for x in (rows, at, opening))
+    place, is_bid, price, qty = Levels(table).of(rows)
+    restarts = np.flatnonzero(opening)
+    where = np.searchsorted(place, restarts)
+    kind = np.where(is_bid, BIDDEN, ASKED).astype(np.int8)
+    return tuple(np.insert(x, where, v) for x, v in ((at[place], at[restarts]), (kind, RESTART), (price, 0.0), (qty, 0.0)))
+
+
 class SampleProcessor(StatefulProcessor):
     """Book and flow state of a symbol, sampled at every full second of event time.
 
-    Rows are held until the watermark has passed them, so it does not matter which feed is
-    ahead. A timer per symbol goes off at the next second: then all rows up to the last second
-    that the watermark has passed are applied and each second up to it gives a row, whether
-    anything happened in it or not.
+    Rows come in pieces and are held until the watermark has passed them, so it does not matter
+    which feed is ahead. A timer per symbol goes off whenever the watermark has moved: then all rows
+    up to the last second that it has passed are applied, and each second up to it is in the blocks
+    given out, whether anything happened in it or not.
     """
 
     def __init__(self, volume: int, window: int, resync: int):
@@ -269,29 +296,34 @@ class SampleProcessor(StatefulProcessor):
         self.handle = handle
         self.store = FlowStore(handle, self.volume, self.window)
         self.clock = handle.getValueState("clock", "next_second bigint, u bigint")  # NULLs before the first snapshot
+        self.seen = handle.getValueState("seen", "watermark bigint")  # of the batch before: what is not newer comes late
         self.toxicity = handle.getValueState("toxicity", "vpin double")
         self.book = LiveBook(handle, SAMPLE_DEPTH)
-        self.depth, self.recent = Waiting(handle, "depth"), Waiting(handle, "recent")
-        self.trades = Waiting(handle, "trades", TRADE_FIELDS)
+        self.recent = Waiting(handle, "recent")
+        self.depth, self.trades = Pieces(handle, "depth", ARRIVALS, DEPTH_ORDER), Pieces(handle, "trades", TRADE_FIELDS, TRADE_ORDER)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        late = int(self.seen.get()[0]) * 1000 if self.seen.exists() else 0
         for t in rows:
-            if not len(t):
-                continue
-            traded = t["is_trade"].to_numpy(dtype=bool)
-            self.depth.add(t[~traded])
-            self.trades.add(t[traded])
-            least = int(t["ts"].min())
-            first = least if first is None else min(first, least)
-        if first is not None and not self.clock.exists():
+            for pieces, mine in ((self.depth, ~t["is_trade"].to_numpy(dtype=bool)), (self.trades, t["is_trade"].to_numpy(dtype=bool))):
+                if mine.any():
+                    own = t[mine]
+                    spans = own[list(Span._fields)].itertuples(index=False)
+                    pieces.add([(Span(*map(int, s)), bytes(r)) for s, r in zip(spans, own["rows"])], late)
+        if not self.clock.exists():
             self.clock.update((None, None))
-            self.handle.registerTimer((first // SECOND + 1) * 1000)
+            self._wake(timerValues)
         yield from ()
 
+    def _wake(self, timerValues) -> int:
+        """Go on when the watermark moves."""
+        watermark = int(timerValues.getCurrentWatermarkInMs())
+        self.seen.update((watermark,))
+        self.handle.registerTimer(watermark + 1)
+        return watermark
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto = int(timerValues.getCurrentWatermarkInMs()) // 1000  # the last second all of whose rows are here
-        self.handle.registerTimer((upto + 1) * 1000)
+        upto = self._wake(timerValues) // 1000  # the last second all of whose rows are here
         second, last = self.clock.get()
         closes, values = self._flow(upto)
         waiting = Recent(self.recent, self.resync)
@@ -307,9 +339,10 @@ class SampleProcessor(StatefulProcessor):
             if not loaded:
                 self.book.load()
                 loaded = True
-            samples, second = self._walk(table, parts, second, until)
-            if samples:
-                yield self._rows(key[0], samples, closes, values)
+            if second is None:
+                second = -(-int(table["ts"].iloc[parts[0].snapshot]) // SECOND)
+            yield from self._blocks(key[0], changes_of(table, parts, until), second, until, closes, values)
+            second = max(second, until + 1)
         waiting.save()
         if loaded:
             self.book.save()
@@ -318,9 +351,9 @@ class SampleProcessor(StatefulProcessor):
     def _seconds(self, upto: int) -> Iterator[tuple[int, pd.DataFrame]]:
         """Depth rows in order, each chunk with the last second that it completes; at least one, up to ``upto``."""
         rest = None
-        for chunk in depth_chunks(self._due(self.depth, upto)):
+        for chunk in self.depth.chunks(upto * SECOND):
             if rest is not None:
-                both = pd.concat([rest, chunk], ignore_index=True).sort_values(["seq", "is_message"], kind="stable", ignore_index=True)
+                both = pd.concat([rest, chunk], ignore_index=True).sort_values(DEPTH_ORDER, kind="stable", ignore_index=True)
                 until = -(-int(both["ts"].max()) // SECOND) - 1
                 done = (both["ts"] <= until * SECOND).to_numpy()
                 if done.any():
@@ -330,38 +363,41 @@ class SampleProcessor(StatefulProcessor):
                 rest = chunk
         yield upto, FIELDS.empty_table().to_pandas() if rest is None else rest
 
-    def _walk(self, table: pd.DataFrame, parts: list, second: int | None, upto: int) -> tuple[list, int]:
-        """The samples that the epochs ``parts`` give up to ``upto``, and the second to go on with."""
-        samples = []
-        nothing = (np.empty(0, np.int64), np.empty(0, bool), np.empty(0), np.empty(0))
-        ts, levels = table["ts"].to_numpy(dtype=np.int64), Levels(table)
-        for i, part in enumerate(parts):
-            if part.snapshot is not None:
-                opened = -(-int(ts[part.snapshot]) // SECOND)
-                if second is not None and second < opened:
-                    samples += self.book.walk(*nothing, second, opened - 1)
-                second = opened if second is None else max(second, opened)
+    def _blocks(self, symbol: str, changes: tuple, first: int, until: int, closes: np.ndarray, values: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Samples ``first`` to ``until`` as blocks, some at a time; the book moves on to the last one."""
+        at, kind, price, qty = changes
+        at = np.maximum.accumulate(np.maximum(at, first))
+        held = []
+        for begin, end, lo, hi in cuts(at, first, until):
+            k, p, q = kind[lo:hi], price[lo:hi], qty[lo:hi]
+            restarts = np.flatnonzero(k == RESTART)
+            opening = []
+            for side, of_side in ((BID, BIDDEN), (ASK, ASKED)):
+                if len(restarts) and at[lo + restarts[0]] == begin:  # no sample sees what was before
+                    opening += [np.empty(0), np.empty(0)]
+                    continue
+                before = slice(restarts[0] if len(restarts) else None)
+                gone = set(p[before][(k[before] == of_side) & ~(q[before] > 0)].tolist())
+                opening += self.book.sides[side].lasting(SAMPLE_DEPTH, gone)
+            seconds = np.arange(begin, end + 1) * SECOND
+            vpin = values[np.searchsorted(closes, seconds, side="right") - 1]
+            held.append((symbol, begin, end - begin + 1, *opening, at[lo:hi], k, p, q, vpin))
+            if len(restarts):
                 self.book.restart()
-                _, *entries = levels.of(np.array([part.snapshot]))
-                for bid, price, qty in zip(*[x.tolist() for x in entries]):
-                    self.book.sides[BID if bid else ASK].put(price, qty)
-            row, *entries = levels.of(part.rows)
-            at = -(-part.ts // SECOND)[row]
-            # an epoch ends before the first second that sees the next snapshot
-            until = upto if i + 1 == len(parts) else -(-int(ts[parts[i + 1].snapshot]) // SECOND) - 1
-            samples += self.book.walk(at, *entries, second, until)
-            second = max(second, until + 1)
-        if second <= upto:  # nothing came: the clock goes on
-            samples += self.book.walk(*nothing, second, upto)
-            second = upto + 1
-        return samples, second
+                k, p, q = (x[restarts[-1] + 1:] for x in (k, p, q))
+            self.book.apply(k == BIDDEN, p, q)
+            if len(held) == BLOCKS_AT_ONCE:
+                yield pd.DataFrame(held, columns=BLOCK_COLUMNS)
+                held = []
+        if held:
+            yield pd.DataFrame(held, columns=BLOCK_COLUMNS)
 
     def _flow(self, upto: int) -> tuple[np.ndarray, np.ndarray]:
         """Times at which toxicity changed, and its values; the first is the one known before."""
         before = self.toxicity.get()[0] if self.toxicity.exists() else VPIN_NEUTRAL
         times, values = [np.array([np.iinfo(np.int64).min])], [np.array([before])]
         flow = None
-        for t in sorted_chunks(self._due(self.trades, upto), ["ts", "seq"], TRADE_FIELDS):
+        for t in self.trades.chunks(upto * SECOND):
             flow = flow or self.store.load()
             at = t["ts"].to_numpy()
             for closed in flow.steps(t["price"].to_numpy(), t["full"].to_numpy(), t["rest"].to_numpy()):
@@ -373,32 +409,6 @@ class SampleProcessor(StatefulProcessor):
             self.toxicity.update((float(np.concatenate(values)[-1]),))
         return np.concatenate(times), np.concatenate(values)
 
-    @staticmethod
-    def _due(waiting: Waiting, upto: int) -> Iterator[pd.DataFrame]:
-        """Take the rows up to a second out of those that wait, a batch at a time."""
-        later, taken = [], False
-        for t in waiting.batches():
-            due = (t["ts"] <= upto * SECOND).to_numpy()
-            if not due.all():
-                left = t[~due]
-                later.append((int(left["ts"].max()), packed(left, waiting.schema)))
-            if due.any():
-                taken = True
-                yield t[due]
-        if taken:
-            waiting.replace(later)
-
-    @staticmethod
-    def _rows(symbol: str, samples: list, closes: np.ndarray, values: np.ndarray) -> pd.DataFrame:
-        samples = [s for s in samples if len(s[2][0]) and len(s[3][0])]  # one-sided books give no row
-        found = features([s[2] for s in samples], [s[3] for s in samples])
-        count = np.array([s[1] for s in samples], dtype=np.int64)
-        first = np.array([s[0] for s in samples], dtype=np.int64)
-        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        found = {k: np.repeat(v, count) for k, v in found.items()}
-        found["vpin"] = values[np.searchsorted(closes, at * SECOND, side="right") - 1]
-        return pd.DataFrame({"symbol": symbol, "ts": (at * SECOND).astype("datetime64[us]"), **{f: found[f] for f in BOOK_FEATURES}})
-
     def close(self) -> None:
         pass
 
@@ -409,21 +419,15 @@ def stream_sample_1s(depth: DataFrame, trades: DataFrame, volume: int = BUCKET_V
 
     ``depth`` holds messages and, flagged ``is_snapshot``, snapshots (see ``stream_book``). The
     watermark is the lesser one of both feeds: rows of a feed that runs ahead wait. A feed whose
-    rows come out of order by more than ``delay`` loses the late ones. No column is NULL, as
-    whole numbers next to NULLs would reach Python as floats.
+    rows come out of order by more than ``delay`` loses the late ones: those that are not newer than
+    the watermark before the batch. What is sequential is done per symbol, on packed rows; packing
+    and the walk through the books are spread over all tasks.
     """
-    def clocked(df: DataFrame) -> DataFrame:
-        return df.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay)
-
-    d, t = clocked(depth), clocked(trades)
     full, rest = bucket_parts(volume)
-    rows = d.select(
-        "symbol", "at", F.lit(False).alias("is_trade"), micros(F.col("ts")).alias("ts"), F.col("arrival").alias("seq"), "is_snapshot", "u",
-        *sides_as_doubles(), F.lit(0.0).alias("price"), F.lit(0).cast("bigint").alias("full"), F.lit(0).cast("bigint").alias("rest"),
-    ).unionByName(t.select(
-        "symbol", "at", F.lit(True).alias("is_trade"), micros(F.col("ts")).alias("ts"), F.col("trade_id").alias("seq"),
-        F.lit(False).alias("is_snapshot"), F.lit(0).cast("bigint").alias("u"),
-        *[F.array().cast("array<double>").alias(c) for c in ("bp", "bq", "ap", "aq")], "price", full.alias("full"), rest.alias("rest")))
-    columns = ", ".join(f"{f} double" for f in BOOK_FEATURES)
-    return rows.groupBy("symbol").transformWithStateInPandas(
-        SampleProcessor(volume, window, micros_of(resync)), f"symbol string, ts timestamp_ntz, {columns}", "append", "eventTime")
+    messages = depth.select("symbol", micros(F.col("ts")).alias("ts"), F.col("arrival").alias("seq"), "is_snapshot", (~F.col("is_snapshot")).alias("is_message"), "u", *sides_as_doubles())
+    prices = trades.select("symbol", micros(F.col("ts")).alias("ts"), F.col("trade_id").alias("seq"), "price", full.alias("full"), rest.alias("rest"))
+    pieces = clocked_pieces(messages, ARRIVALS, DEPTH_ORDER, False, delay).unionByName(
+        clocked_pieces(prices, TRADE_FIELDS, TRADE_ORDER, True, delay))
+    blocks = pieces.groupBy("symbol").transformWithStateInPandas(
+        SampleProcessor(volume, window, micros_of(resync)), BLOCKS, "append", "eventTime")
+    return blocks.repartition("symbol", "first").mapInPandas(walked, SAMPLES)
