@@ -98,14 +98,20 @@ def walk(bids: Ladder, asks: Ladder, at: np.ndarray, is_bid: np.ndarray, price:
     at, is_bid, price, qty = (x[use] for x in (at, is_bid, price, qty))
     edges = np.flatnonzero(np.diff(at, prepend=at[0] - 1)) if len(at) else np.empty(0, dtype=int)
     starts = [max(int(a), start) for a in at[edges]]
+    best_bids = best_asks = None  # NULL: not known as it is now
     if start <= last and (not starts or starts[0] > start):
-        yield start, (starts[0] if starts else last + 1) - start, bids.best(depth), asks.best(depth)
+        best_bids, best_asks = bids.best(depth), asks.best(depth)
+        yield start, (starts[0] if starts else last + 1) - start, best_bids, best_asks
     sides = [bids if b else asks for b in is_bid.tolist()]
     price, qty = price.tolist(), qty.tolist()
     ends = [*edges[1:].tolist(), len(at)]
+    of_bids, of_asks = ((np.logical_or.reduceat(x, edges).tolist() if len(edges) else []) for x in (is_bid, ~is_bid))
     for i, (a, b) in enumerate(zip(edges.tolist(), ends)):
         for j in range(a, b):
             sides[j].put(price[j], qty[j])
+        best_bids, best_asks = None if of_bids[i] else best_bids, None if of_asks[i] else best_asks
         until = starts[i + 1] if i + 1 < len(starts) else last + 1
         if until > starts[i]:
-            yield starts[i], until - starts[i], bids.best(depth), asks.best(depth)
+            best_bids = bids.best(depth) if best_bids is None else best_bids
+            best_asks = asks.best(depth) if best_asks is None else best_asks
+            yield starts[i], until - starts[i], best_bids, best_asks

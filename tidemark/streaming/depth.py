@@ -140,7 +140,7 @@ def levels_of(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     """(row, is bid, price, qty) of all entries, in the order of the messages and of the entries in them."""
     parts = []
     for bid, prices, qtys in ((True, "bp", "bq"), (False, "ap", "aq")):
-        sizes = rows[prices].map(len).to_numpy(dtype=np.int64)
+        sizes = np.fromiter(map(len, rows[prices].tolist()), np.int64, len(rows))
         if sizes.sum():
             parts.append((np.repeat(np.arange(len(rows)), sizes), np.full(sizes.sum(), bid),
                           np.concatenate(rows[prices].tolist()), np.concatenate(rows[qtys].tolist())))
